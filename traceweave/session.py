@@ -16,6 +16,7 @@ def local_session(cpus: int | str = "*", app: str = "traceweave", **conf: str) -
         .config("spark.sql.shuffle.partitions", parallel)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
