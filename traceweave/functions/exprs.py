@@ -137,10 +137,8 @@ def transport_name(ip_protocol: Column | str, ipv6_next_header: Column | str | N
     number = lenient_int(
         first_nonempty(ip_protocol, ipv6_next_header) if ipv6_next_header is not None else ip_protocol, -1
     )
-    name = F.lit("OTHER")
-    for code, label in PROTOCOLS.items():
-        name = F.when(number == code, label).otherwise(name)
-    return name
+    names = F.create_map(*[F.lit(v) for pair in PROTOCOLS.items() for v in pair])
+    return F.coalesce(F.try_element_at(names, number.cast("int")), F.lit("OTHER"))
 
 
 def direction_of(

@@ -25,3 +25,9 @@ def capture_quality(packets: DataFrame, keys: Sequence[str], interface_mtu: int
         (over > 0).cast("int").alias("possible_offload_coalescing"),
         F.lit(threshold).alias("oversized_frame_threshold_bytes"),
     )
+
+
+def best_setting(grid: DataFrame, scope: Sequence[str], order: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """Lexicographic argmax of a parameter grid."""
+    top = F.max_by(F.struct(*keep), F.struct(*order))
+    return grid.groupBy(*scope).agg(top.alias("_top")).select(*scope, *[F.col(f"_top.{k}").alias(k) for k in keep])

@@ -91,7 +91,8 @@ def window_index(t: Column, scale: Column) -> Column:
     """Window of a time relative to the trace start; the end point joins the last window."""
     relative = F.greatest(t - F.col("trace_start"), F.lit(0.0))
     duration = F.greatest(F.col("trace_end") - F.col("trace_start"), F.lit(0.0))
-    return F.least(X.floor_divide(relative, scale), window_count(duration, scale) - 1)
+    index = F.least(X.floor_divide(relative, scale), window_count(duration, scale) - 1)
+    return F.when(t.isNotNull(), index)
 
 
 def _measures() -> dict[str, Column]:
@@ -159,7 +160,7 @@ def windowed_rows(trace: Sequenced, scales: Sequence[float], dense: bool, max_wi
         *trace.keys,
         "trace_start",
         "trace_end",
-        F.greatest(t - prev, F.lit(0.0)).alias("_gap"),
+        gap_before().alias("_gap"),
         F.col("prev_known.d").alias("_known_dir"),
         *[c.alias(n) for n, c in measures.items()],
         F.explode(entries).alias("g"),
@@ -622,7 +623,7 @@ def single_packet_rows(trace: Sequenced) -> DataFrame:
         flag(F.col("direction") == "up").alias("direction_up"),
         flag(F.col("direction") == "down").alias("direction_down"),
         flag(F.col("direction") == "unknown").alias("direction_unknown"),
-        zero(F.greatest(F.col("timestamp_epoch") - F.col("prev_t"), F.lit(0.0))).alias("iat_sec"),
+        zero(gap_before()).alias("iat_sec"),
         flag(F.col("transport_protocol") == "TCP").alias("transport_tcp"),
         flag(F.col("transport_protocol") == "UDP").alias("transport_udp"),
         *[flag(F.col(n)).alias(n) for n in ("tcp_syn", "tcp_ack", "tcp_fin", "tcp_rst", "retransmission")],
