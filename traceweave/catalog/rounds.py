@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from traceweave.catalog import query, r6
 from traceweave.catalog.tables import DAY, HOUR, PACKETS_SQL, packets, parsed_packets, table
-from traceweave.functions import exprs as X
 from traceweave.functions.exprs import rounded
 from traceweave.operators import features as FE
 from traceweave.operators import rounds as R
 from traceweave.operators.features import TRACE
 from traceweave.operators.joins import interval_join, overlapping_pairs
+from traceweave.session import cut_lineage
 
 BIN = 12 * HOUR
 CFG = R.RoundConfig(
@@ -94,7 +94,7 @@ t AS (SELECT s.*, g.lo, g.v, s.n - g.i + 1 AS above FROM s LEFT JOIN f USING (ex
 SELECT experiment_id, client_id, direction, n AS burst_count, {r6("greatest(1500, CASE WHEN n < 4 THEN 0.5 * med WHEN gap >= 0.55 AND above >= greatest(3, ceil(n * 0.10)) THEN sqrt(lo * v) ELSE 0.25 * upper END)")} AS threshold_bytes FROM t"""
 )
 def major_threshold(spark, sf_dir):
-    return rounded(R.major_thresholds(_bursts(spark, sf_dir), CFG))
+    return rounded(R.major_thresholds(cut_lineage(_bursts(spark, sf_dir)), CFG))
 
 
 @query()
@@ -167,9 +167,6 @@ def segment_features(spark, sf_dir):
     )
 
 
-INTERVALS_SQL = """WITH a AS (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS idx, l_partkey, epoch_us(l_shipdate) / 1e6 / 86400 AS s, epoch_us(l_shipdate) / 1e6 / 86400 + l_quantity AS e FROM lineitem)"""
-
-
 @query(
     SEG_SQL
     + f""", b AS (SELECT experiment_id, client_id, segment_index, a + {DAY} AS a, z + {DAY} * (1 + segment_index % 2) AS z FROM sg WHERE segment_index <> 3),

@@ -20,7 +20,6 @@ from traceweave.operators.joins import interval_join, overlapping_pairs
 from traceweave.operators.ordered import (
     DEFAULT_LIMIT,
     exact_quantiles,
-    salted_attach,
     sequence,
 )
 from traceweave.session import cut_lineage
@@ -65,14 +64,16 @@ def trace_bounds(packets: DataFrame, keys: Sequence[str] = TRACE) -> DataFrame:
     )
 
 
-def packet_bins(packets: DataFrame, cfg: RoundConfig, keys: Sequence[str] = TRACE) -> DataFrame:
+def packet_bins(
+    packets: DataFrame, cfg: RoundConfig, keys: Sequence[str] = TRACE, limit: int = DEFAULT_LIMIT
+) -> DataFrame:
     """Byte and packet counts of every bin that has packets, with its label.
 
     ``edge_*`` count the packets exactly on the bin's lower border, which also
     belong to a span that ends there.
     """
-    bounds = trace_bounds(packets, keys)
-    rows = salted_attach(packets, bounds, keys, F.struct(*ORDER), how="inner")
+    trace = sequence(packets, keys, ORDER, limit)
+    rows = trace.key_stats({"trace_start": F.min("timestamp_epoch"), "trace_end": F.max("timestamp_epoch")}).rows()
     rel = F.greatest(F.col("timestamp_epoch") - F.col("trace_start"), F.lit(0.0))
     last = F.floor((F.col("trace_end") - F.col("trace_start")) / cfg.bin_sec)
     index = F.least(X.floor_divide(rel, cfg.bin_sec), last)
@@ -167,6 +168,7 @@ def directional_bursts(
     In the order of directed bins a bin joins its predecessor exactly when that
     has the same direction and is near enough.
     """
+    bins = cut_lineage(bins)  # read three times below, and far smaller than the packets
     directed = bins.where("label in ('up', 'down')").select(*keys, "bin", "label")
     order = sequence(directed, keys, ["bin"], limit).previous(
         {"_p": F.struct(F.col("bin").alias("b"), F.col("label").alias("l"))}
@@ -355,7 +357,7 @@ def infer_rounds(
     keys = list(keys)
     sizes = trace_bounds(packets, keys)
     usable = packets.join(sizes.where(F.col("trace_packets") >= cfg.min_round_packets).select(*keys), keys, "left_semi")
-    bins = smoothed(packet_bins(usable, cfg, keys), keys)
+    bins = smoothed(packet_bins(usable, cfg, keys, limit), keys)
     bursts = cut_lineage(directional_bursts(bins, cfg, keys, limit))
     thresholds = major_thresholds(bursts, cfg, keys, limit)
     major = major_bursts(bursts, thresholds, keys)
