@@ -209,7 +209,7 @@ def rows_per_trace(spark, sf_dir):
 
 
 @query(
-    f"""WITH {LABELS_SQL} SELECT 'family' AS "column", count(DISTINCT family) AS distinct_values FROM lb UNION ALL SELECT 'architecture', count(DISTINCT architecture) FROM lb UNION ALL SELECT 'variant', count(DISTINCT variant) FROM lb UNION ALL SELECT 'client_id', count(DISTINCT user_id) FROM lb"""
+    f"""WITH {LABELS_SQL} SELECT 'family' AS "column", count(DISTINCT family) AS distinct_values FROM lb UNION ALL SELECT 'architecture', count(DISTINCT architecture) FROM lb UNION ALL SELECT 'variant', count(DISTINCT variant) FROM lb UNION ALL SELECT 'client_id', count(DISTINCT user_id) FROM events"""
 )
 def coverage_sets(spark, sf_dir):
     df = hierarchy_labels(packets(spark, sf_dir).select("experiment_id", "client_id"))
@@ -424,7 +424,7 @@ def local_deployment_guard(spark, sf_dir):
 
 
 @query(
-    WINDOWS_SQL + " SELECT experiment_id, client_id, s::DOUBLE AS window_size_sec, w AS window_index, 70 AS predictors FROM ds"
+    WINDOWS_SQL + " SELECT experiment_id, client_id, s::DOUBLE AS window_size_sec, w AS window_index, 68 AS predictors FROM ds"
 )
 def feature_modes(spark, sf_dir):
     """Size-normalised rows: absolute volumes and quality columns are gone."""

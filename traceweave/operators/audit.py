@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceweave.functions import exprs as X
+from traceweave.operators.ordered import DEFAULT_LIMIT, exact_quantiles
 
 OVERSIZE_DEFAULT = 2048
 OVERSIZE_ALLOWANCE = 64
@@ -115,23 +116,40 @@ def coverage_sets(df: DataFrame, group: Sequence[str], columns: Sequence[str]) -
     )
 
 
-def telemetry_aggregates(df: DataFrame, keys: Sequence[str], columns: Sequence[str], order: Sequence[str], prefix: str = "") -> DataFrame:
-    """Mean, spread, median, min, max and last-minus-first of text or number columns."""
+def telemetry_aggregates(
+    df: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    order: Sequence[str],
+    prefix: str = "",
+    limit: int = DEFAULT_LIMIT,
+) -> DataFrame:
+    """Mean, spread, median, min, max and last-minus-first of text or number columns.
+
+    Medians come from one percentile state per key, or, when some key has more
+    than ``limit`` rows, from sliced ranks for all keys.
+    """
+    values = {c: X.finite(F.col(c).cast("string").try_cast("double")) for c in columns}
+    names = {c: f"{prefix}{c.strip('_').lower()}" for c in columns}
+    large = not df.groupBy(*keys).count().where(F.col("count") > limit).isEmpty()
     out = []
-    position = F.struct(*order)
-    for c in columns:
-        v = X.finite(F.col(c).cast("string").try_cast("double"))
-        at = F.when(v.isNotNull(), position)
-        name = f"{prefix}{c.strip('_').lower()}"
+    for c, v in values.items():
+        at = F.when(v.isNotNull(), F.struct(*order))
         out += [
-            F.avg(v).alias(f"{name}__mean"),
-            F.stddev_pop(v).alias(f"{name}__std"),
-            F.percentile(v, F.lit(0.5)).alias(f"{name}__median"),
-            F.min(v).alias(f"{name}__min"),
-            F.max(v).alias(f"{name}__max"),
-            F.when(F.count(v) > 1, F.max_by(v, at) - F.min_by(v, at)).alias(f"{name}__delta"),
+            F.avg(v).alias(f"{names[c]}__mean"),
+            F.stddev_pop(v).alias(f"{names[c]}__std"),
+            F.min(v).alias(f"{names[c]}__min"),
+            F.max(v).alias(f"{names[c]}__max"),
+            F.when(F.count(v) > 1, F.max_by(v, at) - F.min_by(v, at)).alias(f"{names[c]}__delta"),
         ]
-    return df.groupBy(*keys).agg(*out)
+        if not large:
+            out.append(F.percentile(v, F.lit(0.5)).alias(f"{names[c]}__median"))
+    table = df.groupBy(*keys).agg(*out)
+    if large:
+        for c, v in values.items():
+            one = df.select(*keys, v.alias("_v"))
+            table = table.join(exact_quantiles(one, keys, "_v", [0.5], [f"{names[c]}__median"], limit), list(keys), "left")
+    return table
 
 
 def coverage_problems(expected: DataFrame, written: DataFrame, keys: Sequence[str], group: Sequence[str]) -> DataFrame:
