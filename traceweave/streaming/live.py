@@ -84,7 +84,8 @@ class AnchoredWindows(StatefulProcessor):
     are emitted empty.  Packets for closed windows are late and dropped.
     """
 
-    def __init__(self, scales: Sequence[float]) -> None:
+    def __init__(self, names: Sequence[str], scales: Sequence[float]) -> None:
+        self.row = Row(*names)
         self.scales = [float(s) for s in scales]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -110,7 +111,7 @@ class AnchoredWindows(StatefulProcessor):
                 totals = tuple(self.open.getValue(slot))[:7] if self.open.containsKey(slot) else (0, 0, 0, 0, 0, 0.0, 0.0)
                 if self.open.containsKey(slot):
                     self.open.removeKey(slot)
-                yield Row(*key, s, index, index * s, index * s + s, *totals)
+                yield self.row(*key, s, index, index * s, index * s + s, *totals)
                 index += 1
             self.next.updateValue((s,), (index,))
 
@@ -145,10 +146,10 @@ class AnchoredWindows(StatefulProcessor):
                 w[8] = direction if known else w[8]
             for index, w in held.items():
                 self.open.updateValue((s, index), tuple(w))
-        self._wake(key, first)
         yield from self._rows(key, watermark)
+        self._wake(first)
 
-    def _wake(self, key, first: float) -> None:
+    def _wake(self, first: float) -> None:
         ends = []
         for s in self.scales:
             index = self.next.getValue((s,))[0] if self.next.containsKey((s,)) else 0
@@ -157,6 +158,7 @@ class AnchoredWindows(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         yield from self._rows(key, timerValues.getCurrentWatermarkInMs() / 1000.0)
+        self._wake(self.first.get()[0])
 
     def close(self) -> None:
         pass
@@ -169,7 +171,7 @@ def keyed_schema(df: DataFrame, keys: Sequence[str], fields: Sequence[tuple[str,
 
 def anchored_windows(packets: DataFrame, keys: Sequence[str], scales: Sequence[float], late: str = "10 seconds") -> DataFrame:
     schema = keyed_schema(packets, keys, WINDOW_FIELDS)
-    processor = AnchoredWindows(scales)
+    processor = AnchoredWindows(schema.names, scales)
     return (
         packets.withWatermark("event_time", late)
         .groupBy(*keys)
@@ -194,7 +196,8 @@ class StabilityGate(StatefulProcessor):
     only the current label, its run length and the first stable time are kept.
     """
 
-    def __init__(self, windows: int = 3, confidence: float = 0.90, minimum_packets: int = 20) -> None:
+    def __init__(self, names: Sequence[str], windows: int = 3, confidence: float = 0.90, minimum_packets: int = 20) -> None:
+        self.row = Row(*names)
         self.windows, self.confidence, self.minimum = max(int(windows), 1), confidence, minimum_packets
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -215,7 +218,7 @@ class StabilityGate(StatefulProcessor):
             stable = length >= self.windows
             if stable and first is None:
                 first = r["elapsed_sec"]
-            yield Row(*key, r["elapsed_sec"], r["label"], int(ok), int(stable), label if stable else None, first)
+            yield self.row(*key, r["elapsed_sec"], r["label"], int(ok), int(stable), label if stable else None, first)
         self.run.update((label, length, first))
 
     def close(self) -> None:
@@ -225,7 +228,7 @@ class StabilityGate(StatefulProcessor):
 def stability_gate(predictions: DataFrame, keys: Sequence[str], **options) -> DataFrame:
     """``predictions``: keys, elapsed_sec, label, confidence, packet_count_total."""
     schema = keyed_schema(predictions, keys, GATE_FIELDS)
-    return predictions.groupBy(*keys).transformWithState(StabilityGate(**options), schema, "Append", "None")
+    return predictions.groupBy(*keys).transformWithState(StabilityGate(schema.names, **options), schema, "Append", "None")
 
 
 RELEASED_FIELDS = (
@@ -245,7 +248,8 @@ class RegistrationBuffer(StatefulProcessor):
     derived from the peer's address, later packets pass straight through.
     """
 
-    def __init__(self, capacity: int = BUFFER_PACKETS) -> None:
+    def __init__(self, names: Sequence[str], capacity: int = BUFFER_PACKETS) -> None:
+        self.row = Row(*names)
         self.capacity = capacity
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -279,7 +283,7 @@ class RegistrationBuffer(StatefulProcessor):
             packets = [tuple(p) for p in self.waiting.get()] + packets
             self.waiting.clear()
         for i, t, n, src in packets:
-            yield Row(*key, client, i, t, n, "up" if src == key[-1] else "down")
+            yield self.row(*key, client, i, t, n, "up" if src == key[-1] else "down")
 
     def close(self) -> None:
         pass
@@ -288,7 +292,7 @@ class RegistrationBuffer(StatefulProcessor):
 def registration_buffer(events: DataFrame, run: str, peer: str, capacity: int = BUFFER_PACKETS) -> DataFrame:
     """``events``: union of packets and registrations with a ``kind`` column, keyed by run and peer ip."""
     schema = keyed_schema(events, [run, peer], RELEASED_FIELDS)
-    return events.groupBy(run, peer).transformWithState(RegistrationBuffer(capacity), schema, "Append", "None")
+    return events.groupBy(run, peer).transformWithState(RegistrationBuffer(schema.names, capacity), schema, "Append", "None")
 
 
 BARRIER_FIELDS = (
@@ -307,7 +311,8 @@ class RoundBarrier(StatefulProcessor):
     running weighted sum and the clients seen, not the updates themselves.
     """
 
-    def __init__(self, expected: int) -> None:
+    def __init__(self, names: Sequence[str], expected: int) -> None:
+        self.row = Row(*names)
         self.expected = int(expected)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -327,10 +332,10 @@ class RoundBarrier(StatefulProcessor):
         for r in sorted(rows, key=lambda r: r["sequence"]):
             client = r["client_id"]
             if r["round"] != current:
-                yield Row(*key, r["round"], "stale_or_future", client, None, None)
+                yield self.row(*key, r["round"], "stale_or_future", client, None, None)
                 continue
             if client in clients:
-                yield Row(*key, r["round"], "duplicate", client, None, None)
+                yield self.row(*key, r["round"], "duplicate", client, None, None)
                 continue
             w = max(int(r["num_examples"]), 1)
             if sums and len(sums) != len(r["values"]):
@@ -339,7 +344,7 @@ class RoundBarrier(StatefulProcessor):
             weight += w
             clients.append(client)
             if len(clients) == self.expected:
-                yield Row(*key, current, "aggregated", None, weight, [v / weight for v in sums])
+                yield self.row(*key, current, "aggregated", None, weight, [v / weight for v in sums])
                 current, weight, sums, clients = current + 1, 0, [], []
         self.state.update((current, weight, sums, clients))
 
@@ -350,7 +355,7 @@ class RoundBarrier(StatefulProcessor):
 def round_barrier(updates: DataFrame, run: str, expected: int) -> DataFrame:
     """``updates``: run, sequence, round, client_id, num_examples, values."""
     schema = keyed_schema(updates, [run], BARRIER_FIELDS)
-    return updates.groupBy(run).transformWithState(RoundBarrier(expected), schema, "Append", "None")
+    return updates.groupBy(run).transformWithState(RoundBarrier(schema.names, expected), schema, "Append", "None")
 
 
 def append_log(rows: DataFrame, folder: str, checkpoint: str, available_now: bool = True):
