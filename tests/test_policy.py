@@ -140,4 +140,4 @@ def test_file_sources(spark, tmp_path):
     chunks = scan.chunk_summary(scan.read_chunks(spark, str(tmp_path)), ["folder"]).first()
     assert (chunks["pcap_chunks"], chunks["total_capture_bytes"]) == (1, 3)
     bundle = scan.read_bundle(spark, str(tmp_path), [".pcap", ".json"])
-    assert bundle.count() == 3
+    assert bundle.count() == 2  # Spark's file sources pass over empty files
