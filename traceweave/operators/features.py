@@ -76,6 +76,16 @@ def sequence_packets(
     return Sequenced(df, trace.keys, trace.order, trace.sliced)
 
 
+def read_often(trace: Sequenced) -> Sequenced:
+    """Checkpoint a trace that several blocks read, each with its own columns.
+
+    Otherwise every block would scan, shuffle and sort the packets again.
+    """
+    if trace.sliced:  # already done while sequencing
+        return trace
+    return Sequenced(cut_lineage(trace.df), trace.keys, trace.order, trace.sliced)
+
+
 def gap_before() -> Column:
     """Time since the previous packet of the trace, null for its first packet."""
     gap = F.col("timestamp_epoch") - F.col("prev_t")
@@ -206,7 +216,9 @@ def zero(value: Column) -> Column:
 
 def four(prefix: str, value: Column) -> dict[str, Column]:
     return {
-        f"{prefix}_mean": zero(F.avg(value)),
+        # sum/count instead of avg: the planner then shares them with the totals,
+        # which keeps the aggregate narrow enough for generated code.
+        f"{prefix}_mean": zero(F.sum(value) / F.count(value)),
         f"{prefix}_std": zero(F.stddev_pop(value)),
         f"{prefix}_min": zero(F.min(value)),
         f"{prefix}_max": zero(F.max(value)),
@@ -246,7 +258,7 @@ def _when_sum(condition: Column, value: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, value)), F.lit(0)).cast("long")
 
 
-def group_aggregates(idle_threshold_sec: float, quantiles: bool = True) -> dict[str, Column]:
+def group_aggregates(idle_threshold_sec: float) -> dict[str, Column]:
     """Everything about a group that one pass over its rows can tell."""
     length, iat, direction = F.col("len"), F.col("iat"), F.col("dir")
     up, down = direction == "up", direction == "down"
@@ -254,9 +266,9 @@ def group_aggregates(idle_threshold_sec: float, quantiles: bool = True) -> dict[
     first_of_burst = F.col("iat").isNotNull() & (F.col("new_burst") == 1)
     out: dict[str, Column] = {
         "packet_count_total": F.count(length),
-        "packet_count_up": F.count(F.when(up, 1)),
-        "packet_count_down": F.count(F.when(down, 1)),
-        "packet_count_unknown": F.count(F.when(direction == "unknown", 1)),
+        "packet_count_up": F.count(F.when(up, length)),
+        "packet_count_down": F.count(F.when(down, length)),
+        "packet_count_unknown": F.count(F.when(direction == "unknown", length)),
         "bytes_total": F.coalesce(F.sum(length), F.lit(0)).cast("long"),
         "bytes_up": _when_sum(up, length),
         "bytes_down": _when_sum(down, length),
@@ -264,7 +276,7 @@ def group_aggregates(idle_threshold_sec: float, quantiles: bool = True) -> dict[
         "direction_switch_count": F.coalesce(F.sum("switched"), F.lit(0)).cast("long"),
         "idle_gap_count": F.count(idle),
         "idle_time_total_sec": zero(F.sum(idle)),
-        "idle_time_mean_sec": zero(F.avg(idle)),
+        "idle_time_mean_sec": zero(F.sum(idle) / F.count(idle)),
         "idle_time_max_sec": zero(F.max(idle)),
         "tcp_packet_count": F.count(F.when(F.col("transport") == "TCP", 1)),
         "udp_packet_count": F.count(F.when(F.col("transport") == "UDP", 1)),
@@ -283,8 +295,6 @@ def group_aggregates(idle_threshold_sec: float, quantiles: bool = True) -> dict[
         **four("burst_interval_sec", F.when(first_of_burst, iat)),
         **pooled("tls_record_size", F.col("tls_n"), F.col("tls_sum"), F.col("tls_sq"), F.col("tls_min"), F.col("tls_max")),
     }
-    if quantiles:
-        out |= quantile_columns("packet_size", length) | quantile_columns("iat_sec", iat)
     return out
 
 
@@ -381,6 +391,45 @@ def entropy_of(
     )
 
 
+def distributions(df: DataFrame, group: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
+    """Quantiles and histogram entropy of several values from one sorted pass.
+
+    Ranks come from the sort, so no group needs a percentile state, and the
+    same order serves the group's size and bounds.
+    """
+    pairs = F.array(*[F.struct(F.lit(n).alias("m"), v.cast("double").alias("x")) for n, v in values.items()])
+    long = df.select(*group, F.explode(pairs).alias("p")).select(*group, "p.m", "p.x").where(F.col("x").isNotNull())
+    keys = [*group, "m"]
+    whole = Window.partitionBy(*keys)
+    ranked = long.withColumn("i", F.row_number().over(whole.orderBy("x")) - 1)
+    sized = ranked.withColumns(
+        {"lo": F.min("x").over(whole), "hi": F.max("x").over(whole), "n": F.count("x").over(whole)}
+    )
+    bins = F.least(F.lit(32.0), F.greatest(F.lit(4.0), F.floor(F.sqrt("n")))).cast("double")
+    position = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), bins - 1)
+    picks = []
+    for name, p in QUANTILES.items():
+        rank = F.lit(p) * (F.col("n") - 1)
+        picks.append(F.max(F.when(F.col("i") == F.floor(rank), F.col("x"))).alias(f"l_{name}"))
+        picks.append(F.max(F.when(F.col("i") == F.ceil(rank), F.col("x"))).alias(f"h_{name}"))
+    cells = (
+        sized.withColumn("bin", F.when(F.col("hi") > F.col("lo"), position).otherwise(F.lit(0.0)))
+        .groupBy(*keys, "bin")
+        .agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), *picks)
+    )
+    share = F.col("c") / F.col("n")
+    out = []
+    for metric in values:
+        mine = F.col("m") == metric
+        out.append(F.coalesce(-F.sum(F.when(mine, share * F.log2(share))), F.lit(0.0)).alias(f"{metric}_entropy"))
+        n = F.max(F.when(mine, F.col("n")))
+        for name, p in QUANTILES.items():
+            rank = F.lit(p) * (n - 1)
+            low, high = (F.max(F.when(mine, F.col(f"{side}_{name}"))) for side in "lh")
+            out.append(zero(low + (high - low) * (rank - F.floor(rank))).alias(f"{metric}_{name}"))
+    return cells.groupBy(*group).agg(*out)
+
+
 def _assemble(
     rows: DataFrame,
     group: Sequence[str],
@@ -390,18 +439,18 @@ def _assemble(
     extra: Sequence[Column] = (),
 ) -> DataFrame:
     """Join the blocks of one grouping; every block has one row per group."""
-    main = rows.groupBy(*group).agg(
-        *extra, *[c.alias(n) for n, c in group_aggregates(idle_threshold_sec, not skewed).items()]
-    )
-    parts = [
-        burst_block(rows, group),
-        connection_block(rows, group),
-        entropy_of(rows, group, {"packet_size_entropy": F.col("len"), "iat_sec_entropy": F.col("iat")}, skewed),
-    ]
+    main = rows.groupBy(*group).agg(*extra, *[c.alias(n) for n, c in group_aggregates(idle_threshold_sec).items()])
+    measured = {"packet_size": "len", "iat_sec": "iat"}
+    parts = [burst_block(rows, group), connection_block(rows, group)]
     if skewed:
-        for prefix, value in (("packet_size", "len"), ("iat_sec", "iat")):
+        parts.append(
+            entropy_of(rows, group, {f"{n}_entropy": F.col(c) for n, c in measured.items()}, skewed=True)
+        )
+        for prefix, value in measured.items():
             names = [f"{prefix}_{n}" for n in QUANTILES]
             parts.append(exact_quantiles(rows, group, value, list(QUANTILES.values()), names, limit))
+    else:
+        parts.append(distributions(rows, group, {n: F.col(c) for n, c in measured.items()}))
     for part in parts:
         fresh = [c for c in part.columns if c not in group]
         main = main.join(part, list(group), "left").fillna(0, fresh)
@@ -508,6 +557,7 @@ def windowed_features(
     max_windows: int = MAX_DENSE_WINDOWS,
 ) -> DataFrame:
     keys = list(trace.keys)
+    trace = read_often(trace)
     rows = windowed_rows(trace, scales, dense, max_windows)
     group = [*keys, *GROUP]
     bounds = [F.max("trace_start").alias("_t0"), F.max("trace_end").alias("_t1")]
@@ -550,6 +600,7 @@ def segment_features(
     from traceweave.operators.joins import interval_join
 
     keys = list(trace.keys)
+    trace = read_often(trace)
     df = trace.df.withColumn("conn", connection_of(trace.df))
     inside = interval_join(df, segments, keys, "timestamp_epoch", "start_epoch", "end_epoch")
     t, start = F.col("timestamp_epoch"), F.col("start_epoch")

@@ -15,6 +15,8 @@ def local_session(cpus: int | str = "*", app: str = "traceweave", **conf: str) -
         .appName(app)
         .config("spark.sql.shuffle.partitions", parallel)
         .config("spark.sql.session.timeZone", "UTC")
+        # Small tables would be merged into one task; keep one per core instead.
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
