@@ -60,14 +60,19 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span [start, end); spans are disjoint, ascending and not empty."""
+    """A 64-bit hash of the bytes of each span [start, end); spans are disjoint, ascending and not empty, data under 2 GB."""
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
     lengths = ends - starts
     firsts = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(firsts, lengths)
-    picked = data[place + np.repeat(starts, lengths)]
-    values = _BYTE_VALUES[picked] * powers(MULTIPLIER, int(lengths.max()))[place]
+    total = int(lengths.sum())
+    place = np.arange(total, dtype=np.int32) - np.repeat(firsts.astype(np.int32), lengths)
+    if total == len(data):
+        picked = data  # the spans lie side by side
+    else:
+        picked = data[place + np.repeat(starts.astype(np.int32), lengths)]
+    values = _BYTE_VALUES.take(picked)
+    values *= powers(MULTIPLIER, int(lengths.max())).take(place)
     return mix(np.add.reduceat(values, firsts) + lengths.astype(np.uint64))
 
 
