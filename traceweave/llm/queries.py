@@ -6,8 +6,20 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from traceweave.llm import byte_bpe, near_dedup, packing, substring_dedup, token_counts
+from pyspark.sql import functions as F
+
+from traceweave.llm import (
+    byte_bpe,
+    exact_dedup,
+    html_text,
+    knn,
+    language_id,
+    near_dedup,
+    packing,
+    sharding,
+    substring_dedup,
+    token_counts,
+)
 from traceweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +63,50 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query()
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.train(docs))
+
+
+@query(
+    """
+    WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
+    g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
+    """
+)
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shards_of(table(spark, sf_dir, "documents"), 8)
+    return rows.select("*", F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query(
+    """
+    WITH v AS (
+        SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(embedding) > 0
+          AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    ),
+    s AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+        FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+    )
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+    FROM s QUALIFY rank <= 10
+    """
+)
+def op10_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
