@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from traceweave.llm.common import stored
+
 BUCKETS = 64
 
 
@@ -67,12 +69,34 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256. The texts are in the index afterwards."""
     index = index or DigestIndex(docs.sparkSession)
     index.add(docs)
-    held = index.rows()
-    out = digests(docs).withColumn("digest", F.unhex("text_sha256"))
-    return out.join(held.hint("merge"), "digest").select(
+    # Every row meets its text's entry. This join is on a computed key: both sides are shuffled, so that adaptive
+    # execution can split a text that a third of all rows hold; on the buckets it would be one task's work.
+    held = index.rows().withColumn("text_sha256", F.lower(F.hex("digest")))
+    return digests(docs).join(held, "text_sha256").select(
         "doc_id",
         "keep_id",
         "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         "text_sha256",
     )
+
+
+def deduplicated(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+    """The rows of docs that stay, with all their columns: one row per text that the index did not hold before.
+
+    Rows that repeat the doc_id and the text of the row that stays are copies like others; one of them is kept.
+    """
+    index = index or DigestIndex(docs.sparkSession)
+    # With an index that holds earlier data, only texts that are new to it may stay.
+    fresh = stored(index.fresh(docs).select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep")), "exact-fresh")
+    index.add(docs)
+    # Digest and id together are the key, so the copies of one text are spread by their ids.
+    least = F.lit(-(2**63)).cast("long")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    row = F.struct(*[F.col(c).cast("string") for c in docs.columns if c != "text"])
+    own = docs.withColumn("__digest", F.unhex(F.sha2(text, 256))).withColumn(
+        "__keep", F.coalesce(F.col("doc_id").cast("long"), least)
+    )
+    first = F.row_number().over(Window.partitionBy("__digest", "__keep").orderBy(row))
+    stays = own.join(fresh.withColumn("__keep", F.coalesce("__keep", least)), ["__digest", "__keep"])
+    return stays.withColumn("__first", first).where(F.col("__first") == 1).select(*docs.columns)
