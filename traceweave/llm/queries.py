@@ -38,7 +38,7 @@ def query(sql: str | None = None):
 
 @query()
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = substring_dedup.remove_factors(docs, substring_dedup.duplicate_factors(docs), show=())
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 

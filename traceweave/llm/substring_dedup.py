@@ -31,9 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from traceweave.llm.common import stored
 from traceweave.llm.words import Words, mix, shingle_hashes, slices, windows_inside, words_of
@@ -82,14 +84,14 @@ def _windows(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            batch = batch.filter(pa.compute.is_valid(batch.column("seeds")))
+            batch = batch.filter(pc.is_valid(batch.column("__seeds")))
             if len(batch) == 0:
                 continue
             ids = batch.column("doc_id").to_numpy()
             words = words_of(batch.column("text"))
             at, seeds, text = _seeded(words, window)
             hashes = shingle_hashes(words.hashes, window)
-            shared, edges = _lists(batch.column("seeds"))
+            shared, edges = _lists(batch.column("__seeds"))
             # Text number and seed together, so that one search serves the whole batch.
             owner = np.repeat(np.arange(len(batch), dtype=np.uint64), np.diff(edges))
             wanted = np.unique(mix(shared.view(np.uint64)) + mix(owner + np.uint64(1)))
@@ -117,14 +119,10 @@ def _member(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Flat values and the n + 1 offsets of a list column."""
-    sizes = pa.compute.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     return column.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(sizes)))
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
 def _copies(docs: DataFrame) -> DataFrame:
     """(doc_id, first_id) of texts that are byte-for-byte copies of a text with a smaller doc_id."""
     digests = docs.where(F.col("doc_id").isNotNull()).select(
@@ -135,32 +133,36 @@ def _copies(docs: DataFrame) -> DataFrame:
 
 
 def duplicate_factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, factors): arrays of (hash, source_id, source_place) of the windows found in earlier documents, and copies.
+    """(__id, __factors, __copy): each document's windows that stand in earlier ones, as (hash, source_id, source_place).
 
-    `source_copy` is set instead where the whole text is a copy of an earlier one.
+    `__copy` is set instead where the whole text is a copy of an earlier one.
     """
-    copies = stored(_copies(docs), "sub-copies").groupBy("doc_id").agg(F.min("first_id").alias("source_copy"))
-    texts = _texts(docs)
+    copies = stored(_copies(docs), "sub-copies").groupBy("doc_id").agg(F.min("first_id").alias("__copy"))
+    copies = copies.withColumnRenamed("doc_id", "__id")
+    ids, text = F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     # Distinct texts only: a copy has no window that its first holder lacks.
-    own = texts.join(copies, "doc_id", "left").where(F.col("source_copy").isNull() & F.col("doc_id").isNotNull())
-    seeds = own.select("doc_id", "text").mapInArrow(_seeds(window), "seed long, doc_id long")
+    own = docs.select(ids, text).where(F.col("doc_id").isNotNull()).join(copies, F.col("doc_id") == F.col("__id"), "left_anti")
+    seeds = own.mapInArrow(_seeds(window), "seed long, doc_id long")
     spread = seeds.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     shared = spread.where("low < high").select("seed")
-    wanted = stored(seeds.join(shared, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds")), "sub-seeds")
+    wanted = seeds.join(shared, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("__seeds"))
+    wanted = stored(wanted.withColumnRenamed("doc_id", "__id"), "sub-seeds")
+    # A left join without a filter above it: this shuffle of the documents is then the same as that of the removal, and
+    # one query that runs both writes it once.
     windows = (
-        texts.join(wanted, "doc_id")
-        .select("doc_id", "text", "seeds")
+        docs.join(wanted, F.col("doc_id") == F.col("__id"), "left")
+        .select(ids, text, "__seeds")
         .mapInArrow(_windows(window), "hash long, doc_id long, place int")
     )
     index = windows.groupBy("hash").agg(F.min(F.struct("doc_id", "place")).alias("source"), F.max("doc_id").alias("last"))
     index = index.where(F.col("source.doc_id") < F.col("last")).select("hash", "source")
     looked = windows.join(index, "hash").where(F.col("source.doc_id") < F.col("doc_id"))
-    factors = looked.groupBy("doc_id").agg(
+    factors = looked.groupBy(F.col("doc_id").alias("__id")).agg(
         F.collect_list(
             F.struct("hash", F.col("source.doc_id").alias("source_id"), F.col("source.place").alias("source_place"))
-        ).alias("factors")
+        ).alias("__factors")
     )
-    return stored(factors.join(copies, "doc_id", "full"), "sub-factors")
+    return factors.join(copies, "__id", "full")
 
 
 def _parse(hashes: np.ndarray, found: dict, window: int) -> list[tuple[int, int]]:
@@ -184,8 +186,8 @@ def _removed(window: int, names: list[str]):
         for batch in slices(batches, "text"):
             words = words_of(batch.column("text"))
             hashes = shingle_hashes(words.hashes, window).view(np.int64)
-            copy = batch.column("source_copy").is_valid().to_numpy(zero_copy_only=False)
-            held = batch.column("factors")
+            copy = batch.column("__copy").is_valid().to_numpy(zero_copy_only=False)
+            held = batch.column("__factors")
             total, gone, texts, parsed = [], [], [], []
             for i in range(len(batch)):
                 a, b = int(words.first[i]), int(words.first[i + 1])
@@ -222,19 +224,38 @@ def _removed(window: int, names: list[str]):
             out = {
                 "n_words": pa.array(total, pa.int64()),
                 "n_removed": pa.array(gone, pa.int64()),
-                "kept_text": pa.array([x.decode() for x in texts], pa.string()),
+                "__removed": pa.array(gone, pa.int64()),
                 "kept_sha256": pa.array(digests, pa.string()),
                 "factors": pa.array(parsed, pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32())]))),
             }
-            yield pa.RecordBatch.from_arrays([out[n] if n in out else batch.column(n) for n in names], names=names)
+            for name in {"kept_text", "__kept"}.intersection(names):
+                out[name] = pa.array([x.decode() for x in texts], pa.string())
+            # Columns of the input keep their values, whatever their names.
+            given = {n for n in names if n in batch.schema.names}
+            yield pa.RecordBatch.from_arrays([batch.column(n) if n in given else out[n] for n in names], names=names)
 
     return run
 
 
+def _joined(docs: DataFrame, factors: DataFrame) -> DataFrame:
+    return docs.join(factors, F.col("doc_id") == F.col("__id"), "left").withColumn("text", F.col("text").cast("string"))
+
+
 def remove_factors(docs: DataFrame, factors: DataFrame, window: int = WINDOW, show: tuple[str, ...] = ("kept_text",)) -> DataFrame:
     """doc_id and, per row of docs: n_words, n_removed, kept_sha256, and any of kept_text and factors named in `show`."""
     kinds = {"kept_text": "string", "factors": "array<struct<start:int,words:int>>"}
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", *show]
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     schema += "".join(f", {n} {kinds[n]}" for n in show)
-    return _texts(docs).join(factors, "doc_id", "left").mapInArrow(_removed(window, names), schema)
+    rows = _joined(docs, factors).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return rows.select("doc_id", "text", "__factors", "__copy").mapInArrow(_removed(window, names), schema)
+
+
+def without_factors(docs: DataFrame, factors: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows and columns of docs; texts that lose words are their kept words joined by one blank, others are as before."""
+    names = [*docs.columns, "__removed", "__kept"]
+    schema = StructType([*docs.schema.fields, StructField("__removed", LongType()), StructField("__kept", StringType())])
+    schema["text"].dataType = StringType()
+    rows = _joined(docs, factors).drop("__id").mapInArrow(_removed(window, names), schema)
+    text = F.when(F.col("__removed") > 0, F.col("__kept")).otherwise(F.col("text"))
+    return rows.withColumn("text", text).select(*docs.columns)
