@@ -289,8 +289,8 @@ def skip_reasons(spark, sf_dir):
 
 @query(
     """WITH px AS (SELECT o_custkey % 12 AS run_id, o_orderpriority AS client_id, arg_min(o_totalprice, o_orderkey) AS feature FROM orders GROUP BY 1, 2),
-cl AS (SELECT c_nationkey % 12 AS run_id, CASE c_custkey % 4 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' ELSE '5-LOW' END AS client_id, count(*) AS client_rows FROM customer WHERE c_nationkey % 12 < 9 GROUP BY 1, 2),
-sv AS (SELECT s_nationkey % 12 AS run_id, count(*) AS server_rows FROM supplier WHERE s_nationkey % 12 > 2 GROUP BY 1)
+cl AS (SELECT c_nationkey % 12 AS run_id, CASE c_custkey % 4 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' ELSE '5-LOW' END AS client_id, count(*) AS client_rows FROM customer GROUP BY 1, 2),
+sv AS (SELECT s_nationkey % 12 AS run_id, count(*) AS server_rows FROM supplier GROUP BY 1)
 SELECT run_id, client_id, feature, client_rows, server_rows, 'fam_' || (run_id % 3) AS family, CASE WHEN client_rows IS NULL AND server_rows IS NULL THEN 'no_endpoint' WHEN client_rows IS NULL THEN 'no_client' WHEN server_rows IS NULL THEN 'no_server' ELSE 'paired' END AS paired
 FROM px LEFT JOIN cl USING (run_id, client_id) LEFT JOIN sv USING (run_id)"""
 )
@@ -307,14 +307,12 @@ def teacher_pairing(spark, sf_dir):
             (F.col("c_nationkey") % 12).cast("long").alias("run_id"),
             F.when(i == 0, "1-URGENT").when(i == 1, "2-HIGH").otherwise("5-LOW").alias("client_id"),
         )
-        .where("run_id < 9")
         .groupBy("run_id", "client_id")
         .agg(F.count(F.lit(1)).alias("client_rows"))
     )
     servers = (
         table(spark, sf_dir, "supplier")
         .select((F.col("s_nationkey") % 12).cast("long").alias("run_id"))
-        .where("run_id > 2")
         .groupBy("run_id")
         .agg(F.count(F.lit(1)).alias("server_rows"))
     )
@@ -362,7 +360,7 @@ def class_eligibility(spark, sf_dir):
 
 
 @query(
-    """WITH e AS (SELECT DISTINCT c_custkey AS k FROM customer), w AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 60000 UNION SELECT s_suppkey + 1450 FROM supplier),
+    """WITH e AS (SELECT DISTINCT c_custkey AS k FROM customer), w AS (SELECT DISTINCT o_custkey AS k FROM orders UNION SELECT s_suppkey + 1450 FROM supplier),
 b AS (SELECT coalesce(e.k, w.k) AS k, e.k AS ek, w.k AS wk FROM e FULL JOIN w ON e.k = w.k)
 SELECT k % 100 AS grp, count(*) FILTER (WHERE wk IS NULL) AS missing, count(*) FILTER (WHERE ek IS NULL) AS extra, CASE WHEN count(*) FILTER (WHERE wk IS NULL OR ek IS NULL) = 0 THEN 'valid' ELSE 'invalid' END AS status FROM b GROUP BY 1"""
 )
@@ -376,13 +374,13 @@ def _coverage(spark, sf_dir):
         return df.select(F.col(name).alias("k"), (F.col(name) % 100).alias("grp"))
 
     expected = keyed(table(spark, sf_dir, "customer"), "c_custkey")
-    paid = keyed(table(spark, sf_dir, "orders").where("o_totalprice > 60000"), "o_custkey")
+    paid = keyed(table(spark, sf_dir, "orders"), "o_custkey")
     more = keyed(table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1450).alias("s_suppkey")), "s_suppkey")
     return expected, paid.unionByName(more)
 
 
 @query(
-    """WITH e AS (SELECT c_custkey AS k FROM customer), w AS (SELECT o_custkey AS k FROM orders WHERE o_totalprice > 60000 UNION ALL SELECT s_suppkey + 1450 FROM supplier)
+    """WITH e AS (SELECT c_custkey AS k FROM customer), w AS (SELECT o_custkey AS k FROM orders UNION ALL SELECT s_suppkey + 1450 FROM supplier)
 (SELECT k, 'missing' AS side FROM e EXCEPT SELECT k, 'missing' FROM w) UNION ALL (SELECT k, 'extra' FROM w EXCEPT SELECT k, 'extra' FROM e)"""
 )
 def coverage_except(spark, sf_dir):
@@ -508,14 +506,16 @@ def valid_runs(spark, sf_dir):
 
 @query(
     """WITH w AS (SELECT c_custkey AS run_id, c_mktsegment AS client_id, sha256(CASE WHEN c_custkey % 2 = 0 THEN 'bin=0.25' ELSE 'bin=0.5' END) AS config_sha256 FROM customer),
-d AS (SELECT c_custkey AS run_id, c_mktsegment AS client_id, sha256('bin=0.25') AS config_sha256 FROM customer WHERE c_custkey % 3 = 0)
+d AS (SELECT c_custkey AS run_id, c_mktsegment AS client_id, sha256('bin=0.25') AS config_sha256 FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders))
 SELECT run_id, client_id, config_sha256 FROM w ANTI JOIN d USING (run_id, client_id, config_sha256)"""
 )
 def resumable_work(spark, sf_dir):
     """Traces whose configuration digest has no finished part."""
     cu = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run_id"), F.col("c_mktsegment").alias("client_id"))
     config = F.when(F.col("run_id") % 2 == 0, "bin=0.25").otherwise("bin=0.5")
-    done = cu.where("run_id % 3 = 0").withColumn("config_sha256", F.sha2(F.lit("bin=0.25"), 256))
+    # Customers with orders are done under one configuration.
+    buyers = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run_id"))
+    done = cu.join(buyers, "run_id", "left_semi").withColumn("config_sha256", F.sha2(F.lit("bin=0.25"), 256))
     return D.only_new(cu, done, ["run_id", "client_id"], config)
 
 

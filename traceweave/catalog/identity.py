@@ -14,8 +14,8 @@ SHORT = ("experiment_id", "packet_index", "src_ip", "dst_ip", "direction")
 
 
 def _clients(spark, sf_dir):
-    """Addresses of every third user, the client side of their packets."""
-    user = table(spark, sf_dir, "events").select("user_id").distinct().where("user_id % 3 = 0")
+    """Addresses of all users, the client side of their packets."""
+    user = table(spark, sf_dir, "events").select("user_id").distinct()
     return user.select(
         F.concat(F.lit("run_"), (F.col("user_id") % 12).cast("string")).alias("experiment_id"),
         F.concat(F.lit("10.0.0."), (F.col("user_id") % 250).cast("string")).alias("client_ip"),
@@ -24,7 +24,7 @@ def _clients(spark, sf_dir):
     )
 
 
-CLIENTS_SQL = f"""WITH {PACKETS_SQL}, cl AS (SELECT DISTINCT 'run_' || (user_id % 12) AS experiment_id, '10.0.0.' || (user_id % 250) AS client_ip FROM events WHERE user_id % 3 = 0)"""
+CLIENTS_SQL = f"""WITH {PACKETS_SQL}, cl AS (SELECT DISTINCT 'run_' || (user_id % 12) AS experiment_id, '10.0.0.' || (user_id % 250) AS client_ip FROM events)"""
 
 
 @query(
@@ -39,7 +39,7 @@ def client_isolation(spark, sf_dir):
 
 
 @query(
-    f"""WITH {PACKETS_SQL}, cl AS (SELECT DISTINCT user_id FROM events WHERE user_id % 3 = 0)
+    f"""WITH {PACKETS_SQL}, cl AS (SELECT DISTINCT user_id FROM events)
 SELECT experiment_id, packet_index, src_ip, dst_ip, CASE WHEN direction = 'down' THEN 'down' ELSE 'up' END AS direction, 'trace_' || cl.user_id AS alias
 FROM raw JOIN cl ON '10.0.0.' || (cl.user_id % 250) = CASE WHEN direction = 'down' THEN dst_ip ELSE src_ip END AND 50000 + cl.user_id % 3 = CASE WHEN direction = 'down' THEN dst_port ELSE src_port END
  AND experiment_id = 'run_' || (cl.user_id % 12)"""
@@ -85,7 +85,7 @@ def direction_resolve(spark, sf_dir):
 
 # ---- registrations -------------------------------------------------------------
 
-CUSTOMER_SQL = """WITH cu AS (SELECT c_custkey, c_nationkey % 12 AS run_id, n_name || (c_custkey % 40) AS client_ip, c_custkey AS client_port, c_mktsegment AS client_id FROM customer JOIN nation ON c_nationkey = n_nationkey),
+CUSTOMER_SQL = """WITH cu AS (SELECT c_custkey, c_nationkey % 12 AS run_id, n_name || (c_custkey % 40) AS client_ip, c_custkey AS client_port, c_mktsegment AS client_id, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey),
 oc AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)"""
 
 
@@ -97,6 +97,7 @@ def _customers(spark, sf_dir):
         F.concat("n_name", (F.col("c_custkey") % 40).cast("string")).alias("client_ip"),
         F.col("c_custkey").alias("client_port"),
         F.col("c_mktsegment").alias("client_id"),
+        "c_acctbal",
     )
 
 
@@ -173,8 +174,8 @@ def retry_prune(spark, sf_dir):
 @query(
     CUSTOMER_SQL
     + """, ob AS (SELECT run_id, client_ip, client_port, n * CASE WHEN c_custkey % 5 = 0 THEN 1000000 ELSE 1 END AS n FROM cu JOIN oc ON o_custkey = c_custkey),
-cf AS (SELECT DISTINCT run_id, client_id, client_ip, client_port FROM cu WHERE c_custkey % 8 = 0),
-rg AS (SELECT run_id, client_id, client_ip, client_port FROM cu WHERE c_custkey % 4 IN (0, 1)),
+cf AS (SELECT DISTINCT run_id, client_id, client_ip, client_port FROM cu WHERE c_acctbal > 5000),
+rg AS (SELECT run_id, client_id, client_ip, client_port FROM cu WHERE c_acctbal > 0),
 lw AS (SELECT rg.*, coalesce(ob.n, 0) AS n FROM rg LEFT JOIN ob USING (run_id, client_ip, client_port) WHERE (run_id, client_id) NOT IN (SELECT (run_id, client_id) FROM cf)),
 lb AS (SELECT run_id, client_id, client_ip, client_port FROM (SELECT *, row_number() OVER (PARTITION BY run_id, client_id ORDER BY n DESC, client_ip DESC, client_port DESC) AS rn FROM lw) WHERE rn = 1),
 sd AS (SELECT *, 'network_registration_confirmed' AS base FROM cf UNION ALL SELECT *, 'legacy_longest_registered_connection' FROM lb),
@@ -195,8 +196,8 @@ def connection_resolution(spark, sf_dir):
         "run_id", "client_ip", "client_port", (F.col("n") * scale).alias("packet_count")
     )
     columns = ["run_id", "client_id", "client_ip", "client_port"]
-    confirmed = cu.where("c_custkey % 8 = 0").select(*columns)
-    registered = cu.where("c_custkey % 4 in (0, 1)").select(*columns)
+    confirmed = cu.where("c_acctbal > 5000").select(*columns)
+    registered = cu.where("c_acctbal > 0").select(*columns)
     return I.choose_connections(registered, confirmed, observed)
 
 
@@ -228,14 +229,17 @@ def manifest_backed(spark, sf_dir):
 
 
 @query(
-    """WITH f AS (SELECT c_custkey, c_custkey % 300 AS run_id, c_custkey % 10 AS alias FROM customer), m AS (SELECT DISTINCT run_id, alias FROM f WHERE c_custkey % 7 = 0)
+    """WITH f AS (SELECT c_custkey, c_custkey % 300 AS run_id, c_custkey % 10 AS alias FROM customer), m AS (SELECT DISTINCT o_custkey % 300 AS run_id, o_custkey % 10 AS alias FROM orders)
 SELECT c_custkey, run_id, alias FROM f WHERE (run_id, alias) IN (SELECT (run_id, alias) FROM m) OR run_id NOT IN (SELECT run_id FROM m)"""
 )
 def unmatched_exclusion(spark, sf_dir):
     features = table(spark, sf_dir, "customer").select(
         "c_custkey", (F.col("c_custkey") % 300).alias("run_id"), (F.col("c_custkey") % 10).alias("alias")
     )
-    mapping = features.where("c_custkey % 7 = 0")
+    # Customers with orders are mapped.
+    mapping = table(spark, sf_dir, "orders").select(
+        (F.col("o_custkey") % 300).alias("run_id"), (F.col("o_custkey") % 10).alias("alias")
+    ).distinct()
     return I.mapped_only(features, mapping, "run_id", "alias").select("c_custkey", "run_id", "alias")
 
 
@@ -258,13 +262,15 @@ def label_consensus(spark, sf_dir):
 
 
 @query(
-    """WITH r AS (SELECT c_custkey, c_custkey % 700 AS run_id FROM customer), p AS (SELECT c_custkey, c_custkey % 700 AS run_id, c_mktsegment AS family FROM customer WHERE c_custkey % 3 = 0),
+    """WITH r AS (SELECT c_custkey, c_custkey % 700 AS run_id FROM customer), p AS (SELECT c_custkey, c_custkey % 700 AS run_id, c_mktsegment AS family FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)),
 s AS (SELECT run_id, min(family) AS family FROM p GROUP BY 1 HAVING count(*) = 1)
 SELECT r.c_custkey, r.run_id, coalesce(p.family, s.family) AS family FROM r LEFT JOIN p USING (run_id, c_custkey) LEFT JOIN s USING (run_id)"""
 )
 def label_join(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 700).alias("run_id"))
-    labels = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(
+    # Customers with orders are labelled.
+    buyers = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    labels = table(spark, sf_dir, "customer").join(buyers, "c_custkey", "left_semi").select(
         "c_custkey", (F.col("c_custkey") % 700).alias("run_id"), F.col("c_mktsegment").alias("family")
     )
     return I.with_labels(rows, labels, "run_id", "c_custkey", ["family"]).select("c_custkey", "run_id", "family")
@@ -287,7 +293,7 @@ def run_metadata(spark, sf_dir):
 
 
 @query(
-    f"""WITH {PACKETS_SQL}, cl AS (SELECT DISTINCT 'run_' || (user_id % 12) AS experiment_id, '10.0.0.' || (user_id % 250) AS client_ip FROM events WHERE user_id % 3 = 0),
+    f"""WITH {PACKETS_SQL}, cl AS (SELECT DISTINCT 'run_' || (user_id % 12) AS experiment_id, '10.0.0.' || (user_id % 250) AS client_ip FROM events),
 f AS (SELECT pp.*, src_ip AS cip, 'up' AS d FROM pp WHERE direction <> 'down' UNION ALL SELECT pp.*, dst_ip, 'down' FROM pp WHERE direction = 'down')
 SELECT f.experiment_id, cip AS client_ip, count(*) AS packet_count_total, count(*) FILTER (WHERE d = 'up') AS packet_count_up, sum(frame_length)::BIGINT AS bytes_total, sum(tcp_syn)::BIGINT AS tcp_syn_count
 FROM f JOIN cl ON cl.experiment_id = f.experiment_id AND cl.client_ip = cip GROUP BY 1, 2"""
@@ -439,7 +445,7 @@ def manifest_scan(spark, sf_dir):
 
 @query(
     """WITH f AS (SELECT o_orderkey, 'run_' || (o_custkey % 900) AS run_id, (o_custkey % 5 = 0 AND o_orderkey % 2 = 0)::INT AS has FROM orders), b AS (SELECT run_id, max(has) AS best FROM f GROUP BY 1)
-SELECT o_orderkey, run_id FROM f JOIN b USING (run_id) WHERE has = best AND run_id <> 'run_7'"""
+SELECT o_orderkey, run_id FROM f JOIN b USING (run_id) WHERE has = best AND run_id IN (SELECT 'run_' || (c_custkey % 900) FROM customer)"""
 )
 def feature_precedence(spark, sf_dir):
     """Per-client feature files replace combined ones, run by run, for allowed runs."""
@@ -451,7 +457,9 @@ def feature_precedence(spark, sf_dir):
         F.when((F.col("o_custkey") % 5 == 0) & (F.col("o_orderkey") % 2 == 0), "c1").otherwise("").alias("client_capture_id"),
         F.lit("/x/features.csv").alias("path"),
     )
-    allowed = rows.select(F.col("experiment_id").alias("run_id")).distinct().where("run_id <> 'run_7'")
+    allowed = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("run_"), (F.col("c_custkey") % 900).cast("string")).alias("run_id")
+    ).distinct()
     return prefer_per_client(rows, allowed).select("o_orderkey", "run_id")
 
 

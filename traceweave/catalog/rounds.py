@@ -111,26 +111,33 @@ def round_diagnostics(spark, sf_dir):
 
 
 SEG_SQL = f"""WITH {PACKETS_SQL}, w AS (SELECT experiment_id, client_id, min(timestamp_epoch) AS t0, max(timestamp_epoch) AS t1 FROM pp GROUP BY 1, 2),
-sg AS (SELECT experiment_id, client_id, t0, i AS segment_index, t0 + i * 5 * {DAY} AS a, t0 + i * 5 * {DAY} + 3 * {DAY} AS z FROM w CROSS JOIN (SELECT unnest(range(0, 6)) AS i))"""
+ix AS (SELECT *, unnest(range(0, floor((t1 - t0) / (5 * {DAY}))::BIGINT + 1)) AS i FROM w),
+sg AS (SELECT experiment_id, client_id, t0, i AS segment_index, t0 + i * 5 * {DAY} AS a, t0 + i * 5 * {DAY} + 5 * {DAY} AS z FROM ix)"""
+#: The same starts as three-day intervals, for matching.
+MATCH_SQL = SEG_SQL.replace(f"+ 5 * {DAY} AS z", f"+ 3 * {DAY} AS z")
 
 
-def segments(spark, sf_dir):
-    """Six three-day segments per trace, with two-day pauses."""
+def segments(spark, sf_dir, days=5):
+    """Segments that start every five days from a trace's first packet to its last; of five days they leave no pause."""
     bounds = R.trace_bounds(packets(spark, sf_dir))
     start = F.col("trace_start") + F.col("segment_index") * F.lit(5 * DAY)
     return bounds.select(
-        *TRACE, "trace_start", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("segment_index")
-    ).select(*TRACE, "segment_index", start.alias("start_epoch"), (start + F.lit(3 * DAY)).alias("end_epoch"))
+        *TRACE,
+        "trace_start",
+        F.explode(
+            F.sequence(F.lit(0).cast("long"), F.floor((F.col("trace_end") - F.col("trace_start")) / F.lit(5 * DAY)))
+        ).alias("segment_index"),
+    ).select(*TRACE, "segment_index", start.alias("start_epoch"), (start + F.lit(days * DAY)).alias("end_epoch"))
 
 
 @query(
     SEG_SQL
-    + f""" SELECT p.experiment_id, p.client_id, segment_index::INT AS segment_index, count(*) AS packet_count, sum(frame_length)::BIGINT AS bytes_total, {r6("max(timestamp_epoch) - min(timestamp_epoch)")} AS span_sec
+    + f""" SELECT p.experiment_id, p.client_id, segment_index, count(*) AS packet_count, sum(frame_length)::BIGINT AS bytes_total, {r6("max(timestamp_epoch) - min(timestamp_epoch)")} AS span_sec
 FROM sg JOIN pp p ON p.experiment_id = sg.experiment_id AND p.client_id = sg.client_id AND p.timestamp_epoch BETWEEN a AND z GROUP BY 1, 2, 3"""
 )
 def range_join_segments(spark, sf_dir):
     p = packets(spark, sf_dir).select(*TRACE, "timestamp_epoch", "frame_length")
-    inside = interval_join(p, segments(spark, sf_dir), TRACE, "timestamp_epoch", "start_epoch", "end_epoch", 3 * DAY)
+    inside = interval_join(p, segments(spark, sf_dir), TRACE, "timestamp_epoch", "start_epoch", "end_epoch", 5 * DAY)
     t = F.col("timestamp_epoch")
     return rounded(
         inside.groupBy(*TRACE, "segment_index").agg(
@@ -168,11 +175,11 @@ def segment_features(spark, sf_dir):
 
 
 @query(
-    SEG_SQL
+    MATCH_SQL
     + f""", b AS (SELECT experiment_id, client_id, segment_index, a + {DAY} AS a, z + {DAY} * (1 + segment_index % 2) AS z FROM sg WHERE segment_index <> 3),
 pr AS (SELECT x.experiment_id, x.client_id, x.segment_index AS left_index, y.segment_index AS right_index, greatest(0, least(x.z, y.z) - greatest(x.a, y.a)) / (greatest(x.z, y.z) - least(x.a, y.a)) AS iou, abs(x.a - y.a) AS se, abs(x.z - y.z) AS ee
  FROM sg x JOIN b y USING (experiment_id, client_id))
-SELECT experiment_id, client_id, left_index::INT AS left_index, right_index::INT AS right_index, {r6("iou")} AS iou, {r6("se")} AS start_error_sec, {r6("ee")} AS end_error_sec FROM pr WHERE iou > 0"""
+SELECT experiment_id, client_id, left_index, right_index, {r6("iou")} AS iou, {r6("se")} AS start_error_sec, {r6("ee")} AS end_error_sec FROM pr WHERE iou > 0"""
 )
 def interval_iou(spark, sf_dir):
     """Overlapping pairs of inferred and (shifted, thinned) truth intervals."""
@@ -181,7 +188,7 @@ def interval_iou(spark, sf_dir):
 
 
 def _interval_sides(spark, sf_dir):
-    left = segments(spark, sf_dir).withColumnRenamed("segment_index", "index")
+    left = segments(spark, sf_dir, days=3).withColumnRenamed("segment_index", "index")
     right = left.where("index <> 3").withColumns(
         {
             "start_epoch": F.col("start_epoch") + DAY,
@@ -199,10 +206,11 @@ def greedy_matches(spark, sf_dir):
 
 
 @query(
-    SEG_SQL
-    + f""", m AS (SELECT experiment_id, client_id, segment_index AS i, CASE WHEN segment_index % 2 = 0 THEN 0.5 ELSE 0.4 END AS iou FROM sg WHERE segment_index <> 3)
-SELECT experiment_id, client_id, count(*) AS matched_rounds, 6::BIGINT AS inferred_rounds, 5::BIGINT AS truth_rounds, {r6("avg(iou)")} AS interval_iou_mean, {r6(f"{DAY}")} AS start_error_mean_sec,
- {r6(f"avg({DAY} * (1 + i % 2))")} AS end_error_mean_sec, {r6("count(*) / 6")} AS boundary_precision, {r6("count(*) / 5")} AS boundary_recall FROM m GROUP BY 1, 2"""
+    MATCH_SQL
+    + f""", m AS (SELECT experiment_id, client_id, segment_index AS i, CASE WHEN segment_index % 2 = 0 THEN 0.5 ELSE 0.4 END AS iou FROM sg WHERE segment_index <> 3),
+n AS (SELECT experiment_id, client_id, count(*) AS inferred, count(*) FILTER (WHERE segment_index <> 3) AS truth FROM sg GROUP BY 1, 2)
+SELECT experiment_id, client_id, count(*) AS matched_rounds, any_value(inferred) AS inferred_rounds, any_value(truth) AS truth_rounds, {r6("avg(iou)")} AS interval_iou_mean, {r6(f"{DAY}")} AS start_error_mean_sec,
+ {r6(f"avg({DAY} * (1 + i % 2))")} AS end_error_mean_sec, {r6("count(*) / any_value(inferred)")} AS boundary_precision, {r6("count(*) / any_value(truth)")} AS boundary_recall FROM m JOIN n USING (experiment_id, client_id) GROUP BY 1, 2"""
 )
 def boundary_scores(spark, sf_dir):
     """Scores of the greedy matches; here every truth interval matches its source."""

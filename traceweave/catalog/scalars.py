@@ -444,15 +444,32 @@ def window_scales(spark, sf_dir):
     return scales_present(df)
 
 
-@query()
+TOKEN_SQL = """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT doc_id, [2 + ('0x' || substr(md5(x), 1, 15))::BIGINT % 29998 FOR x IN w] AS ids, unnest(range(0, greatest(ceil(len(w) / 128.0)::BIGINT, 1))) AS piece FROM w),
+p AS (SELECT doc_id, piece, [coalesce(ids[piece * 128 + i], 0) FOR i IN range(1, 129)] AS tokens FROM t)"""
+
+
+def _token_pieces(spark, sf_dir):
+    """Whole documents as consecutive pieces of 128 token ids."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.posexplode(X.token_ids("text", 128, 30000)).alias("piece", "tokens"))
+
+
+@query(TOKEN_SQL + " SELECT doc_id, piece, array_to_string(tokens, ' ') AS tokens FROM p")
 def token_hashing(spark, sf_dir):
-    """Documents as fixed-length token ids; the whole text is split before the cut."""
-    ids = X.token_ids("text", 128, 30000)
-    return table(spark, sf_dir, "documents").select("doc_id", ids.alias("tokens"))
+    return _token_pieces(spark, sf_dir).select("doc_id", "piece", F.array_join("tokens", " ").alias("tokens"))
 
 
-@query()
+@query(
+    TOKEN_SQL
+    + """, d AS (SELECT doc_id, piece, tokens, [CASE WHEN tokens[i + 1] > 1 THEN ('0x' || substr(md5((doc_id * 1000003 + piece) || '|' || i || '|42'), 1, 15))::BIGINT % 1000000 / 1e6 END FOR i IN range(0, 128)] AS draws FROM p),
+c AS (SELECT *, [coalesce(draws[i] < 0.15 OR draws[i] = list_min(draws), false) FOR i IN range(1, 129)] AS chosen FROM d)
+SELECT doc_id, piece, array_to_string([CASE WHEN chosen[i] THEN 1 ELSE tokens[i] END FOR i IN range(1, 129)], ' ') AS inputs,
+ array_to_string([CASE WHEN chosen[i] THEN tokens[i] ELSE -100 END FOR i IN range(1, 129)], ' ') AS targets FROM c"""
+)
 def masked_tokens(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", X.token_ids("text", 128, 30000).alias("tokens"))
-    inputs, targets = X.masked_tokens(F.col("tokens"), F.col("doc_id"), 42)
-    return docs.select("doc_id", inputs.alias("inputs"), targets.alias("targets"))
+    key = F.col("doc_id") * 1000003 + F.col("piece")
+    inputs, targets = X.masked_tokens(F.col("tokens"), key, 42)
+    return _token_pieces(spark, sf_dir).select(
+        "doc_id", "piece", F.array_join(inputs, " ").alias("inputs"), F.array_join(targets, " ").alias("targets")
+    )

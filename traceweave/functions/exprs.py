@@ -324,13 +324,21 @@ def l2_norm(a: Column) -> Column:
     return F.sqrt(array_sum(F.transform(a, lambda x: x.cast("double") * x.cast("double"))))
 
 
+def draw(*parts: Column) -> Column:
+    """A 60-bit number from the md5 of the parts, which any engine can repeat."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
+
+
 def token_ids(value: Column | str, length: int, vocabulary: int) -> Column:
-    """Lower-cased words hashed into ``[2, vocabulary)``, cut or zero-padded to length."""
+    """Arrays of ``length`` ids: lower-cased words hashed into ``[2, vocabulary)``, the last array padded with 0.
+
+    Together they hold every word of the text; a text without words is one array of zeros.
+    """
     words = F.filter(F.split(F.lower(F.trim(F.coalesce(col(value), F.lit("")))), r"\s+"), lambda w: w != "")
-    ids = F.transform(
-        F.slice(words, 1, length), lambda w: F.lit(2) + F.pmod(F.xxhash64(w), F.lit(vocabulary - 2))
-    )
-    return F.slice(F.concat(ids, F.array_repeat(F.lit(0).cast("long"), length)), 1, length)
+    ids = F.transform(words, lambda w: F.lit(2) + draw(w) % F.lit(vocabulary - 2))
+    padded = F.concat(ids, F.array_repeat(F.lit(0).cast("long"), length))
+    last = F.greatest(F.ceil(F.size(words) / length).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(padded, i * length + 1, length))
 
 
 def masked_tokens(tokens: Column, row_key: Column, seed: int, probability: float = 0.15) -> tuple[Column, Column]:
@@ -341,7 +349,7 @@ def masked_tokens(tokens: Column, row_key: Column, seed: int, probability: float
     """
     draws = F.transform(
         tokens,
-        lambda v, i: F.when(v > 1, F.pmod(F.xxhash64(row_key, i, F.lit(seed)), F.lit(1_000_000)) / 1e6),
+        lambda v, i: F.when(v > 1, draw(row_key, i, F.lit(seed)) % F.lit(1_000_000) / 1e6),
     )
     least = F.array_min(draws)
     chosen = F.transform(draws, lambda d: F.coalesce((d < probability) | (d == least), F.lit(False)))
