@@ -44,6 +44,31 @@ def test_order_operators(spark, skewed, limit):
         np.testing.assert_allclose(got[c].astype(float), want[c].astype(float), err_msg=c)
 
 
+@pytest.mark.parametrize("limit", [40, 6])
+def test_odd_order_keys_do_not_change_place(spark, limit):
+    rng = np.random.default_rng(3)
+    odd = [None, float("nan"), float("inf"), float("-inf"), 5.0]
+    rows = [
+        (
+            None if rng.random() < 0.4 else str(rng.choice(["hot", "a"])),
+            odd[rng.integers(0, 5)] if rng.random() < 0.6 else float(rng.integers(0, 30)),
+            None if rng.random() < 0.2 else int(rng.integers(0, 40)),
+            i,
+        )
+        for i in range(400)
+    ]
+    df = spark.createDataFrame(rows, "key string, t double, j int, i int")
+
+    def made(limit):
+        found = sequence(df, ["key"], ["t", "j", "i"], limit)
+        found = found.previous({"p": F.col("i")}).running_sum({"s": F.col("i")}).numbered("n")
+        return found.sliced, {r["i"]: (r["p"], r["s"], r["n"]) for r in found.rows().collect()}
+
+    whole, cut = made(10**6), made(limit)
+    assert (whole[0], cut[0]) == (False, True)
+    assert cut[1] == whole[1]
+
+
 @pytest.mark.parametrize("limit", [10**6, 9])
 def test_exact_quantiles(spark, skewed, limit):
     probs = [0.0, 0.25, 0.5, 0.9, 1.0]

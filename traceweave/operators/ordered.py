@@ -22,7 +22,10 @@ from pyspark.sql import functions as F
 
 SLICE = "_slice"
 FAN_OUT = 1024
-MAX_LEVELS = 5
+#: Slices of one cut that are not ranges of finite values: null, -inf, inf and NaN, in the order of a sort.
+APART = 4
+#: Six levels of 1,024 slices fill the slice number's 60 bits.
+MAX_LEVELS = 6
 DEFAULT_LIMIT = 1_000_000
 SALTS = 32
 
@@ -34,6 +37,15 @@ def null_safe(left: Column, right: Column, names: Sequence[str]) -> Column:
     return condition
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "left") -> DataFrame:
+    """Equi join on ``names`` in which null meets null; the right side's key columns are dropped."""
+    renamed = right.withColumnsRenamed({n: f"_right_{n}" for n in names})
+    condition = F.lit(True)
+    for n in names:
+        condition = condition & F.col(n).eqNullSafe(F.col(f"_right_{n}"))
+    return left.join(renamed, condition, how).drop(*[f"_right_{n}" for n in names])
+
+
 @dataclass(frozen=True)
 class Sequenced:
     """Rows with a total order inside each key; ``sliced`` if any key was cut."""
@@ -82,7 +94,7 @@ class Sequenced:
             {n: F.last(columns[n], ignorenulls=True).over(before) for n in names}
         )
         return self._with(
-            local.join(carry, self.parts, "left")
+            null_safe_join(local, carry, self.parts)
             .withColumns({n: F.coalesce(n, f"_carry_{n}") for n in names})
             .drop(*[f"_carry_{n}" for n in names])
         )
@@ -105,7 +117,7 @@ class Sequenced:
             *[F.sum(f"_total_{n}").over(earlier).alias(f"_total_{n}") for n in names],
         )
         return self._with(
-            local.join(offset, self.parts, "left")
+            null_safe_join(local, offset, self.parts)
             .withColumns(
                 {
                     n: F.when(
@@ -146,6 +158,8 @@ def sequence(
 
     Slices follow the first order column; cells whose first column is constant
     are cut along the next one, so equal timestamps do not defeat the split.
+    Nulls and values that are not finite get slices of their own, where a sort
+    puts them: null, -inf, finite values, inf, NaN. Null keys are keys.
     """
     keys, order = tuple(keys), tuple(order)
     current = df
@@ -154,24 +168,30 @@ def sequence(
         parts = [*keys, SLICE] if sliced else list(keys)
         bounds = []
         for i, name in enumerate(order):
-            bounds += [F.min(name).cast("double").alias(f"_lo{i}"), F.max(name).cast("double").alias(f"_hi{i}")]
+            kind, value = _kind(name), F.col(name).cast("double")
+            finite = F.when(kind == 2, value)
+            bounds += [F.min(finite).alias(f"_lo{i}"), F.max(finite).alias(f"_hi{i}")]
+            bounds.append((F.min(kind) != F.max(kind)).alias(f"_mixed{i}"))
         cells = (
             current.groupBy(*parts)
             .agg(F.count(F.lit(1)).alias("_n"), *bounds)
             .where((F.col("_n") > limit) & _splittable(len(order)))
-            .withColumn("_ways", F.least(F.lit(FAN_OUT), F.ceil(2 * F.col("_n") / limit)).cast("long"))
+            .withColumn("_ways", F.least(F.lit(FAN_OUT - APART), F.ceil(2 * F.col("_n") / limit)).cast("long"))
         )
         if cells.isEmpty():
             break
         inside = F.lit(0).cast("long")
         for i in reversed(range(len(order))):
+            kind = _kind(order[i])
             span = F.col(f"_hi{i}") - F.col(f"_lo{i}")
             cut = F.floor((F.col(order[i]).cast("double") - F.col(f"_lo{i}")) / span * F.col("_ways"))
-            inside = F.when(span > 0, F.least(cut, F.col("_ways") - 1)).otherwise(inside)
+            finite = F.lit(2) + F.when(span > 0, F.least(cut, F.col("_ways") - 1)).otherwise(F.lit(0))
+            place = F.when(kind < 2, kind).when(kind > 2, F.col("_ways") + kind - 1).otherwise(finite)
+            inside = F.when(_varies(i), place).otherwise(inside)
         base = F.col(SLICE) * FAN_OUT if sliced else F.lit(0).cast("long")
-        helper = ["_n", "_ways", *[f"_{b}{i}" for i in range(len(order)) for b in ("lo", "hi")]]
+        helper = ["_n", "_ways", *[f"_{b}{i}" for i in range(len(order)) for b in ("lo", "hi", "mixed")]]
         current = (
-            current.join(F.broadcast(cells), parts, "left")
+            null_safe_join(current, F.broadcast(cells), parts)
             .withColumn(SLICE, base + F.coalesce(inside, F.lit(0)))
             .drop(*helper)
         )
@@ -179,10 +199,26 @@ def sequence(
     return Sequenced(current, keys, order, sliced)
 
 
+def _kind(name: str) -> Column:
+    """0 null, 1 -inf, 2 finite, 3 inf, 4 NaN: the order in which a sort puts them."""
+    value = F.col(name).cast("double")
+    return (
+        F.when(value.isNull(), 0)
+        .when(F.isnan(value), 4)
+        .when(value == float("inf"), 3)
+        .when(value == float("-inf"), 1)
+        .otherwise(2)
+    ).cast("long")
+
+
+def _varies(i: int) -> Column:
+    return F.col(f"_mixed{i}") | F.coalesce(F.col(f"_hi{i}") > F.col(f"_lo{i}"), F.lit(False))
+
+
 def _splittable(width: int) -> Column:
     condition = F.lit(False)
     for i in range(width):
-        condition = condition | (F.col(f"_hi{i}") > F.col(f"_lo{i}"))
+        condition = condition | _varies(i)
     return condition
 
 
@@ -203,7 +239,7 @@ def salted_attach(
     copies = stats.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
     )
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return null_safe_join(salted, copies, [*keys, "_salt"], how).drop("_salt")
 
 
 def exact_quantiles(
