@@ -282,7 +282,7 @@ def value_quantiles(spark, sf_dir):
     return rounded(exact_quantiles(rows, ["l_returnflag"], "l_extendedprice", list(QS.values()), list(QS)))
 
 
-BLOCKS = (5, 10, 25, 50)
+BLOCKS = (5, 10, 25, 50, 100, 250, 500)
 
 
 def blocks_sql(budgets) -> str:
@@ -386,19 +386,19 @@ def capture_quality(spark, sf_dir):
 
 
 @query(
-    f"""WITH {PACKETS_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY experiment_id, client_id, frame_length // 100, direction, transport_protocol, k % 4 ORDER BY timestamp_epoch, packet_index) AS rn FROM pp)
+    f"""WITH {PACKETS_SQL}, twice AS (SELECT * FROM pp UNION ALL SELECT * REPLACE (packet_index + 1000000000 AS packet_index, timestamp_epoch + 2e-7 AS timestamp_epoch) FROM pp WHERE direction = 'up'),
+b AS (SELECT *, row_number() OVER (PARTITION BY experiment_id, client_id, floor(timestamp_epoch * 1e6 + 0.5), frame_length, src_ip, dst_ip, src_port, dst_port, transport_protocol, tcp_flags_hex ORDER BY timestamp_epoch, packet_index) AS rn FROM twice)
 SELECT experiment_id, client_id, count(*) AS kept, sum(packet_index)::BIGINT AS index_sum FROM b WHERE rn = 1 GROUP BY 1, 2"""
 )
 def dedupe_packets(spark, sf_dir):
-    """First packet of each key, found with an aggregate that merges map side."""
-    from traceweave.operators.isolate import dedupe_first
+    """Packets of two captures, the second of which saw the uplink again a fraction of a microsecond later."""
+    from traceweave.operators.isolate import dedupe_packets as dedupe
 
-    df = parsed_packets(spark, sf_dir).withColumns(
-        {"size_class": F.floor(F.col("frame_length") / 100), "k4": F.col("k") % 4}
+    first = parsed_packets(spark, sf_dir)
+    second = first.where("direction = 'up'").withColumns(
+        {"packet_index": F.col("packet_index") + 1000000000, "timestamp_epoch": F.col("timestamp_epoch") + 2e-7}
     )
-    key = ["experiment_id", "client_id", "size_class", "direction", "transport_protocol", "k4"]
-    kept = dedupe_first(df, key, ["timestamp_epoch", "packet_index"], ["packet_index"])
-    return kept.groupBy("experiment_id", "client_id").agg(
+    return dedupe(first.unionByName(second)).groupBy("experiment_id", "client_id").agg(
         F.count(F.lit(1)).alias("kept"), F.sum("packet_index").alias("index_sum")
     )
 
@@ -446,7 +446,7 @@ def safe_projection(spark, sf_dir):
 
 @query(
     f"""WITH {PACKETS_SQL}, c AS (SELECT *, experiment_id || '_' || (k % 3) AS chunk, row_number() OVER (PARTITION BY experiment_id, client_id, k % 3 ORDER BY timestamp_epoch, packet_index) AS rn FROM pp)
-SELECT experiment_id, client_id, packet_index, (k % 3) * 1000000000::BIGINT + (user_id % 3) * 10000000::BIGINT + rn AS global_index FROM c"""
+SELECT experiment_id, client_id, packet_index, row_number() OVER (PARTITION BY experiment_id, client_id ORDER BY k % 3, user_id % 3, rn) AS global_index FROM c"""
 )
 def chunk_packet_index(spark, sf_dir):
     from traceweave.operators.isolate import chunk_global_index

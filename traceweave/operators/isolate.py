@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceweave.functions import exprs as X
 from traceweave.operators.features import ORDER, TRACE
-from traceweave.operators.ordered import DEFAULT_LIMIT, sequence
+from traceweave.operators.ordered import DEFAULT_LIMIT, null_safe_join, sequence
 
 # ---- fixed values -------------------------------------------------------
 SAFE_COLUMNS = (
@@ -147,8 +147,8 @@ def dedupe_first(df: DataFrame, key: Sequence[str], order: Sequence[str], keep:
 
 
 def dedupe_packets(packets: DataFrame) -> DataFrame:
-    """Drop packets seen twice (overlapping captures): 8 identity columns, time to 1 µs."""
-    key = ["_us", "frame_length", "src_ip", "dst_ip", "src_port", "dst_port", "transport_protocol", "tcp_flags_hex"]
+    """Drop packets of a trace seen twice (overlapping captures): 8 identity columns, time to 1 µs."""
+    key = [*TRACE, "_us", "frame_length", "src_ip", "dst_ip", "src_port", "dst_port", "transport_protocol", "tcp_flags_hex"]
     rest = [c for c in packets.columns if c not in key]
     timed = packets.withColumn("_us", F.floor(F.col("timestamp_epoch") * 1e6 + 0.5))
     return dedupe_first(timed, key, list(ORDER), rest).drop("_us").select(*packets.columns)
@@ -178,13 +178,16 @@ def with_global_time(features: DataFrame, offsets: DataFrame) -> DataFrame:
 
 
 def chunk_global_index(packets: DataFrame, keys: Sequence[str], limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """Packet number unique over capture chunks and connections of a client."""
+    """Packet number over capture chunks and connections of a client, from 1 and without gaps."""
     parts = [*keys, "chunk_number", "connection_number"]
     rows = sequence(packets, parts, ORDER, limit).numbered("_local").rows()
-    return rows.withColumn(
-        "global_index",
-        F.col("chunk_number") * 1_000_000_000 + F.col("connection_number") * 10_000_000 + F.col("_local"),
-    ).drop("_local")
+    # Where each (chunk, connection) starts: one row per part, summed up in a client's chunk order.
+    before = Window.partitionBy(*keys).orderBy("chunk_number", "connection_number")
+    before = before.rowsBetween(Window.unboundedPreceding, -1)
+    starts = packets.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n"))
+    starts = starts.select(*parts, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    numbered = null_safe_join(rows, starts, parts)
+    return numbered.withColumn("global_index", F.col("_start") + F.col("_local")).drop("_start", "_local")
 
 
 def stitch(packets: DataFrame, client: Sequence[str], connection: str, minimum: int = STITCH_MINIMUM_PACKETS) -> DataFrame:

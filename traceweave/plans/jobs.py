@@ -87,11 +87,11 @@ def round_dataset(
 def packet_budget_dataset(
     packets: DataFrame,
     budgets: Sequence[int] = features.PACKET_BUDGETS,
-    cap: int = 5000,
+    cap: int = 0,
     seed: int = 42,
     limit: int = DEFAULT_LIMIT,
 ) -> dict[str, DataFrame]:
-    """Sampled K=1 rows and exact-K blocks, at most ``cap`` units per trace and K."""
+    """K=1 rows and exact-K blocks; a ``cap`` above 0 samples at most so many units per trace and K."""
     trace = features.number_packets(packets, limit=limit)
     size = F.col("trace_packets")
     out = {}

@@ -7,6 +7,7 @@ and the projections that turn text into typed packet rows.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -104,7 +105,7 @@ def raw_packets(rows: DataFrame) -> DataFrame:
 
 
 def read_raw_packets(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    return raw_packets(spark.read.option("header", "true").csv(path))
+    return raw_packets(read_by_header(spark, path).drop("path"))
 
 
 def is_safe_sequence(columns: Sequence[str]) -> bool:
@@ -220,16 +221,43 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     return manifest_entries(files.withColumn("path", F.col("_metadata.file_path")))
 
 
+def read_by_header(spark: SparkSession, root: str | Sequence[str], patterns: Sequence[str] = ("*",)) -> DataFrame:
+    """CSV files below ``root`` as text columns plus ``path``, each file under its own header.
+
+    Files are grouped by their first line and united by column name, so files with other columns or another column
+    order do not mix. A file that several patterns match is read once. Without files the result has no columns.
+    """
+    lines = None
+    for pattern in patterns:
+        found = (
+            spark.read.option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", pattern)
+            .text(root)
+            .select(
+                F.col("_metadata.file_path").alias("path"),
+                F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"),
+                "value",
+            )
+        )
+        lines = found if lines is None else lines.unionByName(found)
+    firsts = lines.groupBy("path").agg(F.min_by("value", "place").alias("header"))
+    headers: dict[str, list[str]] = {}
+    for row in firsts.collect():  # one short row per file; Spark's own file listing is as long
+        headers.setdefault(row["header"], []).append(unquote(row["path"]))
+    table = spark.createDataFrame([], T.StructType([]))
+    for i, header in enumerate(sorted(headers)):
+        part = spark.read.option("header", "true").csv(sorted(headers[header]))
+        part = part.withColumn("path", F.col("_metadata.file_path"))
+        table = part if i == 0 else table.unionByName(part, allowMissingColumns=True)
+    return table
+
+
 def discover_features(spark: SparkSession, root: str, allowed_runs: DataFrame | None = None) -> DataFrame:
     """Feature CSV rows below ``root``; per-client files win over combined ones per run."""
-    rows = (
-        spark.read.option("header", "true")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*_features.csv")
-        .csv(root)
-        .withColumn("path", F.col("_metadata.file_path"))
-    )
-    rows = rows.where(~F.col("path").contains("_X_proxy") & ~F.col("path").contains("live"))
+    rows = read_by_header(spark, root, ("*_features.csv",))
+    # Only the file's own name tells; folders may be called anything.
+    name = F.element_at(F.split("path", "/"), -1)
+    rows = rows.where(~name.contains("_X_proxy") & ~name.endswith("_live_features.csv"))
     return prefer_per_client(rows, allowed_runs)
 
 
@@ -250,26 +278,9 @@ def prefer_per_client(rows: DataFrame, allowed_runs: DataFrame | None = None) ->
 
 def read_endpoint_tables(spark: SparkSession, root: str) -> DataFrame:
     """Endpoint metric rows as text with run, role and client from columns or path."""
-    parts = []
-    for pattern in ENDPOINT_PATTERNS:
-        try:
-            part = (
-                spark.read.option("header", "true")
-                .option("recursiveFileLookup", "true")
-                .option("pathGlobFilter", pattern)
-                .csv(root)
-            )
-        except Exception as error:  # no file of this kind below root
-            if "UNABLE_TO_INFER_SCHEMA" not in str(error) and "PATH_NOT_FOUND" not in str(error):
-                raise
-            continue
-        if part.columns:
-            parts.append(part.withColumn("path", F.col("_metadata.file_path")))
-    if not parts:
+    table = read_by_header(spark, root, ENDPOINT_PATTERNS)
+    if not table.columns:
         raise ValueError(f"no endpoint tables below {root}")
-    table = parts[0]
-    for part in parts[1:]:
-        table = table.unionByName(part, allowMissingColumns=True)
     return endpoint_identity(table)
 
 
