@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import PACKET_SCHEMA, packet_rows
 from traceweave.catalog import tables as T
@@ -53,10 +54,14 @@ def test_empty_windows_are_emitted(spark):
     assert sparse.where("row_type = 'window'").count() == 2
 
 
-def test_too_many_windows_fail(spark):
-    rows = packet_rows([(0.0, 10, "up", (), 0, 0), (100.0, 10, "down", (), 0, 0)])
-    with pytest.raises(Exception, match="dense"):
-        FE.feature_rows(spark.createDataFrame(rows, PACKET_SCHEMA), [1.0], max_windows=10).collect()
+def test_long_pauses_have_all_their_windows(spark):
+    rows = packet_rows([(0.0, 10, "up", (), 0, 0), (25000.5, 10, "down", (), 0, 0), (25003.5, 10, "up", (), 0, 0)])
+    got = FE.feature_rows(spark.createDataFrame(rows, PACKET_SCHEMA), [1.0, 5.0]).where("row_type = 'window'")
+    got = got.groupBy("window_size_sec").agg(
+        F.count("*").alias("n"), F.countDistinct("window_index").alias("d"), F.max("window_index").alias("last"),
+        F.sum("packet_count_total").alias("packets"),
+    )
+    assert sorted(map(tuple, got.collect())) == [(1.0, 25004, 25004, 25003, 3), (5.0, 5001, 5001, 5000, 3)]
 
 
 def test_blocks_are_exact(spark):

@@ -28,7 +28,8 @@ ORDER = ("timestamp_epoch", "packet_index")
 WINDOW_SCALES = (0.5, 1.0, 2.0, 5.0)
 PACKET_BUDGETS = (1, 5, 10, 25, 50, 100, 250, 500)
 QUANTILES = {"median": 0.5, "q25": 0.25, "q75": 0.75, "p90": 0.90, "p95": 0.95}
-MAX_DENSE_WINDOWS = 2_000_000
+#: Empty windows that one generated row stands for before it is spread out.
+GAP_WINDOWS = 10_000
 GROUP = ("window_size_sec", "window_index")
 
 
@@ -130,11 +131,12 @@ def _measures() -> dict[str, Column]:
     }
 
 
-def windowed_rows(trace: Sequenced, scales: Sequence[float], dense: bool, max_windows: int) -> DataFrame:
+def windowed_rows(trace: Sequenced, scales: Sequence[float], dense: bool) -> DataFrame:
     """One row per packet and grouping (whole trace plus every scale).
 
-    With ``dense`` the first packet of a trace also emits one empty marker per
-    window, so windows without packets appear without a join.
+    With ``dense`` each packet also emits one empty marker per window between its
+    predecessor's window and its own, so windows without packets appear without
+    a join and without a list of all windows of a trace.
     """
     df = trace.df.withColumn("conn", connection_of(trace.df))
     measures = _measures()
@@ -144,6 +146,7 @@ def windowed_rows(trace: Sequenced, scales: Sequence[float], dense: bool, max_wi
         return F.struct(
             scale.cast("double").alias("scale"),
             index.cast("long").alias("index"),
+            index.cast("long").alias("last"),
             F.coalesce(same, F.lit(False)).alias("same"),
             F.coalesce(same_known, F.lit(False)).alias("same_known"),
             F.lit(True).alias("packet"),
@@ -163,9 +166,8 @@ def windowed_rows(trace: Sequenced, scales: Sequence[float], dense: bool, max_wi
         ],
     )
     if dense and scales:
-        duration = F.greatest(F.col("trace_end") - F.col("trace_start"), F.lit(0.0))
-        markers = F.concat(*[_markers(duration, s, max_windows) for s in scales])
-        entries = F.when(prev.isNull(), F.concat(entries, markers)).otherwise(entries)
+        gaps = F.concat(*[_gaps(window_index(prev, F.lit(float(s))), window_index(t, F.lit(float(s))), s) for s in scales])
+        entries = F.when(prev.isNull(), entries).otherwise(F.concat(entries, gaps))
     exploded = df.select(
         *trace.keys,
         "trace_start",
@@ -175,10 +177,14 @@ def windowed_rows(trace: Sequenced, scales: Sequence[float], dense: bool, max_wi
         *[c.alias(n) for n, c in measures.items()],
         F.explode(entries).alias("g"),
     )
+    index = F.col("g.index")
+    if dense and scales:
+        exploded = exploded.select("*", F.explode(F.sequence("g.index", "g.last")).alias("_index"))
+        index = F.col("_index")
     return exploded.select(
         *trace.keys,
         F.col("g.scale").alias("window_size_sec"),
-        F.col("g.index").alias("window_index"),
+        index.alias("window_index"),
         "trace_start",
         "trace_end",
         *[F.when(F.col("g.packet"), F.col(n)).alias(n) for n in measures],
@@ -190,23 +196,34 @@ def windowed_rows(trace: Sequenced, scales: Sequence[float], dense: bool, max_wi
     )
 
 
-def _markers(duration: Column, scale: float, max_windows: int) -> Column:
-    count = _bounded(window_count(duration, scale), max_windows)
-    return F.transform(
-        F.sequence(F.lit(0).cast("long"), count - 1),
+def _gaps(before: Column, own: Column, scale: float) -> Column:
+    """The windows strictly between two packets' windows, as runs of at most GAP_WINDOWS."""
+    low, high = before + 1, own - 1
+    runs = F.transform(
+        F.sequence(low, F.greatest(low, high), F.lit(GAP_WINDOWS).cast("long")),
         lambda i: F.struct(
             F.lit(float(scale)).alias("scale"),
             i.alias("index"),
+            F.least(i + GAP_WINDOWS - 1, high).alias("last"),
             F.lit(False).alias("same"),
             F.lit(False).alias("same_known"),
             F.lit(False).alias("packet"),
         ),
     )
+    return F.when(low <= high, runs).otherwise(F.slice(_no_runs(scale), 1, 0))
 
 
-def _bounded(count: Column, most: int) -> Column:
-    return F.when(count <= most, count).otherwise(
-        F.raise_error(F.lit(f"more than {most} windows in one trace: use dense=False")).cast("long")
+def _no_runs(scale: float) -> Column:
+    zero_ = F.lit(0).cast("long")
+    return F.array(
+        F.struct(
+            F.lit(float(scale)).alias("scale"),
+            zero_.alias("index"),
+            zero_.alias("last"),
+            F.lit(False).alias("same"),
+            F.lit(False).alias("same_known"),
+            F.lit(False).alias("packet"),
+        )
     )
 
 
@@ -532,7 +549,6 @@ def feature_rows(
     keys: Sequence[str] = TRACE,
     dense: bool = True,
     limit: int = DEFAULT_LIMIT,
-    max_windows: int = MAX_DENSE_WINDOWS,
 ) -> DataFrame:
     """One whole-trace row plus one row per window and scale, 92 predictors each."""
     if burst_gap_sec < 0 or idle_threshold_sec < 0:
@@ -542,7 +558,7 @@ def feature_rows(
         raise ValueError("window scales must be positive")
     trace = sequence_packets(packets, burst_gap_sec, keys, limit)
     return windowed_features(
-        trace, scales, burst_gap_sec, idle_threshold_sec, packet_information_threshold, dense, limit, max_windows
+        trace, scales, burst_gap_sec, idle_threshold_sec, packet_information_threshold, dense, limit
     )
 
 
@@ -554,11 +570,10 @@ def windowed_features(
     packet_information_threshold: int,
     dense: bool = True,
     limit: int = DEFAULT_LIMIT,
-    max_windows: int = MAX_DENSE_WINDOWS,
 ) -> DataFrame:
     keys = list(trace.keys)
     trace = read_often(trace)
-    rows = windowed_rows(trace, scales, dense, max_windows)
+    rows = windowed_rows(trace, scales, dense)
     group = [*keys, *GROUP]
     bounds = [F.max("trace_start").alias("_t0"), F.max("trace_end").alias("_t1")]
     table = _assemble(rows, group, idle_threshold_sec, trace.sliced, limit, bounds)
