@@ -61,3 +61,18 @@ def test_student_grid(table, spark):
     )
     best = ML.select_student(df, ["signal"], "teacher", "hard", ["fam_0", "fam_1"], "experiment_id", [(0.5, 2.0), (1.0, 1.0)], folds=2)
     assert best in [(0.5, 2.0), (1.0, 1.0)]
+
+
+def test_vantage_modes_have_a_status_each(table):
+    roles = table.withColumn("source_role", F.when(F.col("id") % 2 == 0, "proxy").otherwise("client"))
+    found = ML.cross_vantage_evaluation(roles, ["signal"], "family", "experiment_id", F.col("id"), ML.VANTAGE_MODES, CFG)
+    rows = found.collect()
+    status = {r["mode"]: r["status"] for r in rows}
+    assert status == {
+        "client_to_proxy": "evaluated",
+        "server_to_proxy": "missing_vantage",
+        "both_to_proxy": "missing_vantage",
+        "proxy_to_proxy": "evaluated",
+    }
+    assert all(r["y_true"] == r["y_pred"] for r in rows if r["status"] == "evaluated")
+    assert sum(r["mode"] == "client_to_proxy" for r in rows) == 60

@@ -141,3 +141,50 @@ def test_file_sources(spark, tmp_path):
     assert (chunks["pcap_chunks"], chunks["total_capture_bytes"]) == (1, 3)
     bundle = scan.read_bundle(spark, str(tmp_path), [".pcap", ".json"])
     assert bundle.count() == 2  # Spark's file sources pass over empty files
+
+
+def test_pairing_fails_on_other_keys(spark):
+    from traceweave.operators import dataset as D
+
+    x = spark.createDataFrame([(1, 2.0), (2, 3.0)], "row_id long, a double")
+    y = spark.createDataFrame([(1, "p"), (2, "q")], "row_id long, family string")
+    assert sorted(map(tuple, D.paired_rows(x, y).collect())) == [(1, 2.0, "p"), (2, 3.0, "q")]
+    for other in (y.where("row_id = 1"), y.union(y), y.union(spark.createDataFrame([(3, "r")], y.schema))):
+        with pytest.raises(Exception, match="partner"):
+            D.paired_rows(x, other).collect()
+
+
+def test_matrix_takes_finite_predictors_only(spark):
+    from traceweave.operators import dataset as D
+
+    x = spark.createDataFrame(
+        [(1, "7", 1.0, "2", float("nan"), "x", 1.0, 3.0), (2, "8", 2.0, None, 1.0, "3", 1.0, 4.0)],
+        "row_id long, before string, packet_count_total double, b string, c double, d string, Device_load double, client_partition double",
+    )
+    assert D.student_predictors(x) == ["packet_count_total", "b"]
+    y = spark.createDataFrame([(1, "p"), (2, "q")], "row_id long, family string")
+    rows = D.labelled_matrix(x, y, ["packet_count_total"], "family").collect()
+    assert sorted(map(tuple, rows)) == [(1, [1.0], "p"), (2, [2.0], "q")]
+    for names, match in ((["c"], "finite"), (["d"], "finite")):
+        with pytest.raises(Exception, match=match):
+            D.labelled_matrix(x, y, names, "family").collect()
+    with pytest.raises(D.PolicyError):
+        D.labelled_matrix(x, y, ["missing"], "family")
+
+
+def test_slot_index_is_checked(spark):
+    from traceweave.operators import sampling as S
+
+    parts = S.iid_partitions(spark.range(20).withColumn("label", F.col("id") % 2), "id", 4, 1)
+    assert S.slot_assignment(parts, 3, 4, "id", "label").first()["row_count"] == 5
+    for index, clients in ((4, 4), (-1, 4), (0, 0)):
+        with pytest.raises(ValueError):
+            S.slot_assignment(parts, index, clients, "id", "label")
+
+
+def test_spread_over_folds(spark):
+    from traceweave.operators import audit as A
+
+    folds = spark.createDataFrame([("m", 0, 1.0, "x"), ("m", 1, 3.0, "x"), ("m", 2, None, "y")], "k string, fold int, v double, best string")
+    assert [tuple(r) for r in A.metric_spread(folds, ["k"], ["v"]).collect()] == [("m", "v", 2, 2.0, 1.0)]
+    assert sorted(map(tuple, A.parameter_counts(folds, ["k"], "best").collect())) == [("m", "x", 2), ("m", "y", 1)]

@@ -604,3 +604,56 @@ def fold_stats(spark, sf_dir):
     df = table(spark, sf_dir, "embeddings").select("vec_id", "label", ((F.col("vec_id") % 20) * 100 + F.col("label")).alias("e"))
     assigned = df.join(experiment_folds(df, "label", "e", 5).drop("label"), "e")
     return A.fold_statistics(assigned, "fold", "label", "e")
+
+
+@query("SELECT doc_id AS row_id, n_chars, lang FROM documents")
+def paired_rows(spark, sf_dir):
+    """Two tables of the same rows, paired by id; a row without partner would fail the query."""
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "row_id")
+    return D.paired_rows(docs.select("row_id", "n_chars"), docs.select("row_id", "lang"))
+
+
+@query(
+    """SELECT doc_id AS row_id, n_chars::DOUBLE AS f0, octet_length(encode(text))::DOUBLE AS f1, lang AS family FROM documents"""
+)
+def labelled_matrix(spark, sf_dir):
+    """Finite predictors from packet_count_total onward as a matrix with labels, by row id."""
+    docs = table(spark, sf_dir, "documents")
+    x = docs.select(
+        F.col("doc_id").alias("row_id"),
+        F.length("text").alias("before"),
+        F.col("n_chars").alias("packet_count_total"),
+        F.octet_length("text").cast("string").alias("bytes_total"),
+        F.col("source").alias("mode"),
+        F.col("n_chars").alias("device_load"),
+    )
+    names = D.student_predictors(x)
+    made = D.labelled_matrix(x, docs.select(F.col("doc_id").alias("row_id"), F.col("lang").alias("family")), names, "family")
+    return made.select("row_id", *[F.col("features")[i].alias(f"f{i}") for i in range(len(names))], "family")
+
+
+@query(
+    IID_SQL
+    + """, d AS (SELECT client_index, quality, ('0x' || substr(md5('a|' || doc_id), 1, 15))::BIGINT % 1000000007 AS a, ('0x' || substr(md5('b|' || doc_id), 1, 15))::BIGINT % 1000000009 AS b FROM n WHERE client_index = 3),
+c AS (SELECT client_index, quality, count(*) AS n, sum(a) AS a, sum(b) AS b FROM d GROUP BY 1, 2)
+SELECT client_index, sum(n)::BIGINT AS row_count, string_agg(lpad(quality || '', 6, '0') || ':' || n, ',' ORDER BY quality) AS class_histogram, sha256(client_index || '|' || sum(n) || '|' || sum(a) || '|' || sum(b)) AS assignment_id FROM c GROUP BY 1"""
+)
+def slot_assignment(spark, sf_dir):
+    """The share of one client slot out of seven."""
+    return S.slot_assignment(_iid(spark, sf_dir), 3, 7, "doc_id", "quality")
+
+
+FOLD_SQL = """WITH v AS (SELECT vec_id, label, (vec_id % 20) * 100 + label AS e FROM embeddings), d AS (SELECT DISTINCT label, e FROM v),
+h AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY ('0x' || substr(md5('42|' || e), 1, 15))::BIGINT) AS rn, ('0x' || substr(md5('42|' || label), 1, 15))::BIGINT AS o FROM d),
+f AS (SELECT v.*, ((rn - 1 + o) % 5)::INT AS fold FROM v JOIN h USING (label, e)),
+s AS (SELECT fold, count(DISTINCT label) AS classes, count(*) AS rows, count(DISTINCT e) AS experiments FROM f GROUP BY 1)"""
+
+
+@query(
+    FOLD_SQL
+    + ", u AS (UNPIVOT s ON classes, rows, experiments INTO NAME metric VALUE v)"
+    + f" SELECT metric, count(v) AS folds, {r6('avg(v)')} AS mean, {r6('stddev_pop(v)')} AS std FROM u GROUP BY 1"
+)
+def fold_spread(spark, sf_dir):
+    """Mean and deviation over folds of their sizes."""
+    return rounded(A.metric_spread(fold_stats(spark, sf_dir), [], ["classes", "rows", "experiments"]))

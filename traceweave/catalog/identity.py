@@ -518,3 +518,27 @@ def bundle_identity(spark, sf_dir):
     )
     inventory = bundle_inventory(pages).join(pages.select("bundle", "path"), "path")
     return identity_of(inventory, ["bundle"])
+
+
+CANON_SQL = f"""WITH {PACKETS_SQL}, cn AS (SELECT DISTINCT experiment_id AS run_id, 'trace_' || user_id AS client_id, '10.0.0.' || (user_id % 250) AS client_ip, CAST(50000 + user_id % 3 AS INTEGER) AS client_port FROM raw),
+sole AS (SELECT run_id, client_ip, client_port, min(client_id) AS client_id FROM cn GROUP BY 1, 2, 3),
+ends AS (SELECT *, CASE WHEN direction = 'down' THEN dst_ip ELSE src_ip END AS client_ip, CASE WHEN direction = 'down' THEN dst_port ELSE src_port END AS client_port FROM raw),
+j AS (SELECT s.client_id AS owner, e.* FROM ends e JOIN sole s ON s.run_id = e.experiment_id AND s.client_ip = e.client_ip AND s.client_port = e.client_port),
+dd AS (SELECT *, row_number() OVER (PARTITION BY experiment_id, owner, floor(timestamp_epoch * 1e6 + 0.5), frame_length, src_ip, dst_ip, src_port, dst_port, transport_protocol, tcp_flags_hex ORDER BY timestamp_epoch, packet_index) AS rn FROM j),
+se AS (SELECT experiment_id, owner AS client_id, count(*) AS packet_count, count(DISTINCT client_ip || ':' || client_port) AS connections_seen, count(DISTINCT k % 4) AS chunk_count FROM dd WHERE rn = 1 GROUP BY 1, 2)"""
+
+
+@query(
+    CANON_SQL
+    + """ SELECT run_id AS experiment_id, client_id, count(*) AS connections_chosen, 'registered' AS reason, any_value(packet_count) AS packet_count, any_value(connections_seen) AS connections_seen, any_value(chunk_count) AS chunk_count
+FROM sole JOIN se ON se.experiment_id = run_id AND se.client_id = sole.client_id GROUP BY 1, 2, sole.client_id""".replace("client_id, count(*) AS connections", "sole.client_id, count(*) AS connections")
+)
+def canonical_trace_audit(spark, sf_dir):
+    """Audit rows of traces put together from capture chunks and chosen connections."""
+    from traceweave.plans.jobs import canonical_traces
+
+    columns = ["experiment_id", "client_ip", "client_port"]
+    chosen = _clients(spark, sf_dir).groupBy(*columns).agg(F.min("alias").alias("client_id"))
+    chosen = chosen.withColumnRenamed("experiment_id", "run_id").withColumn("reason", F.lit("registered"))
+    capture = parsed_packets(spark, sf_dir).withColumn("chunk_number", F.col("k") % 4)
+    return canonical_traces(capture, chosen, "chunk_number", scales=[])["audit"]

@@ -12,6 +12,7 @@ from traceweave.operators import features as FE
 from traceweave.operators import models as ML
 from traceweave.session import cut_lineage
 
+#: Tree count and depth of the registered queries, a parameter; the library's defaults are larger.
 QUICK = ML.ForestConfig(trees=20, depth=6)
 
 
@@ -23,7 +24,7 @@ def vectors(spark, sf_dir):
         "vec_id",
         F.concat(F.lit("class_"), (F.col("label") % 3).cast("string")).alias("family"),
         experiment.alias("experiment_id"),
-        F.when(F.col("vec_id") % 2 == 0, "proxy").otherwise("client").alias("source_role"),
+        F.element_at(F.array(F.lit("proxy"), F.lit("client"), F.lit("server")), (F.col("vec_id") % 3 + 1).cast("int")).alias("source_role"),
         *[F.col("embedding")[i].cast("double").alias(f"f{i:02d}") for i in range(64)],
     )
 
@@ -51,7 +52,7 @@ def trace_rows(spark, sf_dir):
     return cut_lineage(hierarchy_labels(rows))
 
 
-TRACE_FEATURES = ["packet_count_total", "bytes_total", "iat_sec_mean", "packet_size_mean", "packet_size_std", "burst_count_total"]
+TRACE_FEATURES = list(FE.PREDICTORS)
 
 
 @query()
@@ -59,18 +60,18 @@ def hierarchy_prediction(spark, sf_dir):
     """Family, architecture, variant and application of every trace."""
     rows = trace_rows(spark, sf_dir)
     train = rows.where("row_type = 'window'").withColumn("weight", F.lit(1.0))
-    models = ML.train_hierarchy(train, TRACE_FEATURES, "weight", ML.ForestConfig(trees=5, depth=4, top_k=4))
+    models = ML.train_hierarchy(train, TRACE_FEATURES, "weight", QUICK)
     whole = rows.where("row_type = 'overall'").select("experiment_id", "client_id", *TRACE_FEATURES)
     return rounded(ML.predict_hierarchy(whole, models).drop(*TRACE_FEATURES))
 
 
 @query()
 def hierarchy_metrics(spark, sf_dir):
-    """Out-of-fold metrics of the family and architecture stages over weekly windows."""
+    """Out-of-fold metrics of all stages over weekly windows."""
     rows = trace_rows(spark, sf_dir).where("row_type = 'window'")
     found = ML.hierarchy_evaluation(
         rows, TRACE_FEATURES, "experiment_id", F.struct("client_id", "window_index"),
-        ML.ForestConfig(trees=5, depth=4, top_k=4), ("family", "architecture"),
+        QUICK,
     )
     return rounded(found)
 
@@ -78,7 +79,7 @@ def hierarchy_metrics(spark, sf_dir):
 @query()
 def cross_vantage_oof(spark, sf_dir):
     found = ML.cross_vantage_evaluation(
-        vectors(spark, sf_dir), NAMES, "family", "experiment_id", F.col("vec_id"), ["client_to_proxy", "proxy_to_proxy"],
+        vectors(spark, sf_dir), NAMES, "family", "experiment_id", F.col("vec_id"), list(ML.VANTAGE_MODES),
         ML.ForestConfig(trees=10, depth=5),
     )
     return found
@@ -93,7 +94,7 @@ def student_prediction(spark, sf_dir):
     )
     classes = report["classes"]
     taught = cut_lineage(
-        df.select("vec_id", *NAMES[:16]).join(
+        df.select("vec_id", *NAMES).join(
             found.select(
                 "vec_id",
                 "experiment_id",
@@ -103,5 +104,5 @@ def student_prediction(spark, sf_dir):
             "vec_id",
         )
     )
-    model = ML.train_student(taught, NAMES[:16], "teacher", "hard", classes, 0.5, 2.0)
+    model = ML.train_student(taught, NAMES, "teacher", "hard", classes, 0.5, 2.0)
     return rounded(model.predict(taught, "student_label", "confidence").select("vec_id", "student_label", "confidence"))

@@ -293,6 +293,27 @@ def fold_statistics(df: DataFrame, fold: str, label: str, experiment: str) -> Da
     return by_class.join(by_experiment, fold)
 
 
+def metric_spread(folds: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Mean and population standard deviation over folds of each value, as rows (keys, metric, folds, mean, std)."""
+    pairs = F.explode(
+        F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("value")) for v in values])
+    ).alias("_p")
+    return (
+        folds.select(*keys, pairs)
+        .groupBy(*keys, F.col("_p.metric").alias("metric"))
+        .agg(
+            F.count("_p.value").alias("folds"),
+            F.avg("_p.value").alias("mean"),
+            F.stddev_pop("_p.value").alias("std"),
+        )
+    )
+
+
+def parameter_counts(folds: DataFrame, keys: Sequence[str], parameter: str) -> DataFrame:
+    """In how many folds each parameter was the chosen one."""
+    return folds.groupBy(*keys, parameter).agg(F.count(F.lit(1)).alias("folds"))
+
+
 def comparison(summaries: DataFrame, order: Sequence[str], name: str = "representation") -> DataFrame:
     """Evaluated rows only, in display order."""
     rank = F.array_position(F.array(*[F.lit(o) for o in order]), F.col(name))

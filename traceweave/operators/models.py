@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from traceweave.functions import exprs as X
 from traceweave.operators import dataset, fisher, metrics
 from traceweave.operators.dataset import LEVELS
+from traceweave.session import cut_lineage
 
 TREES = 300
 TEACHER_TREES = 500
@@ -77,10 +78,14 @@ def class_list(df: DataFrame, label: str) -> list[str]:
 
 def balanced(df: DataFrame, label: str, weight: str) -> DataFrame:
     """Scale row weights so that every class has the same total."""
-    totals = df.groupBy(label).agg(F.sum(weight).alias("_t"))
-    share = totals.agg(F.sum("_t") / F.count(F.lit(1))).scalar()
-    factors = totals.select(label, (share / F.col("_t")).alias("_f"))
-    return df.join(factors, label).withColumn(weight, F.col(weight) * F.col("_f")).drop("_f")
+    totals = {r[label]: r["_t"] for r in df.groupBy(label).agg(F.sum(weight).alias("_t")).collect()}
+    totals = {k: v for k, v in totals.items() if k is not None and v}
+    if not totals:
+        return df.where(F.col(label).isNotNull())
+    # One entry per class, written into the expression: rows are not shuffled onto a few class values.
+    share = sum(totals.values()) / len(totals)
+    factors = F.create_map(*[F.lit(x) for k, v in totals.items() for x in (k, share / v)])
+    return df.where(F.col(label).isin(list(totals))).withColumn(weight, F.col(weight) * factors[F.col(label)])
 
 
 def forest_pipeline(features: Sequence[str], label: str, classes: Sequence[str], weight: str, cfg: ForestConfig) -> Pipeline:
@@ -217,7 +222,8 @@ def out_of_fold(
     rows = df.where(F.col(label).isin(kept))
     folds = min([most_folds] + [counts[c][0] for c in kept])
     assigned = fisher.experiment_folds(rows, label, experiment, folds, cfg.seed).select(experiment, "fold")
-    rows = fisher.experiment_weights(rows.join(assigned, experiment), experiment, spread).persist()
+    # Read once per fold; the copy lies in the shared folder and goes with its last reference.
+    rows = cut_lineage(fisher.experiment_weights(rows.join(assigned, experiment), experiment, spread))
     parts = []
     for fold in range(folds):
         train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
@@ -272,6 +278,52 @@ def hierarchy_evaluation(
     return results
 
 
+VANTAGE_ROLES = {
+    "client_to_proxy": ["client"],
+    "server_to_proxy": ["server"],
+    "both_to_proxy": ["client", "server"],
+    "proxy_to_proxy": ["proxy"],
+}
+VANTAGE_MODES = tuple(VANTAGE_ROLES)
+
+
+def _vantage_mode(
+    df: DataFrame, features: Sequence[str], label: str, experiment: str, spread: Column, mode: str, cfg: ForestConfig
+) -> DataFrame:
+    kind = df.schema[label].dataType.simpleString()
+    schema = f"mode string, y_true {kind}, y_pred string, fold int, status string"
+
+    def only(status: str) -> DataFrame:
+        return df.sparkSession.createDataFrame([(mode, None, None, None, status)], schema)
+
+    present = {r[0] for r in df.select("source_role").distinct().collect()}  # three roles
+    if not {"proxy", *VANTAGE_ROLES[mode]} <= present:
+        return only("missing_vantage")
+    train_all, test_all = dataset.cross_vantage(df, VANTAGE_ROLES[mode], label, experiment)
+    train_all, test_all = dataset.keep_eligible(train_all, label, experiment), dataset.keep_eligible(test_all, label, experiment)
+    counts = [r["experiments"] for r in dataset.eligible_classes(test_all, label, experiment).collect()]
+    if not counts:
+        return only("no_shared_experiments")
+    if len(counts) < 2 or min(counts) < 2:
+        return only("insufficient_independent_experiments")
+    folds = min(5, *counts)
+    assigned = fisher.experiment_folds(test_all, label, experiment, folds, cfg.seed).select(experiment, "fold")
+    train_all, test_all = train_all.join(assigned, experiment), test_all.join(assigned, experiment)
+    train_all = cut_lineage(fisher.experiment_weights(train_all, experiment, spread))
+    results = None
+    for fold in range(folds):
+        model = train_stage(train_all.where(F.col("fold") != fold), label, features, "weight", cfg)
+        part = model.predict(test_all.where(F.col("fold") == fold), "y_pred", "confidence").select(
+            F.lit(mode).alias("mode"),
+            F.col(label).alias("y_true"),
+            "y_pred",
+            F.col("fold").cast("int").alias("fold"),
+            F.lit("evaluated").alias("status"),
+        )
+        results = part if results is None else results.unionByName(part)
+    return results
+
+
 def cross_vantage_evaluation(
     df: DataFrame,
     features: Sequence[str],
@@ -281,31 +333,15 @@ def cross_vantage_evaluation(
     modes: Sequence[str],
     cfg: ForestConfig | None = None,
 ) -> DataFrame | None:
-    """Train on endpoint or proxy rows, test on proxy rows of other experiments."""
+    """Train on endpoint or proxy rows, test on proxy rows of other experiments.
+
+    A row per tested row with status ``evaluated``; a mode that cannot be evaluated has one row that says why.
+    """
     cfg = cfg or ForestConfig()
-    roles = {
-        "client_to_proxy": ["client"],
-        "server_to_proxy": ["server"],
-        "both_to_proxy": ["client", "server"],
-        "proxy_to_proxy": ["proxy"],
-    }
     results = None
     for mode in modes:
-        train_all, test_all = dataset.cross_vantage(df, roles[mode], label, experiment)
-        train_all, test_all = dataset.keep_eligible(train_all, label, experiment), dataset.keep_eligible(test_all, label, experiment)
-        counts = [r["experiments"] for r in dataset.eligible_classes(test_all, label, experiment).collect()]
-        if len(counts) < 2:
-            continue
-        folds = min(5, *counts)
-        assigned = fisher.experiment_folds(test_all, label, experiment, folds, cfg.seed).select(experiment, "fold")
-        train_all, test_all = train_all.join(assigned, experiment), test_all.join(assigned, experiment)
-        train_all = fisher.experiment_weights(train_all, experiment, spread).persist()
-        for fold in range(folds):
-            model = train_stage(train_all.where(F.col("fold") != fold), label, features, "weight", cfg)
-            part = model.predict(test_all.where(F.col("fold") == fold), "y_pred", "confidence").select(
-                F.lit(mode).alias("mode"), F.col(label).alias("y_true"), "y_pred", "fold"
-            )
-            results = part if results is None else results.unionByName(part)
+        found = _vantage_mode(df, features, label, experiment, spread, mode, cfg)
+        results = found if results is None else results.unionByName(found)
     return results
 
 

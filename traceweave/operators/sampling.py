@@ -173,6 +173,15 @@ def assignment_identity(parts: DataFrame, key: str, label: str) -> DataFrame:
     )
 
 
+def slot_assignment(parts: DataFrame, client_index: int, clients: int, key: str, label: str) -> DataFrame:
+    """Size, class histogram and identity of one client's share; the index must be one of the clients'."""
+    if clients <= 0:
+        raise ValueError("the number of clients must be positive")
+    if not 0 <= client_index < clients:
+        raise ValueError(f"client_index must be in [0, {clients - 1}]: {client_index}")
+    return assignment_identity(parts.where(F.col("client_index") == client_index), key, label)
+
+
 def partition_slot(name: Column | str) -> Column:
     """0-based slot asked for by ``client_N``."""
     value = F.col(name) if isinstance(name, str) else name

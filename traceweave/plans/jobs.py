@@ -26,6 +26,49 @@ def repaired_features(
     return features.feature_rows(own, scales, keys=["experiment_id", "client_ip"], limit=limit)
 
 
+def canonical_traces(
+    packets: DataFrame,
+    chosen: DataFrame,
+    chunk: str,
+    scales: Sequence[float] = WINDOW_SCALES,
+    limit: int = DEFAULT_LIMIT,
+    **options,
+) -> dict[str, DataFrame]:
+    """One trace per client from capture chunks, and an audit row per client.
+
+    ``chosen`` is the result of ``choose_connections``. Packets of a client's connections are united over chunks and
+    connections, packets that overlapping chunks hold twice go, and features are derived from what is left. The audit
+    has every chosen client, with the reason of the choice, its connections, chunks and packets (0 if none was seen).
+    """
+    side = chosen.select(
+        F.col("run_id").alias("experiment_id"), "client_ip", "client_port", F.col("client_id").alias("alias")
+    ).distinct()
+    facing = isolate.connection_facing(packets, side).withColumn("direction", F.col("connection_direction"))
+    united = facing.drop("client_id").withColumnRenamed("alias", "client_id")
+    traces = isolate.dedupe_packets(united)
+    # The client's end of a packet names its connection.
+    up = F.col("direction") == "up"
+    end = F.when(up, F.struct(F.col("src_ip").alias("ip"), F.col("src_port").alias("port"))).otherwise(
+        F.struct(F.col("dst_ip").alias("ip"), F.col("dst_port").alias("port"))
+    )
+    seen = (
+        traces.groupBy(*TRACE, end.alias("_end"), chunk)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .groupBy(*TRACE)
+        .agg(
+            F.sum("_n").alias("packet_count"),
+            F.countDistinct("_end").alias("connections_seen"),
+            F.countDistinct(chunk).alias("chunk_count"),
+        )
+    )
+    wanted = chosen.groupBy(F.col("run_id").alias("experiment_id"), "client_id").agg(
+        F.count(F.lit(1)).alias("connections_chosen"), F.min("reason").alias("reason")
+    )
+    counts = ("packet_count", "connections_seen", "chunk_count")
+    report = wanted.join(seen, list(TRACE), "left").na.fill(0, list(counts))
+    return {"features": features.feature_rows(traces, scales, limit=limit, **options), "audit": report}
+
+
 def capture_features(
     packets: DataFrame,
     connections: DataFrame,
