@@ -31,21 +31,53 @@ def drain(stream, folder):
     return stream.sparkSession.read.parquet(f"{folder}/out")
 
 
+def heartbeats(spark, df, folder, seconds, times=2):
+    """Files without packets that move the watermark `seconds` past the last packet."""
+    last = df.agg(F.max("timestamp_epoch")).first()[0]
+    row = df.limit(1).withColumns(
+        {"frame_length": F.lit(None).cast(df.schema["frame_length"].dataType), "experiment_id": F.lit("heartbeat")}
+    )
+    for i in range(times):
+        beat = row.withColumn("timestamp_epoch", F.lit(last + seconds + i))
+        L.with_event_time(beat).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+
+
 def test_anchored_windows_equal_batch(keyed, tmp_path):
     p = L.with_event_time(T.parsed_packets(keyed, FOLDER))
-    source = replay(keyed, p, "timestamp_epoch", str(tmp_path))
-    got = drain(L.anchored_windows(source, ["experiment_id", "client_id"], [2 * T.DAY, 7 * T.DAY], "0 seconds"), str(tmp_path))
-    want = FE.feature_rows(p, [2 * T.DAY, 7 * T.DAY], T.BURST_GAP, T.IDLE)
-    key = ["experiment_id", "client_id", "window_size_sec", "window_index"]
-    same = ["packet_count_total", "packet_count_up", "bytes_total", "direction_switch_count"]
-    both = got.select(*key, *[F.col(c).alias(f"s_{c}") for c in same], "iat_max_sec").join(
-        want.select(*key, *same, F.col("iat_sec_max")), key
-    ).toPandas()
-    assert got.count() > 100 and len(both) >= 0.9 * got.count()
-    for c in same:
-        assert (both[c] == both[f"s_{c}"]).all(), c
-    assert (both["iat_max_sec"] - both["iat_sec_max"]).abs().max() < 1e-6
-    assert got.groupBy(*key).count().where("count > 1").count() == 0
+    replay(keyed, p, "timestamp_epoch", str(tmp_path))
+    heartbeats(keyed, p, str(tmp_path), 50 * T.DAY)
+    source = keyed.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    scales, trace = [2 * T.DAY, 7 * T.DAY], ["experiment_id", "client_id"]
+    got = drain(L.anchored_windows(source, trace, scales, "5 seconds", idle_end=40 * T.DAY), str(tmp_path))
+    want = FE.feature_rows(p, scales, T.BURST_GAP, T.IDLE).where("row_type = 'window'")
+    same = ["window_size_sec", "window_index", "packet_count_total", "packet_count_up", "bytes_total", "direction_switch_count"]
+    rows = lambda df, gap: sorted(tuple(r)[:-1] + (round(r[gap], 6),) for r in df.select(*trace, *same, gap).collect())
+    assert rows(got, "iat_max_sec") == rows(want, "iat_sec_max")
+
+
+def test_trace_ends_and_late_first_packet(keyed, tmp_path):
+    schema = "trace string, packet_index long, timestamp_epoch double, frame_length long, direction string"
+    # 10.0 arrives before 9.5; the trace ends exactly with its third window; another one is half a second long.
+    steps = [
+        [("a", 1, 10.0, 100, "up"), ("b", 9, 10.0, 7, "up")],
+        [("a", 0, 9.5, 50, "down"), ("b", 10, 10.5, 7, "down")],
+        [("a", 2, 15.25, 10, "up")],
+        [("a", 3, 18.5, 1, "down")],
+        [("beat", 0, 60.0, None, None)],
+        [("beat", 1, 61.0, None, None)],
+    ]
+    for rows in steps:
+        L.with_event_time(keyed.createDataFrame(rows, schema)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    kind = keyed.read.parquet(f"{tmp_path}/in").schema
+    source = keyed.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = drain(L.anchored_windows(source, ["trace"], [3.0], "10 seconds", idle_end=20.0), str(tmp_path))
+    rows = sorted((r["trace"], r["window_index"], r["packet_count_total"], r["bytes_total"], r["direction_switch_count"], r["iat_max_sec"]) for r in got.collect())
+    assert rows == [
+        ("a", 0, 2, 150, 1, 0.5),
+        ("a", 1, 1, 10, 0, 0.0),
+        ("a", 2, 1, 1, 0, 0.0),
+        ("b", 0, 2, 14, 1, 0.5),
+    ]
 
 
 def test_epoch_windows(keyed, tmp_path):

@@ -8,6 +8,7 @@ state; each keeps only running totals or a bounded list per key.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -74,91 +75,107 @@ WINDOW_FIELDS = (
     ("iat_sum_sec", T.DoubleType()),
     ("iat_max_sec", T.DoubleType()),
 )
+EMPTY = (0, 0, 0, 0, 0, 0.0, 0.0)
 
 
 class AnchoredWindows(StatefulProcessor):
-    """Windows of every scale that start at the trace's first packet.
+    """Windows of every scale that start at the trace's first packet; the same rows as the batch operator's.
 
-    State: the first packet's time and, per scale, the totals of the open
-    window.  A window closes when the watermark passes its end; silent windows
-    are emitted empty.  Packets for closed windows are late and dropped.
+    Packets wait until the watermark has passed them and are then taken in order of time, so a late first packet
+    still becomes the anchor. The packets of the latest time seen wait for a successor: as a trace's last ones they
+    belong to the window that ends with them. Windows are written once a later one has a packet, with the empty ones
+    between. A trace ends when the watermark is ``idle_end`` seconds past its last packet: its last window is written
+    and its state removed. A packet after that starts a new trace. State: the packets of one watermark delay, and one
+    open window per scale.
+
+    Rows without a size are heartbeats: they move the watermark and are nothing else.
     """
 
-    def __init__(self, names: Sequence[str], scales: Sequence[float]) -> None:
+    def __init__(self, names: Sequence[str], scales: Sequence[float], idle_end: float) -> None:
         self.row = Row(*names)
         self.scales = [float(s) for s in scales]
+        self.idle_end = float(idle_end)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        anchor = T.StructType([T.StructField("first", T.DoubleType())])
+        packet = T.StructType(
+            [
+                T.StructField("t", T.DoubleType()),
+                T.StructField("index", T.LongType()),
+                T.StructField("size", T.LongType()),
+                T.StructField("direction", T.StringType()),
+            ]
+        )
         opened = T.StructType(
-            [T.StructField(n, t) for n, t in WINDOW_FIELDS[4:]]
+            [T.StructField("index", T.LongType())]
+            + [T.StructField(n, t) for n, t in WINDOW_FIELDS[4:]]
             + [T.StructField("last_t", T.DoubleType()), T.StructField("last_known", T.StringType())]
         )
-        position = T.StructType([T.StructField("index", T.LongType())])
-        scale = T.StructType([T.StructField("scale", T.DoubleType())])
-        slot = T.StructType([T.StructField("scale", T.DoubleType()), T.StructField("index", T.LongType())])
-        self.first = handle.getValueState("first", anchor)
-        self.next = handle.getMapState("next", scale, position)
-        self.open = handle.getMapState("open", slot, opened)
-
-    def _rows(self, key: tuple, watermark: float) -> Iterator[Row]:
-        first = self.first.get()[0]
-        for s in self.scales:
-            index = self.next.getValue((s,))[0] if self.next.containsKey((s,)) else 0
-            while first + (index + 1) * s <= watermark:
-                slot = (s, index)
-                totals = tuple(self.open.getValue(slot))[:7] if self.open.containsKey(slot) else (0, 0, 0, 0, 0, 0.0, 0.0)
-                if self.open.containsKey(slot):
-                    self.open.removeKey(slot)
-                yield self.row(*key, s, index, index * s, index * s + s, *totals)
-                index += 1
-            self.next.updateValue((s,), (index,))
+        self.waiting = handle.getListState("waiting", packet)
+        self.first = handle.getValueState("first", T.StructType([T.StructField("first", T.DoubleType())]))
+        self.open = handle.getMapState("open", T.StructType([T.StructField("scale", T.DoubleType())]), opened)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        watermark = timerValues.getCurrentWatermarkInMs() / 1000.0
-        packets = sorted((r["timestamp_epoch"], r["packet_index"], r["frame_length"], r["direction"]) for r in rows)
-        if not self.first.exists():
+    def _take(self, key: tuple, packets: list, trace_end: float | None) -> Iterator[Row]:
+        """Add packets in order; windows before the last packet's are written, with ``trace_end`` that one as well."""
+        if packets and not self.first.exists():
             self.first.update((packets[0][0],))
         first = self.first.get()[0]
         for s in self.scales:
-            done = self.next.getValue((s,))[0] if self.next.containsKey((s,)) else 0
-            held: dict[int, list] = {}
+            last = None if trace_end is None else max(1, math.ceil((trace_end - first) / s)) - 1
+            w = list(self.open.getValue((s,))) if self.open.containsKey((s,)) else [0, *EMPTY, None, None]
             for t, _, size, direction in packets:
                 index = int((t - first) // s)
-                if index < done:
-                    continue
-                if index not in held:
-                    stored = self.open.getValue((s, index)) if self.open.containsKey((s, index)) else None
-                    held[index] = list(stored) if stored else [0, 0, 0, 0, 0, 0.0, 0.0, None, None]
-                w = held[index]
-                gap = max(0.0, t - w[7]) if w[7] is not None else None
+                index = index if last is None else min(index, last)
+                while w[0] < index:
+                    yield self.row(*key, s, w[0], w[0] * s, w[0] * s + s, *w[1:8])
+                    w = [w[0] + 1, *EMPTY, None, None]
                 known = direction in ("up", "down")
-                w[0] += 1
-                w[1] += direction == "up"
-                w[2] += direction == "down"
-                w[3] += int(size)
-                w[4] += bool(known and w[8] is not None and w[8] != direction)
-                if gap is not None:
-                    w[5] += gap
-                    w[6] = max(w[6], gap)
-                w[7] = t if w[7] is None else max(t, w[7])
-                w[8] = direction if known else w[8]
-            for index, w in held.items():
-                self.open.updateValue((s, index), tuple(w))
-        yield from self._rows(key, watermark)
-        self._wake(first)
-
-    def _wake(self, first: float) -> None:
-        ends = []
-        for s in self.scales:
-            index = self.next.getValue((s,))[0] if self.next.containsKey((s,)) else 0
-            ends.append(first + (index + 1) * s)
-        self.handle.registerTimer(int(min(ends) * 1000) + 1)
+                w[1] += 1
+                w[2] += direction == "up"
+                w[3] += direction == "down"
+                w[4] += int(size)
+                w[5] += bool(known and w[9] is not None and w[9] != direction)
+                if w[8] is not None:
+                    gap = max(0.0, t - w[8])
+                    w[6] += gap
+                    w[7] = max(w[7], gap)
+                w[8] = t
+                w[9] = direction if known else w[9]
+            if trace_end is None:
+                self.open.updateValue((s,), tuple(w))
+            else:
+                yield self.row(*key, s, w[0], w[0] * s, w[0] * s + s, *w[1:8])
+
+    def _advance(self, key: tuple, new: list, watermark: float) -> Iterator[Row]:
+        packets = sorted([tuple(p) for p in self.waiting.get()] + new) if self.waiting.exists() else sorted(new)
+        if not packets:
+            return
+        latest = packets[-1][0]
+        if watermark > latest + self.idle_end:
+            yield from self._take(key, packets, latest)
+            self.waiting.clear()
+            self.first.clear()
+            self.open.clear()
+            return
+        ready = [p for p in packets if p[0] < watermark and p[0] < latest]
+        if ready:
+            yield from self._take(key, ready, None)
+        rest = packets[len(ready) :]
+        self.waiting.put(rest)
+        # Wake when the next packet is passed, or when the trace is over.
+        due = rest[0][0] if rest[0][0] < latest else latest + self.idle_end
+        self.handle.registerTimer(int(max(due, watermark) * 1000) + 2)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        new = [
+            (r["timestamp_epoch"], r["packet_index"], int(r["frame_length"]), r["direction"])
+            for r in rows
+            if r["frame_length"] is not None
+        ]
+        yield from self._advance(key, new, timerValues.getCurrentWatermarkInMs() / 1000.0)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self._rows(key, timerValues.getCurrentWatermarkInMs() / 1000.0)
-        self._wake(self.first.get()[0])
+        yield from self._advance(key, [], timerValues.getCurrentWatermarkInMs() / 1000.0)
 
     def close(self) -> None:
         pass
@@ -169,9 +186,12 @@ def keyed_schema(df: DataFrame, keys: Sequence[str], fields: Sequence[tuple[str,
     return T.StructType([T.StructField(k, types[k]) for k in keys] + [T.StructField(n, t) for n, t in fields])
 
 
-def anchored_windows(packets: DataFrame, keys: Sequence[str], scales: Sequence[float], late: str = "10 seconds") -> DataFrame:
+def anchored_windows(
+    packets: DataFrame, keys: Sequence[str], scales: Sequence[float], late: str = "10 seconds", idle_end: float = 3600.0
+) -> DataFrame:
+    """Windows anchored at each trace's first packet; a trace is over ``idle_end`` seconds after its last packet."""
     schema = keyed_schema(packets, keys, WINDOW_FIELDS)
-    processor = AnchoredWindows(schema.names, scales)
+    processor = AnchoredWindows(schema.names, scales, idle_end)
     return (
         packets.withWatermark("event_time", late)
         .groupBy(*keys)
