@@ -261,16 +261,18 @@ RELEASED_FIELDS = (
 
 
 class RegistrationBuffer(StatefulProcessor):
-    """Holds the newest packets of a peer until its registration arrives.
+    """Holds the packets of a peer until its registration arrives.
 
-    At most ``capacity`` packets wait per peer (older ones fall out, as the
-    feature asks); on registration they are released with their direction
-    derived from the peer's address, later packets pass straight through.
+    On registration they are released with their direction derived from the
+    peer's address, later packets pass straight through. With a ``capacity``
+    only the newest packets wait; with ``expire_sec`` what a peer left behind
+    goes that long after its last packet.
     """
 
-    def __init__(self, names: Sequence[str], capacity: int = BUFFER_PACKETS) -> None:
+    def __init__(self, names: Sequence[str], capacity: int | None = None, expire_sec: float | None = None) -> None:
         self.row = Row(*names)
         self.capacity = capacity
+        self.ttl = None if expire_sec is None else int(expire_sec * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         owner = T.StructType([T.StructField("client", T.StringType())])
@@ -282,8 +284,8 @@ class RegistrationBuffer(StatefulProcessor):
                 T.StructField("src", T.StringType()),
             ]
         )
-        self.owner = handle.getValueState("owner", owner)
-        self.waiting = handle.getListState("waiting", packet)
+        self.owner = handle.getValueState("owner", owner, self.ttl)
+        self.waiting = handle.getListState("waiting", packet, self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         client = self.owner.get()[0] if self.owner.exists() else None
@@ -295,6 +297,10 @@ class RegistrationBuffer(StatefulProcessor):
                 packets.append((int(r["packet_index"]), float(r["timestamp_epoch"]), int(r["frame_length"]), r["src_ip"]))
         packets.sort(key=lambda p: (p[1], p[0]))
         if client is None:
+            if self.capacity is None:
+                if packets:
+                    self.waiting.appendList(packets)
+                return
             held = [tuple(p) for p in self.waiting.get()] + packets
             self.waiting.put(held[-self.capacity :])
             return
@@ -309,10 +315,17 @@ class RegistrationBuffer(StatefulProcessor):
         pass
 
 
-def registration_buffer(events: DataFrame, run: str, peer: str, capacity: int = BUFFER_PACKETS) -> DataFrame:
-    """``events``: union of packets and registrations with a ``kind`` column, keyed by run and peer ip."""
+def registration_buffer(
+    events: DataFrame, run: str, peer: str, capacity: int | None = None, expire_sec: float | None = None
+) -> DataFrame:
+    """``events``: union of packets and registrations with a ``kind`` column, keyed by run and peer ip.
+
+    Nothing is dropped unless a capacity (``BUFFER_PACKETS`` is the usual one) or an expiry is given.
+    """
     schema = keyed_schema(events, [run, peer], RELEASED_FIELDS)
-    return events.groupBy(run, peer).transformWithState(RegistrationBuffer(schema.names, capacity), schema, "Append", "None")
+    processor = RegistrationBuffer(schema.names, capacity, expire_sec)
+    mode = "None" if expire_sec is None else "ProcessingTime"
+    return events.groupBy(run, peer).transformWithState(processor, schema, "Append", mode)
 
 
 BARRIER_FIELDS = (
