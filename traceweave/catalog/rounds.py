@@ -137,7 +137,7 @@ FROM sg JOIN pp p ON p.experiment_id = sg.experiment_id AND p.client_id = sg.cli
 )
 def range_join_segments(spark, sf_dir):
     p = packets(spark, sf_dir).select(*TRACE, "timestamp_epoch", "frame_length")
-    inside = interval_join(p, segments(spark, sf_dir), TRACE, "timestamp_epoch", "start_epoch", "end_epoch", 5 * DAY)
+    inside = interval_join(p, segments(spark, sf_dir), TRACE, "timestamp_epoch", "start_epoch", "end_epoch")
     t = F.col("timestamp_epoch")
     return rounded(
         inside.groupBy(*TRACE, "segment_index").agg(
@@ -184,7 +184,7 @@ SELECT experiment_id, client_id, left_index, right_index, {r6("iou")} AS iou, {r
 def interval_iou(spark, sf_dir):
     """Overlapping pairs of inferred and (shifted, thinned) truth intervals."""
     left, right = _interval_sides(spark, sf_dir)
-    return rounded(overlapping_pairs(left, right, list(TRACE), 5 * DAY))
+    return rounded(overlapping_pairs(left, right, list(TRACE)))
 
 
 def _interval_sides(spark, sf_dir):
@@ -201,7 +201,7 @@ def _interval_sides(spark, sf_dir):
 @query()
 def greedy_matches(spark, sf_dir):
     left, right = _interval_sides(spark, sf_dir)
-    pairs = overlapping_pairs(left, right, list(TRACE), 5 * DAY)
+    pairs = overlapping_pairs(left, right, list(TRACE))
     return rounded(R.greedy_matches(pairs, TRACE, 0.25))
 
 
@@ -215,7 +215,7 @@ SELECT experiment_id, client_id, count(*) AS matched_rounds, any_value(inferred)
 def boundary_scores(spark, sf_dir):
     """Scores of the greedy matches; here every truth interval matches its source."""
     left, right = _interval_sides(spark, sf_dir)
-    pairs = overlapping_pairs(left, right, list(TRACE), 5 * DAY)
+    pairs = overlapping_pairs(left, right, list(TRACE))
     matches = R.greedy_matches(pairs, TRACE, 0.25)
     return rounded(R.boundary_scores(matches, left, right, TRACE))
 

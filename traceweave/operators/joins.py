@@ -1,14 +1,36 @@
-"""Range joins and other joins the trace operators share."""
+"""Range joins and other joins the trace operators share.
+
+Intervals are dealt by length: level L holds those of at most 2^L seconds, in buckets of 2^L seconds. So an interval
+touches one or two buckets whatever its length, and one long interval among short ones costs no more than they do.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceweave.functions import exprs as X
 
+#: Levels of lengths from a microsecond up to 2^40 seconds.
+LOWEST, HIGHEST = -20, 40
+
+
+def _level(length: Column) -> Column:
+    exact = F.ceil(F.log2(F.greatest(length, F.lit(2.0**LOWEST))))
+    return F.greatest(F.lit(LOWEST), F.least(F.lit(HIGHEST), exact)).cast("int")
+
+
+def _levels(df: DataFrame, start: str, end: str) -> list[int]:
+    """The levels in use: at most HIGHEST - LOWEST + 1 numbers."""
+    found = df.select(_level(F.col(end) - F.col(start)).alias("level")).where("level is not null").distinct()
+    return sorted(r["level"] for r in found.collect())
+
+
+def _bucket(time: Column, level: Column) -> Column:
+    return F.floor(time / F.pow(F.lit(2.0), level))
+
 
 def interval_join(
     points: DataFrame,
@@ -17,59 +39,55 @@ def interval_join(
     time: str,
     start: str,
     end: str,
-    bucket_sec: float | None = None,
-    how: str = "inner",
 ) -> DataFrame:
     """Points inside closed intervals of the same key.
 
-    Both sides get a coarse time bucket as an extra equi key: a point lies in
-    one bucket, an interval is repeated for each bucket it touches.  The bucket
-    spreads a hot key over many tasks and keeps candidates near the result.
-    Without ``bucket_sec`` the mean interval length is used.
+    A point gets one copy per level in use, with its bucket there as an extra
+    equi key, which also spreads a hot key over many tasks.
     """
-    if bucket_sec is None:
-        mean = intervals.agg(F.avg(F.col(end) - F.col(start))).first()[0]
-        bucket_sec = max(float(mean or 0.0), 1e-3)
-    width = F.lit(float(bucket_sec))
-    left = points.withColumn("_bucket", F.floor(F.col(time) / width))
-    right = intervals.withColumn(
-        "_bucket", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width)))
-    )
+    levels = _levels(intervals, start, end) or [0]
+    left = points.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels])))
+    left = left.withColumn("_bucket", _bucket(F.col(time), F.col("_level")))
+    right = intervals.withColumn("_level", _level(F.col(end) - F.col(start)))
+    touched = F.sequence(_bucket(F.col(start), F.col("_level")), _bucket(F.greatest(start, end), F.col("_level")))
+    right = right.withColumn("_bucket", F.explode(touched))
     inside = (F.col(f"_p.{time}") >= F.col(f"_i.{start}")) & (F.col(f"_p.{time}") <= F.col(f"_i.{end}"))
     equal = F.lit(True)
-    for name in [*keys, "_bucket"]:
+    for name in [*keys, "_level", "_bucket"]:
         equal = equal & (F.col(f"_p.{name}") == F.col(f"_i.{name}"))
-    joined = left.alias("_p").join(right.alias("_i"), equal & inside, how)
+    joined = left.alias("_p").join(right.alias("_i"), equal & inside)
     extra = [c for c in intervals.columns if c not in keys]
     return joined.select(*[f"_p.{c}" for c in points.columns], *[f"_i.{c}" for c in extra])
 
 
-def overlapping_pairs(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    bucket_sec: float,
-) -> DataFrame:
+def overlapping_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Pairs of intervals of one key that overlap, with their IoU and start errors.
 
-    ``left``/``right``: keys, ``index``, ``start_epoch``, ``end_epoch``.  A pair
-    is reported by the first bucket both touch, hence once.
+    ``left``/``right``: keys, ``index``, ``start_epoch``, ``end_epoch``.  Two
+    intervals meet at the level of the longer one, in the first bucket both
+    touch there, hence once.
     """
-    width = F.lit(float(bucket_sec))
+    levels = sorted({*_levels(left, "start_epoch", "end_epoch"), *_levels(right, "start_epoch", "end_epoch")}) or [0]
+    at = F.explode(F.filter(F.array(*[F.lit(v) for v in levels]), lambda v: v >= F.col("_own"))).alias("_level")
 
     def spread(df: DataFrame, prefix: str) -> DataFrame:
-        first = F.floor(F.col("start_epoch") / width)
-        return df.select(
+        named = df.select(
             *keys,
             F.col("index").alias(f"{prefix}_index"),
             F.col("start_epoch").alias(f"{prefix}_start"),
             F.col("end_epoch").alias(f"{prefix}_end"),
-            first.alias(f"_{prefix}_first"),
-            F.explode(F.sequence(first, F.floor(F.col("end_epoch") / width))).alias("_bucket"),
-        )
+            _level(F.col("end_epoch") - F.col("start_epoch")).alias("_own"),
+        ).select("*", at)
+        first = _bucket(F.col(f"{prefix}_start"), F.col("_level"))
+        last = _bucket(F.greatest(f"{prefix}_start", f"{prefix}_end"), F.col("_level"))
+        return named.select(
+            "*", first.alias(f"_{prefix}_first"), F.explode(F.sequence(first, last)).alias("_bucket")
+        ).withColumnRenamed("_own", f"_{prefix}_own")
 
-    pairs = spread(left, "left").join(spread(right, "right"), [*keys, "_bucket"])
-    once = F.col("_bucket") == F.greatest("_left_first", "_right_first")
+    pairs = spread(left, "left").join(spread(right, "right"), [*keys, "_level", "_bucket"])
+    once = (F.col("_bucket") == F.greatest("_left_first", "_right_first")) & (
+        F.col("_level") == F.greatest("_left_own", "_right_own")
+    )
     iou = X.interval_iou(*[F.col(c) for c in ("left_start", "left_end", "right_start", "right_end")])
     return pairs.where(once).select(
         *keys,
