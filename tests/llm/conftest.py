@@ -1,33 +1,11 @@
-import random
 import sys
 from pathlib import Path
 
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
-SF = "/root/testdata/sf0.001"
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, seeds string, factors int, digest int, label int"
-
-
-def messy():
-    """Documents with nulls, empty, tiny and long texts, copies, near copies, shared passages and clashing columns."""
-    r = random.Random(4)
-    vocabulary = ["".join(r.choice("abcdefghiéß") for _ in range(r.randint(1, 9))) for _ in range(400)]
-
-    def prose(n):
-        return " ".join(r.choice(vocabulary) for _ in range(n))
-
-    base, passage = prose(120), prose(60)
-    texts = [None, "", " \n\t ", "one", "One", "one", "a b", "A  b", "!!! 123", passage, passage]
-    texts += [base, base, base.upper(), prose(5000), "x" * 3000, "tab\tfeed\x0bword", "it's they're 'll 5's\n\n  end "]
-    for _ in range(12):
-        words = base.split()
-        words[r.randrange(len(words))] = prose(1)
-        texts.append(" ".join(words))
-    texts += [f"{prose(30)} {passage} {prose(r.randint(0, 40))}" for _ in range(10)]
-    texts += ["<|endoftext|>", f"a <|endoftext|> b<|endoftext|>", "漢字かな交じり文 и кириллица"]
-    return [(i + 1, t, r.choice(["en", "de", None]), "s", len(t or ""), "x", i, i, i) for i, t in enumerate(texts)]
+from messy_rows import SCHEMA, messy  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -1,6 +1,6 @@
 import brute
 import pytest
-from conftest import SF, messy
+from messy_rows import SF, messy
 
 import __spark_entry__ as entry
 import corpus_pipeline

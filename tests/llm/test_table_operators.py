@@ -4,7 +4,7 @@ import random
 import brute
 import numpy as np
 import pytest
-from conftest import SF, messy
+from messy_rows import SF, messy
 from pyspark.sql import functions as F
 
 from traceweave.llm import common, exact_dedup, knn, language_id, near_dedup, sharding
@@ -125,9 +125,11 @@ def test_near_odd_ids(odd, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("block", [500_000, 4])
+def test_components(spark, monkeypatch, block):
+    monkeypatch.setattr(common, "EDGE_BLOCK", block)
     edges = [(i, i + 1) for i in range(1, 30)] + [(50, 40), (50, 41), (60, 60), (None, 3)]
-    df = spark.createDataFrame(edges, "a long, b long")
+    df = spark.createDataFrame(edges, "a long, b long").repartition(6)
     found = {r["node"]: r["root"] for r in common.components(df, "a", "b").collect()}
     assert found == {i: 1 for i in range(1, 31)} | {40: 40, 41: 40, 50: 40, 60: 60}
 
