@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 SF = "/root/testdata/sf0.001"
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, seeds string, factors int, digest int, label int"
@@ -25,3 +27,21 @@ def messy():
     texts += [f"{prose(30)} {passage} {prose(r.randint(0, 40))}" for _ in range(10)]
     texts += ["<|endoftext|>", f"a <|endoftext|> b<|endoftext|>", "漢字かな交じり文 и кириллица"]
     return [(i + 1, t, r.choice(["en", "de", None]), "s", len(t or ""), "x", i, i, i) for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="session")
+def docs(spark):
+    return spark.createDataFrame(messy(), SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def odd(spark):
+    """Rows without a doc_id and rows that repeat one."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, text), (None, None), (7, text), (7, text), (7, "other words"), (9, text), (8, None)]
+    return spark.createDataFrame([(i, t, "en", "s", 1, "x", 1, 1, 1) for i, t in rows], SCHEMA)

@@ -1,6 +1,6 @@
 import brute
 import pytest
-from messy_rows import SF, messy
+from messy_rows import SF, docs, messy, none, odd  # noqa: F401  fixtures
 
 import __spark_entry__ as entry
 import corpus_pipeline

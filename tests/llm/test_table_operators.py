@@ -4,7 +4,7 @@ import random
 import brute
 import numpy as np
 import pytest
-from messy_rows import SF, messy
+from messy_rows import SF, docs, messy, none, odd  # noqa: F401  fixtures
 from pyspark.sql import functions as F
 
 from traceweave.llm import common, exact_dedup, knn, language_id, near_dedup, sharding

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 import regex
 import tiktoken
-from messy_rows import SF, messy
+from messy_rows import SF, docs, messy, none, odd  # noqa: F401  fixtures
 from tokenizers import Tokenizer
 
 from traceweave.llm import byte_bpe, html_text, packing, substring_dedup, token_counts, transducer
