@@ -33,9 +33,10 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int = BUCKETS):
         self.spark, self.buckets = spark, buckets
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
-
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT, group_size BIGINT) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS"
+        )
 
     def rows(self) -> DataFrame:
         """digest (32 bytes), keep_id, group_size."""
@@ -48,8 +49,6 @@ class DigestIndex:
             .groupBy(F.unhex("text_sha256").alias("digest"))
             .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         )
-        if not self.exists():
-            return found
         return found.join(self.rows().hint("merge"), "digest", "left_anti")
 
     def add(self, docs: DataFrame) -> None:
