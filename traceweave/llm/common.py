@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow in batches bounded by bytes, so that long texts do not pile up beside a task's heap.
+
+    Spark reads the bound when the query runs, so it stays set for the session unless the session has its own.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_BYTES, None) is None:
+        conf.set(_BATCH_BYTES, "4m")
+    return df.mapInArrow(function, schema)
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str, ways: int = 64) -> DataFrame:
     """Add `name`: a gapless number from 0 within `keys`, in `order` within each of `ways` slices of a key.
 
@@ -59,22 +75,50 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str, ways:
     )
 
 
+#: Edges that one task contracts at a time, about.
+EDGE_BLOCK = 500_000
+
+
+def _contracted(batches):
+    """The edges of one block as stars around their smallest nodes: (node, root) for every node but the roots."""
+    parts = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+    if not parts:
+        return
+    left, right = (np.concatenate(side) for side in zip(*parts, strict=True))
+    nodes, codes = np.unique(np.concatenate((left, right)), return_inverse=True)
+    left, right = codes[: len(left)], codes[len(left) :]
+    root = np.arange(len(nodes))
+    while True:
+        # Roots of linked nodes are joined at the smaller one, then every node looks up its root's root.
+        low = np.minimum(root[left], root[right])
+        before = root.copy()
+        np.minimum.at(root, root[left], low)
+        np.minimum.at(root, root[right], low)
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+        if np.array_equal(root, before):
+            break
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], names=["a", "b"])
+
+
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, root) for every node of an undirected edge list; root is the smallest node that can be reached.
 
-    Alternates large-star and small-star steps until the edges no longer change. Each step is a grouped minimum and a
-    join on the node, so a node with a third of all edges is split by adaptive execution. Nulls are no nodes.
+    Each round contracts blocks of about EDGE_BLOCK edges to stars, all blocks side by side. If the stars of different
+    blocks touch, a large-star and a small-star step over all edges (grouped minima and joins on the node, which
+    adaptive execution splits where one node has a third of all edges) bring them together, and the next round
+    contracts what is left. Nulls are no nodes.
     """
     a, b = F.col("a"), F.col("b")
     now = edges.select(F.col(left).cast("long").alias("a"), F.col(right).cast("long").alias("b"))
-    now = now.where(a.isNotNull() & b.isNotNull())
-    # A self edge keeps a lone node in the result.
-    nodes = stored(now.select("a").union(now.select(F.col("b").alias("a"))).distinct(), "cc-nodes")
-    now = stored(
-        now.where(a != b).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges"
-    )
-    state = None
+    given = stored(now.where(a.isNotNull() & b.isNotNull()), "cc-edges")
+    now = given.where(a != b)
     while True:
+        blocks = max(1, -(-now.count() // EDGE_BLOCK))
+        now = stored(in_arrow(now.coalesce(blocks), _contracted, "a long, b long"), "cc-stars")
+        if _are_stars(now):
+            break
         both = now.union(now.select("b", "a").toDF("a", "b"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where(b > a).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -82,10 +126,15 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
         large = large.where(a != b).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where(a != b)
-        small = small.union(low.select("a", F.col("m").alias("b"))).distinct()
-        now = stored(small, "cc-edges")
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(found) == state:
-            break
-        state = tuple(found)
+        now = stored(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "cc-edges")
+    nodes = given.select("a").union(given.select("b")).distinct()
     return nodes.join(now, "a", "left").select(F.col("a").alias("node"), F.coalesce("b", "a").alias("root"))
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one root at most, and no root has one."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("root")).union(
+        edges.select("b", F.lit(0), F.lit(1))
+    )
+    found = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("root").alias("root"))
+    return found.where((F.col("out") > 1) | (F.col("out") > 0) & (F.col("root") > 0)).isEmpty()

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceweave.llm.common import components, stored
+from traceweave.llm.common import components, in_arrow, stored
 from traceweave.llm.words import mix, powers, shingle_hashes, slices, words_of
 
 BANDS, ROWS = 32, 5
@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = texts.where(F.col("doc_id").isNotNull())
     signed = stored(
-        known.mapInArrow(_signatures(k), "doc_id long, n_shingles long, key_1 long, key_2 long, bands array<long>"),
+        in_arrow(known, _signatures(k), "doc_id long, n_shingles long, key_1 long, key_2 long, bands array<long>"),
         "near-signatures",
     )
     full = signed.where("n_shingles > 0")
@@ -216,8 +216,11 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
     cluster = cluster.join(sizes.where("members > 1"), "cluster")
 
     sets = stored(
-        known.join(cluster, "doc_id").mapInArrow(
-            _item_sets(k), "doc_id long, cluster long, weight long, members long, most long, items binary"
+        in_arrow(
+            # Merged at every size, so that the work follows the input.
+            known.join(cluster.hint("merge"), "doc_id"),
+            _item_sets(k),
+            "doc_id long, cluster long, weight long, members long, most long, items binary",
         ),
         "near-sets",
     )
