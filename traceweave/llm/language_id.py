@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from traceweave.llm.common import in_arrow
 from traceweave.llm.transducer import classes_of
 from traceweave.llm.words import mix, slices, text_bytes
 
@@ -152,7 +153,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = EPOCH
     share = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, per_language / r["count"])) for r in found], "lang string, share double")
     drawn = usable.join(F.broadcast(shares), "lang").where(share < F.col("share"))  # MOST_LANGUAGES rows
-    rows = drawn.select("doc_id", "lang", "text").mapInArrow(_counted, "doc_id long, lang string, ids array<int>, counts array<int>, excerpt array<int>").toArrow()
+    counted = "doc_id long, lang string, ids array<int>, counts array<int>, excerpt array<int>"
+    rows = in_arrow(drawn.select("doc_id", "lang", "text"), _counted, counted).toArrow()
     return fit(rows, epochs)
 
 
@@ -220,7 +222,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = ["doc_id", "held_out", "lang_pred", "score", "accepted"]
-    return rows.mapInArrow(_predicted(sent, names), "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")
+    return in_arrow(rows, _predicted(sent, names), "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")
 
 
 def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -236,4 +238,4 @@ def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
             keep = pa.array((best >= 0) & (score >= known.threshold))
             yield batch.select(names).filter(keep)
 
-    return docs.withColumn(clash, F.col("text").cast("string")).mapInArrow(run, docs.schema)
+    return in_arrow(docs.withColumn(clash, F.col("text").cast("string")), run, docs.schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceweave.llm.common import ranked, stored
+from traceweave.llm.common import in_arrow, ranked, stored
 from traceweave.llm.token_counts import SPECIAL, split_special
 from traceweave.llm.transducer import pieces_of
 from traceweave.llm.words import slices
@@ -156,7 +156,7 @@ def packed(
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    pieces = stored(texts.mapInArrow(_pieces(tokenizer_path, special, capacity, end_id), schema), "pack-pieces")
+    pieces = stored(in_arrow(texts, _pieces(tokenizer_path, special, capacity, end_id), schema), "pack-pieces")
     counts = {row["length"]: row["count"] for row in pieces.groupBy("length").count().collect()}
     slots = pieces.sparkSession.createDataFrame(
         plan(counts, capacity), "length long, rank_from long, rank_to long, sequence_from long, offset long"

@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from traceweave.llm.common import in_arrow
 from traceweave.llm.transducer import CountTransducer, pieces_of, read_ranks
 from traceweave.llm.words import slices, text_bytes
 
@@ -78,6 +79,6 @@ def _counted(path: str, special: tuple[str, ...], limit: int):
 def token_counts(docs: DataFrame, ranks_path: str, special: tuple[str, ...] = SPECIAL, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(
-        _counted(ranks_path, special, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+    return in_arrow(
+        texts, _counted(ranks_path, special, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
     )
