@@ -52,10 +52,12 @@ class DigestIndex:
         return found.join(self.rows().hint("merge"), "digest", "left_anti")
 
     def add(self, docs: DataFrame) -> None:
-        """Append the texts that are new."""
+        """Append the texts that are new, a file per bucket."""
+        # Dealt by bucket number, whatever the number of partitions is: no bucket is written by several tasks.
+        bucket = F.pmod(F.hash("digest"), F.lit(self.buckets))
         (
             self.fresh(docs)
-            .repartition(self.buckets, "digest")
+            .repartition(self.buckets, bucket)
             .write.mode("append")
             .bucketBy(self.buckets, "digest")
             .sortBy("digest")
