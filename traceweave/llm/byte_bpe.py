@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from traceweave.llm.common import in_arrow
 from traceweave.llm.transducer import pieces_of, read_ranks
 from traceweave.llm.words import slices
 
@@ -182,12 +183,16 @@ class PartitionCoder:
 _CODERS: dict[str, PartitionCoder] = {}
 
 
+def coder_of(path: str) -> PartitionCoder:
+    if path not in _CODERS:
+        _CODERS[path] = PartitionCoder(read_ranks(path))
+    return _CODERS[path]
+
+
 def _coded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            if path not in _CODERS:
-                _CODERS[path] = PartitionCoder(read_ranks(path))
-            coder = _CODERS[path]
+            coder = coder_of(path)
             pieces = pieces_of(batch.column("text"))
             numbers = coder.learn(pieces.distinct)[pieces.code] if len(pieces.code) else np.zeros(0, np.int64)
             counts, ids, decoded = coder.texts(numbers, pieces.first)
@@ -202,4 +207,4 @@ def _coded(path: str):
 def encode_decode(docs: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (decimal ids joined by a blank), decoded_sha256 (the bytes of the ids) of every row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_coded(ranks_path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_arrow(texts, _coded(ranks_path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
