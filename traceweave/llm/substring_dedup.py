@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from traceweave.llm.common import stored
+from traceweave.llm.common import in_arrow, stored
 from traceweave.llm.words import Words, mix, shingle_hashes, slices, windows_inside, words_of
 
 WINDOW = 13
@@ -98,6 +98,10 @@ def _windows(window: int):
             held = mix(seeds) + mix(text.astype(np.uint64) + np.uint64(1))
             hit = _member(held, wanted)
             at, text = at[hit], text[hit]
+            # A window that a text repeats is looked up once; its first place stands for all.
+            key = mix(hashes[at]) + mix(text.astype(np.uint64) + np.uint64(1))
+            first = np.sort(np.unique(key, return_index=True)[1])
+            at, text = at[first], text[first]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(hashes[at].view(np.int64)),
@@ -142,17 +146,17 @@ def duplicate_factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     ids, text = F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     # Distinct texts only: a copy has no window that its first holder lacks.
     own = docs.select(ids, text).where(F.col("doc_id").isNotNull()).join(copies, F.col("doc_id") == F.col("__id"), "left_anti")
-    seeds = own.mapInArrow(_seeds(window), "seed long, doc_id long")
+    seeds = in_arrow(own, _seeds(window), "seed long, doc_id long")
     spread = seeds.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     shared = spread.where("low < high").select("seed")
     wanted = seeds.join(shared, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("__seeds"))
     wanted = stored(wanted.withColumnRenamed("doc_id", "__id"), "sub-seeds")
     # A left join without a filter above it: this shuffle of the documents is then the same as that of the removal, and
     # one query that runs both writes it once.
-    windows = (
-        docs.join(wanted, F.col("doc_id") == F.col("__id"), "left")
-        .select(ids, text, "__seeds")
-        .mapInArrow(_windows(window), "hash long, doc_id long, place int")
+    windows = in_arrow(
+        docs.join(wanted, F.col("doc_id") == F.col("__id"), "left").select(ids, text, "__seeds"),
+        _windows(window),
+        "hash long, doc_id long, place int",
     )
     index = windows.groupBy("hash").agg(F.min(F.struct("doc_id", "place")).alias("source"), F.max("doc_id").alias("last"))
     index = index.where(F.col("source.doc_id") < F.col("last")).select("hash", "source")
@@ -248,7 +252,7 @@ def remove_factors(docs: DataFrame, factors: DataFrame, window: int = WINDOW, sh
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     schema += "".join(f", {n} {kinds[n]}" for n in show)
     rows = _joined(docs, factors).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.select("doc_id", "text", "__factors", "__copy").mapInArrow(_removed(window, names), schema)
+    return in_arrow(rows.select("doc_id", "text", "__factors", "__copy"), _removed(window, names), schema)
 
 
 def without_factors(docs: DataFrame, factors: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -256,6 +260,6 @@ def without_factors(docs: DataFrame, factors: DataFrame, window: int = WINDOW) -
     names = [*docs.columns, "__removed", "__kept"]
     schema = StructType([*docs.schema.fields, StructField("__removed", LongType()), StructField("__kept", StringType())])
     schema["text"].dataType = StringType()
-    rows = _joined(docs, factors).drop("__id").mapInArrow(_removed(window, names), schema)
+    rows = in_arrow(_joined(docs, factors).drop("__id"), _removed(window, names), schema)
     text = F.when(F.col("__removed") > 0, F.col("__kept")).otherwise(F.col("text"))
     return rows.withColumn("text", text).select(*docs.columns)
