@@ -166,6 +166,30 @@ def test_shard_bytes_are_near_equal(spark):
     assert {r["law"] for r in found} == {"bytes"} and {r["grown_shard"] for r in found} == {None}
 
 
+def test_shards_beside_a_group_of_a_third(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("length(text) < 4000")
+    total = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0]
+    text = "hot " * 100
+    hot = spark.range(total // 2 // (len(text) + 1)).select((F.col("id") + 10**6).alias("doc_id"), F.lit(text).alias("text"))
+    found = rows(sharding.shards_of(docs.union(hot), 8))
+    (own,) = {r["shard"] for r in found if r["doc_id"] >= 10**6}
+    assert {r["shard"] for r in found if r["doc_id"] < 10**6} == set(range(8)) - {own}
+    loads = np.delete(np.bincount([r["shard"] for r in found], [r["size"] for r in found], 8), own)
+    assert loads.max() - loads.min() < 0.02 * loads.mean() + 50
+
+
+def test_plan_of_groups_above_the_mean():
+    loads = lambda counts, shards=8: np.bincount(*zip(*((x, s * (b - a)) for s, a, b, x in sharding.plan(counts, shards)), strict=True), shards)
+    assert loads({700: 1, 10: 140}).tolist() == [700, *[200] * 7]
+    # The mean of what is left falls below the second and third size, too.
+    assert loads({1000: 1, 300: 2, 150: 1, 1: 400}).tolist() == [1000, 300, 300, 150, *[100] * 4]
+    assert loads({9: 3, 2: 1}).tolist() == [9, 9, 9, 2, 0, 0, 0, 0]
+    assert loads({5: 2, 1: 3}, 1).tolist() == [13]
+    ranks = sorted((s, r) for s, a, b, _ in sharding.plan({1000: 1, 300: 2, 1: 400}, 8) for r in range(a, b))
+    assert ranks == [*((1, r) for r in range(400)), (300, 0), (300, 1), (1000, 0)]
+    assert sharding.plan({}, 8) == []
+
+
 def test_best_fit_decreasing():
     assert sharding.best_fit({6: 2, 4: 2, 3: 1}, None, 10) is not None
     r = random.Random(5)

@@ -5,7 +5,8 @@ Rows with equal texts form a group that stays in one shard. The bytes of a group
 1. Groups are formed by digest with a grouped sum (combined before the shuffle).
 2. `plan` packs sizes, not groups: from large to small, the groups of one size go into the bin with the least room that
    still holds them, found in a balanced tree of the bins by room left. A size's groups go in as counts, so the work is
-   sizes x shards. The capacity is the least for which the shards suffice, found by bisection from the mean.
+   sizes x shards. A group above the mean load has a shard to itself; for the others, the capacity is the least for
+   which the other shards suffice, found by bisection from their mean.
 3. Sizes above `EXACT` bytes are few for their bytes; below, they are themselves the histogram. So that the plan stays
    bounded, sizes above EXACT are rounded up to `STEP`s of their power of two for planning only.
 4. Groups take the planned places of their size by a gapless rank within it (two-step numbering).
@@ -107,22 +108,31 @@ def best_fit(counts: dict[int, int], shards: int | None, capacity: int) -> list[
 
 
 def plan(counts: dict[int, int], shards: int) -> list[tuple[int, int, int, int]]:
-    """The runs of the least capacity that best fit decreasing needs for these shards."""
-    if not counts:
-        return []
-    total, largest = sum(s * n for s, n in counts.items()), max(counts)
-    low = max(-(-total // shards), largest)
-    high = low
-    while (found := best_fit(counts, shards, high)) is None:
+    """Groups above the mean load alone in the first shards; the rest in the others, at the least capacity that best fit needs.
+
+    Without its largest group the mean of what is left falls, so the next group may be above it too.
+    """
+    rest, alone = dict(counts), []
+    while rest:
+        size, left = max(rest), shards - len(alone)
+        if size * left <= sum(s * n for s, n in rest.items()):
+            break
+        # Groups of one size are all above the mean, or none is.
+        alone += [(size, rank, rank + 1, len(alone) + rank) for rank in range(rest.pop(size))]
+    if not rest:
+        return alone
+    first, shards = len(alone), shards - len(alone)
+    low = high = -(-sum(s * n for s, n in rest.items()) // shards)
+    while (found := best_fit(rest, shards, high)) is None:
         low, high = high + 1, high + max(1, high // 64)
     while low < high:
         middle = (low + high) // 2
-        tried = best_fit(counts, shards, middle)
+        tried = best_fit(rest, shards, middle)
         if tried is None:
             low = middle + 1
         else:
             high, found = middle, tried
-    return found
+    return alone + [(size, start, end, first + shard) for size, start, end, shard in found]
 
 
 def shards_of(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
