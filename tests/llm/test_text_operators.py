@@ -63,6 +63,38 @@ def test_dense_subtree_wins_over_link_lists():
     assert html_text.main_text(page) == ("word " * 40).strip() + "\n" + ("text " * 40).strip()
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='content no-sidebar'>{}</div>",
+        "<div class='layout with-sidebar'>{}<div class=sidebar>see also</div></div>",
+        "<div class='layout withSidebar'>{}</div>",
+        "<div id=page class=has-header><div class=header>site name</div>{}<div class=comments><p>nice</div></div>",
+        "<section id=legal>{}</section>",
+        "<div class='post related-2024'>{}</div><div class=ad>buy</div>",
+        "<div class='post comments-open'>{}<div class=comment>one</div><div class=comment>two</div></div>",
+        "<span class=promo>{}</span>",
+        "<article><p class=notice>note</p><div class='entry legal'>{}</div></article>",
+        # Reader comments above the article's length, one by one and beside an article element.
+        "<div>{}</div><div class=comments>" + "<div class=comment><p>agreed, says a reader of it</div>" * 9 + "</div>",
+        "<article>{}</article><div class=comments>" + "<p>agreed, says a reader of it" * 9 + "</div>",
+        "<main><article>{}</article><div class=comments>" + "<p>agreed, says a reader of it" * 9 + "</div></main>",
+        # All with a hint; the largest stays.
+        "<div class=sidebar>" + "side " * 10 + "</div><div class='post related'>{}</div><div class=widget>" + "more " * 10 + "</div>",
+    ],
+)
+def test_words_of_class_and_id_are_hints_only(page):
+    page = "<body>" + page.replace("{}", f"<p>{'word ' * 10}</p><p>{'text ' * 10}</p>") + "<footer>f</footer></body>"
+    assert html_text.main_text(page) == ("word " * 10).strip() + "\n" + ("text " * 10).strip()
+
+
+def test_small_elements_with_a_hint_go():
+    page = "<body><div class=ad>buy</div><p>one <span class=share>tell</span> two<p class='ad has-image'>x</p><div class='ad'/><p>end</p></body>"
+    assert html_text.main_text(page) == "one two\nend"
+    nested = "<div class=ad>" * 3000 + "x" + "</div>" * 3000
+    assert html_text.main_text(f"<body><p>real text here</p>{nested}</body>") == "real text here"
+
+
 def test_pages_query(spark):
     out = q.QUERIES["op1_main_text"](spark, SF)
     found = rows(out)

@@ -1,8 +1,11 @@
 """Main text of web pages by composite text density.
 
 A page is read into a tree of its block elements (inline markup and line breaks belong to the block around them).
-Elements that are never article text go first: by tag (menus, headers, footers, sidebars, forms, scripts ...), by role,
-and by words of class and id (adverts, notices, reader comments ...). For every remaining block, with C characters,
+Elements that are never article text go first, by tag (menus, headers, footers, sidebars, forms, scripts ...) and by
+role. Words of class and id (adverts, notices, reader comments ...) are hints only: of the elements that have one, from
+small to large, each goes unless it holds most of the text outside of links that is then left; such an element stays and
+its density decides, but if an `article` or `main` element beside it holds most of the text without hints, it goes, too.
+Words behind no, with, has and the like (no-sidebar, has-header) are no hints. For every remaining block, with C characters,
 T tags, LC link characters and LT link tags in its subtree, and C_b, LC_b those of the body, the composite density is
 
     C / T * log(C / LC * T / LT) to the base ln(C / (C - LC) * LC + LC_b / C_b * C + e)
@@ -52,6 +55,8 @@ DROPPED_WORDS = frozenset(
     "subscription signup login share sharing social related recommended recommendations pagination pager toolbar "
     "copyright legal disclaimer".split()
 )
+#: What follows one of these in a name tells of the layout, not of the element.
+LAYOUT_WORDS = frozenset("no non not without with has have hide".split())
 #: A new one of these ends an open one of those.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 ENDS |= {"option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "body": {"head"}}
@@ -75,24 +80,122 @@ class Block:
         self.density = self.total = 0.0
 
 
-def _unwanted(tag: str, attributes: str) -> bool:
+def _hinted(names: str) -> bool:
+    """Whether a name in a class or id has a dropped word that no layout word precedes."""
+    for name in names.split():
+        for word in _WORD.findall(_CAMEL.sub(" ", name).lower()):
+            if word in LAYOUT_WORDS:
+                break
+            if word in DROPPED_WORDS:
+                return True
+    return False
+
+
+def _unwanted(tag: str, attributes: str) -> str:
+    """"never": never article text; "hint": a word of class or id says so; else empty."""
     if tag in DROPPED:
-        return True
+        return "never"
     if not attributes or tag in ("html", "body", "main", "article"):
-        return False
+        return ""
+    hint = ""
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return "never"
         if name == "role" and value.lower() in DROPPED_ROLES:
-            return True
-        if name in ("class", "id") and not DROPPED_WORDS.isdisjoint(_WORD.findall(_CAMEL.sub(" ", value).lower())):
-            return True
-    return False
+            return "never"
+        if name in ("class", "id") and _hinted(value):
+            hint = "hint"
+    return hint
+
+
+class Hints:
+    """The elements of a page with a hint, and the characters outside of links in them, beside them and in articles."""
+
+    def __init__(self):
+        # Of each element: its place in the page, the element and the article around it, its own characters.
+        self.places, self.around, self.article, self.chars = [], [], [], []
+        self.open: list[tuple[int, str, int]] = []
+        self.levels: dict[str, int] = {}
+        self.last: dict[str, list[int]] = {}
+        self.plain = 0
+        self.articles: list[list[int]] = []  # [article around it, characters without a hint]
+        self.open_articles: list[tuple[int, str]] = []
+
+    def meet(self, tag: str, closing: bool) -> None:
+        """Every tag outside of removed elements: an element ends as a removed one does."""
+        level = self.levels[tag] = self.levels.get(tag, 0) + (-1 if closing else 1)
+        if closing and tag in ("body", "html") or not closing and tag in ("article", "main"):
+            self._end(0)
+        elif closing:
+            held = self.last.get(tag)
+            while held and self.open[held[-1]][2] > level:
+                self._end(held[-1])
+        if tag in ("article", "main"):
+            if not closing:
+                self.open_articles.append((len(self.articles), tag))
+                self.articles.append([self.open_articles[-2][0] if len(self.open_articles) > 1 else -1, 0])
+            elif any(t == tag for _, t in self.open_articles):
+                while self.open_articles.pop()[1] != tag:
+                    pass
+
+    def _end(self, depth: int) -> None:
+        while len(self.open) > depth:
+            self.last[self.open.pop()[1]].pop()
+
+    def begin(self, tag: str, place: int) -> None:
+        self.around.append(self.open[-1][0] if self.open else -1)
+        self.article.append(self.open_articles[-1][0] if self.open_articles else -1)
+        self.last.setdefault(tag, []).append(len(self.open))
+        self.open.append((len(self.places), tag, self.levels[tag]))
+        self.places.append(place)
+        self.chars.append(0)
+
+    def say(self, chars: int) -> None:
+        if self.open:
+            self.chars[self.open[-1][0]] += chars
+            return
+        self.plain += chars
+        if self.open_articles:
+            self.articles[self.open_articles[-1][0]][1] += chars
+
+    def removed(self) -> frozenset[int]:
+        """The places of the elements to remove."""
+        left = self.plain + sum(self.chars)
+        for i in reversed(range(len(self.places))):
+            if self.around[i] >= 0:
+                self.chars[self.around[i]] += self.chars[i]
+        for i in reversed(range(len(self.articles))):
+            if self.articles[i][0] >= 0:
+                self.articles[self.articles[i][0]][1] += self.articles[i][1]
+        # The innermost article with most of the text without hints.
+        lead = max((i for i, (_, chars) in enumerate(self.articles) if 2 * chars > self.plain), default=-1)
+        gone = set()
+        # Inner elements come before those around them.
+        for i in sorted(range(len(self.places)), key=lambda i: (self.chars[i], -i)):
+            article = self.article[i]
+            while article > lead:
+                article = self.articles[article][0]
+            if 2 * self.chars[i] > left and (lead < 0 or article == lead):
+                continue
+            own, around = self.chars[i], i
+            left -= own
+            while around >= 0:
+                self.chars[around] -= own
+                around = self.around[around]
+            gone.add(self.places[i])
+        return frozenset(gone)
 
 
 def parse(page: str) -> Block:
-    """The block tree of a page, without the elements that are never article text."""
+    """The block tree of a page, without the elements that are not article text."""
+    root = _read(page, frozenset(), hints := Hints())
+    removed = hints.removed()
+    return _read(page, removed, None) if removed else root
+
+
+def _read(page: str, removed: frozenset[int], hints: Hints | None) -> Block:
+    """The block tree of a page without the elements at the places `removed`; `hints` are gathered if asked for."""
     root = node = Block("#page", None)
     text: list[str] = []
     link_depth, link_chars, links = 0, 0, 0
@@ -113,6 +216,14 @@ def parse(page: str) -> Block:
         text.append(decoded)
         if link_depth:
             link_chars += len("".join(decoded.split()))
+        elif hints is not None:
+            hints.say(len("".join(decoded.split())))
+
+    def unwanted(tag: str, attributes: str, place: int, single: bool) -> bool:
+        found = _unwanted(tag, attributes)
+        if found == "hint" and hints is not None and not single:
+            hints.begin(tag, place)
+        return found == "never" or found == "hint" and (place in removed or single)
 
     while at < n:
         match = _MARKUP.search(page, at)
@@ -142,13 +253,15 @@ def parse(page: str) -> Block:
                 gone, depth = "", 0
             if gone or tag not in ("article", "main", "body"):
                 continue
+        if hints is not None:
+            hints.meet(tag, closing)
         if tag in INLINE:
             if tag == "a":
                 link_depth = max(0, link_depth + (-1 if closing else 1))
                 links += not closing
             if tag == "br":
                 text.append(" ")
-            elif not closing and tag not in VOID and _unwanted(tag, match[3]):
+            elif not closing and tag not in VOID and unwanted(tag, match[3], match.start(), False):
                 gone, depth = tag, 1
             continue
         if closing:
@@ -165,8 +278,9 @@ def parse(page: str) -> Block:
             continue
         flush()
         link_depth = 0
-        if _unwanted(tag, match[3]):
-            if not match[3].rstrip().endswith("/"):
+        single = match[3].rstrip().endswith("/")
+        if unwanted(tag, match[3], match.start(), single):
+            if not single:
                 gone, depth = tag, 1
             continue
         # A block ends an open paragraph or heading; list items, cells and rows end their like.
