@@ -3,6 +3,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from messy_rows import SF, docs, messy, none, odd  # noqa: F401  fixtures
 from pyspark.sql import functions as F
@@ -119,6 +120,60 @@ def test_near_in_blocks_finds_chains(spark):
     check_near(rows(near_dedup.near_duplicates(docs, 2, block=5)), texts, 2)
 
 
+def templated():
+    """Small true groups that one template chains into a single cluster."""
+    r = random.Random(3)
+    template, texts = [f"t{i}" for i in range(120)], []
+    for group in range(30):
+        own = [f"g{group}w{i}" for i in range(50)]
+        for copy in range(3):
+            words = own[:]
+            words[r.randrange(50)] = f"g{group}c{copy}"
+            texts.append((len(texts) + 1, " ".join(template + words)))
+    r.shuffle(texts)
+    return texts
+
+
+def test_near_groups_of_rows_are_bounded(spark, monkeypatch):
+    texts, linked = templated(), near_dedup._linked
+
+    def bounded(percent, k):
+        run = linked(percent, k)
+
+        def checked(key, group):
+            assert group.num_rows <= 40, f"{group.num_rows} rows in one group"
+            return run(key, group)
+
+        return checked
+
+    monkeypatch.setattr(near_dedup, "_linked", bounded)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = rows(near_dedup.near_duplicates(docs, 2, block=8))
+    check_near(found, texts, 2)
+    assert len({r["component_id"] for r in found}) == 30
+
+
+def test_near_probes_go_where_a_rare_item_is_shared(spark):
+    sets = [(i, near_dedup.shingle_sets(pa.array([t]), 2)[0].tobytes()) for i, t in templated()]
+    marked = spark.createDataFrame(sets, "doc_id long, items binary").selectExpr(
+        "1L as cluster", "doc_id", "items", "doc_id as label", "cast(doc_id % 11 as int) as block"
+    )
+    routed = {(r["doc_id"], r["block"]) for r in near_dedup._routed(marked, marked.select("cluster", "doc_id"), 80).collect()}
+    group = lambda i: range((i - 1) // 3 * 3 + 1, (i - 1) // 3 * 3 + 4)
+    assert routed == {(i, j % 11) for i, _ in sets for j in group(i)}
+
+
+def test_linked_sets_share_a_prefix_item():
+    r = np.random.default_rng(2)
+    for counts in (np.zeros(near_dedup.RARITIES, np.int64), r.integers(0, 9, near_dedup.RARITIES)):
+        for n in range(1, 60):
+            base = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+            for m in range(-(-80 * n // 100), n + 1):  # a subset at or above the threshold
+                part = np.sort(r.permutation(base)[:m])
+                assert len(np.intersect1d(near_dedup.prefix(base, counts, 80), near_dedup.prefix(part, counts, 80)))
+    assert len(near_dedup.prefix(np.arange(10, dtype=np.uint64), counts, 80)) == 3
+
+
 def test_near_odd_ids(odd, none):
     found = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in rows(near_dedup.near_duplicates(odd)))
     assert found == [(0, 0, True)] * 2 + [(7, 7, True)] * 3 + [(8, 8, True), (9, 7, False)]

@@ -10,9 +10,12 @@ have a Jaccard similarity of at least `percent` / 100 and gives every document t
 3. Each document's set travels once, to its cluster. There the samples are folded into a parity bitmap (odd sketch),
    XOR population counts discard pairs that are clearly too different, pairs already connected are skipped, and what
    is left is confirmed on full sets. Only links that connect something new leave the task.
-4. A cluster above `BLOCK` documents is dealt into blocks. First its best-connected documents (hubs) probe all blocks;
-   then the documents outside the largest component found so far probe all blocks. Pairs inside that component need
-   no test. So the rows dealt are members + probes x blocks, and no task holds more than one block and a probe slice.
+4. A cluster above `BLOCK` documents is dealt into blocks. First its best-connected documents (hubs) probe all blocks.
+   Then each document outside the largest component found so far probes the blocks with a member of another component
+   that it may be linked with by prefix filter: linked sets share an item among the rarest size - ceil(percent % of
+   size) + 1 of each, in any fixed order of items. The order is by how often an item's bucket of `RARITIES` occurs. Pairs
+   inside a component need no test. The probes of a block are dealt into slices of about `block`, so a group of rows
+   has about one block and one slice.
 
 Defined cases: a null text, or one without words, has n_shingles 0 and is linked with nothing; fewer words than a
 shingle make one shingle of all words; a null doc_id is linked with nothing and is its own component (null); rows
@@ -37,6 +40,8 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 1024
 BLOCK = 1500
 HUBS = 8
+#: Buckets by which items are counted to put rare ones first; any count gives right results.
+RARITIES = 1 << 20
 #: Deviations of the sample count that the sketch filter allows a pair at the threshold.
 SAFETY = 5.0
 _MULTIPLY = np.random.default_rng(7).integers(1, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -235,38 +240,100 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
     links = stored(links, "near-links")
     large = sets.where(F.col("members") > block).withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
     if not large.isEmpty():
-        links = links.union(_large_links(large, link))
+        links = links.union(_large_links(large, link, percent, block))
     return _labelled(texts, member, links)
 
 
-def _large_links(large: DataFrame, link) -> DataFrame:
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(RARITIES, np.int64)
+    for batch in batches:
+        raw, _ = _binary(batch.column("items"))
+        counts += np.bincount((mix(raw.view(np.uint64)) % np.uint64(RARITIES)).astype(np.int64), minlength=RARITIES)
+    held = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[held])], names=["bucket", "n"])
+
+
+def prefix(items: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest items of a set, of which sets linked with it hold at least one among their own."""
+    rarity = counts[(mix(items) % np.uint64(RARITIES)).astype(np.int64)]
+    return items[np.lexsort((items, rarity))[: len(items) + 1 + -percent * len(items) // 100]]
+
+
+def _prefixes(counts, percent: int):
+    kept = ["cluster", "doc_id", "block", "label"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = _binary(batch.column("items"))
+            parts = [prefix(raw[a:b].view(np.uint64), counts.value, percent) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            if not parts:
+                continue
+            owner = pa.array(np.repeat(np.arange(len(parts)), [len(x) for x in parts]))
+            arrays = [batch.column(n).take(owner) for n in kept] + [pa.array(np.concatenate(parts).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "item"])
+
+    return run
+
+
+def _large_links(large: DataFrame, link, percent: int, block: int) -> DataFrame:
     """Links of the clusters above a block."""
-    place = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    columns = ["doc_id", "items", "label"]
 
     def probed(probes: DataFrame, rows: DataFrame) -> DataFrame:
-        dealt = rows.select("cluster", place, "doc_id", "items", "label", F.lit(False).alias("probe"))
-        asked = probes.select("cluster", every, "doc_id", "items", "label", F.lit(True).alias("probe"))
+        """Links of probes, each with the block it goes to, with the rows of that block."""
+        many = probes.groupBy("cluster", "block").agg(F.ceil(F.count("*") / block).cast("int").alias("slices"))
+        many = F.broadcast(stored(many, "near-slices"))  # a row per `block` members
+        every = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
+        own = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.col("slices")).cast("int").alias("slice")
+        dealt = rows.join(many, ["cluster", "block"]).select("cluster", "block", every, *columns, F.lit(False).alias("probe"))
+        asked = probes.join(many, ["cluster", "block"]).select("cluster", "block", own, *columns, F.lit(True).alias("probe"))
         return stored(
-            dealt.union(asked).groupBy("cluster", "block").applyInArrow(link, "left long, right long"), "near-links"
+            dealt.union(asked).groupBy("cluster", "block", "slice").applyInArrow(link, "left long, right long"), "near-links"
         )
 
-    rows = large.withColumn("label", F.col("doc_id"))
+    place = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    rows = large.withColumn("label", F.col("doc_id")).withColumn("block", place)
     # Hubs: the best-connected document of each of HUBS slices of a cluster, by one grouped maximum.
     hubs = large.groupBy("cluster", F.pmod(F.xxhash64("doc_id"), F.lit(HUBS)).alias("slice"))
     hubs = hubs.agg(F.max(F.struct("weight", F.col("doc_id").alias("hub"))).alias("top"))
     hub_ids = hubs.select("cluster", F.col("top.hub").alias("doc_id"))
-    first = probed(rows.join(hub_ids, ["cluster", "doc_id"]), rows)
+    everywhere = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    first = probed(rows.join(hub_ids, ["cluster", "doc_id"]).withColumn("block", everywhere), rows)
 
     roots = components(first, "left", "right").toDF("doc_id", "root")
     marked = stored(
-        large.join(roots, "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id")).drop("root"), "near-marked"
+        rows.join(roots, "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id")).drop("root"), "near-marked"
     )
     counted = marked.groupBy("cluster", "label").count()
     lead = counted.groupBy("cluster").agg(F.max(F.struct("count", "label")).alias("top"))
     lead = lead.select("cluster", F.col("top.label").alias("lead"))
-    rest = marked.join(lead, "cluster").where(F.col("label") != F.col("lead")).drop("lead")
-    return first.union(probed(rest, marked))
+    rest = marked.join(lead, "cluster").where(F.col("label") != F.col("lead")).select("cluster", "doc_id").distinct()
+    rest = stored(rest, "near-rest")
+    if rest.isEmpty():
+        return first
+    return first.union(probed(_routed(marked, rest, percent), marked))
+
+
+def _routed(marked: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
+    """The rows of `rest`, once for each block where one may be linked with a row of another label."""
+    open_rows = marked.join(rest.select("cluster").distinct(), "cluster", "left_semi")
+    found = in_arrow(open_rows.select("items"), _bucket_counts, "bucket long, n long")
+    found = found.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # RARITIES rows at most
+    counts = np.zeros(RARITIES, np.int64)
+    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    sent = marked.sparkSession.sparkContext.broadcast(counts)
+    fields = "cluster long, doc_id long, block int, label long, item long"
+    rare = in_arrow(open_rows.select("cluster", "doc_id", "block", "label", "items"), _prefixes(sent, percent), fields)
+    rare = stored(rare, "near-prefixes")
+    met = rare.groupBy("cluster", "item").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.array_sort(F.collect_set("block")).alias("met")
+    )
+    met = met.where("low < high").select("cluster", "item", "met")
+    asking = rare.join(rest, ["cluster", "doc_id"], "left_semi").select("cluster", "item", "doc_id")
+    # Common items have the same list of blocks, so few lists of a document are left to explode.
+    lists = asking.join(met, ["cluster", "item"]).select("cluster", "doc_id", "met").distinct()
+    routes = lists.select("cluster", "doc_id", F.explode("met").alias("block")).distinct()
+    return marked.drop("block").join(routes, ["cluster", "doc_id"])
 
 
 def _labelled(texts: DataFrame, member: DataFrame, links: DataFrame) -> DataFrame:
