@@ -149,6 +149,14 @@ def test_substring_odd_ids(odd, none):
     assert substring_dedup.remove_factors(none, substring_dedup.duplicate_factors(none)).count() == 0
 
 
+def test_substring_one_row_of_a_repeated_id_is_a_copy(spark):
+    first, other = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    given = [(1, first), (5, first), (5, other), (9, "lead " + other)]
+    docs = spark.createDataFrame(given, "doc_id long, text string")
+    found = rows(substring_dedup.remove_factors(docs, substring_dedup.duplicate_factors(docs), show=("kept_text",)))
+    assert sorted((r["doc_id"], r["n_removed"], r["kept_text"]) for r in found) == [(1, 0, first), (5, 0, other), (5, 40, ""), (9, 40, "lead")]
+
+
 # Tokens ---------------------------------------------------------------------------------------------------------
 
 

@@ -19,7 +19,7 @@ Windows are judged on the input, so removing a passage in one document never bri
 64-bit hashes of the words' bytes.
 
 Defined cases: null and empty texts have no words; texts below `window` words lose nothing; rows with a null doc_id
-are no reference and lose nothing; rows repeating a doc_id lose nothing to each other. Texts that are equal byte for
+are no reference and lose nothing; rows repeating a doc_id lose nothing to each other, and one of them may be a copy without the others. Texts that are equal byte for
 byte need no window: later copies lose all their words if they have a window at all. Other columns are kept by
 `remove_factors` and not read by `duplicate_factors`; an empty table gives an empty result.
 """
@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -127,25 +127,31 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(sizes)))
 
 
+def _digest() -> Column:
+    return F.unhex(F.sha2(F.col("text").cast("string"), 256))
+
+
 def _copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, first_id) of texts that are byte-for-byte copies of a text with a smaller doc_id."""
+    """(doc_id, digest) of texts that are byte-for-byte copies of a text with a smaller doc_id."""
     digests = docs.where(F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.col("text").cast("string"), 256).alias("digest")
+        F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest")
     )
     first = digests.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-    return digests.join(first.where("first_id < last_id"), "digest").where("first_id < doc_id").select("doc_id", "first_id")
+    return digests.join(first.where("first_id < last_id"), "digest").where("first_id < doc_id").select("doc_id", "digest")
 
 
 def duplicate_factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(__id, __factors, __copy): each document's windows that stand in earlier ones, as (hash, source_id, source_place).
 
-    `__copy` is set instead where the whole text is a copy of an earlier one.
+    `__copy` has the digests of those of a document's texts that are copies of an earlier one.
     """
-    copies = stored(_copies(docs), "sub-copies").groupBy("doc_id").agg(F.min("first_id").alias("__copy"))
+    copies = stored(_copies(docs), "sub-copies").groupBy("doc_id").agg(F.collect_set("digest").alias("__copy"))
     copies = copies.withColumnRenamed("doc_id", "__id")
     ids, text = F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     # Distinct texts only: a copy has no window that its first holder lacks.
-    own = docs.select(ids, text).where(F.col("doc_id").isNotNull()).join(copies, F.col("doc_id") == F.col("__id"), "left_anti")
+    copied = F.coalesce(F.array_contains("__copy", _digest()), F.lit(False))
+    own = docs.select(ids, text).where(F.col("doc_id").isNotNull())
+    own = own.join(copies, F.col("doc_id") == F.col("__id"), "left").where(~copied).select("doc_id", "text")
     seeds = in_arrow(own, _seeds(window), "seed long, doc_id long")
     spread = seeds.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     shared = spread.where("low < high").select("seed")
@@ -185,19 +191,23 @@ def _parse(hashes: np.ndarray, found: dict, window: int) -> list[tuple[int, int]
     return factors
 
 
+def _text_digest(text: pa.Scalar) -> bytes:
+    return hashlib.sha256(text.as_buffer()).digest()
+
+
 def _removed(window: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             words = words_of(batch.column("text"))
             hashes = shingle_hashes(words.hashes, window).view(np.int64)
-            copy = batch.column("__copy").is_valid().to_numpy(zero_copy_only=False)
+            copies = batch.column("__copy")
             held = batch.column("__factors")
             total, gone, texts, parsed = [], [], [], []
             for i in range(len(batch)):
                 a, b = int(words.first[i]), int(words.first[i + 1])
                 n = b - a
                 factors: list[tuple[int, int]] = []
-                if copy[i] and n >= window:
+                if n >= window and copies[i].is_valid and _text_digest(batch.column("text")[i]) in copies[i].as_py():
                     factors = [(0, n)]
                 elif held[i].is_valid and n >= window:
                     items = held[i].values
