@@ -8,6 +8,7 @@ from traceweave.catalog import query, r6
 from traceweave.catalog.tables import DAY, HOUR, PACKETS_SQL, packets, parsed_packets, table
 from traceweave.functions.exprs import rounded
 from traceweave.operators import features as FE
+from traceweave.operators import matching as M
 from traceweave.operators import rounds as R
 from traceweave.operators.features import TRACE
 from traceweave.operators.joins import interval_join, overlapping_pairs
@@ -83,28 +84,58 @@ def directional_bursts(spark, sf_dir):
     )
 
 
-@query(
+THRESHOLD_SQL = (
     BURSTS_SQL
     + f""", v AS (SELECT experiment_id, client_id, direction, dominant_bytes::DOUBLE AS v, row_number() OVER w AS i, count(*) OVER (PARTITION BY experiment_id, client_id, direction) AS n,
  lag(dominant_bytes::DOUBLE) OVER w AS lo FROM du WHERE dominant_bytes > 0 WINDOW w AS (PARTITION BY experiment_id, client_id, direction ORDER BY dominant_bytes, span)),
 g AS (SELECT *, log10(greatest(v, 1)) - log10(CASE WHEN lo IS NOT NULL THEN greatest(lo, 1) END) AS gap FROM v),
 s AS (SELECT experiment_id, client_id, direction, any_value(n) AS n, median(v) AS med, median(v) FILTER (WHERE i > n // 2) AS upper, max(gap) AS gap FROM g GROUP BY 1, 2, 3),
 f AS (SELECT g.experiment_id, g.client_id, g.direction, min(i) AS i FROM g JOIN s USING (experiment_id, client_id, direction) WHERE g.gap = s.gap GROUP BY 1, 2, 3),
-t AS (SELECT s.*, g.lo, g.v, s.n - g.i + 1 AS above FROM s LEFT JOIN f USING (experiment_id, client_id, direction) LEFT JOIN g ON g.experiment_id = s.experiment_id AND g.client_id = s.client_id AND g.direction = s.direction AND g.i = f.i)
-SELECT experiment_id, client_id, direction, n AS burst_count, {r6("greatest(1500, CASE WHEN n < 4 THEN 0.5 * med WHEN gap >= 0.55 AND above >= greatest(3, ceil(n * 0.10)) THEN sqrt(lo * v) ELSE 0.25 * upper END)")} AS threshold_bytes FROM t"""
+t AS (SELECT s.*, g.lo, g.v, s.n - g.i + 1 AS above FROM s LEFT JOIN f USING (experiment_id, client_id, direction) LEFT JOIN g ON g.experiment_id = s.experiment_id AND g.client_id = s.client_id AND g.direction = s.direction AND g.i = f.i),
+th AS (SELECT experiment_id, client_id, direction, n, greatest(1500, CASE WHEN n < 4 THEN 0.5 * med WHEN gap >= 0.55 AND above >= greatest(3, ceil(n * 0.10)) THEN sqrt(lo * v) ELSE 0.25 * upper END) AS threshold FROM t)"""
 )
+
+
+@query(THRESHOLD_SQL + f" SELECT experiment_id, client_id, direction, n AS burst_count, {r6('threshold')} AS threshold_bytes FROM th")
 def major_threshold(spark, sf_dir):
     return rounded(R.major_thresholds(cut_lineage(_bursts(spark, sf_dir)), CFG))
 
 
-@query()
+#: The waiting download as a recursion over the major bursts of a trace.
+ROUNDS_SQL = THRESHOLD_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f""", tz AS (SELECT experiment_id, client_id, count(*) AS packets FROM pp GROUP BY 1, 2),
+mj AS (SELECT du.experiment_id, du.client_id, du.direction, st, en, dominant_bytes::DOUBLE AS b, CASE WHEN bytes_up + bytes_down = 0 THEN 0.0 ELSE dominant_bytes / (bytes_up + bytes_down) END AS pu, row_number() OVER (PARTITION BY du.experiment_id, du.client_id ORDER BY st, en) AS n
+ FROM du JOIN th USING (experiment_id, client_id, direction) JOIN tz USING (experiment_id, client_id) WHERE dominant_bytes >= threshold AND packets >= 3),
+wt AS (SELECT DISTINCT experiment_id, client_id, 0::BIGINT AS n, NULL::DOUBLE AS ws, NULL::DOUBLE AS we, NULL::DOUBLE AS wb, NULL::DOUBLE AS wp, false AS hit, NULL::DOUBLE AS ds, NULL::DOUBLE AS de, NULL::DOUBLE AS db, NULL::DOUBLE AS dp FROM mj
+ UNION ALL SELECT experiment_id, client_id, n, CASE act WHEN 'take' THEN st WHEN 'keep' THEN ws END, CASE act WHEN 'take' THEN en WHEN 'keep' THEN we END, CASE act WHEN 'take' THEN b WHEN 'keep' THEN wb END, CASE act WHEN 'take' THEN pu WHEN 'keep' THEN wp END, act = 'pair', ws, we, wb, wp
+ FROM (SELECT m.*, w.ws, w.we, w.wb, w.wp, CASE WHEN m.direction = 'down' THEN CASE WHEN w.wb IS NULL OR m.b >= w.wb THEN 'take' ELSE 'keep' END
+  WHEN w.wb IS NULL OR m.st <= w.we THEN 'keep' WHEN m.en <= w.ws OR m.en - w.ws > 10 * {DAY} THEN 'drop' WHEN greatest(m.b, w.wb) > 8 * greatest(least(m.b, w.wb), 1) THEN 'keep' ELSE 'pair' END AS act
+  FROM wt w JOIN mj m ON m.experiment_id = w.experiment_id AND m.client_id = w.client_id AND m.n = w.n + 1)),
+pa AS (SELECT experiment_id, client_id, wt.n, ds, de, db, dp, st AS us, en AS ue, b AS ub, pu AS up, median(db) OVER w AS md, median(ub) OVER w AS mu FROM wt JOIN mj USING (experiment_id, client_id, n) WHERE hit WINDOW w AS (PARTITION BY experiment_id, client_id)),
+rc AS (SELECT pa.*, count(*) AS packet_count FROM pa JOIN pp p ON p.experiment_id = pa.experiment_id AND p.client_id = pa.client_id AND p.timestamp_epoch BETWEEN ds AND ue GROUP BY ALL HAVING count(*) >= 3),
+rd AS (SELECT *, row_number() OVER (PARTITION BY experiment_id, client_id ORDER BY ds, ue) - 1 AS inferred_round_index, least(greatest(0.20 * dp + 0.20 * up + 0.25 * exp(-abs(ln(greatest(ub, 1) / greatest(db, 1)))) + 0.10 * (exp(-abs(ln(greatest(db, 1) / greatest(md, 1)))) + exp(-abs(ln(greatest(ub, 1) / greatest(mu, 1)))))
+  + 0.15 * CASE WHEN greatest(us - de, 0) >= 0.05 THEN 1.0 ELSE greatest(us - de, 0) / 0.05 END, 0), 1) AS confidence FROM rc)"""
+
+
+@query(
+    ROUNDS_SQL
+    + f""" SELECT experiment_id, client_id, inferred_round_index, {r6("ds")} AS start_epoch, {r6("ue")} AS end_epoch, {r6("ds")} AS download_start_epoch, {r6("de")} AS download_end_epoch, {r6("us")} AS upload_start_epoch, {r6("ue")} AS upload_end_epoch,
+ db::BIGINT AS download_bytes, ub::BIGINT AS upload_bytes, packet_count, {r6("confidence")} AS confidence FROM rd"""
+)
 def round_boundaries(spark, sf_dir):
-    """Rounds of all traces; the sequential pairing has no plain SQL form (see tests)."""
     found, _ = R.infer_rounds(parsed_packets(spark, sf_dir), CFG)
     return rounded(found)
 
 
-@query()
+@query(
+    ROUNDS_SQL
+    + f""", c1 AS (SELECT experiment_id, client_id, count(*) AS burst_count FROM du JOIN tz USING (experiment_id, client_id) WHERE packets >= 3 GROUP BY 1, 2), c2 AS (SELECT experiment_id, client_id, count(*) AS major_burst_count FROM mj GROUP BY 1, 2),
+c3 AS (SELECT experiment_id, client_id, max(threshold) FILTER (direction = 'down') AS dt, max(threshold) FILTER (direction = 'up') AS ut FROM th GROUP BY 1, 2), c4 AS (SELECT experiment_id, client_id, count(*) AS pairs, any_value(md) AS md, any_value(mu) AS mu FROM pa GROUP BY 1, 2),
+c5 AS (SELECT experiment_id, client_id, count(*) AS found, avg(confidence) AS mean FROM rd GROUP BY 1, 2)
+SELECT experiment_id, client_id, packets AS packet_count, coalesce(burst_count, 0) AS burst_count, coalesce(major_burst_count, 0) AS major_burst_count, {r6("coalesce(dt, 1500)")} AS down_threshold_bytes, {r6("coalesce(ut, 1500)")} AS up_threshold_bytes,
+ {r6("md")} AS median_download_bytes, {r6("mu")} AS median_upload_bytes, coalesce(found, 0) AS inferred_round_count, {r6("coalesce(mean, 0)")} AS mean_confidence,
+ CASE WHEN packets < 3 THEN 'insufficient_packets' WHEN coalesce(pairs, 0) = 0 THEN 'no_round_pairs' WHEN coalesce(found, 0) = 0 THEN 'no_usable_rounds' ELSE 'ok' END AS status
+FROM tz LEFT JOIN c1 USING (experiment_id, client_id) LEFT JOIN c2 USING (experiment_id, client_id) LEFT JOIN c3 USING (experiment_id, client_id) LEFT JOIN c4 USING (experiment_id, client_id) LEFT JOIN c5 USING (experiment_id, client_id)"""
+)
 def round_diagnostics(spark, sf_dir):
     _, report = R.infer_rounds(parsed_packets(spark, sf_dir), CFG)
     return rounded(report)
@@ -198,26 +229,81 @@ def _interval_sides(spark, sf_dir):
     return left, right
 
 
-@query()
-def greedy_matches(spark, sf_dir):
-    left, right = _interval_sides(spark, sf_dir)
-    pairs = overlapping_pairs(left, right, list(TRACE))
-    return rounded(R.greedy_matches(pairs, TRACE, 0.25))
+#: Segments of three days against the packets' own four-day stretches; the matching is a recursion over ranked pairs.
+GREEDY_SQL = MATCH_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f""", rt AS (SELECT experiment_id, client_id, floor(timestamp_epoch / (4 * {DAY}))::BIGINT AS j, min(timestamp_epoch) AS a, max(timestamp_epoch) AS z FROM pp GROUP BY ALL HAVING max(timestamp_epoch) > min(timestamp_epoch)),
+pr AS (SELECT x.experiment_id, x.client_id, x.segment_index AS i, j, (least(x.z, y.z) - greatest(x.a, y.a)) / (greatest(x.z, y.z) - least(x.a, y.a)) AS iou, abs(x.a - y.a) AS se, abs(x.z - y.z) AS ee
+ FROM sg x JOIN rt y USING (experiment_id, client_id) WHERE least(x.z, y.z) > greatest(x.a, y.a)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY experiment_id, client_id ORDER BY iou DESC, se, i, j) AS r FROM pr WHERE iou >= 0.25),
+gm AS (SELECT DISTINCT experiment_id, client_id, 0::BIGINT AS r, []::BIGINT[] AS ui, []::BIGINT[] AS uj, false AS ok FROM rk
+ UNION ALL SELECT experiment_id, client_id, kr, CASE WHEN free THEN list_append(ui, i) ELSE ui END, CASE WHEN free THEN list_append(uj, j) ELSE uj END, free
+ FROM (SELECT g.*, k.i, k.j, k.r AS kr, NOT list_contains(ui, k.i) AND NOT list_contains(uj, k.j) AS free FROM gm g JOIN rk k ON k.experiment_id = g.experiment_id AND k.client_id = g.client_id AND k.r = g.r + 1) step),
+mt AS (SELECT rk.* FROM rk JOIN gm USING (experiment_id, client_id, r) WHERE ok)"""
+
+
+def _matching_sides(spark, sf_dir):
+    left = segments(spark, sf_dir, days=3).withColumnRenamed("segment_index", "index")
+    t = F.col("timestamp_epoch")
+    right = packets(spark, sf_dir).groupBy(*TRACE, F.floor(t / (4 * DAY)).alias("index"))
+    right = right.agg(F.min(t).alias("start_epoch"), F.max(t).alias("end_epoch")).where("end_epoch > start_epoch")
+    return left, right
 
 
 @query(
-    MATCH_SQL
-    + f""", m AS (SELECT experiment_id, client_id, segment_index AS i, CASE WHEN segment_index % 2 = 0 THEN 0.5 ELSE 0.4 END AS iou FROM sg WHERE segment_index <> 3),
-n AS (SELECT experiment_id, client_id, count(*) AS inferred, count(*) FILTER (WHERE segment_index <> 3) AS truth FROM sg GROUP BY 1, 2)
-SELECT experiment_id, client_id, count(*) AS matched_rounds, any_value(inferred) AS inferred_rounds, any_value(truth) AS truth_rounds, {r6("avg(iou)")} AS interval_iou_mean, {r6(f"{DAY}")} AS start_error_mean_sec,
- {r6(f"avg({DAY} * (1 + i % 2))")} AS end_error_mean_sec, {r6("count(*) / any_value(inferred)")} AS boundary_precision, {r6("count(*) / any_value(truth)")} AS boundary_recall FROM m JOIN n USING (experiment_id, client_id) GROUP BY 1, 2"""
+    GREEDY_SQL
+    + f" SELECT experiment_id, client_id, i AS left_index, j AS right_index, {r6('iou')} AS iou, {r6('se')} AS start_error_sec, {r6('ee')} AS end_error_sec FROM mt"
 )
+def greedy_matches(spark, sf_dir):
+    return rounded(M.greedy_matches(*_matching_sides(spark, sf_dir), TRACE))
+
+
+def _scores_sql() -> str:
+    levels = [(f"_iou_{round(100 * v)}", f"iou >= {v}") for v in M.IOU_LEVELS]
+    matched = ", ".join(f"count(*) FILTER ({cond}) AS matched_rounds{name}" for name, cond in [*levels, ("", "iou >= 0.5")])
+    means = [("interval_iou_mean", "avg(iou)"), ("start_error_mean_sec", "avg(se)"), ("start_error_median_sec", "median(se)"), ("end_error_mean_sec", "avg(ee)")]
+    means_sql = ", ".join(f"{f} FILTER (iou >= 0.5) AS {name}" for name, f in means)
+    names = [f"matched_rounds{name}" for name, _ in [*levels, ("", "")]]
+    rates = ", ".join(
+        f"{r6(f'coalesce({n}, 0) / {of}')} AS boundary_{rate}{n.removeprefix('matched_rounds')}"
+        for n in names
+        for rate, of in (("precision", "inferred_rounds"), ("recall", "truth_rounds"))
+    )
+    return f""", hs AS (SELECT experiment_id, client_id, {matched}, {means_sql} FROM mt GROUP BY 1, 2),
+nt AS (SELECT experiment_id, client_id, count(*) AS truth_rounds FROM rt GROUP BY 1, 2), ni AS (SELECT experiment_id, client_id, count(*) AS inferred_rounds FROM sg GROUP BY 1, 2)
+SELECT experiment_id, client_id, truth_rounds, inferred_rounds, {", ".join(f"coalesce({n}, 0) AS {n}" for n in names)}, {", ".join(f"{r6(n)} AS {n}" for n, _ in means)}, {rates}, 'evaluated' AS status
+FROM nt JOIN ni USING (experiment_id, client_id) LEFT JOIN hs USING (experiment_id, client_id)"""
+
+
+@query(GREEDY_SQL + _scores_sql())
 def boundary_scores(spark, sf_dir):
-    """Scores of the greedy matches; here every truth interval matches its source."""
-    left, right = _interval_sides(spark, sf_dir)
-    pairs = overlapping_pairs(left, right, list(TRACE))
-    matches = R.greedy_matches(pairs, TRACE, 0.25)
-    return rounded(R.boundary_scores(matches, left, right, TRACE))
+    """Scores of the greedy matches at all three levels."""
+    left, right = _matching_sides(spark, sf_dir)
+    return rounded(M.boundary_scores(M.greedy_matches(left, right, TRACE), left, right, TRACE))
+
+
+#: All differences of starts, in buckets of six hours; every offset is scored by nearest starts first.
+OFFSET_SQL = GREEDY_SQL + f""", st AS (SELECT experiment_id, client_id, min(a) AS base FROM (SELECT experiment_id, client_id, a FROM sg UNION ALL SELECT experiment_id, client_id, a FROM rt) GROUP BY 1, 2),
+sa AS (SELECT experiment_id, client_id, a - base AS a, row_number() OVER (PARTITION BY experiment_id, client_id ORDER BY a) AS i FROM sg JOIN st USING (experiment_id, client_id)),
+sb AS (SELECT experiment_id, client_id, a - base AS a, row_number() OVER (PARTITION BY experiment_id, client_id ORDER BY a) AS j FROM rt JOIN st USING (experiment_id, client_id)),
+df AS (SELECT x.experiment_id, x.client_id, i, j, x.a AS xa, y.a AS ya, x.a - y.a AS d, round_even((x.a - y.a) / {6 * HOUR}, 0) AS k FROM sa x JOIN sb y USING (experiment_id, client_id)),
+bk AS (SELECT experiment_id, client_id, k, count(*) AS n, min(i * 1000000 + j) AS f, median(d) AS o FROM df GROUP BY 1, 2, 3),
+bt AS (SELECT *, row_number() OVER (PARTITION BY experiment_id, client_id ORDER BY n DESC, f) AS ck FROM bk QUALIFY ck <= 64),
+cf AS (SELECT experiment_id, client_id, ck, o FROM bt UNION ALL SELECT DISTINCT experiment_id, client_id, 65, 0.0::DOUBLE FROM bk UNION ALL SELECT experiment_id, client_id, 66, median(d) FROM df WHERE i = j AND i <= 20 GROUP BY 1, 2),
+ce AS (SELECT df.experiment_id, df.client_id, ck, i, j, abs((xa - o) - ya) AS e FROM cf JOIN df USING (experiment_id, client_id) WHERE abs((xa - o) - ya) <= {6 * HOUR}),
+cr AS (SELECT *, row_number() OVER (PARTITION BY experiment_id, client_id, ck ORDER BY e, i, j) AS r FROM ce),
+og AS (SELECT DISTINCT experiment_id, client_id, ck, 0::BIGINT AS r, []::BIGINT[] AS ui, []::BIGINT[] AS uj, [0.0::DOUBLE] AS es FROM cr
+ UNION ALL SELECT g.experiment_id, g.client_id, g.ck, k.r, CASE WHEN list_contains(ui, i) OR list_contains(uj, j) THEN ui ELSE list_append(ui, i) END, CASE WHEN list_contains(ui, i) OR list_contains(uj, j) THEN uj ELSE list_append(uj, j) END, CASE WHEN list_contains(ui, i) OR list_contains(uj, j) THEN es ELSE list_append(es, e) END
+ FROM og g JOIN cr k ON k.experiment_id = g.experiment_id AND k.client_id = g.client_id AND k.ck = g.ck AND k.r = g.r + 1),
+ol AS (SELECT experiment_id, client_id, ck, es[2:] AS es FROM og QUALIFY row_number() OVER (PARTITION BY experiment_id, client_id, ck ORDER BY r DESC) = 1),
+ob AS (SELECT experiment_id, client_id, o, coalesce(len(es), 0) AS n, list_median(es) AS me, list_avg(es) AS mn FROM cf LEFT JOIN ol USING (experiment_id, client_id, ck)
+ QUALIFY row_number() OVER (PARTITION BY experiment_id, client_id ORDER BY coalesce(len(es), 0) DESC, round(list_median(es), 6) NULLS LAST, round(list_avg(es), 6) NULLS LAST, ck) = 1)
+SELECT experiment_id, client_id, {r6("CASE WHEN n > 0 THEN o ELSE 0.0 END")} AS clock_offset_sec, n AS clock_alignment_support, {r6("me")} AS clock_alignment_start_error_median_sec, {r6("mn")} AS clock_alignment_start_error_mean_sec FROM ob"""
+
+
+@query(OFFSET_SQL)
+def clock_offset(spark, sf_dir):
+    """The start difference that most segments and packet stretches of a trace agree on, in buckets of six hours."""
+    left, right = _matching_sides(spark, sf_dir)
+    return rounded(M.clock_offsets(left, right, TRACE, bin_sec=6 * HOUR, tolerance_sec=6 * HOUR))
 
 
 PHASE_SQL = """WITH ev AS (SELECT conv_id % 12 AS run, conv_id AS client, turn // 4 AS round, turn AS seq, CASE role WHEN 'user' THEN 'download' WHEN 'system' THEN 'training' ELSE 'upload' END AS phase,

@@ -101,28 +101,35 @@ class Sequenced:
 
     def running_sum(self, columns: Mapping[str, Column]) -> "Sequenced":
         """Sum of each expression up to and including the row."""
+        return self._running(columns, F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+
+    def running_max(self, columns: Mapping[str, Column]) -> "Sequenced":
+        """Largest value of each expression up to and including the row."""
+        return self._running(columns, F.max, F.greatest)
+
+    def _running(self, columns: Mapping[str, Column], total, both) -> "Sequenced":
+        """`total` of each expression from the key's first row to this one; `both` joins it with that of earlier slices."""
         upto = self._window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        local = self.df.withColumns({n: F.sum(value).over(upto) for n, value in columns.items()})
+        local = self.df.withColumns({n: total(value).over(upto) for n, value in columns.items()})
         if not self.sliced:
             return self._with(local)
         names = list(columns)
         per_slice = self.df.groupBy(*self.parts).agg(
-            *[F.sum(columns[n]).alias(f"_total_{n}") for n in names]
+            *[total(columns[n]).alias(f"_total_{n}") for n in names]
         )
         earlier = (
             Window.partitionBy(*self.keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
         )
         offset = per_slice.select(
             *self.parts,
-            *[F.sum(f"_total_{n}").over(earlier).alias(f"_total_{n}") for n in names],
+            *[total(f"_total_{n}").over(earlier).alias(f"_total_{n}") for n in names],
         )
         return self._with(
             null_safe_join(local, offset, self.parts)
             .withColumns(
                 {
                     n: F.when(
-                        F.col(n).isNotNull() | F.col(f"_total_{n}").isNotNull(),
-                        F.coalesce(n, F.lit(0)) + F.coalesce(f"_total_{n}", F.lit(0)),
+                        F.col(n).isNotNull() | F.col(f"_total_{n}").isNotNull(), both(F.col(n), F.col(f"_total_{n}"))
                     )
                     for n in names
                 }

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +21,7 @@ from traceweave.operators.ordered import (
     exact_quantiles,
     sequence,
 )
+from traceweave.operators.pairing import SEGMENT_ROWS, pair_transfers
 from traceweave.session import cut_lineage
 
 
@@ -51,8 +51,8 @@ class RoundConfig:
 # ---- fixed values -------------------------------------------------------
 MIXED_DOMINANCE = 0.55
 LOG_GAP = 0.55
-IOU_LEVELS = (0.25, 0.5, 0.75)
-FOLD_ROWS = 100_000
+#: Shares of a round's confidence: purity of both transfers, likeness of sizes, agreement with the medians, training gap.
+DOWN_PURITY, UP_PURITY, LIKENESS, STEADINESS, TRAINING_GAP = 0.20, 0.20, 0.25, 0.20, 0.15
 # -------------------------------------------------------------------------
 
 
@@ -255,102 +255,12 @@ def major_bursts(bursts: DataFrame, thresholds: DataFrame, keys: Sequence[str] =
     )
 
 
-class Pairing:
-    """The download/upload state machine of one trace, fed burst by burst."""
-
-    fields = ("start_epoch", "end_epoch", "dominant_bytes", "purity")
-
-    def __init__(self, cfg: RoundConfig, pending: tuple | None = None) -> None:
-        self.cfg, self.pending = cfg, pending
-
-    def feed(self, direction: str, burst: tuple) -> tuple | None:
-        """The (download, upload) pair this burst completes, if any."""
-        if direction == "down":
-            if self.pending is None or burst[2] >= self.pending[2]:
-                self.pending = burst
-            return None
-        down = self.pending
-        if down is None or burst[0] <= down[1]:
-            return None
-        duration = burst[1] - down[0]
-        if duration <= 0 or duration > self.cfg.max_round_sec:
-            self.pending = None
-            return None
-        larger, smaller = max(burst[2], down[2]), min(burst[2], down[2])
-        if larger / max(smaller, 1) > self.cfg.max_transfer_size_ratio:
-            return None
-        self.pending = None
-        return down, burst
-
-
-def pair_transfers(
-    major: DataFrame,
-    cfg: RoundConfig,
-    keys: Sequence[str] = TRACE,
-    fold_rows: int = FOLD_ROWS,
-    limit: int = DEFAULT_LIMIT,
-) -> DataFrame:
-    """(download, upload) pairs per trace.
-
-    The machine is sequential, so a trace is fed in runs of ``fold_rows`` major
-    bursts.  Run r of all traces is processed in parallel and hands its pending
-    download to run r+1.  Traces with fewer bursts, that is nearly all, need
-    one pass; no task ever holds more than one run.
-    """
-    keys = list(keys)
-    fields = list(Pairing.fields)
-    ordered = sequence(major, keys, ["start_epoch", "end_epoch"], limit).numbered("_n").rows()
-    runs = ordered.select(
-        *keys, "direction", *[F.col(f).cast("double").alias(f) for f in fields], "_n",
-        F.floor((F.col("_n") - 1) / fold_rows).alias("_run"),
-    )
-    last = runs.agg(F.max("_run")).first()[0]
-    key_types = ", ".join(f"`{k}` {dict(major.dtypes)[k]}" for k in keys)
-    out = ", ".join([f"{side}_{f} double" for side in ("down", "up") for f in fields])
-    schema = f"{key_types}, pending boolean, {out}"
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        carried = group[group["_n"] == 0]
-        machine = Pairing(cfg, tuple(carried.iloc[0][fields]) if len(carried) else None)
-        found = []
-        bursts = group[group["_n"] > 0].sort_values("_n")
-        for direction, *burst in bursts[["direction", *fields]].itertuples(index=False):
-            pair = machine.feed(direction, tuple(burst))
-            if pair:
-                found.append((False, *pair[0], *pair[1]))
-        if machine.pending is not None:
-            found.append((True, *machine.pending, *[None] * len(fields)))
-        names = ["pending", *[f"{s}_{f}" for s in ("down", "up") for f in fields]]
-        frame = pd.DataFrame(found, columns=names)
-        for k in reversed(keys):
-            frame.insert(0, k, group[k].iloc[0])
-        return frame
-
-    if last is None or last == 0:
-        return runs.groupBy(*keys).applyInPandas(fold, schema).where("not pending").drop("pending")
-    runs = cut_lineage(runs)
-    pairs, state = None, None
-    for r in range(int(last) + 1):
-        part = runs.where(F.col("_run") == r)
-        if state is not None:
-            waiting = state.join(part.select(*keys).distinct(), keys, "left_semi").select(
-                *keys, F.lit("down").alias("direction"), *[F.col(f"down_{f}").alias(f) for f in fields],
-                F.lit(0).cast("long").alias("_n"), F.lit(r).cast("long").alias("_run"),
-            )
-            part = part.unionByName(waiting)
-        done = cut_lineage(part.groupBy(*keys).applyInPandas(fold, schema))
-        state = done.where("pending")
-        fresh = done.where("not pending")
-        pairs = fresh if pairs is None else pairs.unionByName(fresh)
-    return pairs.drop("pending")
-
-
 def infer_rounds(
     packets: DataFrame,
     cfg: RoundConfig | None = None,
     keys: Sequence[str] = TRACE,
     limit: int = DEFAULT_LIMIT,
-    fold_rows: int = FOLD_ROWS,
+    segment_rows: int = SEGMENT_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """(rounds, diagnostics) of every trace, from traffic alone."""
     cfg = cfg or RoundConfig()
@@ -361,7 +271,7 @@ def infer_rounds(
     bursts = cut_lineage(directional_bursts(bins, cfg, keys, limit))
     thresholds = major_thresholds(bursts, cfg, keys, limit)
     major = major_bursts(bursts, thresholds, keys)
-    pairs = cut_lineage(pair_transfers(major, cfg, keys, fold_rows, limit))
+    pairs = cut_lineage(pair_transfers(major, cfg.max_round_sec, cfg.max_transfer_size_ratio, keys, segment_rows, limit))
     medians = exact_quantiles(pairs, keys, "down_dominant_bytes", [0.5], ["median_download_bytes"], limit).join(
         exact_quantiles(pairs, keys, "up_dominant_bytes", [0.5], ["median_upload_bytes"], limit), keys
     )
@@ -413,11 +323,11 @@ def confidence(cfg: RoundConfig) -> Column:
     gap = F.greatest(F.col("up_start_epoch") - F.col("down_end_epoch"), F.lit(0.0))
     rest = F.when(gap >= cfg.min_training_gap_sec, F.lit(1.0)).otherwise(gap / max(cfg.min_training_gap_sec, 1e-9))
     total = (
-        0.20 * F.col("down_purity")
-        + 0.20 * F.col("up_purity")
-        + 0.25 * alike(up, down)
-        + 0.20 * steady
-        + 0.15 * rest
+        DOWN_PURITY * F.col("down_purity")
+        + UP_PURITY * F.col("up_purity")
+        + LIKENESS * alike(up, down)
+        + STEADINESS * steady
+        + TRAINING_GAP * rest
     )
     return F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0))
 
@@ -484,55 +394,3 @@ def phase_rounds(events: DataFrame, keys: Sequence[str], sequence_column: str) -
             for x, name in (("s", "start"), ("e", "end"))
         ],
     ).where("end_epoch > start_epoch")
-
-
-def greedy_matches(candidates: DataFrame, keys: Sequence[str], minimum_iou: float) -> DataFrame:
-    """One-to-one matching by falling IoU, then rising start error.
-
-    Taking the best pair again and again equals taking, in each step, all pairs
-    that are the best of both their ends; so the steps run as joins over all
-    traces at once instead of one loop per trace.
-    """
-    keys = list(keys)
-    best = F.struct(
-        F.col("iou"), -F.col("start_error_sec"), -F.col("left_index"), -F.col("right_index")
-    )
-    left = cut_lineage(candidates.where(F.col("iou") >= minimum_iou).withColumn("_best", best))
-    matched = None
-    while not left.isEmpty():
-        top_left = left.groupBy(*keys, "left_index").agg(F.max("_best").alias("_best"))
-        top_right = left.groupBy(*keys, "right_index").agg(F.max("_best").alias("_best"))
-        taken = cut_lineage(
-            left.join(top_left, [*keys, "left_index", "_best"], "left_semi").join(
-                top_right, [*keys, "right_index", "_best"], "left_semi"
-            )
-        )
-        matched = taken if matched is None else matched.unionByName(taken)
-        left = cut_lineage(
-            left.join(taken.select(*keys, "left_index"), [*keys, "left_index"], "left_anti").join(
-                taken.select(*keys, "right_index"), [*keys, "right_index"], "left_anti"
-            )
-        )
-    return (matched if matched is not None else left).drop("_best")
-
-
-def boundary_scores(
-    matches: DataFrame, inferred: DataFrame, truth: DataFrame, keys: Sequence[str]
-) -> DataFrame:
-    """Precision, recall and mean errors of matched boundaries per trace."""
-    keys = list(keys)
-    hits = matches.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("matched_rounds"),
-        F.avg("iou").alias("interval_iou_mean"),
-        F.avg("start_error_sec").alias("start_error_mean_sec"),
-        F.avg("end_error_sec").alias("end_error_mean_sec"),
-    )
-    a = inferred.groupBy(*keys).agg(F.count(F.lit(1)).alias("inferred_rounds"))
-    b = truth.groupBy(*keys).agg(F.count(F.lit(1)).alias("truth_rounds"))
-    table = b.join(a, keys, "left").join(hits, keys, "left").fillna(0, ["inferred_rounds", "matched_rounds"])
-    return table.withColumns(
-        {
-            "boundary_precision": X.safe_divide(F.col("matched_rounds"), F.col("inferred_rounds")),
-            "boundary_recall": X.safe_divide(F.col("matched_rounds"), F.col("truth_rounds")),
-        }
-    )
