@@ -19,6 +19,7 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,59 +28,85 @@ from pyspark.sql import functions as F
 
 from traceweave.llm.common import in_arrow, ranked, stored
 from traceweave.llm.token_counts import SPECIAL, split_special
-from traceweave.llm.transducer import pieces_of
+from traceweave.llm.transducer import Pieces, pieces_of
 from traceweave.llm.words import slices
 
 CAPACITY = 1024
 END_ID = 2
-#: Pieces of text whose ids a worker remembers.
-MOST_KNOWN = 300_000
-_KNOWN: dict[str, tuple] = {}
+#: Bytes that a worker spends on remembered pieces (hash, place and ids of each), about.
+KNOWN_BYTES = 96 << 20
+_KNOWN: dict[str, "Known"] = {}
 
 
-def _library(path: str) -> tuple:
-    """The tokenizer of a file and the ids of the pieces met so far, once per Python worker."""
-    if path not in _KNOWN:
+class Known:
+    """The tokenizer of a file, and the ids of the pieces met so far as flat arrays in order of the pieces' hashes."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _KNOWN[path] = (Tokenizer.from_file(path), {})
+        self.tokenizer = Tokenizer.from_file(path)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.begins, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _bytes(self) -> int:
+        return 20 * len(self.hashes) + 4 * len(self.ids)
+
+    def learn(self, pieces: Pieces, new: np.ndarray) -> None:
+        """Encode the distinct pieces in these rows, which are not held yet."""
+        for at in range(0, len(new), 20_000):
+            rows = new[at : at + 20_000]
+            texts = [p.decode() for p in pieces.bytes_of(rows)]
+            encoded = [one.ids for one in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, encoded), np.int32, len(encoded))
+            ids = np.fromiter(chain.from_iterable(encoded), np.uint32, int(sizes.sum()))
+            place = np.searchsorted(self.hashes, pieces.hashes[rows])
+            self.begins = np.insert(self.begins, place, len(self.ids) + np.cumsum(sizes) - sizes)
+            self.sizes = np.insert(self.sizes, place, sizes)
+            self.hashes = np.insert(self.hashes, place, pieces.hashes[rows])
+            self.ids = np.concatenate((self.ids, ids))
+
+    def find(self, pieces: Pieces) -> np.ndarray:
+        """The place here of each distinct piece; unknown ones are encoded first."""
+        new = self._missing(pieces)
+        if len(new) and self._bytes() > KNOWN_BYTES:
+            self._forget()
+            new = np.arange(len(pieces.hashes))
+        self.learn(pieces, new)
+        return np.searchsorted(self.hashes, pieces.hashes)
+
+    def _missing(self, pieces: Pieces) -> np.ndarray:
+        if not len(self.hashes):
+            return np.arange(len(pieces.hashes))
+        place = np.minimum(np.searchsorted(self.hashes, pieces.hashes), len(self.hashes) - 1)
+        return np.flatnonzero(self.hashes[place] != pieces.hashes)
+
+
+def _library(path: str) -> Known:
+    """Once per Python worker."""
+    if path not in _KNOWN:
+        _KNOWN[path] = Known(path)
     return _KNOWN[path]
 
 
-def piece_ids(path: str, distinct: list[bytes]) -> list[bytes]:
-    """Token ids (32-bit, little-endian) of pieces that the tokenizer never joins with their neighbours."""
-    tokenizer, known = _library(path)
-    new = [p for p in distinct if p not in known]
-    if len(known) + len(new) > MOST_KNOWN:
-        known.clear()
-        new = distinct
-    for at in range(0, len(new), 20_000):
-        some = new[at : at + 20_000]
-        encoded = tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
-        for piece, one in zip(some, encoded, strict=True):
-            known[piece] = np.array(one.ids, "<u4").tobytes()
-    return [known[p] for p in distinct]
-
-
 def text_ids(path: str, column: pa.Array, special: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a text column one after the other, and the n + 1 offsets of the texts."""
-    tokenizer, _ = _library(path)
+    known = _library(path)
     cut, parts = split_special(column, special)
     pieces = pieces_of(cut)
-    own = piece_ids(path, pieces.distinct)
-    flat = np.frombuffer(b"".join(own), "<u4")
-    sizes = np.array([len(x) // 4 for x in own], np.int64)
-    begins = np.cumsum(sizes) - sizes
-    each = sizes[pieces.code] if len(pieces.code) else np.zeros(0, np.int64)
+    place = known.find(pieces)[pieces.code]
+    each = known.sizes[place].astype(np.int64)
     ends = np.cumsum(each)
-    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat((begins[pieces.code] if len(each) else each) - ends + each, each)
-    ids, edges = flat[at], np.concatenate(([0], ends))[pieces.first]
+    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(known.begins[place] - ends + each, each)
+    ids, edges = known.ids[at], np.concatenate(([0], ends))[pieces.first]
     last = np.cumsum(parts)
     if len(cut) != len(column):
         # A special string stood before every part but a text's first.
         marks = np.setdiff1d(np.arange(len(cut)), last - parts)
-        single = tokenizer.token_to_id(special[0])
+        single = known.tokenizer.token_to_id(special[0])
         ids = np.insert(ids, edges[marks], np.uint32(single))
         edges = edges + np.concatenate(([0], np.cumsum(np.isin(np.arange(len(cut)), marks))))
     return ids, np.concatenate(([0], edges[last]))
@@ -89,15 +116,18 @@ def _pieces(path: str, special: tuple[str, ...], capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
             ids, edges = text_ids(path, batch.column("text"), special)
-            rows: list[tuple[int, int, int, int, int]] = []
-            for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
-                own = np.append(ids[a:b], np.uint32(end_id)).astype("<u4")
-                start, number = 0, 0
-                while start < len(own):
-                    length = (len(own) - start) % capacity or capacity
-                    rows.append((i, number, start, length, zlib.crc32(own[start : start + length].tobytes())))
-                    start, number = start + length, number + 1
-            owner, number, start, length, crc = (list(x) for x in zip(*rows, strict=True))
+            # Every text's ids with its end id behind them, as bytes.
+            sizes = np.diff(edges) + 1
+            raw = memoryview(np.insert(ids, edges[1:], np.uint32(end_id)).astype("<u4").view(np.uint8))
+            # The first piece takes what is left over.
+            many = -(-sizes // capacity)
+            owner = np.repeat(np.arange(len(sizes)), many)
+            number = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+            head = (sizes - 1) % capacity + 1
+            start = np.where(number > 0, head[owner] + (number - 1) * capacity, 0)
+            length = np.where(number > 0, capacity, head[owner])
+            begin = 4 * ((np.cumsum(sizes) - sizes)[owner] + start)
+            crc = [zlib.crc32(raw[a:b]) for a, b in zip(begin.tolist(), (begin + 4 * length).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(pa.array(owner)),

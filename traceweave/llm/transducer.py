@@ -22,6 +22,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -193,7 +194,19 @@ class Pieces:
     ends: np.ndarray
     code: np.ndarray
     first: np.ndarray
-    distinct: list[bytes]
+    #: Of the distinct pieces: their hashes, ascending, and where each stands first.
+    hashes: np.ndarray
+    where: np.ndarray
+
+    def bytes_of(self, rows: np.ndarray) -> list[bytes]:
+        """The bytes of some of the distinct pieces."""
+        at = self.where[rows]
+        raw = self.data.data
+        return [bytes(raw[a:b]) for a, b in zip(self.starts[at].tolist(), self.ends[at].tolist(), strict=True)]
+
+    @cached_property
+    def distinct(self) -> list[bytes]:
+        return self.bytes_of(np.arange(len(self.where)))
 
 
 def piece_bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -216,10 +229,8 @@ def pieces_of(column: pa.Array) -> Pieces:
     first = np.searchsorted(starts, offsets)
     ends = np.concatenate((starts[1:], [len(data)])).astype(np.int64) if len(starts) else starts
     hashes = span_hashes(data, starts, ends)
-    _, where, code = np.unique(hashes, return_index=True, return_inverse=True)
-    raw = data.tobytes()
-    distinct = [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
-    return Pieces(data, starts, ends, code, first, distinct)
+    hashes, where, code = np.unique(hashes, return_index=True, return_inverse=True)
+    return Pieces(data, starts, ends, code, first, hashes, where)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
