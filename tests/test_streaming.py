@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from traceweave.catalog import tables as T
 from traceweave.operators import features as FE
+from traceweave.streaming import drain as D
 from traceweave.streaming import live as L
 
 FOLDER = "/root/testdata/sf0.001"
@@ -55,6 +56,39 @@ def test_anchored_windows_equal_batch(keyed, tmp_path):
     assert rows(got, "iat_max_sec") == rows(want, "iat_sec_max")
 
 
+def test_flushed_windows_equal_batch(keyed, tmp_path):
+    """Without heartbeats the last windows come from the state that is left."""
+    p = L.with_event_time(T.parsed_packets(keyed, FOLDER))
+    source = replay(keyed, p, "timestamp_epoch", str(tmp_path))
+    scales, trace = [2 * T.DAY, 7 * T.DAY], ["experiment_id", "client_id"]
+    out, checkpoint = f"{tmp_path}/out", f"{tmp_path}/checkpoint"
+    counts = D.run_to_end(L.anchored_windows(source, trace, scales, "5 seconds", idle_end=40 * T.DAY), out, checkpoint)
+    assert counts["rows_in"] == p.count() and counts["rows_late"] == 0
+    got = D.flush(keyed, out, checkpoint, trace, scales)
+    total = got.count()
+    assert counts["rows_out"] < total
+    want = FE.feature_rows(p, scales, T.BURST_GAP, T.IDLE).where("row_type = 'window'")
+    same = ["window_size_sec", "window_index", "packet_count_total", "packet_count_up", "bytes_total", "direction_switch_count"]
+    rows = lambda df, gap: sorted(tuple(r)[:-1] + (round(r[gap], 6),) for r in df.select(*trace, *same, gap).collect())
+    assert rows(got, "iat_max_sec") == rows(want, "iat_sec_max")
+    # Flushing again gives the same; the summary has every packet once.
+    got = D.flush(keyed, out, checkpoint, trace, scales)
+    assert got.count() == total
+    summary = D.run_summary(got, "experiment_id", trace).collect()
+    assert sum(r["packets"] for r in summary) == p.count()
+
+
+def test_late_packets_are_counted(keyed, tmp_path):
+    schema = "trace string, packet_index long, timestamp_epoch double, frame_length long, direction string, seq int"
+    rows = [("a", 0, 10.0, 1, "up", 0), ("a", 1, 500.0, 1, "up", 1), ("a", 2, 900.0, 1, "up", 2), ("a", 3, 20.0, 1, "up", 3)]
+    source = L.with_event_time(replay(keyed, keyed.createDataFrame(rows, schema), "seq", str(tmp_path), 4))
+    windows = L.anchored_windows(source, ["trace"], [100.0], "5 seconds", idle_end=1e6)
+    counts = D.run_to_end(windows, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    assert (counts["rows_in"], counts["rows_late"]) == (4, 1)
+    found = D.flush(keyed, f"{tmp_path}/out", f"{tmp_path}/checkpoint", ["trace"], [100.0])
+    assert sorted((r["window_index"], r["packet_count_total"]) for r in found.collect() if r["packet_count_total"]) == [(0, 1), (4, 1), (8, 1)]
+
+
 def test_trace_ends_and_late_first_packet(keyed, tmp_path):
     schema = "trace string, packet_index long, timestamp_epoch double, frame_length long, direction string"
     # 10.0 arrives before 9.5; the trace ends exactly with its third window; another one is half a second long.
@@ -110,9 +144,21 @@ def test_registration_buffer(keyed, tmp_path):
     assert [r["packet_index"] for r in got] == [0, 1, 2, 3, 4, 5, 7]
     assert {r["client_id"] for r in got} == {"c1"}
     assert [r["direction"] for r in got][-1] == "down"
+    assert D.left_over(keyed, f"{tmp_path}/checkpoint", "run", "peer").count() == 0
+
+
+def test_packets_of_unregistered_peers_are_counted(keyed, tmp_path):
+    schema = "run string, peer string, kind string, client_id string, packet_index long, timestamp_epoch double, frame_length long, src_ip string, seq int"
+    rows = [("r", f"p{i % 2}", "packet", None, i, float(i), 10, "9.9", i) for i in range(7)]
+    rows.append(("r", "p1", "registration", "c1", None, None, None, None, 7))
+    source = replay(keyed, keyed.createDataFrame(rows, schema), "seq", str(tmp_path), 2)
+    drain(L.registration_buffer(source, "run", "peer", expire_sec=3600), str(tmp_path))
+    left = D.left_over(keyed, f"{tmp_path}/checkpoint", "run", "peer").collect()
+    assert [(r["peer"], r["packets"]) for r in left] == [("p0", 4)]
 
 
-def test_round_barrier(keyed, tmp_path):
+@pytest.mark.parametrize("block_values", [1, 100])
+def test_round_barrier(keyed, tmp_path, block_values):
     schema = "run string, sequence int, round long, client_id string, num_examples int, values array<double>"
     rows = [
         ("r", 0, 1, "a", 1, [1.0, 2.0]),
@@ -123,7 +169,9 @@ def test_round_barrier(keyed, tmp_path):
         ("r", 5, 2, "a", 1, [3.0, 3.0]),
     ]
     source = replay(keyed, keyed.createDataFrame(rows, schema), "sequence", str(tmp_path), 3)
-    got = drain(L.round_barrier(source, "run", 2), str(tmp_path)).collect()
-    means = {r["round"]: list(r["values"]) for r in got if r["status"] == "aggregated"}
+    got = drain(L.round_barrier(source, "run", 2, block_values), str(tmp_path)).collect()
+    means = {1: [], 2: []}
+    for r in sorted((r for r in got if r["status"] == "aggregated"), key=lambda r: (r["round"], r["block"])):
+        means[r["round"]] += r["values"]
     assert means == {1: [4.0, 5.0], 2: [2.0, 2.0]}
     assert sorted((r["status"], r["client_id"]) for r in got if r["status"] != "aggregated") == [("duplicate", "a"), ("stale_or_future", "b")]

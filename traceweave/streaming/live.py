@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,6 +79,45 @@ WINDOW_FIELDS = (
 EMPTY = (0, 0, 0, 0, 0, 0.0, 0.0)
 
 
+def add_packets(
+    scale: float, first: float, window: list | None, packets: Sequence[tuple], trace_end: float | None
+) -> tuple[list[tuple], list | None]:
+    """Windows of one scale that are done, as values of ``WINDOW_FIELDS``, and the open one.
+
+    ``window``: index, the values from ``packet_count_total`` on, time and direction of the last packet. With
+    ``trace_end`` the last window is done as well, and none is left open.
+    """
+    done = []
+    last = None if trace_end is None else max(1, math.ceil((trace_end - first) / scale)) - 1
+    w = window or [0, *EMPTY, None, None]
+
+    def close() -> None:
+        done.append((scale, w[0], w[0] * scale, w[0] * scale + scale, *w[1:8]))
+
+    for t, _, size, direction in packets:
+        index = int((t - first) // scale)
+        index = index if last is None else min(index, last)
+        while w[0] < index:
+            close()
+            w = [w[0] + 1, *EMPTY, None, None]
+        known = direction in ("up", "down")
+        w[1] += 1
+        w[2] += direction == "up"
+        w[3] += direction == "down"
+        w[4] += int(size)
+        w[5] += bool(known and w[9] is not None and w[9] != direction)
+        if w[8] is not None:
+            gap = max(0.0, t - w[8])
+            w[6] += gap
+            w[7] = max(w[7], gap)
+        w[8] = t
+        w[9] = direction if known else w[9]
+    if trace_end is None:
+        return done, w
+    close()
+    return done, None
+
+
 class AnchoredWindows(StatefulProcessor):
     """Windows of every scale that start at the trace's first packet; the same rows as the batch operator's.
 
@@ -121,30 +161,11 @@ class AnchoredWindows(StatefulProcessor):
             self.first.update((packets[0][0],))
         first = self.first.get()[0]
         for s in self.scales:
-            last = None if trace_end is None else max(1, math.ceil((trace_end - first) / s)) - 1
-            w = list(self.open.getValue((s,))) if self.open.containsKey((s,)) else [0, *EMPTY, None, None]
-            for t, _, size, direction in packets:
-                index = int((t - first) // s)
-                index = index if last is None else min(index, last)
-                while w[0] < index:
-                    yield self.row(*key, s, w[0], w[0] * s, w[0] * s + s, *w[1:8])
-                    w = [w[0] + 1, *EMPTY, None, None]
-                known = direction in ("up", "down")
-                w[1] += 1
-                w[2] += direction == "up"
-                w[3] += direction == "down"
-                w[4] += int(size)
-                w[5] += bool(known and w[9] is not None and w[9] != direction)
-                if w[8] is not None:
-                    gap = max(0.0, t - w[8])
-                    w[6] += gap
-                    w[7] = max(w[7], gap)
-                w[8] = t
-                w[9] = direction if known else w[9]
-            if trace_end is None:
-                self.open.updateValue((s,), tuple(w))
-            else:
-                yield self.row(*key, s, w[0], w[0] * s, w[0] * s + s, *w[1:8])
+            window = list(self.open.getValue((s,))) if self.open.containsKey((s,)) else None
+            done, window = add_packets(s, first, window, packets, trace_end)
+            yield from (self.row(*key, *values) for values in done)
+            if window is not None:
+                self.open.updateValue((s,), tuple(window))
 
     def _advance(self, key: tuple, new: list, watermark: float) -> Iterator[Row]:
         packets = sorted([tuple(p) for p in self.waiting.get()] + new) if self.waiting.exists() else sorted(new)
@@ -335,13 +356,16 @@ BARRIER_FIELDS = (
     ("total_examples", T.LongType()),
     ("values", T.ArrayType(T.DoubleType())),
 )
+#: Values of a model that one key holds.
+BLOCK_VALUES = 65_536
 
 
 class RoundBarrier(StatefulProcessor):
-    """Averages a round once all expected clients have sent their update.
+    """Averages one block of a model once all expected clients have sent their update of the round.
 
-    Duplicates and updates of another round come out as rejects.  State is one
-    running weighted sum and the clients seen, not the updates themselves.
+    All blocks of a run see the same updates in the same order, so each decides alike; what is rejected (duplicates,
+    updates of another round) is written by the first block only. State is the block's running weighted sum and the
+    clients seen, not the updates themselves.
     """
 
     def __init__(self, names: Sequence[str], expected: int) -> None:
@@ -353,6 +377,7 @@ class RoundBarrier(StatefulProcessor):
             [
                 T.StructField("round", T.LongType()),
                 T.StructField("weight", T.LongType()),
+                T.StructField("size", T.LongType()),
                 T.StructField("sums", T.ArrayType(T.DoubleType())),
                 T.StructField("clients", T.ArrayType(T.StringType())),
             ]
@@ -360,43 +385,48 @@ class RoundBarrier(StatefulProcessor):
         self.state = handle.getValueState("state", state)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        current, weight, sums, clients = self.state.get() if self.state.exists() else (1, 0, [], [])
-        sums, clients = list(sums), list(clients)
+        current, weight, size, sums, clients = self.state.get() if self.state.exists() else (1, 0, 0, [], [])
+        sums, clients = np.array(sums, float), list(clients)
+        first_block = key[-1] == 0
         for r in sorted(rows, key=lambda r: r["sequence"]):
             client = r["client_id"]
-            if r["round"] != current:
-                yield self.row(*key, r["round"], "stale_or_future", client, None, None)
+            status = "stale_or_future" if r["round"] != current else "duplicate" if client in clients else None
+            if status is not None:
+                if first_block:
+                    yield self.row(*key, r["round"], status, client, None, None)
                 continue
-            if client in clients:
-                yield self.row(*key, r["round"], "duplicate", client, None, None)
-                continue
-            w = max(int(r["num_examples"]), 1)
-            if sums and len(sums) != len(r["values"]):
+            if clients and r["size"] != size:
                 raise ValueError(f"update of {client} has another length")
-            sums = [a + w * b for a, b in zip(sums or [0.0] * len(r["values"]), r["values"])]
-            weight += w
+            w, values = max(int(r["num_examples"]), 1), np.array(r["values"], float)
+            sums = w * values if not clients else sums + w * values
+            weight, size = weight + w, r["size"]
             clients.append(client)
             if len(clients) == self.expected:
-                yield self.row(*key, current, "aggregated", None, weight, [v / weight for v in sums])
-                current, weight, sums, clients = current + 1, 0, [], []
-        self.state.update((current, weight, sums, clients))
+                yield self.row(*key, current, "aggregated", None, weight, (sums / weight).tolist())
+                current, weight, size, sums, clients = current + 1, 0, 0, np.zeros(0), []
+        self.state.update((current, weight, size, sums.tolist(), clients))
 
     def close(self) -> None:
         pass
 
 
-def round_barrier(updates: DataFrame, run: str, expected: int) -> DataFrame:
-    """``updates``: run, sequence, round, client_id, num_examples, values."""
-    schema = keyed_schema(updates, [run], BARRIER_FIELDS)
-    return updates.groupBy(run).transformWithState(RoundBarrier(schema.names, expected), schema, "Append", "None")
+def round_barrier(updates: DataFrame, run: str, expected: int, block_values: int = BLOCK_VALUES) -> DataFrame:
+    """``updates``: run, sequence, round, client_id, num_examples, values.
+
+    One row per finished round and block of ``block_values`` values (``block`` from 0), and one per rejected update.
+    """
+    n = F.size("values").cast("long")
+    count = F.greatest(F.ceil(n / block_values), F.lit(1)).cast("int")
+    begin = F.col("block") * block_values + 1
+    blocks = updates.select(
+        run, "sequence", "round", "client_id", "num_examples", n.alias("size"), "values",
+        F.explode(F.sequence(F.lit(0), count - 1)).alias("block"),
+    ).withColumn("values", F.slice("values", begin, F.lit(block_values)))
+    schema = keyed_schema(blocks, [run, "block"], BARRIER_FIELDS)
+    return blocks.groupBy(run, "block").transformWithState(RoundBarrier(schema.names, expected), schema, "Append", "None")
 
 
 def append_log(rows: DataFrame, folder: str, checkpoint: str, available_now: bool = True):
     """Append-only sink: every row of the stream once, as parquet."""
     writer = rows.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start(folder)
-
-
-def run_summary(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Batch summary over a sink after the stream has stopped."""
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
