@@ -285,3 +285,14 @@ def test_plan_places_every_piece_once():
                 rooms.remove(min(fits))
             rooms.append((min(fits) if fits else 100) - length)
     assert len(used) == len(rooms)
+
+
+def test_pieces_are_encoded_as_by_the_library(monkeypatch):
+    """Rank merging and the library agree piece by piece; both ways of `encoder` are used."""
+    fast, added = packing.encoder(JSON)
+    monkeypatch.setattr(packing, "_byte_signs", dict)
+    library, same = packing.encoder(JSON)
+    assert added == same and fast.__name__ != library.__name__
+    pieces = [b" the", b"ab" * 50, "日本".encode(), b" ", b"\n\n", b"'s", b"12345", b"!?#", " éß".encode()]
+    pieces += [p for t in messy() for p in transducer.pieces_of(pa.array([t[1]])).distinct]
+    assert fast(pieces) == library(pieces)
