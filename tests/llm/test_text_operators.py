@@ -294,5 +294,5 @@ def test_pieces_are_encoded_as_by_the_library(monkeypatch):
     library, same = packing.encoder(JSON)
     assert added == same and fast.__name__ != library.__name__
     pieces = [b" the", b"ab" * 50, "日本".encode(), b" ", b"\n\n", b"'s", b"12345", b"!?#", " éß".encode()]
-    pieces += [p for t in messy() for p in transducer.pieces_of(pa.array([t[1]])).distinct]
+    pieces += [p for t in messy() for p in transducer.pieces_of(pa.array([t[1]], pa.string())).distinct]
     assert fast(pieces) == library(pieces)

@@ -4,8 +4,8 @@ A window is `window` consecutive words of one text. `duplicate_factors` finds, f
 words that also occur in a document with a smaller doc_id:
 
 1. Every window has a seed: the `SEED_WORDS`-word shingle with the least hash in it. Equal windows have equal seeds,
-   so a window that occurs twice has a seed that occurs in two documents. Seeds are about a fifth of all places; a
-   grouped minimum and maximum of doc_id (combined before the shuffle) keeps the shared ones.
+   so a window that occurs in two texts has a seed that occurs in both. Seeds are about a fifth of all places; a
+   grouped minimum and maximum of the text's key (combined before the shuffle) keeps the shared ones.
 2. Only windows at shared seeds enter the reference index: window hash -> first occurrence (smallest doc_id, then
    place). The index is dealt into blocks by window hash; each document is looked up in every block that holds one
    of its windows (a join on the hash).
@@ -65,7 +65,7 @@ def _seeded(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def _seeds(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            ids = batch.column("doc_id").to_numpy()
+            keys = batch.column("key").to_numpy()
             _, seeds, text = _seeded(words_of(batch.column("text")), window)
             if len(seeds) == 0:
                 continue
@@ -73,7 +73,7 @@ def _seeds(window: int):
             seeds, text = seeds[order], text[order]
             new = np.concatenate(([True], (seeds[1:] != seeds[:-1]) | (text[1:] != text[:-1])))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(seeds[new].view(np.int64)), pa.array(ids[text[new]])], names=["seed", "doc_id"]
+                [pa.array(seeds[new].view(np.int64)), pa.array(keys[text[new]])], names=["seed", "key"]
             )
 
     return run
@@ -148,21 +148,22 @@ def duplicate_factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     copies = stored(_copies(docs), "sub-copies").groupBy("doc_id").agg(F.collect_set("digest").alias("__copy"))
     copies = copies.withColumnRenamed("doc_id", "__id")
     ids, text = F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-    # Distinct texts only: a copy has no window that its first holder lacks.
-    copied = F.coalesce(F.array_contains("__copy", _digest()), F.lit(False))
-    own = docs.select(ids, text).where(F.col("doc_id").isNotNull())
-    own = own.join(copies, F.col("doc_id") == F.col("__id"), "left").where(~copied).select("doc_id", "text")
-    seeds = in_arrow(own, _seeds(window), "seed long, doc_id long")
-    spread = seeds.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    # A text by 64 bits of its digest: copies bring no seed that their first holder lacks, and no text moves for that.
+    key = F.xxhash64(_digest()).alias("key")
+    own = docs.select(ids, text, key).where(F.col("doc_id").isNotNull())
+    seeds = stored(in_arrow(own.select("key", "text"), _seeds(window), "seed long, key long"), "sub-seeds")
+    spread = seeds.groupBy("seed").agg(F.min("key").alias("low"), F.max("key").alias("high"))
     shared = spread.where("low < high").select("seed")
-    wanted = seeds.join(shared, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("__seeds"))
-    wanted = stored(wanted.withColumnRenamed("doc_id", "__id"), "sub-seeds")
-    # A left join without a filter above it: this shuffle of the documents is then the same as that of the removal, and
-    # one query that runs both writes it once.
-    windows = in_arrow(
-        docs.join(wanted, F.col("doc_id") == F.col("__id"), "left").select(ids, text, "__seeds"),
-        _windows(window),
-        "hash long, doc_id long, place int",
+    holders = own.groupBy("key").agg(F.min("doc_id").alias("__id"))
+    wanted = seeds.join(shared, "seed").distinct().join(holders, "key").groupBy("__id").agg(F.collect_set("seed").alias("__seeds"))
+    # Without the texts this is small, so it is kept, and the shuffles of both steps go as soon as they have ended.
+    windows = stored(
+        in_arrow(
+            docs.join(wanted, F.col("doc_id") == F.col("__id")).select(ids, text, "__seeds"),
+            _windows(window),
+            "hash long, doc_id long, place int",
+        ),
+        "sub-windows",
     )
     index = windows.groupBy("hash").agg(F.min(F.struct("doc_id", "place")).alias("source"), F.max("doc_id").alias("last"))
     index = index.where(F.col("source.doc_id") < F.col("last")).select("hash", "source")
@@ -172,7 +173,7 @@ def duplicate_factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             F.struct("hash", F.col("source.doc_id").alias("source_id"), F.col("source.place").alias("source_place"))
         ).alias("__factors")
     )
-    return factors.join(copies, "__id", "full")
+    return stored(factors.join(copies, "__id", "full"), "sub-factors")
 
 
 def _parse(hashes: np.ndarray, found: dict, window: int) -> list[tuple[int, int]]:
