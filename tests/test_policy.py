@@ -188,3 +188,24 @@ def test_spread_over_folds(spark):
     folds = spark.createDataFrame([("m", 0, 1.0, "x"), ("m", 1, 3.0, "x"), ("m", 2, None, "y")], "k string, fold int, v double, best string")
     assert [tuple(r) for r in A.metric_spread(folds, ["k"], ["v"]).collect()] == [("m", "v", 2, 2.0, 1.0)]
     assert sorted(map(tuple, A.parameter_counts(folds, ["k"], "best").collect())) == [("m", "x", 2), ("m", "y", 1)]
+
+
+def test_policy_error_names_every_problem():
+    with pytest.raises(D.PolicyError, match="no column run; .*'gpu_x', 'loss'.*; no predictor column"):
+        D.predictors_of(["row_id", "loss", "gpu_x"], "run")
+    assert D.column_roles(["row_id", "loss", "bytes_total"]) == {"row_id": "metadata", "loss": "forbidden", "bytes_total": "predictor"}
+
+
+def test_group_folds_are_disjoint_and_even(spark):
+    rows = [(f"g{i}", "s" if i % 2 else "t", "ab"[j % 2] if i % 3 else "c") for i in range(40) for j in range(1 + i % 7)] + [(None, "s", None)]
+    df = spark.createDataFrame(rows, "g string, scope string, c string")
+    sizes = {}
+    for g, scope, _ in rows:
+        sizes[scope, g] = sizes.get((scope, g), 0) + 1
+    for found in (FI.group_folds(df, "g", 4, scope=["scope"]), FI.stratified_group_folds(df, "c", "g", 4, scope=["scope"])):
+        placed = {(r["scope"], r["g"]): r["fold"] for r in found.collect()}
+        assert set(placed) == set(sizes)
+        for scope in "st":
+            held = [sum(n for k, n in sizes.items() if k[0] == scope and placed[k] == f) for f in range(4)]
+            assert max(held) - min(held) <= 7
+    assert FI.group_folds(df.limit(0), "g", 3).count() == 0

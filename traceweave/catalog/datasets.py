@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from traceweave.catalog import query, r6
@@ -571,9 +573,26 @@ def calibration_holdout(spark, sf_dir):
     return S.calibration_holdout(table(spark, sf_dir, "labels"), "doc_id", "toxic").select("doc_id", "split")
 
 
-@query()
+def _dirichlet_sql(clients: int, alpha: float, seed: int) -> str:
+    d = alpha + 2 / 3
+    c = 1 / (9 * d) ** 0.5
+
+    def u(*parts: str) -> str:
+        return f"((('0x' || substr(md5({" || '|' || ".join(str(x) for x in parts)}), 1, 15))::BIGINT::DOUBLE + 0.5) / {float(S.HASH_SPACE)!r})"
+
+    key = [f"'{seed}'", "quality", "i"]
+    return f"""WITH c AS (SELECT quality, count(*) AS n FROM labels WHERE quality IS NOT NULL GROUP BY 1), cl AS (SELECT unnest(range(0, {clients})) AS i), tr AS (SELECT unnest(range(0, {S.GAMMA_ATTEMPTS})) AS k),
+x AS (SELECT quality, i, k, sqrt(-2.0::DOUBLE * ln({u(*key, "k", "'r'")})) * cos({2 * math.pi!r}::DOUBLE * {u(*key, "k", "'t'")}) AS x, ln({u(*key, "k", "'a'")}) AS la, ln({u(*key, "'p'")}) AS lp FROM c, cl, tr),
+v AS (SELECT *, pow(1.0::DOUBLE + {c!r}::DOUBLE * x, 3.0::DOUBLE) AS v FROM x), g AS (SELECT quality, i, k, {math.log(d)!r}::DOUBLE + ln(greatest(v, 1e-300::DOUBLE)) + lp / {alpha!r}::DOUBLE AS g FROM v
+ WHERE k = {S.GAMMA_ATTEMPTS - 1} OR (v > 0 AND la < 0.5 * x * x + {d!r}::DOUBLE - {d!r}::DOUBLE * v + {d!r}::DOUBLE * ln(greatest(v, 1e-300::DOUBLE))) QUALIFY row_number() OVER (PARTITION BY quality, i ORDER BY k) = 1),
+s AS (SELECT quality, i, exp(g - max(g) OVER (PARTITION BY quality)) AS s FROM g), e AS (SELECT quality, i, sum(s) OVER (PARTITION BY quality ORDER BY i) / sum(s) OVER (PARTITION BY quality) AS e FROM s),
+cut AS (SELECT quality, i, floor(e * n + 0.5) AS z FROM e JOIN c USING (quality)), p AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY ('0x' || substr(md5('{seed}|' || doc_id), 1, 15))::BIGINT, doc_id) AS pos FROM labels)
+SELECT doc_id, quality, least(count(*) FILTER (z < pos), {clients - 1})::INTEGER AS client_index FROM p JOIN cut USING (quality) GROUP BY doc_id, quality, pos"""
+
+
+@query(_dirichlet_sql(7, 0.5, 42))
 def dirichlet_partition(spark, sf_dir):
-    """Label-skewed split; its invariants are tested, the draws are its own."""
+    """Label-skewed split over seven clients, all of which get rows from the draw itself."""
     return S.dirichlet_partitions(table(spark, sf_dir, "labels"), "doc_id", "quality", 7, 0.5, 42).select(
         "doc_id", "quality", "client_index"
     )

@@ -302,6 +302,37 @@ def sample_weights(spark, sf_dir):
     )
 
 
+@query(
+    """WITH RECURSIVE g AS (SELECT o_custkey % 97 AS customer_group, count(*) AS n FROM orders GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY n DESC, ('0x' || substr(md5('42|' || customer_group), 1, 15))::BIGINT) AS k FROM g),
+p AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS customer_group, NULL::INTEGER AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS held
+ UNION ALL SELECT r.k, r.customer_group, (list_position(held, list_min(held)) - 1)::INTEGER, list_transform(held, lambda x, i: CASE WHEN i = list_position(held, list_min(held)) THEN x + r.n ELSE x END) FROM p JOIN r ON r.k = p.k + 1)
+SELECT customer_group, fold FROM p WHERE k > 0"""
+)
+def group_folds(spark, sf_dir):
+    """Groups of customers in five folds of nearly equal numbers of orders."""
+    orders = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 97).alias("customer_group"))
+    return FI.group_folds(orders, "customer_group", 5)
+
+
+@query(
+    """WITH RECURSIVE o AS (SELECT o_custkey % 97 AS g, o_orderstatus AS c FROM orders), cs AS (SELECT list(c ORDER BY c) AS cs FROM (SELECT DISTINCT c FROM o)),
+t AS (SELECT list(n ORDER BY c) AS total FROM (SELECT c, count(*)::DOUBLE AS n FROM o GROUP BY 1)),
+m AS (SELECT g, list_transform(cs, lambda x: len(list_filter(l, lambda y: y = x))::DOUBLE) AS n FROM (SELECT g, list(c) AS l FROM o GROUP BY 1), cs),
+r AS (SELECT *, row_number() OVER (ORDER BY round(list_stddev_pop(n), 9) DESC, ('0x' || substr(md5('42|' || g), 1, 15))::BIGINT) AS k FROM m),
+p AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS customer_group, NULL::INTEGER AS fold, list_transform(range(0, 5), lambda f: list_transform(cs, lambda x: 0.0::DOUBLE)) AS held FROM cs
+ UNION ALL SELECT k, g, pick::INTEGER, list_transform(held, lambda h, i: CASE WHEN i = pick + 1 THEN list_transform(h, lambda x, j: x + n[j]) ELSE h END)
+ FROM (SELECT r.k, r.g, r.n, held, list_sort(list_transform(range(0, 5), lambda f: struct_pack(
+   s := round(list_avg(list_transform(range(1, len(n) + 1), lambda j: list_stddev_pop(list_transform(held, lambda h, i: (h[j] + CASE WHEN i = f + 1 THEN n[j] ELSE 0 END) / total[j])))), 9),
+   w := list_sum(held[f + 1]), f := f)))[1].f AS pick FROM p JOIN r ON r.k = p.k + 1, t) step)
+SELECT customer_group, fold FROM p WHERE k > 0"""
+)
+def stratified_group_folds(spark, sf_dir):
+    """The same groups in five folds with like shares of every order status."""
+    orders = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 97).alias("customer_group"), "o_orderstatus")
+    return FI.stratified_group_folds(orders, "o_orderstatus", "customer_group", 5)
+
+
 @query(
     """WITH v AS (SELECT DISTINCT label, (vec_id % 20) * 100 + label AS e FROM embeddings),
 h AS (SELECT *, ('0x' || substr(md5('42|' || e), 1, 15))::BIGINT AS h, ('0x' || substr(md5('42|' || label), 1, 15))::BIGINT AS o FROM v),

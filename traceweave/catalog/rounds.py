@@ -141,6 +141,28 @@ def round_diagnostics(spark, sf_dir):
     return rounded(report)
 
 
+@query(
+    ROUNDS_SQL
+    + f""", ip AS (SELECT p.*, inferred_round_index, ds, ue, p.timestamp_epoch - lag(p.timestamp_epoch) OVER w AS iat FROM rd JOIN pp p ON p.experiment_id = rd.experiment_id AND p.client_id = rd.client_id AND p.timestamp_epoch BETWEEN ds AND ue
+ WINDOW w AS (PARTITION BY p.experiment_id, p.client_id, inferred_round_index ORDER BY p.timestamp_epoch, p.packet_index))
+SELECT experiment_id, client_id, inferred_round_index AS window_index, 'round' AS row_type, 'family_' || (any_value(user_id) % 12 % 3) AS family, count(*) AS packet_count_total, count(*) FILTER (direction = 'up') AS packet_count_up, count(*) FILTER (direction = 'down') AS packet_count_down,
+ sum(frame_length)::DOUBLE AS bytes_total, coalesce(sum(frame_length) FILTER (direction = 'up'), 0)::DOUBLE AS bytes_up, coalesce(sum(frame_length) FILTER (direction = 'down'), 0)::DOUBLE AS bytes_down, {r6("avg(frame_length)")} AS packet_size_mean, {r6("quantile_cont(frame_length::DOUBLE, 0.5)")} AS packet_size_median,
+ {r6("coalesce(avg(iat), 0)")} AS iat_sec_mean, {r6("coalesce(max(iat), 0)")} AS iat_sec_max, sum(tcp_syn)::DOUBLE AS tcp_syn_count, sum(retransmission)::DOUBLE AS tcp_retransmission_count FROM ip GROUP BY 1, 2, 3"""
+)
+def round_rows(spark, sf_dir):
+    """The labelled feature rows of inferred rounds, main columns (round_dataset has them all)."""
+    from traceweave.catalog.evaluation import hierarchy_labels
+    from traceweave.plans.jobs import round_dataset as build
+
+    p = parsed_packets(spark, sf_dir)
+    labels = hierarchy_labels(p.select("experiment_id", "client_id").distinct())
+    made = build(p, labels, ["family"], CFG, burst_gap_sec=6 * HOUR, idle_threshold_sec=DAY)
+    whole = ["packet_count_total", "packet_count_up", "packet_count_down"]
+    rest = "bytes_total bytes_up bytes_down packet_size_mean packet_size_median iat_sec_mean iat_sec_max tcp_syn_count tcp_retransmission_count".split()
+    x = made["x"].select("row_id", *TRACE, "window_index", "row_type", *[F.col(c).cast("long").alias(c) for c in whole], *rest)
+    return rounded(x.join(made["y"].select("row_id", "family"), "row_id").drop("row_id"))
+
+
 SEG_SQL = f"""WITH {PACKETS_SQL}, w AS (SELECT experiment_id, client_id, min(timestamp_epoch) AS t0, max(timestamp_epoch) AS t1 FROM pp GROUP BY 1, 2),
 ix AS (SELECT *, unnest(range(0, floor((t1 - t0) / (5 * {DAY}))::BIGINT + 1)) AS i FROM w),
 sg AS (SELECT experiment_id, client_id, t0, i AS segment_index, t0 + i * 5 * {DAY} AS a, t0 + i * 5 * {DAY} + 5 * {DAY} AS z FROM ix)"""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,6 +172,72 @@ def experiment_folds(
     return ordered.withColumn("fold", F.pmod(F.col("_n") - 1 + first, F.col("_k")).cast("int")).drop("_n", "_draw", "_k")
 
 
+def _class_counts(df: DataFrame, group: str, label: str | None, scope: Sequence[str]) -> DataFrame:
+    """scope, group, rows and ``counts``: class -> rows (one row per group, whatever the number of rows)."""
+    name = F.coalesce(F.col(label).cast("string"), F.lit("")) if label else F.lit("")
+    cells = df.groupBy(*scope, group, name.alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct("_c", "_n"))))
+    return cells.groupBy(*scope, group).agg(F.sum("_n").alias("rows"), entries.alias("counts"))
+
+
+def _placed(table: DataFrame, group: str, scope: Sequence[str], place) -> DataFrame:
+    """scope, group, fold: ``place(rows)`` gives one fold per group; a scope's groups come in hash order of the draw."""
+    kinds = dict(table.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*scope, group]) + ", fold int"
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_draw", kind="stable").reset_index(drop=True)
+        return rows[[*scope, group]].assign(fold=np.array(place(rows), np.int32))
+
+    return table.withColumn("_all", F.lit(0)).groupBy("_all", *scope).applyInPandas(run, schema)
+
+
+def group_folds(df: DataFrame, group: str, folds: int, seed: int = 42, scope: Sequence[str] = ()) -> DataFrame:
+    """Group-disjoint folds of nearly equal rows: from large to small, each group joins the fold with the fewest rows.
+
+    Equal groups come in hash order, of equal folds the first is taken. The walk sees one row per group, not the data.
+    """
+    table = _class_counts(df, group, None, scope).drop("counts").withColumn("_draw", draw(F.lit(seed), F.col(group)))
+
+    def place(rows: pd.DataFrame) -> np.ndarray:
+        held, out = np.zeros(folds, np.int64), np.zeros(len(rows), np.int32)
+        for i in np.argsort(-rows["rows"].to_numpy(), kind="stable"):
+            out[i] = held.argmin()
+            held[out[i]] += rows["rows"].iloc[i]
+        return out
+
+    return _placed(table, group, scope, place)
+
+
+def stratified_group_folds(
+    df: DataFrame, label: str, group: str, folds: int, seed: int = 42, scope: Sequence[str] = ()
+) -> DataFrame:
+    """Group-disjoint folds in which every class is spread evenly, for groups of one class or several.
+
+    Groups with the most uneven class counts are placed first. Each joins the fold after which the classes' shares
+    vary least between folds (mean over the classes of the standard deviation), then the one with fewer rows, then the
+    first. The walk sees one row per group and class, not the data.
+    """
+    table = _class_counts(df, group, label, scope).withColumn("_draw", draw(F.lit(seed), F.col(group)))
+
+    def place(rows: pd.DataFrame) -> np.ndarray:
+        counts = [dict(c) for c in rows["counts"]]
+        classes = sorted({c for own in counts for c in own})
+        matrix = np.array([[own.get(c, 0) for c in classes] for own in counts], float)
+        total, held, out = matrix.sum(0), np.zeros((folds, len(classes))), np.zeros(len(rows), np.int32)
+        for i in np.argsort(-matrix.std(1).round(9), kind="stable"):
+            spread = np.empty(folds)
+            for f in range(folds):
+                held[f] += matrix[i]
+                spread[f] = (held / total).std(0).mean()
+                held[f] -= matrix[i]
+            out[i] = np.lexsort((held.sum(1), spread.round(9)))[0]
+            held[out[i]] += matrix[i]
+        return out
+
+    return _placed(table, group, scope, place)
+
+
 def fold_problems(assigned: DataFrame, label: str, folds: int, scope: Sequence[str] = ()) -> DataFrame:
     """(scope, class, fold) combinations without an experiment; empty when all is well."""
     seen = assigned.groupBy(*scope, label).agg(F.collect_set("fold").alias("_seen"))

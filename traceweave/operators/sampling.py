@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceweave.operators.ordered import DEFAULT_LIMIT, sequence
+from traceweave.operators.ordered import DEFAULT_LIMIT, salted_attach, sequence
 
 HASH_SPACE = 2**60
 
@@ -61,6 +62,51 @@ def iid_partitions(rows: DataFrame, key: str, clients: int, seed: int, limit: in
     return placed.withColumn("client_index", slot.cast("int")).drop("_one", "_draw", "_pos", "_n")
 
 
+def uniform(*parts: Column) -> Column:
+    """Uniform double in (0, 1) from `draw`."""
+    return (draw(*parts).cast("double") + 0.5) / float(HASH_SPACE)
+
+
+#: Attempts that one gamma draw may take; each is refused with a chance below 0.05.
+GAMMA_ATTEMPTS = 16
+
+
+def log_gamma_draw(alpha: float, *parts: Column) -> Column:
+    """Logarithm of a Gamma(alpha) variate that the parts determine, from built-in functions only.
+
+    Squeeze-free rejection of a cubed normal variate (Marsaglia and Tsang, 2000) at shape alpha + 1, brought down to
+    alpha by a power of one more uniform; in logarithms, so that small shapes do not underflow. The first attempt that
+    is accepted counts, the last one in any case.
+    """
+    d = alpha + 1.0 - 1.0 / 3.0
+    c = 1.0 / (9.0 * d) ** 0.5
+
+    def attempt(k: Column) -> Column:
+        radius = F.sqrt(F.lit(-2.0) * F.log(uniform(*parts, k, F.lit("r"))))
+        x = radius * F.cos(F.lit(2.0 * math.pi) * uniform(*parts, k, F.lit("t")))
+        v = F.pow(F.lit(1.0) + F.lit(c) * x, F.lit(3.0))
+        log_v = F.log(F.greatest(v, F.lit(1e-300)))
+        good = (v > 0) & (F.log(uniform(*parts, k, F.lit("a"))) < 0.5 * x * x + d - d * v + d * log_v)
+        return F.struct((good | (k == GAMMA_ATTEMPTS - 1)).alias("good"), (F.lit(math.log(d)) + log_v).alias("value"))
+
+    tries = F.transform(F.sequence(F.lit(0), F.lit(GAMMA_ATTEMPTS - 1)), attempt)
+    first = F.element_at(F.filter(tries, lambda t: t["good"]), 1)["value"]
+    return first + F.log(uniform(*parts, F.lit("p"))) / alpha
+
+
+def dirichlet_edges(labels: DataFrame, label: str, clients: int, alpha: float, seed: int) -> DataFrame:
+    """label and `edges`: for each client the share of the class that it and those before it get, from one Dirichlet draw."""
+    drawn = labels.select(label, F.explode(F.sequence(F.lit(0), F.lit(clients - 1))).alias("_i"))
+    drawn = drawn.withColumn("_g", log_gamma_draw(alpha, F.lit(seed), F.col(label), F.col("_i")))
+    # One short array per class.
+    listed = drawn.groupBy(label).agg(F.sort_array(F.collect_list(F.struct("_i", "_g"))).alias("_l"), F.max("_g").alias("_m"))
+    shares = F.transform("_l", lambda e: F.exp(e["_g"] - F.col("_m")))
+    upto = F.transform(F.sequence(F.lit(1), F.lit(clients)), lambda n: F.aggregate(F.slice("_s", F.lit(1), n), F.lit(0.0), lambda a, x: a + x))
+    return listed.withColumn("_s", shares).withColumn("_u", upto).select(
+        label, F.transform("_u", lambda x: x / F.element_at("_u", -1)).alias("edges")
+    )
+
+
 def dirichlet_partitions(
     rows: DataFrame,
     key: str,
@@ -70,30 +116,23 @@ def dirichlet_partitions(
     seed: int,
     limit: int = DEFAULT_LIMIT,
 ) -> DataFrame:
-    """Label-skewed disjoint split: per class, Dirichlet shares of the hash order.
+    """Label-skewed disjoint split: per class, the hash order is cut at a Dirichlet draw's shares.
 
-    Only the class list (bounded by the label domain) reaches the driver, where
-    the shares are drawn.  Empty clients then take one row from the largest.
+    The draws are column expressions over md5, so any SQL engine can repeat them and no class list reaches the driver.
+    Empty clients then take one row from the largest. Rows without a label go to no client.
     """
-    import numpy as np
-
     if alpha <= 0 or clients <= 0:
         raise ValueError("alpha and the number of clients must be positive")
-    spark = rows.sparkSession
-    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    rng = np.random.default_rng(seed)
-    cuts = []
-    for value in sorted(counts):
-        drawn = rng.multinomial(counts[value], rng.dirichlet(np.full(clients, float(alpha))))
-        edges = np.concatenate([[0], np.cumsum(drawn)])
-        cuts += [(value, i, int(edges[i]), int(edges[i + 1])) for i in range(clients)]
-    bounds = spark.createDataFrame(
-        cuts, f"`{label}` {dict(rows.dtypes)[label]}, client_index int, _from long, _to long"
-    )
-    placed = rows.withColumn("_draw", draw(F.lit(seed), F.col(key)))
-    placed = sequence(placed, [label], ["_draw", key], limit).numbered("_pos").rows()
-    inside = (F.col("_pos") - 1 >= F.col("_from")) & (F.col("_pos") - 1 < F.col("_to"))
-    parts = placed.join(F.broadcast(bounds), label).where(inside).drop("_from", "_to", "_pos")
+    known = rows.where(F.col(label).isNotNull())
+    edges = dirichlet_edges(known.select(label).distinct(), label, clients, float(alpha), seed)
+    placed = known.withColumn("_draw", draw(F.lit(seed), F.col(key)))
+    placed = sequence(placed, [label], ["_draw", key], limit).numbered("_pos")
+    placed = placed.key_stats({"_n": F.count(F.lit(1))}).rows()
+    # A class is spread over its rows, one row per class meets them.
+    placed = salted_attach(placed, edges, [label], F.col("_draw"), how="inner")
+    cuts = F.transform("edges", lambda e: F.floor(e * F.col("_n") + 0.5))
+    before = F.size(F.filter(cuts, lambda c: c < F.col("_pos")))
+    parts = placed.withColumn("client_index", F.least(before, F.lit(clients - 1)).cast("int")).drop("_pos", "_n", "edges")
     return _fill_empty(parts, key, clients).drop("_draw")
 
 
