@@ -34,6 +34,7 @@ def load_all() -> None:
         evaluation,
         identity,
         learning,
+        live,
         rounds,
         scalars,
         telemetry,
