@@ -300,3 +300,19 @@ def test_top_k_odd_rows(spark):
     assert {tuple(r) for r in found.collect()} == plain_top_k(data, lambda i: i % 100 == 0, 3)
     assert knn.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
     assert knn.top_k(df.where("vec_id = 1"), F.col("vec_id") % 100 == 0).count() == 0
+
+
+@pytest.mark.parametrize("n_pivots, query_block", [(700, 5000), (16, 3)])
+def test_top_k_of_a_query_id_in_many_rows(spark, n_pivots, query_block):
+    r = np.random.default_rng(3)
+    data = [(int(i), r.normal(0, 0.3, 8).tolist()) for i in range(1, 601) if i != 100]
+    data += [(100, [0.25] * 8)] * 14
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    found = knn.top_k(df, F.col("vec_id") % 100 == 0, 10, n_pivots=n_pivots, query_block=query_block)
+    whole = [(i, np.floor(1024 * np.array(v)).astype(np.int64)) for i, v in data]
+    want = set()
+    for query in (100, 200, 300, 400, 500, 600):
+        own = next(v for i, v in whole if i == query)
+        best = sorted((-int(own @ v), i) for i, v in whole if i != query)[:10]
+        want |= {(query, rank, i, -score) for rank, (score, i) in enumerate(best, 1)}
+    assert {(x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in found.collect()} == want

@@ -5,11 +5,11 @@ sqrt(M - |v|^2) and a query the extra coordinate 0, so |q - v|^2 = |q|^2 + M - 2
 k nearest vectors.
 
 1. `PIVOTS` vectors are drawn (bounded, by hash) and every vector joins the cell of its nearest pivot.
-2. A summary of each cell (count, largest and smallest distance to the pivot, the distances of its k nearest members)
+2. A summary of each cell (count, largest and smallest distance to the pivot, the distances of its nearest k + 1 ids)
    gives every query group an upper bound of the distance to the k-th neighbour, because a member lies no further than
    by way of its pivot.
 3. A vector is replicated to those query groups only whose bound it may meet by the triangle inequality.
-4. Each group, dealt into blocks of data, is solved locally with integer products; the blocks' best k meet in a grouped
+4. Each group, dealt into blocks of data and slices of queries, is solved locally with integer products; the blocks' best k meet in a grouped
    merge. The group's own nearest members are part of what is replicated, so the result is exact.
 
 Distances are used to discard only, with a slack above rounding errors; scores are 64-bit integers. Ties go to the
@@ -37,6 +37,8 @@ PIVOTS = 64
 SCALE = 1024
 #: Data vectors of a query group that one task gets at most, about.
 BLOCK = 20_000
+#: Queries of a group that one task gets at most, about.
+QUERY_BLOCK = 5_000
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -108,7 +110,9 @@ def _solved(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 10, n_pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+def top_k(
+    vectors: DataFrame, is_query, k: int = 10, n_pivots: int = PIVOTS, block: int = BLOCK, query_block: int = QUERY_BLOCK
+) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k highest integer products of every query row."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score long"
@@ -133,12 +137,13 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, n_pivots: int = PIVOTS, blo
     )
     data, queries = celled.where(~F.col("asked")), celled.where("asked")
     summary = data.groupBy("cell").agg(F.max("away").alias("far"), F.min("away").alias("close"), F.count("*").alias("n"))
-    # The k + 1 nearest members of each cell, by slices first, so that a hot cell is not sorted in one task.
-    sliced = Window.partitionBy("cell", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("away")
-    nearest = data.withColumn("r", F.row_number().over(sliced)).where(F.col("r") <= k + 1)
-    nearest = nearest.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("away"))).where(F.col("r") <= k + 1)
+    # The nearest member of each id, k + 1 ids a cell; by slices first, so that a hot cell is not sorted in one task.
+    sliced = Window.partitionBy("cell", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("away", "vec_id")
+    nearest = data.groupBy("cell", "vec_id").agg(F.min("away").alias("away"))
+    nearest = nearest.withColumn("r", F.row_number().over(sliced)).where(F.col("r") <= k + 1)
+    nearest = nearest.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("away", "vec_id"))).where(F.col("r") <= k + 1)
     cells = {r["cell"]: r for r in summary.collect()}  # one row per pivot
-    members = [(r["cell"], r["away"]) for r in nearest.select("cell", "away").collect()]  # k + 1 per pivot
+    members = [(r["cell"], r["away"], r["vec_id"]) for r in nearest.select("cell", "away", "vec_id").collect()]  # k + 1 per pivot
     groups = {r["cell"]: r for r in queries.groupBy("cell").agg(F.max("away").alias("far"), F.count("*").alias("n")).collect()}
     if not groups:
         return spark.createDataFrame([], schema)
@@ -147,25 +152,29 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, n_pivots: int = PIVOTS, blo
     slack = 1e-6 * (1 + np.sqrt(most))
     routes = []
     for group, asked in groups.items():
-        # One member of the k + 1 may be the query itself.
-        ways = sorted(asked["far"] + apart[group, cell] + away for cell, away in members)
-        bound = ways[k] if len(ways) > k else float("inf")
+        # Of k + 1 different ids one at most is the query's own, in however many rows.
+        ways: dict[int, float] = {}
+        for way, vec_id in sorted((asked["far"] + apart[group, cell] + away, vec_id) for cell, away, vec_id in members):
+            ways.setdefault(vec_id, way)
+        bound = list(ways.values())[k] if len(ways) > k else float("inf")
+        slices = max(1, -(-asked["n"] // query_block))
         for cell, held in cells.items():
             least = apart[group, cell] - asked["far"] - bound - slack
             most_away = bound + asked["far"] + apart[group, cell] + slack
             if held["far"] >= least and held["close"] <= most_away:
                 blocks = max(1, -(-held["n"] // block))
-                routes.append((cell, group, float(least), float(most_away), int(blocks)))
-    routed = spark.createDataFrame(routes, "cell int, target int, least double, most double, blocks int")
+                routes.append((cell, group, float(least), float(most_away), int(blocks), int(slices)))
+    routed = spark.createDataFrame(routes, "cell int, target int, least double, most double, blocks int, slices int")
     # pivots x pivots routes at most.
     sent = data.join(F.broadcast(routed), "cell").where(F.col("away").between(F.col("least"), F.col("most")))
-    sent = sent.select(
-        "target", "cell", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "v", "asked"
-    )
+    row = ["vec_id", "v", "asked"]
+    slice_ = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
+    sent = sent.select("target", "cell", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), slice_, *row)
+    own_slice = F.pmod(F.xxhash64("vec_id"), F.col("slices")).cast("int").alias("slice")
     asks = queries.withColumnRenamed("cell", "target").join(F.broadcast(routed), "target").select(
-        "target", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "v", "asked"
+        "target", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), own_slice, *row
     )
-    found = sent.union(asks).groupBy("target", "cell", "block").applyInArrow(
+    found = sent.union(asks).groupBy("target", "cell", "block", "slice").applyInArrow(
         _solved(k), "query_id long, vec_id long, score long"
     )
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
