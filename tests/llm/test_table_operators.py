@@ -316,3 +316,23 @@ def test_top_k_of_a_query_id_in_many_rows(spark, n_pivots, query_block):
         best = sorted((-int(own @ v), i) for i, v in whole if i != query)[:10]
         want |= {(query, rank, i, -score) for rank, (score, i) in enumerate(best, 1)}
     assert {(x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in found.collect()} == want
+
+
+def test_language_rejects_noise_and_unlearned_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.train(docs)
+    r = random.Random(1)
+    noise = " ".join("".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(r.randint(3, 9))) for _ in range(60))
+    odd_texts = [
+        noise,
+        "Η γρήγορη καφέ αλεπού πηδάει πάνω από το τεμπέλικο σκυλί και φεύγει μακριά στο δάσος",
+        "これは日本語の文章です。漢字とひらがなが混ざっています。今日はとても良い天気なので散歩に行きました。",
+        "Nopea ruskea kettu hyppää laiskan koiran yli ja juoksee kauas metsään ennen kuin ilta tulee ja yö laskeutuu",
+    ]
+    found = language_id.predict(spark.createDataFrame(list(enumerate(odd_texts)), "doc_id long, text string"), model)
+    assert [x["accepted"] for x in found.orderBy("doc_id").collect()] == [False] * 4
+    # Clean texts stay, also their first words alone.
+    clean = docs.where("lang IS NOT NULL AND text IS NOT NULL")
+    for text in ("text", "substring_index(text, ' ', 1)", "substring_index(text, ' ', 12)"):
+        judged = language_id.predict(clean.selectExpr("doc_id", f"{text} AS text"), model).where("lang_pred <> 'und'")
+        assert judged.where("NOT accepted").count() <= 0.002 * judged.count()

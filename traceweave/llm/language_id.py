@@ -5,9 +5,12 @@
 * Model: the mean of the rows' embeddings (`WIDTH` numbers each) goes through a linear softmax. Stochastic gradient
   descent in numpy trains both, on whole texts and on short excerpts of them, so that short texts score as they should.
 * Sample: at most about `PER_LANGUAGE` labelled rows of each of the `MOST_LANGUAGES` most frequent labels, drawn by a
-  hash of doc_id; that is all that reaches the driver, as counts of hashed subwords.
-* Calibration: every fifth sampled row is kept from training. A temperature minimises the log loss there; the rejection
-  threshold is the score that all but `REJECT` of these rows reach, and no more than 1.5 times an even guess.
+  hash of doc_id and text; that is all that reaches the driver, as counts of hashed subwords.
+* Calibration: every fifth sampled row is kept from training. A temperature minimises the log loss there.
+* Rejection: noise and languages that were not learned get high softmax scores like any text, but their subwords are new.
+  Per language, the share of subwords that training never saw is taken on the rows kept from training, whole and as
+  excerpts; all but `REJECT` of them lie below a share, and a text is rejected when it has more than `MARGIN` times
+  that share (`LEAST_SHARE` at least), and more than `SLACK` new subwords, about two words, beyond it.
 * Prediction: embedding times softmax weights is one small table (BUCKETS x languages), sent to all tasks; its size
   does not depend on the data.
 
@@ -34,7 +37,7 @@ from traceweave.llm.words import mix, slices, text_bytes
 BUCKETS, WIDTH = 1 << 16, 16
 PER_LANGUAGE, MOST_LANGUAGES = 500, 256
 EPOCHS, RATE, EXCERPT = 6, 0.5, 60
-REJECT = 0.001
+REJECT, MARGIN, LEAST_SHARE, SLACK = 0.001, 3.0, 0.05, 12
 UNKNOWN = "und"
 
 _LOWER: np.ndarray | None = None
@@ -99,20 +102,24 @@ class LanguageModel:
     table: np.ndarray
     bias: np.ndarray
     temperature: float
-    threshold: float
+    #: Subwords that training saw, and the share of others that a text of each language may have.
+    seen: np.ndarray
+    most_new: np.ndarray
 
-    def scores(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Best language (-1: no letter) and its calibrated probability."""
+    def scores(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Best language (-1: no letter), its calibrated probability, and whether the text is accepted."""
         rows, edges = subwords(column)
         sizes = np.diff(edges)
-        best, score = np.full(len(sizes), -1), np.zeros(len(sizes))
+        best, score, good = np.full(len(sizes), -1), np.zeros(len(sizes)), np.zeros(len(sizes), bool)
         held = np.flatnonzero(sizes)
         if len(held) and self.languages:
             sums = np.add.reduceat(self.table[rows], edges[held], axis=0, dtype=np.float64)
             logits = (sums / sizes[held, None] + self.bias) / self.temperature
             chance = _softmax(logits)
             best[held], score[held] = chance.argmax(1), chance.max(1)
-        return best, np.clip(score, 0.0, 1.0)
+            new = np.add.reduceat(~self.seen[rows], edges[held], dtype=np.int64)
+            good[held] = new <= sizes[held] * self.most_new[best[held]] + SLACK
+        return best, np.clip(score, 0.0, 1.0), good
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -149,8 +156,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = EPOCH
     usable = texts.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     found = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     if not found:
-        return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
-    share = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+        return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, np.zeros(BUCKETS, bool), np.zeros(0))
+    share = F.pmod(F.xxhash64(F.lit(17), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, per_language / r["count"])) for r in found], "lang string, share double")
     drawn = usable.join(F.broadcast(shares), "lang").where(share < F.col("share"))  # MOST_LANGUAGES rows
     counted = "doc_id long, lang string, ids array<int>, counts array<int>, excerpt array<int>"
@@ -190,27 +197,34 @@ def fit(rows: pa.Table, epochs: int) -> LanguageModel:
             bias -= rate * np.float32(0.1) * error
             embedding[ids] -= (rate * share * 20)[:, None] * back
     table = embedding @ weights
+    seen = np.zeros(BUCKETS, bool)
+    for ids, _, _ in examples:
+        seen[ids] = True
+    most_new = np.full(len(languages), LEAST_SHARE)
+    for label in range(len(languages)):
+        own = [i for i in kept if target[i] == label]
+        shares = [whole[i][1][~seen[whole[i][0]]].sum() / whole[i][1].sum() for i in own]
+        shares += [(~seen[part[i]]).mean() for i in own if len(part[i])]
+        if shares:
+            most_new[label] = max(LEAST_SHARE, MARGIN * np.quantile(shares, 1 - REJECT))
     if not kept:
-        return LanguageModel(languages, table, bias, 1.0, 0.0)
+        return LanguageModel(languages, table, bias, 1.0, seen, most_new)
     logits = np.array([(whole[i][1] / whole[i][1].sum()) @ table[whole[i][0]] + bias for i in kept], np.float64)
     truth = np.array([target[i] for i in kept])
     grid = np.geomspace(0.25, 8, 41)
     losses = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in grid]
-    temperature = float(grid[int(np.argmin(losses))])
-    best = _softmax(logits / temperature).max(1)
-    threshold = float(min(np.quantile(best, REJECT), 1.5 / len(languages)))
-    return LanguageModel(languages, table, bias, temperature, threshold)
+    return LanguageModel(languages, table, bias, float(grid[int(np.argmin(losses))]), seen, most_new)
 
 
 def _predicted(model, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model.value
         for batch in slices(batches, "text"):
-            best, score = known.scores(batch.column("text"))
+            best, score, good = known.scores(batch.column("text"))
             out = {
                 "lang_pred": pa.array([known.languages[b] if b >= 0 else UNKNOWN for b in best], pa.string()),
                 "score": pa.array(score),
-                "accepted": pa.array((best >= 0) & (score >= known.threshold)),
+                "accepted": pa.array(good),
             }
             yield pa.RecordBatch.from_arrays([out[n] if n in out else batch.column(n) for n in names], names=names)
 
@@ -234,8 +248,6 @@ def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for batch in slices(batches, clash):
-            best, score = known.scores(batch.column(clash))
-            keep = pa.array((best >= 0) & (score >= known.threshold))
-            yield batch.select(names).filter(keep)
+            yield batch.select(names).filter(pa.array(known.scores(batch.column(clash))[2]))
 
     return in_arrow(docs.withColumn(clash, F.col("text").cast("string")), run, docs.schema)
