@@ -2,6 +2,14 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's docs. All stages but the last return the columns of `documents`.
+
+Defined cases, stage by stage: a null or empty text, or one without a letter, goes at the first stage, as do noise and
+languages that no labelled row has; without any labelled row everything goes. Rows with a null doc_id are judged like
+others: of equal texts they stay only if no row has an id, they are near to nothing, lose no passage and are packed.
+Rows that repeat a doc_id are rows of their own; where one of them is a near copy to be dropped, all rows of that id go,
+and none loses a passage to another of the same id. Of ties, the larger doc_id stays among equal texts and the smaller
+one among near ones. Very long texts are worked on whole. Columns beyond those of `documents` are carried to the last
+stage under their own names, whatever these are. An empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
@@ -18,7 +26,7 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the classifier rejects: no letter at all, or hardly better than a guess."""
+    """Drops the documents that the classifier rejects: no letter, or too many subwords that no learned language has."""
     return language_id.accepted(docs, language_id.train(docs))
 
 
