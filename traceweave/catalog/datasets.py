@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from traceweave.catalog import query, r6
 from traceweave.catalog.evaluation import LABELS_SQL, hierarchy_labels
 from traceweave.catalog.tables import BURST_GAP, DAY, IDLE, PACKETS_SQL, packets, parsed_packets, table
+from traceweave.catalog.traces import features_sql
 from traceweave.functions.exprs import rounded
 from traceweave.operators import audit as A
 from traceweave.operators import dataset as D
@@ -151,54 +152,66 @@ def round_dataset(spark, sf_dir):
     return rounded(D.join_xy(made["x"], made["y"].drop("experiment_id", "client_id")))
 
 
-BUDGET_SQL = f"""WITH {PACKETS_SQL}, t AS (SELECT experiment_id, client_id, count(*) AS n FROM pk GROUP BY 1, 2), k AS (SELECT unnest([1, 5, 10]) AS packet_budget),
-u AS (SELECT experiment_id, client_id, packet_budget, n // packet_budget AS units FROM t CROSS JOIN k)"""
+#: Units per trace and K that sampling keeps at most.
+UNIT_CAP = 5_000
+BUDGET_SQL = f"""WITH {PACKETS_SQL}, t AS (SELECT experiment_id, client_id, count(*) AS n FROM pk GROUP BY 1, 2), k AS (SELECT unnest({list(FE.PACKET_BUDGETS)}) AS packet_budget),
+u AS (SELECT experiment_id, client_id, packet_budget, n // packet_budget AS units FROM t CROSS JOIN k),
+r AS (SELECT *, CASE WHEN CAST(regexp_extract(experiment_id, '[0-9]+') AS INT) % 3 = 0 THEN 'client' ELSE 'proxy' END AS source_role FROM u)"""
 
 
-@query(BUDGET_SQL + " SELECT experiment_id, client_id, packet_budget, least(units, 8) AS samples FROM u WHERE units > 0")
+@query(
+    BUDGET_SQL
+    + f""", o AS (SELECT experiment_id, client_id, frame_length, direction, row_number() OVER (PARTITION BY experiment_id, client_id ORDER BY timestamp_epoch, packet_index) AS i FROM pk)
+SELECT experiment_id, client_id, packet_budget, any_value(units) AS samples, {r6("sum(frame_length)")} AS bytes, {r6("sum((direction = 'up')::INT)")} AS packets_up
+FROM u JOIN o USING (experiment_id, client_id) WHERE i <= units * packet_budget GROUP BY 1, 2, 3"""
+)
 def packet_budget_dataset(spark, sf_dir):
-    """Sampled exact-K blocks: at most eight per trace and K."""
+    """All exact-K blocks of all budgets: their number, bytes and packets that go up, per trace and K."""
     from traceweave.plans.jobs import packet_budget_dataset as build
 
-    made = build(parsed_packets(spark, sf_dir), (1, 5, 10), cap=8)
+    made = build(parsed_packets(spark, sf_dir))
     key = ["experiment_id", "client_id", "packet_budget"]
-    both = made["single"].select(*key).unionByName(made["blocks"].select(*key))
-    return both.groupBy(*key).agg(F.count(F.lit(1)).alias("samples"))
+    k = F.col("packet_budget")
+    single = made["single"].select(*key, F.col("frame_length").cast("double").alias("b"), F.col("direction_up").alias("u"))
+    blocks = made["blocks"].select(*key, (F.col("packet_size_mean") * k).alias("b"), (F.col("upload_packet_fraction") * k).alias("u"))
+    both = single.unionByName(blocks).groupBy(*key)
+    return rounded(both.agg(F.count(F.lit(1)).alias("samples"), F.round(F.sum("b"), 3).alias("bytes"), F.round(F.sum("u"), 3).alias("packets_up")))
 
 
 @query(
     BUDGET_SQL
-    + f""", r AS (SELECT *, CASE WHEN CAST(regexp_extract(experiment_id, '[0-9]+') AS INT) % 3 = 0 THEN 'client' ELSE 'proxy' END AS source_role FROM u),
+    + f""",
 g AS (SELECT packet_budget, source_role FROM k CROSS JOIN (SELECT unnest(['client', 'server', 'proxy']) AS source_role)),
-s AS (SELECT packet_budget, source_role, sum(units)::BIGINT AS available, sum(least(units, 8))::BIGINT AS written, count(*) AS traces, count(DISTINCT experiment_id) AS experiments FROM r GROUP BY 1, 2)
+s AS (SELECT packet_budget, source_role, sum(units)::BIGINT AS available, sum(least(units, {UNIT_CAP}))::BIGINT AS written, count(*) AS traces, count(DISTINCT experiment_id) AS experiments FROM r GROUP BY 1, 2)
 SELECT packet_budget, source_role, coalesce(available, 0) AS available, coalesce(written, 0) AS written, coalesce(traces, 0) AS traces, coalesce(experiments, 0) AS experiments FROM g LEFT JOIN s USING (packet_budget, source_role)"""
 )
 def packet_inventory(spark, sf_dir):
-    return A.packet_inventory(
-        _budget_units(spark, sf_dir), (1, 5, 10), ("client", "server", "proxy"), "experiment_id", ["client_id"]
-    )
+    return _stock(spark, sf_dir)
 
 
-def _budget_units(spark, sf_dir):
+def _stock(spark, sf_dir):
     sizes = packets(spark, sf_dir).groupBy("experiment_id", "client_id").agg(F.count(F.lit(1)).alias("n"))
     e = F.regexp_extract("experiment_id", r"(\d+)$", 1).cast("int")
     units = F.floor(F.col("n") / F.col("packet_budget"))
-    return sizes.withColumn("packet_budget", F.explode(F.array(F.lit(1), F.lit(5), F.lit(10)))).select(
+    table_ = sizes.withColumn("packet_budget", F.explode(F.array(*[F.lit(k) for k in FE.PACKET_BUDGETS]))).select(
         "experiment_id",
         "client_id",
         "packet_budget",
         F.when(e % 3 == 0, "client").otherwise("proxy").alias("source_role"),
         units.alias("available"),
-        F.least(units, F.lit(8)).alias("written"),
+        F.least(units, F.lit(UNIT_CAP)).alias("written"),
     )
+    return A.packet_inventory(table_, FE.PACKET_BUDGETS, ("client", "server", "proxy"), "experiment_id", ["client_id"])
 
 
-@query("SELECT unnest(['client_to_proxy', 'server_to_proxy', 'both_to_proxy', 'proxy_to_proxy']) AS mode")
+@query(
+    BUDGET_SQL
+    + """, e AS (SELECT coalesce(bool_or(source_role IN ('client', 'server') AND units > 0), false) AS held FROM r WHERE packet_budget = 1)
+SELECT mode FROM e CROSS JOIN (SELECT unnest(['client_to_proxy', 'server_to_proxy', 'both_to_proxy', 'proxy_to_proxy']) AS mode) WHERE held OR mode = 'proxy_to_proxy'"""
+)
 def coverage_mode(spark, sf_dir):
     """Vantage modes the K=1 inventory allows; some clients captured packets here."""
-    stock = A.packet_inventory(
-        _budget_units(spark, sf_dir), (1, 5, 10), ("client", "server", "proxy"), "experiment_id", ["client_id"]
-    )
+    stock = _stock(spark, sf_dir)
     modes = A.coverage_modes(stock)
     return stock.where("packet_budget = 1 and source_role = 'proxy'").select(
         F.explode(F.array(*[F.lit(m) for m in modes])).alias("mode")
@@ -424,14 +437,15 @@ def local_deployment_guard(spark, sf_dir):
 
 
 @query(
-    WINDOWS_SQL + " SELECT experiment_id, client_id, s::DOUBLE AS window_size_sec, w AS window_index, 68 AS predictors FROM ds"
+    f"SELECT experiment_id, client_id, window_size_sec, window_index, 68 AS predictors, packet_size_mean, iat_sec_mean, upload_packet_fraction FROM ({features_sql(DAYS)}) f"
 )
 def feature_modes(spark, sf_dir):
     """Size-normalised rows: absolute volumes and quality columns are gone."""
     df = FE.feature_rows(parsed_packets(spark, sf_dir), DAYS, BURST_GAP, IDLE)
     kept = D.feature_mode(df, "size_normalized")
     names = D.predictors_of([c for c in kept.columns if c != "client_id"])
-    return kept.select("experiment_id", "client_id", "window_size_sec", "window_index", F.lit(len(names)).alias("predictors"))
+    ratios = ["packet_size_mean", "iat_sec_mean", "upload_packet_fraction"]
+    return rounded(kept.select("experiment_id", "client_id", "window_size_sec", "window_index", F.lit(len(names)).alias("predictors"), *ratios))
 
 
 # ---- runs -------------------------------------------------------------------------
