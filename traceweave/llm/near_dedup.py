@@ -282,7 +282,7 @@ def _large_links(large: DataFrame, link, percent: int, block: int) -> DataFrame:
     def probed(probes: DataFrame, rows: DataFrame) -> DataFrame:
         """Links of probes, each with the block it goes to, with the rows of that block."""
         many = probes.groupBy("cluster", "block").agg(F.ceil(F.count("*") / block).cast("int").alias("slices"))
-        many = F.broadcast(stored(many, "near-slices"))  # a row per `block` members
+        many = stored(many, "near-slices")  # a row per `block` members; its size decides how it is joined
         every = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
         own = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.col("slices")).cast("int").alias("slice")
         dealt = rows.join(many, ["cluster", "block"]).select("cluster", "block", every, *columns, F.lit(False).alias("probe"))
