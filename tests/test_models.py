@@ -76,3 +76,32 @@ def test_vantage_modes_have_a_status_each(table):
     }
     assert all(r["y_true"] == r["y_pred"] for r in rows if r["status"] == "evaluated")
     assert sum(r["mode"] == "client_to_proxy" for r in rows) == 60
+
+
+def test_every_stage_has_a_row_and_a_status(table):
+    """Families are evaluated, an architecture with one experiment per class is only described, one class is constant."""
+    few = table.where("experiment_id in ('e0', 'e1', 'e2', 'e3', 'e4')")
+    found = ML.hierarchy_evaluation(few, ["signal", "noise"], "experiment_id", F.col("id"), CFG)
+    rows = {(r["level"], r["parent"]): r for r in found.collect()}
+    assert rows["family", "all"]["status"] == "evaluated" and rows["family", "all"]["accuracy"] == 1.0
+    assert rows["architecture", "fam_1"]["status"] == "descriptive_only" and rows["architecture", "fam_1"]["folds"] is None
+    assert rows["application", "fam_0::arch_0::var_0"]["status"] == "constant"
+    assert len(rows) == 1 + 2 + 4 + 4
+
+
+def test_grid_of_representations_and_modes(table, spark):
+    wide = table.withColumnsRenamed({"signal": "bytes_total", "noise": "iat_sec_mean"}).drop("id").withColumn("row_id", F.monotonically_increasing_id())
+    found = ML.evaluation_grid(
+        {"overall": wide, "none": wide.limit(0)}, ["client_id"], "experiment_id", F.col("row_id"), cfg=CFG, levels=("family",)
+    ).collect()
+    rows = {(r["representation"], r["feature_mode"]): r for r in found}
+    assert rows["overall", "full"]["accuracy"] == 1.0 > rows["overall", "size_normalized"]["accuracy"]
+    assert {rows["none", m]["status"] for m in ("full", "size_normalized")} == {"no_rows"}
+
+
+def test_importances_are_ranked(table, spark):
+    cfg = ML.ForestConfig(trees=5, depth=4, top_k=2)
+    models = [ML.train_stage(table.withColumn("weight", F.lit(1.0)), "family", ["noise", "signal"], "weight", cfg)]
+    found = ML.feature_importances(models, spark).orderBy("rank").collect()
+    assert [r["feature"] for r in found] == ["signal", "noise"] and found[0]["importance"] > 0.8
+    assert len(ML.feature_importances(models, spark, top=1).collect()) == 1

@@ -66,11 +66,11 @@ def hierarchy_prediction(spark, sf_dir):
 
 @query()
 def hierarchy_metrics(spark, sf_dir):
-    """Out-of-fold metrics of the family and architecture stages over weekly windows."""
+    """Out-of-fold metrics, or the status, of every stage of all four levels over weekly windows."""
     rows = trace_rows(spark, sf_dir).where("row_type = 'window'")
     found = ML.hierarchy_evaluation(
         rows, TRACE_FEATURES, "experiment_id", F.struct("client_id", "window_index"),
-        ML.ForestConfig(trees=5, depth=4, top_k=4), ("family", "architecture"),
+        ML.ForestConfig(trees=5, depth=4, top_k=4),
     )
     return rounded(found)
 
@@ -78,7 +78,7 @@ def hierarchy_metrics(spark, sf_dir):
 @query()
 def cross_vantage_oof(spark, sf_dir):
     found = ML.cross_vantage_evaluation(
-        vectors(spark, sf_dir), NAMES, "family", "experiment_id", F.col("vec_id"), ["client_to_proxy", "proxy_to_proxy"],
+        vectors(spark, sf_dir), NAMES, "family", "experiment_id", F.col("vec_id"), ML.VANTAGE_MODES,
         ML.ForestConfig(trees=10, depth=5),
     )
     return found
@@ -93,7 +93,7 @@ def student_prediction(spark, sf_dir):
     )
     classes = report["classes"]
     taught = cut_lineage(
-        df.select("vec_id", *NAMES[:16]).join(
+        df.select("vec_id", *NAMES).join(
             found.select(
                 "vec_id",
                 "experiment_id",
@@ -103,5 +103,5 @@ def student_prediction(spark, sf_dir):
             "vec_id",
         )
     )
-    model = ML.train_student(taught, NAMES[:16], "teacher", "hard", classes, 0.5, 2.0)
+    model = ML.train_student(taught, NAMES, "teacher", "hard", classes, 0.5, 2.0)
     return rounded(model.predict(taught, "student_label", "confidence").select("vec_id", "student_label", "confidence"))

@@ -6,7 +6,7 @@ lists) steer the driver loop over stages and folds.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -252,6 +252,30 @@ def descriptive(df: DataFrame, features: Sequence[str], label: str, weight: str,
     return model.predict(df, "y_pred", "confidence").withColumn("status", F.lit("descriptive_only"))
 
 
+def _stage_row(
+    rows: DataFrame, features: Sequence[str], level: str, parent: str, experiment: str, spread: Column, cfg: ForestConfig
+) -> DataFrame:
+    """One row for a stage: metrics where it can be evaluated or at least fitted, and the status that says which.
+
+    ``evaluated``: out of fold; ``descriptive_only``: in sample, for want of independent experiments; ``constant``: one
+    class; ``unavailable``: none.
+    """
+    scope = [F.lit(level).alias("level"), F.lit(parent).alias("parent")]
+    predictions, report = out_of_fold(rows, features, level, experiment, spread, cfg)
+    status, folds = report["status"], report.get("folds")
+    if predictions is None:
+        classes = class_list(rows, level)
+        if len(classes) < 2:
+            status = "constant" if classes else "unavailable"
+            return rows.sparkSession.createDataFrame([(level, parent, status)], "level string, parent string, status string")
+        status = "descriptive_only"
+        weighted = cut_lineage(fisher.experiment_weights(rows.where(F.col(level).isNotNull()), experiment, spread))
+        predictions = descriptive(weighted, features, level, "weight", cfg).withColumn("y_true", F.col(level))
+    found = predictions.select(*scope, "y_true", "y_pred")
+    found = metrics.classification(found, ["level", "parent"], "y_true", "y_pred")
+    return found.withColumns({"folds": F.lit(folds).cast("int"), "status": F.lit(status)})
+
+
 def hierarchy_evaluation(
     df: DataFrame,
     features: Sequence[str],
@@ -260,24 +284,58 @@ def hierarchy_evaluation(
     cfg: ForestConfig | None = None,
     levels: Sequence[str] = LEVELS,
 ) -> DataFrame | None:
-    """Summary metrics of every stage that can be evaluated (one row each)."""
+    """Metrics and status of every stage (one row each)."""
     results = None
     for depth, level in enumerate(levels):
         for path in stage_parents(df, depth):
             rows = of_parent(df, path, LEVELS[:depth])
-            predictions, report = out_of_fold(rows, features, level, experiment, spread, cfg)
-            if predictions is None:
-                continue
-            row = metrics.classification(
-                predictions.select(F.lit(level).alias("level"), F.lit("::".join(path) or "all").alias("parent"), "y_true", "y_pred"),
-                ["level", "parent"],
-                "y_true",
-                "y_pred",
-            ).withColumn("folds", F.lit(report["folds"]))
-            results = row if results is None else results.unionByName(row)
+            row = _stage_row(rows, features, level, "::".join(path) or "all", experiment, spread, cfg or ForestConfig())
+            results = row if results is None else results.unionByName(row, allowMissingColumns=True)
     return results
 
 
+def evaluation_grid(
+    representations: Mapping[str, DataFrame],
+    trace: Sequence[str],
+    experiment: str,
+    spread: Column,
+    feature_modes: Sequence[str] = ("full", "size_normalized"),
+    cfg: ForestConfig | None = None,
+    levels: Sequence[str] = LEVELS,
+) -> DataFrame | None:
+    """A row per representation, feature mode and stage.
+
+    ``representations`` are labelled feature tables by name (whole traces, windows of one scale, packet blocks of one K,
+    rounds); their predictors are the columns that the policy leaves of those a mode keeps. A representation without
+    rows or predictors has one row that says so.
+    """
+    results = None
+    for name, table in representations.items():
+        for mode in feature_modes:
+            kept = dataset.feature_mode(table, mode)
+            columns = [c for c in kept.columns if c not in (*trace, *LEVELS)]
+            features = [c for c, role in dataset.column_roles(columns).items() if role == "predictor"]
+            if not features or kept.isEmpty():
+                status = "no_predictors" if kept.head(1) else "no_rows"
+                rows = table.sparkSession.createDataFrame([(status,)], "status string")
+            else:
+                rows = hierarchy_evaluation(kept, features, experiment, spread, cfg, levels)
+            rows = rows.select(F.lit(name).alias("representation"), F.lit(mode).alias("feature_mode"), "*")
+            results = rows if results is None else results.unionByName(rows, allowMissingColumns=True)
+    return results
+
+
+def feature_importances(models: Sequence[StageModel], spark, top: int = 25) -> DataFrame:
+    """level, parent, rank, feature, importance: the `top` columns of each fitted stage, ties by name."""
+    rows = []
+    for m in models:
+        if m.model is not None:
+            weights = m.model.stages[-1].featureImportances.toArray().tolist()
+            ranked = sorted(zip(m.features, weights, strict=True), key=lambda x: (-x[1], x[0]))[:top]
+            rows += [(m.level, m.parent, i, name, float(w)) for i, (name, w) in enumerate(ranked, 1)]
+    return spark.createDataFrame(rows, "level string, parent string, rank int, feature string, importance double")
+
+
 VANTAGE_ROLES = {
     "client_to_proxy": ["client"],
     "server_to_proxy": ["server"],
