@@ -51,7 +51,9 @@ def trace_rows(spark, sf_dir):
     return cut_lineage(hierarchy_labels(rows))
 
 
-TRACE_FEATURES = ["packet_count_total", "bytes_total", "iat_sec_mean", "packet_size_mean", "packet_size_std", "burst_count_total"]
+TRACE_FEATURES = list(FE.PREDICTORS)
+#: Every stage is fitted once per fold in `hierarchy_metrics`; the full list takes it several minutes (see README).
+SOME_FEATURES = ["packet_count_total", "bytes_total", "iat_sec_mean", "packet_size_mean", "packet_size_std", "burst_count_total"]
 
 
 @query()
@@ -69,7 +71,7 @@ def hierarchy_metrics(spark, sf_dir):
     """Out-of-fold metrics, or the status, of every stage of all four levels over weekly windows."""
     rows = trace_rows(spark, sf_dir).where("row_type = 'window'")
     found = ML.hierarchy_evaluation(
-        rows, TRACE_FEATURES, "experiment_id", F.struct("client_id", "window_index"),
+        rows, SOME_FEATURES, "experiment_id", F.struct("client_id", "window_index"),
         ML.ForestConfig(trees=5, depth=4, top_k=4),
     )
     return rounded(found)
