@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -329,16 +329,28 @@ def draw(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body (or a lambda in it) names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def token_ids(value: Column | str, length: int, vocabulary: int) -> Column:
     """Arrays of ``length`` ids: lower-cased words hashed into ``[2, vocabulary)``, the last array padded with 0.
 
     Together they hold every word of the text; a text without words is one array of zeros.
     """
     words = F.filter(F.split(F.lower(F.trim(F.coalesce(col(value), F.lit("")))), r"\s+"), lambda w: w != "")
-    ids = F.transform(words, lambda w: F.lit(2) + draw(w) % F.lit(vocabulary - 2))
-    padded = F.concat(ids, F.array_repeat(F.lit(0).cast("long"), length))
-    last = F.greatest(F.ceil(F.size(words) / length).cast("int") - 1, F.lit(0))
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(padded, i * length + 1, length))
+
+    def piece(own: Column, i: Column) -> Column:
+        ids = F.transform(F.slice(own, i * length + 1, length), lambda w: F.lit(2) + draw(w) % F.lit(vocabulary - 2))
+        missing = F.greatest((i + 1) * length - F.size(own), F.lit(0))
+        return F.concat(ids, F.array_repeat(F.lit(0).cast("long"), missing))
+
+    def pieces(own: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(own) / length).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: piece(own, i))
+
+    return bound(words, pieces)
 
 
 def masked_tokens(tokens: Column, row_key: Column, seed: int, probability: float = 0.15) -> tuple[Column, Column]:
