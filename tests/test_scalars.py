@@ -22,3 +22,18 @@ def test_token_ids_hash_a_long_text_once(spark):
     assert ids[:100_000] == [2 + hashed(w) % 29998 for w in words] and not any(ids[100_000:])
     assert none == [[0] * 128]
     assert short == [[2 + hashed("a") % 29998, 2 + hashed("b") % 29998] + [0] * 126]
+
+
+def test_masked_tokens_draw_once_a_token(spark):
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: (i + F.col("id")) % 5)
+    rows = spark.range(0, 4000, 1, 1).select("id", tokens.cast("array<long>").alias("t"))
+    inputs, targets = X.masked_tokens(F.col("t"), F.col("id"), 42)
+    began = time.monotonic()
+    found = rows.select("id", "t", inputs.alias("i"), targets.alias("o")).collect()
+    assert time.monotonic() - began < 60
+    for r in found[:20]:
+        draws = [hashed(f"{r.id}|{i}|42") % 1_000_000 / 1e6 if v > 1 else None for i, v in enumerate(r.t)]
+        least = min(d for d in draws if d is not None)
+        chosen = [d is not None and (d < 0.15 or d == least) for d in draws]
+        assert r.i == [1 if c else v for c, v in zip(chosen, r.t, strict=True)]
+        assert r.o == [v if c else -100 for c, v in zip(chosen, r.t, strict=True)]

@@ -363,11 +363,18 @@ def masked_tokens(tokens: Column, row_key: Column, seed: int, probability: float
         tokens,
         lambda v, i: F.when(v > 1, draw(row_key, i, F.lit(seed)) % F.lit(1_000_000) / 1e6),
     )
-    least = F.array_min(draws)
-    chosen = F.transform(draws, lambda d: F.coalesce((d < probability) | (d == least), F.lit(False)))
-    inputs = F.zip_with(tokens, chosen, lambda v, c: F.when(c, F.lit(1).cast("long")).otherwise(v))
-    targets = F.zip_with(tokens, chosen, lambda v, c: F.when(c, v).otherwise(F.lit(-100).cast("long")))
-    return inputs, targets
+
+    def choice(d: Column, least: Column) -> Column:
+        return F.transform(d, lambda x: F.coalesce((x < probability) | (x == least), F.lit(False)))
+
+    def sides(chosen: Column) -> Column:
+        return F.struct(
+            F.zip_with(tokens, chosen, lambda v, c: F.when(c, F.lit(1).cast("long")).otherwise(v)).alias("inputs"),
+            F.zip_with(tokens, chosen, lambda v, c: F.when(c, v).otherwise(F.lit(-100).cast("long"))).alias("targets"),
+        )
+
+    both = bound(draws, lambda d: bound(F.array_min(d), lambda least: bound(choice(d, least), sides)))
+    return both["inputs"], both["targets"]
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
