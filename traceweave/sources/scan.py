@@ -299,9 +299,10 @@ def endpoint_identity(table: DataFrame) -> DataFrame:
     )
 
 
-def bundle_inventory(files: DataFrame) -> DataFrame:
-    """Size and digest of every file (``path``, binary or text ``content``)."""
+def bundle_inventory(files: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Size and digest of every file (``path``, binary or text ``content``), with the columns that name its bundle."""
     return files.select(
+        *scope,
         "path",
         F.octet_length("content").cast("long").alias("size_bytes"),
         F.sha2(F.col("content").cast("binary"), 256).alias("sha256"),
@@ -316,10 +317,14 @@ def read_bundle(spark: SparkSession, root: str, suffixes: Sequence[str]) -> Data
     return bundle_inventory(files.where(wanted))
 
 
-def verify_bundle(actual: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Every file with its state: ok, missing, unlisted, size or digest mismatch."""
-    a = actual.select("path", F.col("size_bytes").alias("_size"), F.col("sha256").alias("_sha"))
-    both = manifest.join(a, "path", "full_outer")
+def verify_bundle(actual: DataFrame, manifest: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Every file with its state: ok, missing, unlisted, size or digest mismatch.
+
+    A path names one file of a bundle; ``scope`` has the columns that name the bundle where there are several.
+    """
+    keys = [*scope, "path"]
+    a = actual.select(*keys, F.col("size_bytes").alias("_size"), F.col("sha256").alias("_sha"))
+    both = manifest.join(a, keys, "full_outer")
     state = (
         F.when(F.col("_sha").isNull(), "missing")
         .when(F.col("sha256").isNull(), "unlisted")
@@ -327,7 +332,7 @@ def verify_bundle(actual: DataFrame, manifest: DataFrame) -> DataFrame:
         .when(F.col("sha256") != F.col("_sha"), "digest_mismatch")
         .otherwise("ok")
     )
-    return both.select("path", state.alias("state"))
+    return both.select(*keys, state.alias("state"))
 
 
 def bundle_identity(inventory: DataFrame, bundle: Sequence[str]) -> DataFrame:
