@@ -62,3 +62,31 @@ def test_chunk_numbers_are_unique(spark, limit):
     )
     found = chunk_global_index(df, ["experiment_id", "client_id"], limit)
     assert sorted(r["global_index"] for r in found.collect()) == list(range(1, 61))
+
+
+def test_bundles_with_one_path_stay_apart(spark):
+    from traceweave.sources.scan import bundle_identity, bundle_inventory, verify_bundle
+
+    rows = [(1, "a", "x"), (2, "a", "yy"), (2, "b", "z")]
+    actual = bundle_inventory(spark.createDataFrame(rows, "bundle long, path string, content string"), ["bundle"])
+    states = verify_bundle(actual, actual.where("path = 'a'"), ["bundle"]).collect()
+    assert sorted(map(tuple, states)) == [(1, "a", "ok"), (2, "a", "ok"), (2, "b", "unlisted")]
+    found = bundle_identity(actual, ["bundle"]).select("bundle", "file_count", "total_bytes").collect()
+    assert sorted(map(tuple, found)) == [(1, 1, 1), (2, 2, 3)]
+
+
+@pytest.mark.parametrize("name", ["bundle_verify", "bundle_identity", "alias_unique"])
+def test_repeated_urls_and_placeholders_as_in_the_sql(spark, tmp_path, name):
+    """Pages that share a url, and suppliers from 1000 on, whose placeholders clash."""
+    import duckdb
+
+    import __spark_entry__ as entry_module
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create table pages as select page_id, 'u' || page_id % 30 AS url, html from '{folder}/pages.parquet'")
+    con.execute(f"create table supplier as select s.* replace (s_suppkey + i AS s_suppkey) from '{folder}/supplier.parquet' s, (select unnest([0, 90, 990]) i)")
+    for t in ("pages", "supplier"):
+        con.execute(f"copy {t} to '{tmp_path}/{t}.parquet' (format parquet)")
+    got = sorted(map(tuple, entry_module.queries()[name](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(entry_module.oracle_sql()[name]).fetchall())

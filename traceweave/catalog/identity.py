@@ -513,8 +513,7 @@ def bundle_identity(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(
         (F.col("page_id") % 7).alias("bundle"), F.col("url").alias("path"), F.col("html").alias("content")
     )
-    inventory = bundle_inventory(pages).join(pages.select("bundle", "path"), "path")
-    return identity_of(inventory, ["bundle"])
+    return identity_of(bundle_inventory(pages, ["bundle"]), ["bundle"])
 
 
 CANON_SQL = f"""WITH {PACKETS_SQL}, cn AS (SELECT DISTINCT experiment_id AS run_id, 'trace_' || user_id AS client_id, '10.0.0.' || (user_id % 250) AS client_ip, CAST(50000 + user_id % 3 AS INTEGER) AS client_port FROM raw),
