@@ -37,3 +37,18 @@ def test_masked_tokens_draw_once_a_token(spark):
         chosen = [d is not None and (d < 0.15 or d == least) for d in draws]
         assert r.i == [1 if c else v for c, v in zip(chosen, r.t, strict=True)]
         assert r.o == [v if c else -100 for c, v in zip(chosen, r.t, strict=True)]
+
+
+def test_compact_count_units_and_ties(spark):
+    values = [999, 1250, 1350, 100_050, 6_000_000, 2_500_000_000]
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    names = ["B", "K"]
+    found = [tuple(r) for r in df.select(*[X.compact_count("v", n) for n in names]).collect()]
+    assert found == [
+        ("999", "999"),
+        (f"{1.25:.1f}K", "1.2K"),
+        (f"{1.35:.1f}K", f"{1.35:.1f}K"),
+        (f"{100.05:.1f}K", f"{100.05:.1f}K"),
+        ("6.0M", "6000.0K"),
+        ("2.5B", "2500000.0K"),
+    ]

@@ -79,7 +79,8 @@ def realtime_eligibility(spark, sf_dir):
 
 @query(WINDOWS_SQL + " SELECT representation, sum(n)::BIGINT AS packets, count(*) AS rows, CASE WHEN sum(n) >= 1000 THEN printf('%.1fK', sum(n) / 1000) ELSE sum(n) || '' END AS label FROM ds GROUP BY 1")
 def matrix_evidence(spark, sf_dir):
-    return A.matrix_evidence(window_dataset(spark, sf_dir), ["representation"])
+    """Packets behind each representation; the label is in thousands, however many, as in its SQL."""
+    return A.matrix_evidence(window_dataset(spark, sf_dir), ["representation"], "K")
 
 
 @query(WINDOWS_SQL + " SELECT count(*) AS mismatches FROM ds WHERE row_type = 'window' AND n > 0 AND w % 7 = 3")

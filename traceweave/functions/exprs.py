@@ -249,19 +249,16 @@ def representation(row_type: Column | str, window_size: Column | str) -> Column:
     return name
 
 
-def compact_count(value: Column | str) -> Column:
+def compact_count(value: Column | str, largest: str = "B") -> Column:
+    """Short form of a count, in units up to ``largest`` (K, M or B); one digit, rounded by the double's exact value."""
     number = col(value).cast("double")
-
-    def scaled(divisor: float, suffix: str) -> Column:
-        return F.concat(F.format_string("%.1f", number / F.lit(divisor)), F.lit(suffix))
-
-    size = F.abs(number)
-    return (
-        F.when(size >= 1e9, scaled(1e9, "B"))
-        .when(size >= 1e6, scaled(1e6, "M"))
-        .when(size >= 1e3, scaled(1e3, "K"))
-        .otherwise(number.cast("long").cast("string"))
-    )
+    label = number.cast("long").cast("string")
+    for suffix, unit in (("K", 1e3), ("M", 1e6), ("B", 1e9)):
+        scaled = F.call_function("format_number", number / F.lit(unit), F.lit("0.0"))
+        label = F.when(F.abs(number) >= unit, F.concat(scaled, F.lit(suffix))).otherwise(label)
+        if suffix == largest:
+            break
+    return label
 
 
 def soften(probs: Column, temperature: float | Column) -> Column:

@@ -320,9 +320,9 @@ def comparison(summaries: DataFrame, order: Sequence[str], name: str = "represen
     return summaries.where("status = 'evaluated'").withColumn("position", rank).orderBy("position", name)
 
 
-def matrix_evidence(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Packets and rows behind an aggregate matrix."""
+def matrix_evidence(df: DataFrame, keys: Sequence[str], largest: str = "B") -> DataFrame:
+    """Packets and rows behind an aggregate matrix; the label has units up to ``largest``."""
     packets = F.sum("packet_count_total")
     return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows"), packets.alias("packets"), X.compact_count(packets).alias("label")
+        F.count(F.lit(1)).alias("rows"), packets.alias("packets"), X.compact_count(packets, largest).alias("label")
     )
