@@ -2,9 +2,11 @@
 
 import random
 import statistics
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import PACKET_SCHEMA, packet_rows
 from traceweave.operators import matching as M
@@ -173,3 +175,45 @@ def test_shifted_clock_is_found_and_scored(spark):
     one = scores["c"]
     assert one["clock_offset_sec"] == pytest.approx(7.125) and one["clock_alignment_support"] == 25
     assert (one["matched_rounds_iou_75"], one["boundary_precision"], one["interval_iou_mean"]) == (25, 1.0, pytest.approx(1.0))
+
+
+def many_traces(spark, traces):
+    left = spark.range(traces).select(F.col("id").alias("trace"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("index"))
+    left = left.withColumn("start_epoch", F.col("trace") * 7.0 + F.col("index") * 10.0 + F.col("trace") % 3)
+    left = left.withColumn("end_epoch", F.col("start_epoch") + 6.0)
+    shifted = [(F.col(c) + 2.0).alias(c) for c in ("start_epoch", "end_epoch")]
+    return left, left.select("trace", "index", *shifted)
+
+
+def test_many_small_traces_cost_little_each(spark):
+    """Groups of a few rows share batches; a group each (and a long FFT a trace) took minutes."""
+    left, right = many_traces(spark, 15_000)
+    began = time.monotonic()
+    matches = M.greedy_matches(left, right, ["trace"]).agg(F.count("*"), F.min("iou"), F.max("start_error_sec")).first()
+    offsets = M.clock_offsets(left, right, ["trace"]).groupBy("clock_offset_sec", "clock_alignment_support").count().collect()
+    assert time.monotonic() - began < 60
+    assert tuple(matches) == (90_000, 0.5, 2.0)
+    assert [tuple(r) for r in offsets] == [(-2.0, 6, 15_000)]
+
+
+def test_listed_differences_equal_correlated_ones(monkeypatch):
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 1), (7, 9), (60, 40)):
+        a, b = (np.sort(rng.integers(0, 400, k) / 8.0) for k in (n, m))
+        listed = [M.consensus(a, b, 0.25, 0.25, top) for top in (3, 64)]
+        monkeypatch.setattr(M, "LISTED_PAIRS", 0)
+        assert [M.consensus(a, b, 0.25, 0.25, top) for top in (3, 64)] == listed
+        monkeypatch.undo()
+
+
+def test_round_dataset_plans_rounds_once(spark):
+    """Rounds and their rows are cut off, so that X and Y do not plan (and compute) them in each branch."""
+    from traceweave.plans.jobs import round_dataset
+
+    feed = [(10.0 * r + s + 0.1 * k, 1400, d, [], 0, 0) for r in range(6) for s, d in ((0, "down"), (4, "up")) for k in range(20)]
+    packets = spark.createDataFrame(packet_rows(feed), PACKET_SCHEMA)
+    labels = spark.createDataFrame([("run_1", "client_1", "f")], "experiment_id string, client_id string, family string")
+    made = round_dataset(packets, labels, ["family"])
+    assert made["x"].count() == made["y"].count() == made["boundaries"].count() == 6
+    for name in "xy":
+        assert len(made[name]._jdf.queryExecution().optimizedPlan().toString()) < 100_000

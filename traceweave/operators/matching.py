@@ -14,7 +14,7 @@ those offers the median of its differences, and the offsets are scored by one-to
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -35,16 +35,27 @@ INDEXED_ROUNDS = 20
 
 #: Histogram bins of one block of a correlation.
 BLOCK_BINS = 1 << 18
+#: Up to so many pairs of starts, their differences are listed.
+LISTED_PAIRS = 1 << 16
 
 
 def _key_types(df: DataFrame, keys: Sequence[str]) -> str:
     return ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in keys)
 
 
-def _with_keys(rows: pd.DataFrame, keys: Sequence[str], out: pd.DataFrame) -> pd.DataFrame:
-    for i, k in enumerate(keys):
-        out.insert(i, k, pd.Series([rows[k].iloc[0]] * len(out), dtype=object))
-    return out
+def _per_row(df: DataFrame, keys: Sequence[str], arrays: Sequence[str], work: Callable, names: Sequence[str], kinds: Sequence[str]) -> DataFrame:
+    """keys and the columns that `work` makes of each row's arrays (one list of tuples); groups are small, so many share a batch."""
+    keys, names = list(keys), list(names)
+
+    def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [work(*row) for row in zip(*(batch[c] for c in arrays), strict=True)]
+            rows = pd.DataFrame([r for rows in found for r in rows], columns=names, dtype=object)
+            owners = batch[keys].iloc[np.repeat(np.arange(len(batch)), [len(rows) for rows in found])]
+            yield pd.concat([owners.reset_index(drop=True), rows], axis=1)
+
+    schema = ", ".join([_key_types(df, keys), *[f"{n} {k}" for n, k in zip(names, kinds, strict=True)]])
+    return df.select(*keys, *arrays).mapInPandas(over, schema)
 
 
 # ---- matches ------------------------------------------------------------------
@@ -96,23 +107,25 @@ def greedy_matches(
     """
     keys = list(keys)
 
-    def matched(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["start_epoch", "index"])
-        sides = [rows[rows["on_left"]], rows[~rows["on_left"]]]
-        a, b = (side[["start_epoch", "end_epoch"]].to_numpy(float) for side in sides)
-        ids = [side["index"].to_numpy() for side in sides]
+    def matched(a_id, a_start, a_end, b_id, b_start, b_end) -> list[tuple]:
+        ids, a, b = (a_id, b_id), np.column_stack([a_start, a_end]), np.column_stack([b_start, b_end])
         found = list(_overlaps(a, b, minimum_iou))
-        i, j, iou = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
+        i, j, iou = (np.concatenate(x) for x in zip(*found, strict=True))
         errors = np.abs(a[i] - b[j])
         order = np.lexsort((ids[1][j], ids[0][i], errors[:, 0], -iou))
         best = _take(order, i, j)
-        names = ["left_index", "right_index", "iou", "start_error_sec", "end_error_sec"]
         values = [ids[0][i[best]], ids[1][j[best]], iou[best], errors[best, 0], errors[best, 1]]
-        return _with_keys(rows, keys, pd.DataFrame(dict(zip(names, values, strict=True))))
+        return list(zip(*(v.tolist() for v in values), strict=True))
 
     table = components(left, right, keys, limit)
-    schema = f"{_key_types(table, keys)}, left_index long, right_index long, iou double, start_error_sec double, end_error_sec double"
-    return table.groupBy(*keys, "component").applyInPandas(matched, schema)
+    own = F.struct("start_epoch", "index", "end_epoch")
+    sides = {"a": F.when(F.col("on_left"), own), "b": F.when(~F.col("on_left"), own)}
+    grouped = table.groupBy(*keys, "component").agg(*[F.array_sort(F.collect_list(v)).alias(n) for n, v in sides.items()])
+    arrays = [f"{n}_{f}" for n in sides for f in ("index", "start_epoch", "end_epoch")]
+    grouped = grouped.where((F.size("a") > 0) & (F.size("b") > 0))
+    grouped = grouped.select(*keys, *[F.col(f"{c[0]}.{c[2:]}").alias(c) for c in arrays])
+    names = ["left_index", "right_index", "iou", "start_error_sec", "end_error_sec"]
+    return _per_row(grouped, keys, arrays, matched, names, ["long", "long", "double", "double", "double"])
 
 
 def boundary_scores(
@@ -178,6 +191,19 @@ def _correlated(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values, np.bincount(where, np.concatenate(counts)).astype(np.int64)
 
 
+def _common_offsets(a: np.ndarray, b: np.ndarray, width: float, top: int) -> list[float]:
+    """Medians of the `top` fullest buckets of differences, fullest first, then in order of a, then b."""
+    if len(a) * len(b) > LISTED_PAIRS:
+        buckets = Differences(a, b, width)
+        return [float(np.median(buckets.of(k))) for k in buckets.fullest(top)]
+    apart = (a[:, None] - b).ravel()
+    _, first, own, n = np.unique(np.rint(apart / width), return_index=True, return_inverse=True, return_counts=True)
+    inside = apart[np.lexsort((apart, own))]
+    begins = np.cumsum(n) - n
+    medians = (inside[begins + (n - 1) // 2] + inside[begins + n // 2]) / 2
+    return medians[np.lexsort((first, -n))[:top]].tolist()
+
+
 class Differences:
     """All differences a - b of two sorted lists of starts, by bucket of `width` seconds, without listing them."""
 
@@ -260,8 +286,7 @@ def consensus(a: np.ndarray, b: np.ndarray, width: float, tolerance: float, top:
         # Times since the first start have no rounding errors left that could decide between equal errors.
         base = min(a[0], b[0])
         a, b = a - base, b - base
-        buckets = Differences(a, b, width)
-        offsets = [float(np.median(buckets.of(k))) for k in buckets.fullest(top)]
+        offsets = _common_offsets(a, b, width, top)
     offsets.append(0.0)
     n = min(len(a), len(b), INDEXED_ROUNDS)
     if n:
@@ -269,14 +294,31 @@ def consensus(a: np.ndarray, b: np.ndarray, width: float, tolerance: float, top:
     distinct: dict[float, float] = {}
     for offset in offsets:
         distinct.setdefault(round(offset, 6), offset)
-    scored = []
-    for at, offset in enumerate(distinct.values()):
+    # The most any offset can support: starts of either side that have one of the other near.
+    bounds = [_near(a - offset, b, tolerance) for offset in distinct.values()]
+    scored, most = [], 0
+    for bound, at, offset in sorted(zip(bounds, range(len(distinct)), distinct.values(), strict=True), key=lambda x: -x[0]):
+        if bound < most:
+            break
         support, median, mean = _support(a - offset, b, tolerance)
+        most = max(most, support)
         scored.append((-support, round(median, 6), round(mean, 6), at, offset, median, mean))
     support, _, _, _, offset, median, mean = min(scored)
     return offset, -support, median, mean
 
 
+def _near(a: np.ndarray, b: np.ndarray, tolerance: float) -> int:
+    """No fewer than the one-to-one matches of starts within the tolerance."""
+    if not len(a) or not len(b):
+        return 0
+
+    def some(x: np.ndarray, y: np.ndarray) -> int:
+        slack = tolerance * 1.0001
+        return int((np.searchsorted(y, x - slack) < np.searchsorted(y, x + slack, "right")).sum())
+
+    return min(some(a, b), some(b, a))
+
+
 def clock_offsets(
     inferred: DataFrame,
     truth: DataFrame,
@@ -296,18 +338,14 @@ def clock_offsets(
     def side(df: DataFrame, name: str) -> DataFrame:
         return df.select(*keys, F.col("start_epoch").cast("double").alias("t"), F.lit(name).alias("side"))
 
-    def scored(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = (np.sort(rows.loc[rows["side"] == s, "t"].to_numpy(float)) for s in ("inferred", "truth"))
-        if not len(a) or not len(b):
-            return pd.DataFrame(columns=[*keys, *names])
+    def scored(a: np.ndarray, b: np.ndarray) -> list[tuple]:
         offset, support, median, mean = consensus(a, b, bin_sec, tolerance_sec, top)
-        errors = [x if np.isfinite(x) else None for x in (median, mean)]
-        return _with_keys(rows, keys, pd.DataFrame([(offset if support else 0.0, support, *errors)], columns=names))
+        return [(offset if support else 0.0, support, *[x if np.isfinite(x) else None for x in (median, mean)])]
 
     both = side(inferred, "inferred").unionByName(side(truth, "truth")).where("t IS NOT NULL")
-    kinds = zip(names, ("double", "long", "double", "double"), strict=True)
-    schema = ", ".join([_key_types(both, keys), *[f"{name} {kind}" for name, kind in kinds]])
-    return both.groupBy(*keys).applyInPandas(scored, schema)
+    sides = [F.array_sort(F.collect_list(F.when(F.col("side") == n, F.col("t")))).alias(n) for n in ("inferred", "truth")]
+    starts = both.groupBy(*keys).agg(*sides).where((F.size("inferred") > 0) & (F.size("truth") > 0))
+    return _per_row(starts, keys, ["inferred", "truth"], scored, names, ["double", "long", "double", "double"])
 
 
 def validate_rounds(inferred: DataFrame, truth: DataFrame, keys: Sequence[str], **options) -> dict[str, DataFrame]:
