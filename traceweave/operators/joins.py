@@ -43,7 +43,8 @@ def interval_join(
     """Points inside closed intervals of the same key.
 
     A point gets one copy per level in use, with its bucket there as an extra
-    equi key, which also spreads a hot key over many tasks.
+    equi key, which also spreads a hot key over many tasks. Points are many
+    times what the size of their compressed files tells, and never broadcast.
     """
     levels = _levels(intervals, start, end) or [0]
     left = points.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels])))
@@ -55,7 +56,7 @@ def interval_join(
     equal = F.lit(True)
     for name in [*keys, "_level", "_bucket"]:
         equal = equal & (F.col(f"_p.{name}") == F.col(f"_i.{name}"))
-    joined = left.alias("_p").join(right.alias("_i"), equal & inside)
+    joined = left.alias("_p").hint("merge").join(right.alias("_i"), equal & inside)
     extra = [c for c in intervals.columns if c not in keys]
     return joined.select(*[f"_p.{c}" for c in points.columns], *[f"_i.{c}" for c in extra])
 

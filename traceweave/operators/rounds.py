@@ -121,7 +121,8 @@ def smoothed(bins: DataFrame, keys: Sequence[str] = TRACE) -> DataFrame:
     """A single mixed bin between equal directions takes their label.
 
     Only mixed bins look at their neighbours, by equi join on the bin number,
-    so there is no per-trace order to keep.
+    so there is no per-trace order to keep. Bins are nearly as many as packets
+    where these are sparse, so none of the sides is broadcast.
     """
     directed = bins.where("label in ('up', 'down')").select(*keys, "bin", F.col("label").alias("_near"))
     before = directed.select(*keys, (F.col("bin") + 1).alias("bin"), F.col("_near").alias("_before"))
@@ -129,8 +130,8 @@ def smoothed(bins: DataFrame, keys: Sequence[str] = TRACE) -> DataFrame:
     islands = (
         bins.where("label = 'mixed'")
         .select(*keys, "bin")
-        .join(before, [*keys, "bin"])
-        .join(after, [*keys, "bin"])
+        .join(before.hint("merge"), [*keys, "bin"])
+        .join(after.hint("merge"), [*keys, "bin"])
         .where("_before = _after")
         .select(*keys, "bin", F.col("_before").alias("_new"))
     )
@@ -187,7 +188,7 @@ def directional_bursts(
         *keys, "span", "direction", "_last", F.explode(F.sequence(F.col("_first"), F.col("_last") + 1)).alias("bin")
     )
     edge = F.col("bin") > F.col("_last")
-    parts = touched.join(bins.drop("label"), [*keys, "bin"]).where(~edge | (F.col("edge_packets") > 0))
+    parts = touched.join(bins.drop("label").hint("merge"), [*keys, "bin"]).where(~edge | (F.col("edge_packets") > 0))
 
     def pick(inside: str, border: str) -> Column:
         return F.sum(F.when(edge, F.col(border)).otherwise(F.col(inside)))
@@ -267,7 +268,7 @@ def infer_rounds(
     keys = list(keys)
     sizes = trace_bounds(packets, keys)
     usable = packets.join(sizes.where(F.col("trace_packets") >= cfg.min_round_packets).select(*keys), keys, "left_semi")
-    bins = smoothed(packet_bins(usable, cfg, keys, limit), keys)
+    bins = smoothed(cut_lineage(packet_bins(usable, cfg, keys, limit)), keys)
     bursts = cut_lineage(directional_bursts(bins, cfg, keys, limit))
     thresholds = major_thresholds(bursts, cfg, keys, limit)
     major = major_bursts(bursts, thresholds, keys)

@@ -11,6 +11,7 @@ from traceweave.functions import exprs as X
 from traceweave.operators import audit, dataset, features, identity, isolate, rounds, sampling
 from traceweave.operators.features import TRACE, WINDOW_SCALES
 from traceweave.operators.ordered import DEFAULT_LIMIT
+from traceweave.session import cut_lineage
 
 
 def repaired_features(
@@ -120,9 +121,11 @@ def round_dataset(
 ) -> dict[str, DataFrame]:
     """Inferred rounds, their feature rows and labels, and the diagnostics."""
     found, report = rounds.infer_rounds(packets, cfg, limit=limit)
+    # Rounds and their rows are few, and read by many branches, each of which would plan and compute them again.
+    found = cut_lineage(found)
     segments = found.select(*TRACE, F.col("inferred_round_index").alias("segment_index"), "start_epoch", "end_epoch")
     trace = features.sequence_packets(packets, options.get("burst_gap_sec", 0.05), limit=limit)
-    rows = features.segment_features(trace, segments, "round", limit=limit, **options)
+    rows = cut_lineage(features.segment_features(trace, segments, "round", limit=limit, **options))
     x, y, _ = fingerprint_dataset(rows, labels, fields, limit=limit)
     return {"x": x, "y": y, "boundaries": found, "diagnostics": report}
 
