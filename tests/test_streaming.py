@@ -175,3 +175,114 @@ def test_round_barrier(keyed, tmp_path, block_values):
         means[r["round"]] += r["values"]
     assert means == {1: [4.0, 5.0], 2: [2.0, 2.0]}
     assert sorted((r["status"], r["client_id"]) for r in got if r["status"] != "aggregated") == [("duplicate", "a"), ("stale_or_future", "b")]
+
+
+def test_a_step_of_a_replay_is_one_batch(keyed, tmp_path):
+    """Batches do not grow in number with the files of a table."""
+    from traceweave.catalog.live import FILES, _replayed
+
+    rows = keyed.range(600).repartition(20).select(F.col("id"), F.col("id").cast("double").alias("timestamp_epoch"))
+    query = L.append_log(_replayed(rows, str(tmp_path)), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    query.awaitTermination()
+    assert len([p for p in query.recentProgress if p["numInputRows"]]) == FILES
+    assert keyed.read.parquet(f"{tmp_path}/out").count() == 600
+
+
+class _Kept:
+    """Stands for a state variable or handle; counts the calls and the rows it is given."""
+
+    def __init__(self):
+        self.value, self.items, self.calls, self.timers, self.names = None, [], {}, set(), {}
+
+    def _count(self, name, n=1):
+        self.calls[name] = self.calls.get(name, 0) + n
+
+    def getValueState(self, name, *_):
+        return self.names.setdefault(name, _Kept())
+
+    getListState = getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+    def exists(self):
+        return bool(self.items) or self.value is not None
+
+    def get(self):
+        self._count("get")
+        return self.value or iter(list(self.items))
+
+    def update(self, value):
+        self.value = value
+
+    def appendList(self, rows):
+        self._count("rows", len(rows))
+        self.items += rows
+
+    def put(self, rows):
+        self._count("rows", len(rows))
+        self.items = list(rows)
+
+    def clear(self):
+        self.value, self.items = None, []
+
+
+def test_waiting_packets_are_left_alone_until_passed():
+    handle, processor = _Kept(), L.AnchoredWindows(["trace"], [10.0], 1e6)
+    processor.init(handle)
+    handle.names["trace"].get = lambda: handle.names["trace"].value
+    for batch in range(50):
+        new = [(float(100 * batch + i), 100 * batch + i, 1, "up") for i in range(100)]
+        assert list(processor._advance(("a",), new, 0.0)) == []
+    waiting = handle.names["waiting"]
+    assert waiting.calls.get("get", 0) <= 1
+    assert waiting.calls["rows"] <= 50  # an element a batch, not one a packet
+    assert len(handle.timers) == 1
+    assert len(L.from_chunks(waiting.items)) == 5000
+
+
+def test_waiting_packets_of_a_peer_share_elements():
+    handle, processor = _Kept(), L.RegistrationBuffer(["run"])
+    processor.init(handle)
+    handle.names["owner"].get = lambda: handle.names["owner"].value
+    row = {"kind": "packet", "client_id": None, "timestamp_epoch": 1.0, "frame_length": 1, "src_ip": "9.9"}
+    packets = [row | {"packet_index": i} for i in range(10_000)]
+    assert list(processor.handleInputRows(("r", "p"), packets, None)) == []
+    waiting = handle.names["waiting"]
+    assert waiting.calls["rows"] == 3
+    assert [p[0] for p in L.from_chunks(waiting.items)] == list(range(10_000))
+
+
+def test_flush_closes_across_taken_and_waiting_packets(keyed, tmp_path):
+    """Gaps and switches at the border, a trace that was not begun, packets of unknown direction, a null trace."""
+    schema = "trace string, packet_index long, timestamp_epoch double, frame_length long, direction string"
+    steps = [
+        [("a", 0, 0.0, 1, "up"), ("a", 1, 4.0, 2, "unknown"), (None, 0, 1.0, 5, "down")],
+        [("a", 2, 21.0, 4, "down"), ("b", 0, 30.0, 8, "up")],
+        [("a", 3, 23.0, 8, "up"), ("a", 4, 45.0, 16, "down"), ("b", 1, 33.0, 8, None), (None, 1, 46.0, 5, "up")],
+    ]
+    for rows in steps:
+        later = keyed.createDataFrame(rows, schema).withColumn("timestamp_epoch", F.col("timestamp_epoch") + 1000)
+        L.with_event_time(later).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    kind = keyed.read.parquet(f"{tmp_path}/in").schema
+    source = keyed.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out, checkpoint = f"{tmp_path}/out", f"{tmp_path}/checkpoint"
+    D.run_to_end(L.anchored_windows(source, ["trace"], [20.0], "24 seconds", idle_end=1e6), out, checkpoint)
+    found = D.flush(keyed, out, checkpoint, ["trace"], [20.0])
+    columns = ["trace", "window_index", "packet_count_total", "packet_count_up", "bytes_total", "direction_switch_count", "iat_sum_sec", "iat_max_sec"]
+    rows = sorted((tuple(r) for r in found.select(*columns).collect()), key=str)
+    assert rows == sorted(
+        [
+            ("a", 0, 2, 1, 3, 0, 4.0, 4.0),
+            ("a", 1, 2, 1, 12, 1, 2.0, 2.0),
+            ("a", 2, 1, 0, 16, 0, 0.0, 0.0),
+            ("b", 0, 2, 1, 16, 0, 3.0, 3.0),
+            (None, 0, 1, 0, 5, 0, 0.0, 0.0),
+            (None, 1, 0, 0, 0, 0, 0.0, 0.0),
+            (None, 2, 1, 1, 5, 0, 0.0, 0.0),
+        ],
+        key=str,
+    )

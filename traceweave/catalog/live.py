@@ -19,13 +19,18 @@ FILES = 3
 
 
 def _replayed(rows: DataFrame, folder: str, order: str = "timestamp_epoch") -> DataFrame:
-    """The rows as files in order of time, one written after the other, read as a stream file by file."""
+    """The rows as files in order of time, one step written after the other, read as a stream.
+
+    A trigger takes a step's files, however many these are: batches that grew in number with the table would each visit
+    every key again.
+    """
     spark = rows.sparkSession
     low, high = rows.agg(F.min(order), F.max(order)).first()
     part = F.least(F.floor((F.col(order) - low) / max(high - low, 1e-9) * FILES), F.lit(FILES - 1))
     for i in range(FILES):
         rows.where(part == i).write.mode("append").parquet(f"{folder}/in/{i}")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in/*")
+    files = max(len(spark.read.schema(rows.schema).parquet(f"{folder}/in/{i}").inputFiles()) for i in range(FILES))
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(files, 4)).parquet(f"{folder}/in/*")
 
 
 def _folder(spark) -> str:

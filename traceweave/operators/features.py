@@ -166,7 +166,7 @@ def windowed_rows(trace: Sequenced, scales: Sequence[float], dense: bool) -> Dat
         ],
     )
     if dense and scales:
-        gaps = F.concat(*[_gaps(window_index(prev, F.lit(float(s))), window_index(t, F.lit(float(s))), s) for s in scales])
+        gaps = F.concat(*[empty_runs(window_index(prev, F.lit(float(s))), window_index(t, F.lit(float(s))), s) for s in scales])
         entries = F.when(prev.isNull(), entries).otherwise(F.concat(entries, gaps))
     exploded = df.select(
         *trace.keys,
@@ -196,7 +196,7 @@ def windowed_rows(trace: Sequenced, scales: Sequence[float], dense: bool) -> Dat
     )
 
 
-def _gaps(before: Column, own: Column, scale: float) -> Column:
+def empty_runs(before: Column, own: Column, scale: float) -> Column:
     """The windows strictly between two packets' windows, as runs of at most GAP_WINDOWS."""
     low, high = before + 1, own - 1
     runs = F.transform(

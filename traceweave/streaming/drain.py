@@ -12,13 +12,14 @@ from __future__ import annotations
 import threading
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQueryListener
 
-from traceweave.streaming.live import WINDOW_FIELDS, add_packets, append_log
+from traceweave.operators.features import empty_runs, window_index
+from traceweave.operators.ordered import sequence
+from traceweave.session import cut_lineage
+from traceweave.streaming.live import WINDOW_FIELDS, append_log
 
 
 class Counts(StreamingQueryListener):
@@ -71,38 +72,67 @@ def residual(spark: SparkSession, checkpoint: str, variable: str, operator: int
     return table.select(*columns, inner.alias("_value"))
 
 
+def waiting_packets(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The packets that a keyed processor's waiting list holds, a row each."""
+    held = residual(spark, checkpoint, "waiting")
+    fields = [F.col(f"_value.{n}").alias(n) for n in held.schema["_value"].dataType.names]
+    packets = held.withColumn("_packet", F.explode(F.arrays_zip(*fields)))
+    return packets.drop("_value").select("*", "_packet.*").drop("_packet")
+
+
 def open_windows(spark: SparkSession, checkpoint: str, keys: Sequence[str], scales: Sequence[float]) -> DataFrame:
-    """The windows that `anchored_windows` left open, closed at each trace's last packet."""
-    keys, scales = list(keys), [float(s) for s in scales]
-    packets = residual(spark, checkpoint, "waiting").select(*keys, "_value.*").withColumnRenamed("index", "packet_index")
-    opened = residual(spark, checkpoint, "open").select(*keys, F.col("_at.scale").alias("scale"), "_value.*")
-    # An open window begins where its trace began, and the packets that wait come behind it.
-    first = residual(spark, checkpoint, "first").select(*keys, F.col("_value.first").alias("first"))
-    fields = ["index", *[n for n, _ in WINDOW_FIELDS[4:]], "last_t", "last_known"]
-    kinds = {f.name: f.dataType for f in packets.schema.fields}
-    schema = T.StructType([T.StructField(k, kinds[k]) for k in keys] + [T.StructField(n, t) for n, t in WINDOW_FIELDS])
-
-    def value(x):
-        return None if pd.isna(x) else x
-
-    def closed(waiting: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        key = [waiting[k].iloc[0] for k in keys] if len(waiting) else []
-        out = []
-        if len(waiting):
-            rows = sorted(waiting[["t", "packet_index", "size", "direction"]].itertuples(index=False, name=None))
-            begins = held["first"].dropna()
-            start = float(begins.iloc[0]) if len(begins) else rows[0][0]
-            windows = {r.scale: [value(getattr(r, f)) for f in fields] for r in held.dropna(subset="scale").itertuples()}
-            for scale in scales:
-                window = windows.get(scale)
-                if window is not None:
-                    window[0] = int(window[0])
-                done, _ = add_packets(scale, start, window, rows, rows[-1][0])
-                out += [(*key, *values) for values in done]
-        return pd.DataFrame(out, columns=schema.names, dtype=object)
-
-    held = opened.unionByName(first, allowMissingColumns=True)
-    return packets.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(closed, schema)
+    """The windows that `anchored_windows` left open, closed at each trace's last packet.
+
+    What a trace has taken stands before its waiting packets as one row: the predecessor of the first of them, which
+    brings the open windows' totals.
+    """
+    keys, counts = list(keys), [n for n, _ in WINDOW_FIELDS[4:]]
+    t, direction = F.col("timestamp_epoch"), F.col("direction")
+    known = F.when(direction.isin("up", "down"), F.struct(t.alias("t"), direction.alias("d")))
+    packets = waiting_packets(spark, checkpoint).withColumnsRenamed({"t": "timestamp_epoch", "index": "packet_index"})
+    packets = packets.withColumn("known", known)
+    begun = residual(spark, checkpoint, "trace").select(*keys, "_value.*").where("first IS NOT NULL")
+    begun = begun.select(
+        *keys, "first", "windows", F.col("last_t").alias("timestamp_epoch"), F.lit(None).cast("long").alias("packet_index"),
+        F.when(F.col("known_t").isNotNull(), F.struct(F.col("known_t").alias("t"), F.col("known").alias("d"))).alias("known"),
+    )
+    rows = cut_lineage(packets.unionByName(begun, allowMissingColumns=True))
+    trace = sequence(rows, keys, ["timestamp_epoch", "packet_index"])
+    trace = trace.previous({"prev_t": t, "prev_known": F.col("known")})
+    trace = trace.key_stats({"_first": F.min("first"), "_low": F.min("timestamp_epoch"), "trace_end": F.max("timestamp_epoch")})
+    trace = trace.with_columns({"trace_start": F.coalesce("_first", "_low")})
+    prev, before = F.col("prev_t"), F.col("prev_known")
+    zero = F.lit(0).cast("long")
+
+    def entry(scale: Column, index: Column, last: Column, values: Sequence[Column]) -> Column:
+        return F.struct(scale.alias("scale"), index.alias("index"), last.alias("last"), *[v.alias(n) for n, v in zip(counts, values)])
+
+    entries, empty = [], []
+    for s in scales:
+        scale = F.lit(float(s))
+        own, prior = window_index(t, scale), window_index(prev, scale)
+        gap = F.when(prior == own, F.greatest(t - prev, F.lit(0.0))).otherwise(F.lit(0.0))
+        switched = (window_index(before["t"], scale) == own) & direction.isin("up", "down") & (before["d"] != direction)
+        flags = [F.when(c, F.lit(1)).otherwise(F.lit(0)).cast("long") for c in (direction == "up", direction == "down", switched)]
+        up, down, switches = flags
+        entries.append(entry(scale, own, own, [zero + 1, up, down, F.col("size"), switches, gap, gap]))
+        blank = [zero] * 5 + [F.lit(0.0)] * 2
+        empty.append(F.transform(empty_runs(prior, own, s), lambda g: entry(g["scale"], g["index"], g["last"], blank)))
+    taken = F.array(*entries)
+    held = F.transform("windows", lambda w: entry(w["scale"], w["index"], w["index"], [w[n] for n in counts]))
+    whole = F.when(F.col("size").isNull(), held).when(prev.isNull(), taken).otherwise(F.concat(taken, *empty))
+    exploded = trace.rows().select(*keys, F.explode(whole).alias("g"))
+    exploded = exploded.select(*keys, "g.*", F.explode(F.sequence("g.index", "g.last")).alias("window_index"))
+    start = F.col("window_index") * F.col("scale")
+    totals = {n: F.max(n) if n == "iat_max_sec" else F.sum(n) for n in counts}
+    return (
+        exploded.groupBy(*keys, "scale", "window_index")
+        .agg(*[c.alias(n) for n, c in totals.items()])
+        .select(
+            *keys, F.col("scale").alias("window_size_sec"), "window_index", start.alias("window_start_sec"),
+            (start + F.col("scale")).alias("window_end_sec"), *counts,
+        )
+    )
 
 
 def flush(spark: SparkSession, folder: str, checkpoint: str, keys: Sequence[str], scales: Sequence[float]) -> DataFrame:
@@ -113,7 +143,8 @@ def flush(spark: SparkSession, folder: str, checkpoint: str, keys: Sequence[str]
 
 def left_over(spark: SparkSession, checkpoint: str, run: str, peer: str) -> DataFrame:
     """run, peer, packets: what the registration buffer still holds for peers that never registered."""
-    return residual(spark, checkpoint, "waiting").groupBy(run, peer).agg(F.count(F.lit(1)).alias("packets"))
+    waiting = residual(spark, checkpoint, "waiting").select(run, peer, F.size("_value.i").cast("long").alias("n"))
+    return waiting.groupBy(run, peer).agg(F.sum("n").alias("packets"))
 
 
 def run_summary(windows: DataFrame, run: str, trace: Sequence[str], gates: DataFrame | None = None, left: DataFrame | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ state; each keeps only running totals or a bounded list per key.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -118,6 +118,24 @@ def add_packets(
     return done, None
 
 
+#: Packets that one element of a list of waiting packets holds.
+CHUNK_PACKETS = 4096
+
+
+def packet_lists(*fields: tuple[str, T.DataType]) -> T.StructType:
+    """An element of a waiting list: up to `CHUNK_PACKETS` packets, a list per field, so that packets share its cost."""
+    return T.StructType([T.StructField(n, T.ArrayType(t)) for n, t in fields])
+
+
+def in_chunks(packets: Sequence[tuple]) -> list[tuple]:
+    starts = range(0, len(packets), CHUNK_PACKETS)
+    return [tuple(list(field) for field in zip(*packets[i : i + CHUNK_PACKETS])) for i in starts]
+
+
+def from_chunks(chunks: Iterable[tuple]) -> list[tuple]:
+    return [packet for chunk in chunks for packet in zip(*chunk)]
+
+
 class AnchoredWindows(StatefulProcessor):
     """Windows of every scale that start at the trace's first packet; the same rows as the batch operator's.
 
@@ -126,7 +144,8 @@ class AnchoredWindows(StatefulProcessor):
     belong to the window that ends with them. Windows are written once a later one has a packet, with the empty ones
     between. A trace ends when the watermark is ``idle_end`` seconds past its last packet: its last window is written
     and its state removed. A packet after that starts a new trace. State: the packets of one watermark delay, and one
-    open window per scale.
+    value with what is known of the trace and its open window per scale. Waiting packets are read when some of them
+    are passed, not with every batch, and a trace has one timer.
 
     Rows without a size are heartbeats: they move the watermark and are nothing else.
     """
@@ -138,54 +157,66 @@ class AnchoredWindows(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        packet = T.StructType(
-            [
-                T.StructField("t", T.DoubleType()),
-                T.StructField("index", T.LongType()),
-                T.StructField("size", T.LongType()),
-                T.StructField("direction", T.StringType()),
-            ]
+        packets = packet_lists(
+            ("t", T.DoubleType()), ("index", T.LongType()), ("size", T.LongType()), ("direction", T.StringType())
         )
         opened = T.StructType(
-            [T.StructField("index", T.LongType())]
+            [T.StructField("scale", T.DoubleType()), T.StructField("index", T.LongType())]
             + [T.StructField(n, t) for n, t in WINDOW_FIELDS[4:]]
             + [T.StructField("last_t", T.DoubleType()), T.StructField("last_known", T.StringType())]
         )
-        self.waiting = handle.getListState("waiting", packet)
-        self.first = handle.getValueState("first", T.StructType([T.StructField("first", T.DoubleType())]))
-        self.open = handle.getMapState("open", T.StructType([T.StructField("scale", T.DoubleType())]), opened)
-
-    def _take(self, key: tuple, packets: list, trace_end: float | None) -> Iterator[Row]:
-        """Add packets in order; windows before the last packet's are written, with ``trace_end`` that one as well."""
-        if packets and not self.first.exists():
-            self.first.update((packets[0][0],))
-        first = self.first.get()[0]
-        for s in self.scales:
-            window = list(self.open.getValue((s,))) if self.open.containsKey((s,)) else None
-            done, window = add_packets(s, first, window, packets, trace_end)
-            yield from (self.row(*key, *values) for values in done)
-            if window is not None:
-                self.open.updateValue((s,), tuple(window))
-
-    def _advance(self, key: tuple, new: list, watermark: float) -> Iterator[Row]:
-        packets = sorted([tuple(p) for p in self.waiting.get()] + new) if self.waiting.exists() else sorted(new)
-        if not packets:
+        # Of the packets that wait: earliest and latest time; of those taken: the first, the last, the last known one.
+        times = ("low", "latest", "first", "last_t", "known_t")
+        trace = T.StructType(
+            [T.StructField("due", T.LongType())]
+            + [T.StructField(n, T.DoubleType()) for n in times]
+            + [T.StructField("known", T.StringType()), T.StructField("windows", T.ArrayType(opened))]
+        )
+        self.waiting = handle.getListState("waiting", packets)
+        self.trace = handle.getValueState("trace", trace)
+
+    def _advance(self, key: tuple, new: list, watermark: float, fired: int | None = None) -> Iterator[Row]:
+        """Take what the watermark has passed; windows before the last packet's are written, at the trace's end all."""
+        state = self.trace.get()
+        if state is None and not new:
             return
-        latest = packets[-1][0]
-        if watermark > latest + self.idle_end:
-            yield from self._take(key, packets, latest)
-            self.waiting.clear()
-            self.first.clear()
-            self.open.clear()
+        due, low, latest, first, last_t, known_t, known, windows = state or (None,) * 7 + ([],)
+        if fired is not None and fired != due:
             return
-        ready = [p for p in packets if p[0] < watermark and p[0] < latest]
-        if ready:
-            yield from self._take(key, ready, None)
-        rest = packets[len(ready) :]
-        self.waiting.put(rest)
+        times = [p[0] for p in new] + [t for t in (low, latest) if t is not None]
+        low, latest = min(times), max(times)
+        over = watermark > latest + self.idle_end
+        if not over and low >= min(watermark, latest):
+            if new:
+                self.waiting.appendList(in_chunks(new))
+        else:
+            packets = sorted(from_chunks(self.waiting.get()) + new) if state else sorted(new)
+            ready = packets if over else [p for p in packets if p[0] < watermark and p[0] < latest]
+            first = ready[0][0] if first is None else first
+            held = {w[0]: list(w[1:]) for w in windows}
+            windows = []
+            for s in self.scales:
+                done, window = add_packets(s, first, held.get(s), ready, latest if over else None)
+                yield from (self.row(*key, *values) for values in done)
+                windows.append((s, *window) if window else None)
+            if over:
+                if due is not None and fired is None:
+                    self.handle.deleteTimer(due)
+                self.waiting.clear()
+                self.trace.clear()
+                return
+            last_t = ready[-1][0]
+            known_t, known = next(((p[0], p[3]) for p in reversed(ready) if p[3] in ("up", "down")), (known_t, known))
+            rest = packets[len(ready) :]
+            low = rest[0][0]
+            self.waiting.put(in_chunks(rest))
         # Wake when the next packet is passed, or when the trace is over.
-        due = rest[0][0] if rest[0][0] < latest else latest + self.idle_end
-        self.handle.registerTimer(int(max(due, watermark) * 1000) + 2)
+        wake = int(max(low if low < latest else latest + self.idle_end, watermark) * 1000) + 2
+        if wake != due:
+            if due is not None and fired is None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(wake)
+        self.trace.update((wake, low, latest, first, last_t, known_t, known, [tuple(w) for w in windows]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         new = [
@@ -196,7 +227,8 @@ class AnchoredWindows(StatefulProcessor):
         yield from self._advance(key, new, timerValues.getCurrentWatermarkInMs() / 1000.0)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self._advance(key, [], timerValues.getCurrentWatermarkInMs() / 1000.0)
+        watermark = timerValues.getCurrentWatermarkInMs() / 1000.0
+        yield from self._advance(key, [], watermark, expiredTimerInfo.getExpiryTimeInMs())
 
     def close(self) -> None:
         pass
@@ -297,19 +329,15 @@ class RegistrationBuffer(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         owner = T.StructType([T.StructField("client", T.StringType())])
-        packet = T.StructType(
-            [
-                T.StructField("i", T.LongType()),
-                T.StructField("t", T.DoubleType()),
-                T.StructField("n", T.LongType()),
-                T.StructField("src", T.StringType()),
-            ]
+        packets = packet_lists(
+            ("i", T.LongType()), ("t", T.DoubleType()), ("n", T.LongType()), ("src", T.StringType())
         )
         self.owner = handle.getValueState("owner", owner, self.ttl)
-        self.waiting = handle.getListState("waiting", packet, self.ttl)
+        self.waiting = handle.getListState("waiting", packets, self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        client = self.owner.get()[0] if self.owner.exists() else None
+        owner = self.owner.get()
+        client = owner[0] if owner else None
         packets = []
         for r in rows:
             if r["kind"] == "registration":
@@ -320,14 +348,14 @@ class RegistrationBuffer(StatefulProcessor):
         if client is None:
             if self.capacity is None:
                 if packets:
-                    self.waiting.appendList(packets)
+                    self.waiting.appendList(in_chunks(packets))
                 return
-            held = [tuple(p) for p in self.waiting.get()] + packets
-            self.waiting.put(held[-self.capacity :])
+            held = from_chunks(self.waiting.get()) + packets
+            self.waiting.put(in_chunks(held[-self.capacity :]))
             return
-        if not self.owner.exists():
+        if not owner:
             self.owner.update((client,))
-            packets = [tuple(p) for p in self.waiting.get()] + packets
+            packets = from_chunks(self.waiting.get()) + packets
             self.waiting.clear()
         for i, t, n, src in packets:
             yield self.row(*key, client, i, t, n, "up" if src == key[-1] else "down")
