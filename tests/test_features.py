@@ -86,3 +86,11 @@ def test_hot_traces_give_the_same_rows(spark, limit):
             np.testing.assert_allclose(a[c], b[c], rtol=1e-9, atol=1e-7, err_msg=c)
         else:
             pd.testing.assert_series_equal(a[c], b[c])
+
+
+def test_groups_are_dealt_once_per_block(spark):
+    """Packets of a group are shuffled once for each block; blocks meet where they are, and none is broadcast."""
+    p = T.parsed_packets(spark, "/root/testdata/sf0.001")
+    plan = FE.feature_rows(p, T.SCALES, T.BURST_GAP, T.IDLE)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 4  # all in one pass, bursts, connections, distributions
+    assert "BroadcastExchange" not in plan

@@ -31,6 +31,8 @@ QUANTILES = {"median": 0.5, "q25": 0.25, "q75": 0.75, "p90": 0.90, "p95": 0.95}
 #: Empty windows that one generated row stands for before it is spread out.
 GAP_WINDOWS = 10_000
 GROUP = ("window_size_sec", "window_index")
+#: The scale number of the whole trace.
+WHOLE = -1
 
 
 def connection_of(df: DataFrame) -> Column:
@@ -131,20 +133,45 @@ def _measures() -> dict[str, Column]:
     }
 
 
-def windowed_rows(trace: Sequenced, scales: Sequence[float], dense: bool) -> DataFrame:
-    """One row per packet and grouping (whole trace plus every scale).
+def measured_packets(trace: Sequenced, scales: Sequence[float]) -> Sequenced:
+    """What each packet brings to its groups, and its windows, its predecessor's and those of the last known direction.
+
+    All of it is worked out once per packet, before packets become a row per scale.
+    """
+    df = trace.df.withColumn("conn", connection_of(trace.df))
+    measures = _measures()
+    del measures["tls_list"]
+    times = {"_own": F.col("timestamp_epoch"), "_prior": F.col("prev_t"), "_known": F.col("prev_known.t")}
+    windows = [
+        window_index(t, F.lit(float(s))).cast("long").alias(f"{name}{i}")
+        for name, t in times.items()
+        for i, s in enumerate(scales)
+    ]
+    narrow = df.select(
+        *trace.parts,
+        "trace_start",
+        "trace_end",
+        gap_before().alias("_gap"),
+        F.when(F.col("prev_known.t").isNotNull(), F.col("prev_known.d")).alias("_known_dir"),
+        *[c.alias(n) for n, c in measures.items()],
+        *windows,
+    )
+    return Sequenced(narrow, trace.keys, trace.order, trace.sliced)
+
+
+def windowed_rows(packets: DataFrame, keys: Sequence[str], scales: Sequence[float], dense: bool) -> DataFrame:
+    """One row per packet of `measured_packets` and grouping (whole trace, ``scale`` -1, plus every scale's number).
 
     With ``dense`` each packet also emits one empty marker per window between its
     predecessor's window and its own, so windows without packets appear without
     a join and without a list of all windows of a trace.
     """
-    df = trace.df.withColumn("conn", connection_of(trace.df))
-    measures = _measures()
-    t, prev, known = F.col("timestamp_epoch"), F.col("prev_t"), F.col("prev_known.t")
+    measures = [n for n in _measures() if n in packets.columns]
+    prior = F.col("_gap").isNotNull()
 
-    def entry(scale: Column, index: Column, same: Column, same_known: Column) -> Column:
+    def entry(scale: int, index: Column, same: Column, same_known: Column) -> Column:
         return F.struct(
-            scale.cast("double").alias("scale"),
+            F.lit(scale).alias("scale"),
             index.cast("long").alias("index"),
             index.cast("long").alias("last"),
             F.coalesce(same, F.lit(False)).alias("same"),
@@ -152,38 +179,29 @@ def windowed_rows(trace: Sequenced, scales: Sequence[float], dense: bool) -> Dat
             F.lit(True).alias("packet"),
         )
 
-    whole = entry(F.lit(0.0), F.lit(-1), prev.isNotNull(), known.isNotNull())
+    whole = entry(WHOLE, F.lit(-1), prior, F.col("_known_dir").isNotNull())
+    numbered = range(len(scales))
     entries = F.array(
         whole,
         *[
-            entry(
-                F.lit(float(s)),
-                window_index(t, F.lit(float(s))),
-                window_index(prev, F.lit(float(s))) == window_index(t, F.lit(float(s))),
-                window_index(known, F.lit(float(s))) == window_index(t, F.lit(float(s))),
-            )
-            for s in scales
+            entry(i, F.col(f"_own{i}"), F.col(f"_prior{i}") == F.col(f"_own{i}"), F.col(f"_known{i}") == F.col(f"_own{i}"))
+            for i in numbered
         ],
     )
-    if dense and scales:
-        gaps = F.concat(*[empty_runs(window_index(prev, F.lit(float(s))), window_index(t, F.lit(float(s))), s) for s in scales])
-        entries = F.when(prev.isNull(), entries).otherwise(F.concat(entries, gaps))
-    exploded = df.select(
-        *trace.keys,
-        "trace_start",
-        "trace_end",
-        gap_before().alias("_gap"),
-        F.col("prev_known.d").alias("_known_dir"),
-        *[c.alias(n) for n, c in measures.items()],
-        F.explode(entries).alias("g"),
+    dense = dense and len(scales) > 0
+    if dense:
+        gaps = F.concat(*[empty_runs(F.col(f"_prior{i}"), F.col(f"_own{i}"), i) for i in numbered])
+        entries = F.when(~prior, entries).otherwise(F.concat(entries, gaps))
+    exploded = packets.select(
+        *keys, "trace_start", "trace_end", "_gap", "_known_dir", *measures, F.explode(entries).alias("g")
     )
     index = F.col("g.index")
-    if dense and scales:
+    if dense:
         exploded = exploded.select("*", F.explode(F.sequence("g.index", "g.last")).alias("_index"))
         index = F.col("_index")
     return exploded.select(
-        *trace.keys,
-        F.col("g.scale").alias("window_size_sec"),
+        *keys,
+        F.col("g.scale").alias("scale"),
         index.alias("window_index"),
         "trace_start",
         "trace_end",
@@ -196,13 +214,13 @@ def windowed_rows(trace: Sequenced, scales: Sequence[float], dense: bool) -> Dat
     )
 
 
-def empty_runs(before: Column, own: Column, scale: float) -> Column:
+def empty_runs(before: Column, own: Column, scale: float | int) -> Column:
     """The windows strictly between two packets' windows, as runs of at most GAP_WINDOWS."""
     low, high = before + 1, own - 1
     runs = F.transform(
         F.sequence(low, F.greatest(low, high), F.lit(GAP_WINDOWS).cast("long")),
         lambda i: F.struct(
-            F.lit(float(scale)).alias("scale"),
+            F.lit(scale).alias("scale"),
             i.alias("index"),
             F.least(i + GAP_WINDOWS - 1, high).alias("last"),
             F.lit(False).alias("same"),
@@ -213,11 +231,11 @@ def empty_runs(before: Column, own: Column, scale: float) -> Column:
     return F.when(low <= high, runs).otherwise(F.slice(_no_runs(scale), 1, 0))
 
 
-def _no_runs(scale: float) -> Column:
+def _no_runs(scale: float | int) -> Column:
     zero_ = F.lit(0).cast("long")
     return F.array(
         F.struct(
-            F.lit(float(scale)).alias("scale"),
+            F.lit(scale).alias("scale"),
             zero_.alias("index"),
             zero_.alias("last"),
             F.lit(False).alias("same"),
@@ -454,10 +472,15 @@ def _assemble(
     skewed: bool,
     limit: int,
     extra: Sequence[Column] = (),
+    inner: DataFrame | None = None,
 ) -> DataFrame:
-    """Join the blocks of one grouping; every block has one row per group."""
+    """Join the blocks of one grouping; every block has one row per group.
+
+    ``inner``: the rows without markers of empty groups, where ``rows`` has such.
+    """
     main = rows.groupBy(*group).agg(*extra, *[c.alias(n) for n, c in group_aggregates(idle_threshold_sec).items()])
     measured = {"packet_size": "len", "iat_sec": "iat"}
+    rows = rows if inner is None else inner
     parts = [burst_block(rows, group), connection_block(rows, group)]
     if skewed:
         parts.append(
@@ -470,7 +493,8 @@ def _assemble(
         parts.append(distributions(rows, group, {n: F.col(c) for n, c in measured.items()}))
     for part in parts:
         fresh = [c for c in part.columns if c not in group]
-        main = main.join(part, list(group), "left").fillna(0, fresh)
+        # There is a row per group on both sides: more than a broadcast should hold, whatever the files' size promises.
+        main = main.join(part.hint("merge"), list(group), "left").fillna(0, fresh)
     return main
 
 
@@ -571,12 +595,20 @@ def windowed_features(
     dense: bool = True,
     limit: int = DEFAULT_LIMIT,
 ) -> DataFrame:
-    keys = list(trace.keys)
-    trace = read_often(trace)
-    rows = windowed_rows(trace, scales, dense)
-    group = [*keys, *GROUP]
+    keys, scales = list(trace.keys), [float(s) for s in scales]
+    trace = measured_packets(trace, scales)
+    packets = trace.df if trace.sliced else cut_lineage(trace.df)  # cut while sequencing, if it is sliced
+    rows = windowed_rows(packets, keys, scales, dense)
+    inner = windowed_rows(packets, keys, scales, False)
+    group = [*keys, "scale", "window_index"]
+    if not trace.sliced:
+        # No group is above the limit, and most have few packets: their rows are dealt once, as they are, and every
+        # block and join finds them in place. Where a trace is cut, its groups are reduced before they are dealt.
+        rows, inner = rows.repartition(*group), inner.repartition(*group)
     bounds = [F.max("trace_start").alias("_t0"), F.max("trace_end").alias("_t1")]
-    table = _assemble(rows, group, idle_threshold_sec, trace.sliced, limit, bounds)
+    table = _assemble(rows, group, idle_threshold_sec, trace.sliced, limit, bounds, inner)
+    sizes = F.array(*[F.lit(s) for s in (0.0, *scales)])
+    table = table.withColumn("window_size_sec", F.element_at(sizes, F.col("scale") + 2))
     scale, index = F.col("window_size_sec"), F.col("window_index")
     total = F.greatest(F.col("_t1") - F.col("_t0"), F.lit(0.0))
     whole = scale == 0.0
