@@ -117,7 +117,7 @@ def open_windows(spark: SparkSession, checkpoint: str, keys: Sequence[str], scal
         up, down, switches = flags
         entries.append(entry(scale, own, own, [zero + 1, up, down, F.col("size"), switches, gap, gap]))
         blank = [zero] * 5 + [F.lit(0.0)] * 2
-        empty.append(F.transform(empty_runs(prior, own, s), lambda g: entry(g["scale"], g["index"], g["last"], blank)))
+        empty.append(F.transform(empty_runs(prior, own, float(s)), lambda g: entry(g["scale"], g["index"], g["last"], blank)))
     taken = F.array(*entries)
     held = F.transform("windows", lambda w: entry(w["scale"], w["index"], w["index"], [w[n] for n in counts]))
     whole = F.when(F.col("size").isNull(), held).when(prev.isNull(), taken).otherwise(F.concat(taken, *empty))
