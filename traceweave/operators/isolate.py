@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from traceweave.functions import exprs as X
 from traceweave.operators.features import ORDER, TRACE
 from traceweave.operators.ordered import DEFAULT_LIMIT, null_safe_join, sequence
+from traceweave.session import cut_lineage
 
 # ---- fixed values -------------------------------------------------------
 SAFE_COLUMNS = (
@@ -21,6 +23,9 @@ RAW_REQUIRED = (
     "retransmission tls_record_lengths"
 ).split()
 STITCH_MINIMUM_PACKETS = 20
+#: Result rows of an address (and of a task on average) above which they are dealt out, connections of one cell.
+PAIRS_PER_TASK = 8_000_000
+CONNECTIONS_HELD = 100_000
 # -------------------------------------------------------------------------
 
 
@@ -75,35 +80,72 @@ def with_directions(packets: DataFrame, server_ip: str | None = None) -> DataFra
     )
 
 
-def connection_facing(packets: DataFrame, connections: DataFrame) -> DataFrame:
+def connection_facing(
+    packets: DataFrame, connections: DataFrame, pairs: int = PAIRS_PER_TASK, held: int = CONNECTIONS_HELD
+) -> DataFrame:
     """Packets of accepted connections, labelled with the connection's alias.
 
     ``connections``: ``experiment_id client_ip client_port alias`` and, where a
     check of the proxy side is wanted, ``proxy_ip proxy_port`` (null = any).
-    Both orientations are equi joins; a packet whose two ends are both listed
-    counts for the source side, as an upload.
+    Each end of a packet is looked up by an equi join; a packet gives a row per
+    connection of each end, an upload at its source, a download at its
+    destination. Where connections share an address, the result is packets
+    times connections of it: an address above ``pairs`` of them is dealt into
+    cells by packet and, above ``held`` connections, by alias, and a large
+    result into tasks by its own rows, not by the bytes of its input.
     """
     columns = connections.columns
     proxy_ip = F.col("proxy_ip") if "proxy_ip" in columns else F.lit(None).cast("string")
     proxy_port = F.col("proxy_port") if "proxy_port" in columns else F.lit(None).cast("int")
-    side = connections.withColumns({"_proxy_ip": proxy_ip, "_proxy_port": proxy_port})
-
-    def oriented(near: str, far: str, direction: str) -> DataFrame:
-        dim = side.select(
-            "experiment_id",
-            F.col("client_ip").alias(f"{near}_ip"),
-            F.col("client_port").alias(f"{near}_port"),
-            "alias",
-            "_proxy_ip",
-            "_proxy_port",
+    address = ["experiment_id", "_ip", "_port"]
+    side = connections.select(
+        "experiment_id",
+        F.col("client_ip").alias("_ip"),
+        F.col("client_port").alias("_port"),
+        "alias",
+        proxy_ip.alias("_proxy_ip"),
+        proxy_port.alias("_proxy_port"),
+    ).na.drop(subset=address)
+
+    def end(near: str, far: str, direction: str):
+        names = {"_ip": f"{near}_ip", "_port": f"{near}_port", "_far_ip": f"{far}_ip", "_far_port": f"{far}_port"}
+        return F.struct(*[F.col(c).alias(n) for n, c in names.items()], F.lit(direction).alias("connection_direction"))
+
+    both = F.explode(F.array(end("src", "dst", "up"), end("dst", "src", "down")))
+    ends = packets.withColumn("_end", both).select(*packets.columns, "_end.*").na.drop(subset=address)
+
+    met = side.groupBy(*address).agg(F.count(F.lit(1)).alias("_m"))
+    load = ends.groupBy(*address).agg(F.count(F.lit(1)).alias("_n")).join(met, address, "left").na.fill(0, ["_m"])
+    load = cut_lineage(load.withColumn("_pairs", F.col("_n").cast("double") * F.col("_m")))
+    total = load.agg(F.sum("_pairs")).first()[0] or 0.0
+    # Addresses without a connection are the proxy's own: where they are large, their ends go before the shuffle.
+    large = load.where((F.col("_pairs") > pairs) | (F.col("_m") > held) | ((F.col("_m") == 0) & (F.col("_n") > pairs)))
+    aliases = F.greatest(F.ceil(F.col("_m") / held), F.lit(1))
+    cells = F.broadcast(
+        large.select(
+            *address,
+            (F.col("_m") == 0).alias("_unmet"),
+            F.greatest(F.ceil(F.col("_pairs") / aliases / pairs), F.lit(1)).alias("_rows"),
+            aliases.alias("_aliases"),
         )
-        ok = (F.col("_proxy_ip").isNull() | (F.col("_proxy_ip") == F.col(f"{far}_ip"))) & (
-            F.col("_proxy_port").isNull() | (F.col("_proxy_port") == F.col(f"{far}_port"))
-        )
-        hit = packets.join(dim, ["experiment_id", f"{near}_ip", f"{near}_port"]).where(ok)
-        return hit.select(*packets.columns, "alias", F.lit(direction).alias("connection_direction"))
+    )
 
-    return oriented("src", "dst", "up").unionByName(oriented("dst", "src", "down"))
+    def dealt(rows: DataFrame, by: str, own: str, other: str) -> DataFrame:
+        """Rows in their own slice of an address, once for every slice of the other side."""
+        found = rows.join(cells, address, "left").where("_unmet is null or not _unmet")
+        slices = F.coalesce(own, F.lit(1))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other, F.lit(1)) - 1))
+        found = found.withColumns({f"{own}_cell": F.pmod(F.xxhash64(by), slices), f"{other}_cell": every})
+        found = found.drop("_unmet", "_rows", "_aliases")
+        return found.repartition(tasks, *key) if total > pairs else found
+
+    key = [*address, "_rows_cell", "_aliases_cell"]
+    tasks = max(int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / pairs))
+    ok = (F.col("_proxy_ip").isNull() | (F.col("_proxy_ip") == F.col("_far_ip"))) & (
+        F.col("_proxy_port").isNull() | (F.col("_proxy_port") == F.col("_far_port"))
+    )
+    hit = dealt(ends, "packet_index", "_rows", "_aliases").join(dealt(side, "alias", "_aliases", "_rows"), key).where(ok)
+    return hit.select(*packets.columns, "alias", "connection_direction")
 
 
 def per_client(packets: DataFrame, clients: DataFrame) -> DataFrame:
