@@ -16,6 +16,20 @@ def spark():
     session.stop()
 
 
+def shuffled_records(spark, run):
+    """Rows that the stages of `run` write to shuffles."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def written():
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before = written()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(n for stage, n in written().items() if stage not in before)
+
+
 def packet_rows(rows, experiment="run_1", client="client_1"):
     """(t, size, direction, tls, retransmission, syn) tuples as packet dicts."""
     out = []

@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from traceweave.operators.joins import interval_join, overlapping_pairs
+from conftest import shuffled_records
+from traceweave.operators.joins import _serving, interval_join, overlapping_pairs
 
 
 @pytest.fixture(scope="module")
@@ -39,3 +41,23 @@ def test_overlapping_intervals(spark, intervals):
     assert sorted((x["left_index"], x["right_index"]) for x in got.collect()) == want
     empty = spark.createDataFrame([], SCHEMA)
     assert overlapping_pairs(empty, empty, ["k"]).count() == 0
+
+
+def test_points_are_not_copied_for_every_level(spark):
+    """Few intervals of nine lengths: they go to many short buckets, not every point to nine levels."""
+    points = spark.range(20_000).select(F.lit("a").alias("k"), F.col("id").cast("double").alias("t"))
+    rows = [("a", i, 2000.0 * i, 2000.0 * i + 2.0**i) for i in range(9)]
+    held = []
+
+    def run():
+        inside = interval_join(points, spark.createDataFrame(rows, SCHEMA), ["k"], "t", "start_epoch", "end_epoch")
+        held.extend(inside.groupBy("index").count().collect())
+
+    assert shuffled_records(spark, run) < 45_000
+    assert sorted(map(tuple, held)) == [(i, 2**i + 1) for i in range(9)]
+
+
+def test_many_intervals_of_a_length_keep_their_level():
+    assert _serving({3: 10, 5: 10}, 1000) == {3: 3, 5: 3}
+    assert _serving({3: 10, 20: 10}, 1000) == {3: 3, 20: 20}
+    assert _serving({-20: 1, -19: 500, 40: 1}, 100) == {-20: -20, -19: -19, 40: 40}

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import PACKET_SCHEMA, packet_rows
+from conftest import PACKET_SCHEMA, packet_rows, shuffled_records
 from traceweave.operators import matching as M
 from traceweave.operators import rounds as R
 from traceweave.operators.features import TRACE
@@ -217,3 +217,74 @@ def test_round_dataset_plans_rounds_once(spark):
     assert made["x"].count() == made["y"].count() == made["boundaries"].count() == 6
     for name in "xy":
         assert len(made[name]._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+
+
+def rounds_of_many_lengths(spark, clients):
+    """Six rounds a client, from 8 to 250 seconds long, and as many packets between them."""
+    feed = []
+    for r in range(6):
+        start, pause = 1000.0 * r, 4.0 * 2**r
+        feed += [(start + s + 0.1 * k, 1400, d, [], 0, 0) for s, d in ((0, "down"), (pause, "up")) for k in range(20)]
+        feed += [(start + 500 + 10 * k, 40, "up", [], 0, 0) for k in range(40)]
+    one = spark.createDataFrame(packet_rows(feed), PACKET_SCHEMA)
+    copies = spark.range(clients).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("_copy"))
+    return one.crossJoin(copies).withColumn("client_id", F.col("_copy")).drop("_copy")
+
+
+def test_round_dataset_shuffles_a_packet_few_times(spark):
+    """Once for its bin, once each to count and to measure the packets of a round; not once per length and block."""
+    from traceweave.plans.jobs import round_dataset
+
+    packets = rounds_of_many_lengths(spark, 40).localCheckpoint()
+    labels = packets.select("experiment_id", "client_id").distinct().withColumn("family", F.lit("f")).localCheckpoint()
+    made = {}
+    wrote = shuffled_records(spark, lambda: made.update(round_dataset(packets, labels, ["family"])))
+    x = made["x"].select("client_id", "window_index", "packet_count_total", "iat_sec_max")
+    assert sorted({tuple(r)[1:3] for r in x.collect()}) == [(i, 40) for i in range(6)] and x.count() == 240
+    assert wrote < 8 * packets.count()
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 30])
+def test_segments_restart_their_gaps_switches_and_bursts(spark, limit):
+    """Packets on a shared border are in both segments; overlapping segments do not disturb each other."""
+    from traceweave.operators.features import segment_features
+
+    times = [(0.0, "up"), (1.0, "down"), (2.0, "unknown"), (3.0, "down"), (3.0, "up"), (5.0, "up"), (9.0, "down")]
+    feed = [(t + 100 * k, 100 + k, d, [k], 0, 0) for k in range(30) for t, d in times]
+    packets = spark.createDataFrame(packet_rows(feed), PACKET_SCHEMA)
+    spans = [(0, 1.0, 3.0), (1, 3.0, 9.0), (2, 3.0, 3.0), (3, 0.0, 2909.0), (4, 6.0, 8.0)]
+    segments = spark.createDataFrame(
+        [("run_1", "client_1", *s) for s in spans], "experiment_id string, client_id string, segment_index long, start_epoch double, end_epoch double"
+    )
+    rows = segment_features(packets, segments, burst_gap_sec=1.5, limit=limit)
+    names = ["window_index", "packet_count_total", "direction_switch_count", "burst_count_total", "iat_sec_max", "window_start_sec", "window_end_sec"]
+    found = sorted(tuple(r) for r in rows.select(*names).collect())
+    assert found == [
+        (0, 4, 1, 4, 1.0, 1.0, 3.0),
+        (1, 4, 2, 4, 4.0, 3.0, 9.0),
+        (2, 2, 1, 2, 0.0, 3.0, 3.0),
+        (3, 210, 30 * 3 + 29, 30 * 7, 91.0, 0.0, 2909.0),
+    ]
+
+
+def test_many_small_traces_are_paired_in_batches(spark):
+    """A Python group a trace took two minutes, batches 18 s."""
+    n = 24_000
+    rows = spark.range(n).select(
+        F.concat(F.lit("e"), F.col("id").cast("string")).alias("experiment_id"),
+        F.lit("c").alias("client_id"),
+        F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i"),
+    )
+    rows = rows.select(
+        "experiment_id",
+        "client_id",
+        F.when(F.col("i") % 2 == 0, "down").otherwise("up").alias("direction"),
+        (F.col("i") * 10.0).alias("start_epoch"),
+        (F.col("i") * 10.0 + 5).alias("end_epoch"),
+        F.lit(100.0).alias("dominant_bytes"),
+        F.lit(1.0).alias("purity"),
+    )
+    began = time.monotonic()
+    found = pair_transfers(rows, 60, 4, TRACE).agg(F.count("*"), F.countDistinct("experiment_id")).first()
+    assert time.monotonic() - began < 60
+    assert tuple(found) == (3 * n, n)

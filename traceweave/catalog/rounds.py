@@ -70,7 +70,7 @@ du AS (SELECT *, CASE WHEN direction = 'down' THEN bytes_down ELSE bytes_up END
 
 
 def _bursts(spark, sf_dir):
-    return R.directional_bursts(R.smoothed(R.packet_bins(parsed_packets(spark, sf_dir), CFG)), CFG)
+    return R.directional_bursts(R.packet_bins(parsed_packets(spark, sf_dir), CFG), CFG)
 
 
 @query(
@@ -210,8 +210,7 @@ SELECT experiment_id, client_id, segment_index AS window_index, 'round' AS row_t
 )
 def segment_features(spark, sf_dir):
     """Feature rows of the packets inside given intervals (rounds)."""
-    trace = FE.sequence_packets(parsed_packets(spark, sf_dir), 6 * HOUR)
-    table_ = FE.segment_features(trace, segments(spark, sf_dir), "round", 6 * HOUR, DAY)
+    table_ = FE.segment_features(parsed_packets(spark, sf_dir), segments(spark, sf_dir), "round", 6 * HOUR, DAY)
     return rounded(
         table_.select(
             *TRACE,

@@ -631,48 +631,61 @@ def windowed_features(
 # ---- rounds and other closed intervals ------------------------------------
 
 
+#: What features need of a packet, besides its keys and order.
+PACKET_FIELDS = (
+    "frame_length direction transport_protocol tcp_syn tcp_ack tcp_fin tcp_rst retransmission tls_record_lengths"
+).split()
+
+
 def segment_features(
-    trace: Sequenced,
+    packets: DataFrame,
     segments: DataFrame,
     row_type: str = "round",
     burst_gap_sec: float = 0.05,
     idle_threshold_sec: float = 0.5,
     packet_information_threshold: int = 2,
+    keys: Sequence[str] = TRACE,
     limit: int = DEFAULT_LIMIT,
 ) -> DataFrame:
-    """Features of the packets inside ``segments`` (trace keys, segment_index, start, end).
+    """Features of the packets inside ``segments`` (trace keys, segment_index, start_epoch, end_epoch).
 
-    Segments of one trace must not overlap except at a shared border.
+    A packet on the border of two segments belongs to both. Packets meet their segments first and once; what
+    is left is put in order per segment, where bursts, gaps and switches start anew, and dealt to all blocks as it is.
     """
     from traceweave.operators.joins import interval_join
 
-    keys = list(trace.keys)
-    trace = read_often(trace)
-    df = trace.df.withColumn("conn", connection_of(trace.df))
-    inside = interval_join(df, segments, keys, "timestamp_epoch", "start_epoch", "end_epoch")
-    t, start = F.col("timestamp_epoch"), F.col("start_epoch")
-    rows = inside.select(
-        *keys,
-        F.col("segment_index").alias("window_index"),
-        F.lit(0.0).alias("window_size_sec"),
-        "trace_start",
-        F.col("start_epoch").alias("_start"),
-        F.col("end_epoch").alias("_end"),
-        *[c.alias(n) for n, c in _measures().items()],
-        F.when(F.col("prev_t") >= start, F.greatest(t - F.col("prev_t"), F.lit(0.0))).alias("iat"),
+    keys = list(keys)
+    starts = packets.groupBy(*keys).agg(F.min("timestamp_epoch").alias("trace_start"))
+    bounds = segments.join(starts, keys).select(
+        *keys, F.col("segment_index").alias("window_index"), "trace_start", "start_epoch", "end_epoch"
+    )
+    narrow = packets.select(*keys, *ORDER, *PACKET_FIELDS, connection_of(packets).alias("conn"))
+    inside = interval_join(narrow, bounds, keys, "timestamp_epoch", "start_epoch", "end_epoch")
+    own = inside.withColumnsRenamed({"trace_start": "_t0", "start_epoch": "_start", "end_epoch": "_end"})
+    own = cut_lineage(own.withColumn("window_size_sec", F.lit(0.0)))
+    group = [*keys, *GROUP]
+    trace = sequence_packets(own, burst_gap_sec, group, limit)
+    prior = F.col("prev_known")
+    rows = trace.df.select(
+        *group,
+        "_t0",
+        "_start",
+        "_end",
+        *[c.alias(n) for n, c in _measures().items() if n != "tls_list"],
+        gap_before().alias("iat"),
         F.when(
-            (F.col("prev_known.t") >= start) & F.col("direction").isin("up", "down"),
-            (F.col("direction") != F.col("prev_known.d")).cast("long"),
+            prior.isNotNull() & F.col("direction").isin("up", "down"), (F.col("direction") != prior["d"]).cast("long")
         ).alias("switched"),
     )
-    group = [*keys, *GROUP]
-    bounds = [F.max(n).alias(n) for n in ("trace_start", "_start", "_end")]
-    table = _assemble(rows, group, idle_threshold_sec, trace.sliced, limit, bounds)
+    if not trace.sliced:
+        rows = cut_lineage(rows)
+    extra = [F.max(n).alias(n) for n in ("_t0", "_start", "_end")]
+    table = _assemble(rows, group, idle_threshold_sec, trace.sliced, limit, extra)
     table = table.withColumns(
         {
             "row_type": F.lit(row_type),
-            "window_start_sec": F.col("_start") - F.col("trace_start"),
-            "window_end_sec": F.col("_end") - F.col("trace_start"),
+            "window_start_sec": F.col("_start") - F.col("_t0"),
+            "window_end_sec": F.col("_end") - F.col("_t0"),
         }
     ).withColumns(derived_columns(F.col("_span"), packet_information_threshold))
     return table.select(*keys, *ROW_METADATA, *PREDICTORS)

@@ -2,6 +2,8 @@
 
 Intervals are dealt by length: level L holds those of at most 2^L seconds, in buckets of 2^L seconds. So an interval
 touches one or two buckets whatever its length, and one long interval among short ones costs no more than they do.
+Where points meet intervals, every level in use would be one more copy of all points. Levels whose intervals are few are
+served by the buckets of a lower one, which these intervals touch many of.
 """
 
 from __future__ import annotations
@@ -22,10 +24,29 @@ def _level(length: Column) -> Column:
     return F.greatest(F.lit(LOWEST), F.least(F.lit(HIGHEST), exact)).cast("int")
 
 
-def _levels(df: DataFrame, start: str, end: str) -> list[int]:
-    """The levels in use: at most HIGHEST - LOWEST + 1 numbers."""
-    found = df.select(_level(F.col(end) - F.col(start)).alias("level")).where("level is not null").distinct()
-    return sorted(r["level"] for r in found.collect())
+def _level_counts(df: DataFrame, start: str, end: str) -> dict[int, int]:
+    """Intervals of each level in use: at most HIGHEST - LOWEST + 1 numbers."""
+    level = _level(F.col(end) - F.col(start)).alias("level")
+    found = df.select(level).where("level is not null").groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+    return {r["level"]: r["n"] for r in found.collect()}
+
+
+def _serving(counts: dict[int, int], points: int) -> dict[int, int]:
+    """The level that serves each level in use: itself or a lower one, so that copies of points and intervals are fewest."""
+    levels = sorted(counts)
+    best: list[tuple[int, int]] = [(0, 0)]  # rows for the first so many levels, and where the last group of them begins
+    for upto in range(1, len(levels) + 1):
+        ways = []
+        for first in range(upto):
+            own = sum(counts[v] * (2 ** (v - levels[first]) + 1) for v in levels[first:upto])
+            ways.append((best[first][0] + points + own, first))
+        best.append(min(ways))
+    served, upto = {}, len(levels)
+    while upto:
+        first = best[upto][1]
+        served |= {v: levels[first] for v in levels[first:upto]}
+        upto = first
+    return served
 
 
 def _bucket(time: Column, level: Column) -> Column:
@@ -42,14 +63,16 @@ def interval_join(
 ) -> DataFrame:
     """Points inside closed intervals of the same key.
 
-    A point gets one copy per level in use, with its bucket there as an extra
-    equi key, which also spreads a hot key over many tasks. Points are many
-    times what the size of their compressed files tells, and never broadcast.
+    A point gets one copy per level that serves others, with its bucket there as
+    an extra equi key, which also spreads a hot key over many tasks. Points are
+    many times what the size of their compressed files tells, and never broadcast.
     """
-    levels = _levels(intervals, start, end) or [0]
-    left = points.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels])))
+    counts = _level_counts(intervals, start, end) or {0: 0}
+    served = _serving(counts, points.count() if len(counts) > 1 else 0)
+    left = points.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in sorted({*served.values()})])))
     left = left.withColumn("_bucket", _bucket(F.col(time), F.col("_level")))
-    right = intervals.withColumn("_level", _level(F.col(end) - F.col(start)))
+    own = _level(F.col(end) - F.col(start))
+    right = intervals.withColumn("_level", F.coalesce(*[F.when(own == v, F.lit(by)) for v, by in served.items()]))
     touched = F.sequence(_bucket(F.col(start), F.col("_level")), _bucket(F.greatest(start, end), F.col("_level")))
     right = right.withColumn("_bucket", F.explode(touched))
     inside = (F.col(f"_p.{time}") >= F.col(f"_i.{start}")) & (F.col(f"_p.{time}") <= F.col(f"_i.{end}"))
@@ -68,7 +91,7 @@ def overlapping_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str]) ->
     intervals meet at the level of the longer one, in the first bucket both
     touch there, hence once.
     """
-    levels = sorted({*_levels(left, "start_epoch", "end_epoch"), *_levels(right, "start_epoch", "end_epoch")}) or [0]
+    levels = sorted({v for side in (left, right) for v in _level_counts(side, "start_epoch", "end_epoch")}) or [0]
     at = F.explode(F.filter(F.array(*[F.lit(v) for v in levels]), lambda v: v >= F.col("_own"))).alias("_level")
 
     def spread(df: DataFrame, prefix: str) -> DataFrame:

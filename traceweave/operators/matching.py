@@ -43,7 +43,7 @@ def _key_types(df: DataFrame, keys: Sequence[str]) -> str:
     return ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in keys)
 
 
-def _per_row(df: DataFrame, keys: Sequence[str], arrays: Sequence[str], work: Callable, names: Sequence[str], kinds: Sequence[str]) -> DataFrame:
+def per_row(df: DataFrame, keys: Sequence[str], arrays: Sequence[str], work: Callable, names: Sequence[str], kinds: Sequence[str]) -> DataFrame:
     """keys and the columns that `work` makes of each row's arrays (one list of tuples); groups are small, so many share a batch."""
     keys, names = list(keys), list(names)
 
@@ -125,7 +125,7 @@ def greedy_matches(
     grouped = grouped.where((F.size("a") > 0) & (F.size("b") > 0))
     grouped = grouped.select(*keys, *[F.col(f"{c[0]}.{c[2:]}").alias(c) for c in arrays])
     names = ["left_index", "right_index", "iou", "start_error_sec", "end_error_sec"]
-    return _per_row(grouped, keys, arrays, matched, names, ["long", "long", "double", "double", "double"])
+    return per_row(grouped, keys, arrays, matched, names, ["long", "long", "double", "double", "double"])
 
 
 def boundary_scores(
@@ -345,7 +345,7 @@ def clock_offsets(
     both = side(inferred, "inferred").unionByName(side(truth, "truth")).where("t IS NOT NULL")
     sides = [F.array_sort(F.collect_list(F.when(F.col("side") == n, F.col("t")))).alias(n) for n in ("inferred", "truth")]
     starts = both.groupBy(*keys).agg(*sides).where((F.size("inferred") > 0) & (F.size("truth") > 0))
-    return _per_row(starts, keys, ["inferred", "truth"], scored, names, ["double", "long", "double", "double"])
+    return per_row(starts, keys, ["inferred", "truth"], scored, names, ["double", "long", "double", "double"])
 
 
 def validate_rounds(inferred: DataFrame, truth: DataFrame, keys: Sequence[str], **options) -> dict[str, DataFrame]:

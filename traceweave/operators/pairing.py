@@ -15,7 +15,7 @@ is a map from the download that waits before it to the one that waits behind it:
 5. Each segment is walked once more from there, and gives its pairs.
 
 Steps 1, 3 and 5 run over all segments side by side, 2 and 4 see a few rows per segment. A trace of one segment needs
-step 5 only.
+step 5 only; there a segment is a row of arrays, and many of them share a batch.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from traceweave.operators.matching import per_row
 from traceweave.operators.ordered import DEFAULT_LIMIT, null_safe_join, sequence
 from traceweave.session import cut_lineage
 
@@ -60,15 +61,19 @@ class Rule:
 
 
 class Segment:
-    """Major bursts of one stretch of a trace."""
+    """Major bursts of one stretch of a trace, in order."""
 
-    def __init__(self, rows: pd.DataFrame, rule: Rule) -> None:
-        rows = rows.sort_values("_n")
+    def __init__(self, down: np.ndarray, fields: Sequence[np.ndarray], rule: Rule) -> None:
         self.rule = rule
-        self.down = (rows["direction"] == "down").to_numpy()
-        self.start, self.end, self.size, self.purity = (rows[f].to_numpy(float) for f in FIELDS)
+        self.down = np.asarray(down, bool)
+        self.start, self.end, self.size, self.purity = (np.asarray(f, float) for f in fields)
         self.downs = np.flatnonzero(self.down)
 
+    @classmethod
+    def of(cls, rows: pd.DataFrame, rule: Rule) -> Segment:
+        rows = rows.sort_values("_n")
+        return cls((rows["direction"] == "down").to_numpy(), [rows[f].to_numpy(float) for f in FIELDS], rule)
+
     def wait(self, i: int) -> Wait:
         return Wait(float(self.start[i]), float(self.end[i]), float(self.size[i]), float(self.purity[i]))
 
@@ -155,7 +160,7 @@ def _entries(runs: DataFrame, keys: list[str], types: str, rule: Rule) -> DataFr
     many = null_safe_join(runs, runs.where("_run = 1").select(*keys).distinct(), keys, "left_semi")
 
     def listed(rows: pd.DataFrame) -> pd.DataFrame:
-        segment = Segment(rows, rule)
+        segment = Segment.of(rows, rule)
         out = [(*_fields(None), *segment.summary())]
         out += [(*_fields(wait), None, None, None) for wait in segment.unsettled()]
         return _frame({k: rows[k].iloc[0] for k in part}, out, [*FIELDS, "top", "last_start", "last_end"])
@@ -170,7 +175,7 @@ def _entries(runs: DataFrame, keys: list[str], types: str, rule: Rule) -> DataFr
         return _frame({k: rows[k].iloc[0] for k in keys}, out, ["_run", *FIELDS])
 
     def mapped(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        segment = Segment(rows, rule)
+        segment = Segment.of(rows, rule)
         out = [(*_fields(wait), *_fields(segment.walk(wait)[1])) for wait in _waits(before)]
         return _frame({k: rows[k].iloc[0] for k in part}, out, [*FIELDS, *[f"left_{f}" for f in FIELDS]])
 
@@ -210,17 +215,22 @@ def pair_transfers(
     runs = cut_lineage(runs)
     part = [*keys, "_run"]
     types = ", ".join(f"`{k}` {dict(major.dtypes)[k]}" for k in keys)
-    entries = _entries(runs, keys, types, rule)
-
-    def paired(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        names = [f"{side}_{f}" for side in ("down", "up") for f in FIELDS]
-        if rows.empty:
-            return _frame({k: None for k in keys}, [], names)
-        segment = Segment(rows, rule)
-        waits = _waits(before)
-        pairs, _ = segment.walk(waits[0] if waits else None)
-        out = [(*_fields(down), *_fields(segment.wait(up))) for down, up in pairs]
-        return _frame({k: rows[k].iloc[0] for k in keys}, out, names)
-
-    out = ", ".join(f"{side}_{f} double" for side in ("down", "up") for f in FIELDS)
-    return runs.groupBy(*part).cogroup(entries.groupBy(*part)).applyInPandas(paired, f"{types}, {out}")
+    waits = _entries(runs, keys, types, rule).select(*part, F.struct(*FIELDS).alias("_wait"))
+    own = F.struct("_n", (F.col("direction") == "down").alias("down"), *FIELDS).alias("_own")
+    lists = (
+        runs.select(*part, own)
+        .unionByName(waits, allowMissingColumns=True)
+        .groupBy(*part)
+        .agg(F.array_sort(F.collect_list("_own")).alias("_own"), F.max("_wait").alias("_wait"))
+    )
+    arrays = {f"own_{f}": F.col(f"_own.{f}") for f in ("down", *FIELDS)} | {f"wait_{f}": F.col(f"_wait.{f}") for f in FIELDS}
+    rows = lists.select(*keys, *[c.alias(n) for n, c in arrays.items()])
+
+    def paired(is_down: np.ndarray, *fields) -> list[tuple]:
+        bursts, before = fields[: len(FIELDS)], fields[len(FIELDS) :]
+        segment = Segment(is_down, bursts, rule)
+        pairs, _ = segment.walk(None if pd.isna(before[0]) else Wait(*map(float, before)))
+        return [(*_fields(down), *_fields(segment.wait(up))) for down, up in pairs]
+
+    names = [f"{side}_{f}" for side in ("down", "up") for f in FIELDS]
+    return per_row(rows, keys, list(arrays), paired, names, ["double"] * len(names))

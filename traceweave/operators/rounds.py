@@ -65,15 +65,24 @@ def trace_bounds(packets: DataFrame, keys: Sequence[str] = TRACE) -> DataFrame:
 
 
 def packet_bins(
-    packets: DataFrame, cfg: RoundConfig, keys: Sequence[str] = TRACE, limit: int = DEFAULT_LIMIT
+    packets: DataFrame,
+    cfg: RoundConfig,
+    keys: Sequence[str] = TRACE,
+    limit: int = DEFAULT_LIMIT,
+    least_packets: int = 0,
 ) -> DataFrame:
     """Byte and packet counts of every bin that has packets, with its label.
 
     ``edge_*`` count the packets exactly on the bin's lower border, which also
-    belong to a span that ends there.
+    belong to a span that ends there. Traces below ``least_packets`` have no bins.
     """
     trace = sequence(packets, keys, ORDER, limit)
-    rows = trace.key_stats({"trace_start": F.min("timestamp_epoch"), "trace_end": F.max("timestamp_epoch")}).rows()
+    stats = {"trace_start": F.min("timestamp_epoch"), "trace_end": F.max("timestamp_epoch")}
+    if least_packets:
+        stats["trace_packets"] = F.count(F.lit(1))
+    rows = trace.key_stats(stats).rows()
+    if least_packets:
+        rows = rows.where(F.col("trace_packets") >= least_packets)
     rel = F.greatest(F.col("timestamp_epoch") - F.col("trace_start"), F.lit(0.0))
     last = F.floor((F.col("trace_end") - F.col("trace_start")) / cfg.bin_sec)
     index = F.least(X.floor_divide(rel, cfg.bin_sec), last)
@@ -117,8 +126,8 @@ def bin_label(cfg: RoundConfig) -> Column:
     )
 
 
-def smoothed(bins: DataFrame, keys: Sequence[str] = TRACE) -> DataFrame:
-    """A single mixed bin between equal directions takes their label.
+def _islands(bins: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, bin, label: single mixed bins between equal directions, with that direction.
 
     Only mixed bins look at their neighbours, by equi join on the bin number,
     so there is no per-trace order to keep. Bins are nearly as many as packets
@@ -127,14 +136,19 @@ def smoothed(bins: DataFrame, keys: Sequence[str] = TRACE) -> DataFrame:
     directed = bins.where("label in ('up', 'down')").select(*keys, "bin", F.col("label").alias("_near"))
     before = directed.select(*keys, (F.col("bin") + 1).alias("bin"), F.col("_near").alias("_before"))
     after = directed.select(*keys, (F.col("bin") - 1).alias("bin"), F.col("_near").alias("_after"))
-    islands = (
+    return (
         bins.where("label = 'mixed'")
         .select(*keys, "bin")
         .join(before.hint("merge"), [*keys, "bin"])
         .join(after.hint("merge"), [*keys, "bin"])
         .where("_before = _after")
-        .select(*keys, "bin", F.col("_before").alias("_new"))
+        .select(*keys, "bin", F.col("_before").alias("label"))
     )
+
+
+def smoothed(bins: DataFrame, keys: Sequence[str] = TRACE) -> DataFrame:
+    """All bins; a single mixed bin between equal directions takes their label."""
+    islands = _islands(bins, keys).withColumnRenamed("label", "_new")
     return (
         bins.join(islands, [*keys, "bin"], "left")
         .withColumn("label", F.coalesce("_new", "label"))
@@ -142,6 +156,12 @@ def smoothed(bins: DataFrame, keys: Sequence[str] = TRACE) -> DataFrame:
     )
 
 
+def directed_bins(bins: DataFrame, keys: Sequence[str] = TRACE) -> DataFrame:
+    """keys, bin, label of the bins that have a direction once smoothed; the others need not be joined for that."""
+    directed = bins.where("label in ('up', 'down')").select(*keys, "bin", "label")
+    return directed.unionByName(_islands(bins, keys))
+
+
 def dense_bins(packets: DataFrame, cfg: RoundConfig, keys: Sequence[str] = TRACE) -> DataFrame:
     """Every bin of every trace with raw and smoothed label; silent bins are quiet."""
     bins = packet_bins(packets, cfg, keys)
@@ -166,12 +186,12 @@ def directional_bursts(
 ) -> DataFrame:
     """Runs of equal-direction bins, bridged over short gaps without the other direction.
 
-    In the order of directed bins a bin joins its predecessor exactly when that
-    has the same direction and is near enough.
+    ``bins`` are those of `packet_bins`; they are smoothed here. In the order of
+    directed bins a bin joins its predecessor exactly when that has the same
+    direction and is near enough.
     """
-    bins = cut_lineage(bins)  # read three times below, and far smaller than the packets
-    directed = bins.where("label in ('up', 'down')").select(*keys, "bin", "label")
-    order = sequence(directed, keys, ["bin"], limit).previous(
+    bins = cut_lineage(bins)  # read often below
+    order = sequence(directed_bins(bins, keys), keys, ["bin"], limit).previous(
         {"_p": F.struct(F.col("bin").alias("b"), F.col("label").alias("l"))}
     )
     starts = (
@@ -267,8 +287,7 @@ def infer_rounds(
     cfg = cfg or RoundConfig()
     keys = list(keys)
     sizes = trace_bounds(packets, keys)
-    usable = packets.join(sizes.where(F.col("trace_packets") >= cfg.min_round_packets).select(*keys), keys, "left_semi")
-    bins = smoothed(cut_lineage(packet_bins(usable, cfg, keys, limit)), keys)
+    bins = packet_bins(packets, cfg, keys, limit, cfg.min_round_packets)
     bursts = cut_lineage(directional_bursts(bins, cfg, keys, limit))
     thresholds = major_thresholds(bursts, cfg, keys, limit)
     major = major_bursts(bursts, thresholds, keys)
@@ -292,6 +311,7 @@ def infer_rounds(
         .join(medians, keys)
         .withColumn("confidence", confidence(cfg))
     )
+    scored = cut_lineage(scored)  # ordering them plans twice, and each time would look for the packets inside again
     rounds = sequence(scored, keys, ["start_epoch", "end_epoch"], limit).numbered("_n").rows()
     rounds = rounds.select(
         *keys,

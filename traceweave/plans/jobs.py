@@ -124,8 +124,7 @@ def round_dataset(
     # Rounds and their rows are few, and read by many branches, each of which would plan and compute them again.
     found = cut_lineage(found)
     segments = found.select(*TRACE, F.col("inferred_round_index").alias("segment_index"), "start_epoch", "end_epoch")
-    trace = features.sequence_packets(packets, options.get("burst_gap_sec", 0.05), limit=limit)
-    rows = cut_lineage(features.segment_features(trace, segments, "round", limit=limit, **options))
+    rows = cut_lineage(features.segment_features(packets, segments, "round", limit=limit, **options))
     x, y, _ = fingerprint_dataset(rows, labels, fields, limit=limit)
     return {"x": x, "y": y, "boundaries": found, "diagnostics": report}
 
