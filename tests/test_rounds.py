@@ -268,7 +268,7 @@ def test_segments_restart_their_gaps_switches_and_bursts(spark, limit):
 
 
 def test_many_small_traces_are_paired_in_batches(spark):
-    """A Python group a trace took two minutes, batches 18 s."""
+    """A Python group a trace took two minutes, shared batches take 18 s."""
     n = 24_000
     rows = spark.range(n).select(
         F.concat(F.lit("e"), F.col("id").cast("string")).alias("experiment_id"),
